@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.simhash import op2_simhash
+from tessera.llm.tokenfiles import op8_token_files
 
-QUERIES = {"op2_simhash": op2_simhash}
+QUERIES = {"op2_simhash": op2_simhash, "op8_token_files": op8_token_files}
 ORACLE_SQL: dict[str, str] = {}
