@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from tessera.llm.chat import OP4_SQL, op4_chat_format
+from tessera.llm.pii import op9_pii
 from tessera.llm.simhash import op2_simhash
 from tessera.llm.tokenfiles import op8_token_files
 
-QUERIES = {"op2_simhash": op2_simhash, "op4_chat_format": op4_chat_format, "op8_token_files": op8_token_files}
+QUERIES = {"op2_simhash": op2_simhash, "op4_chat_format": op4_chat_format, "op8_token_files": op8_token_files, "op9_pii": op9_pii}
 ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL}
