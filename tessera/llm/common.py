@@ -117,3 +117,35 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(length)
     return np.arange(total, dtype=np.int64) + np.repeat(start.astype(np.int64) - (ends - length), length)
+
+
+def byte_set(chars: bytes, high: bool = False) -> np.ndarray:
+    """Membership of each byte value; high: all bytes of non-ASCII characters too."""
+    out = np.zeros(256, bool)
+    out[np.frombuffer(chars, np.uint8)] = True
+    if high:
+        out[128:] = True
+    return out
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+WORD = byte_set(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", high=True)
+NOT_SPACE = ~byte_set(b" \t\n\r\x0b\x0c")
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes of a set, never across texts: starts, ends, and the number of runs of each text."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+    member = inside[data]
+    begin = member.copy()
+    begin[1:] &= ~member[:-1]
+    cut = offsets[(offsets > 0) & (offsets < n)]
+    begin[cut] |= member[cut]
+    close = np.zeros(n + 1, bool)
+    close[1:n] = member[:-1] & (~member[1:] | begin[1:])
+    close[n] = member[-1]
+    start, end = np.flatnonzero(begin), np.flatnonzero(close)
+    return start, end, np.diff(np.searchsorted(start, offsets))
