@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from tessera.llm.ann import op7_ann
 from tessera.llm.chat import OP4_SQL, op4_chat_format
 from tessera.llm.pii import op9_pii
 from tessera.llm.simhash import op2_simhash
 from tessera.llm.tokenfiles import op8_token_files
 from tessera.llm.toxicity import op10_toxicity
 
-QUERIES = {"op2_simhash": op2_simhash, "op4_chat_format": op4_chat_format, "op8_token_files": op8_token_files, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_simhash": op2_simhash, "op4_chat_format": op4_chat_format, "op7_ann": op7_ann, "op8_token_files": op8_token_files, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL}

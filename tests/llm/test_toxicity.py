@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import toxicity as T
 
@@ -53,7 +54,7 @@ def test_held_out_accuracy_and_edges(spark):
     rows += [(900, None, None), (901, "", None), (902, "x " * 50_000, None), (902, "x", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxicity_score string")
     net = T.fit(docs, spark.createDataFrame(labels + [(None, 1), (1, None)], "doc_id long, toxic int"))
-    got = T.scored(docs, net).withColumn("held", T.held_out(docs.doc_id)).collect()
+    got = T.scored(docs, net).withColumn("held", T.held_out(F.col("doc_id"))).collect()
     assert len(got) == len(rows) and all(0 <= r.toxicity_score <= 1 for r in got)
     held = [(r.toxicity_score >= 0.5) == bool(labels[r.doc_id][1]) for r in got if r.held and r.doc_id < 500]
     assert sum(held) / len(held) > 0.9
