@@ -142,8 +142,8 @@ class Viterbi:
                 b = self.piece_text(p & 0xFFFFFFFF)
                 a = [] if p >> 32 == START else [self.piece_text(p >> 32)]
                 told.append(self.merged("".join(a) + b) == [*a, b])
-            order = np.argsort(keys := np.concatenate((self.pairs, fresh)))
-            self.pairs, self.stable = keys[order], np.concatenate((self.stable, told))[order]
+            spot = np.searchsorted(self.pairs, fresh)
+            self.pairs, self.stable = np.insert(self.pairs, spot, fresh), np.insert(self.stable, spot, told)
             at = np.searchsorted(self.pairs, unique)
         return self.stable[at][inverse]
 
@@ -273,7 +273,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for a, b in slices(offsets, 1 << 20):
+            for a, b in slices(offsets, 1 << 22):
                 texts = [data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist())]
                 ids, counts = codec(path).encode(texts)
                 part = batch.slice(a, b - a)
