@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.ann import op7_ann
 from tessera.llm.chat import OP4_SQL, op4_chat_format
+from tessera.llm.decontaminate import op5_decontaminate
 from tessera.llm.lines import op6_line_dedup
 from tessera.llm.pii import op9_pii
 from tessera.llm.sentencepieces import op3_sentencepiece
@@ -11,5 +12,5 @@ from tessera.llm.simhash import op2_simhash
 from tessera.llm.tokenfiles import op8_token_files
 from tessera.llm.toxicity import op10_toxicity
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_sentencepiece": op3_sentencepiece, "op4_chat_format": op4_chat_format, "op6_line_dedup": op6_line_dedup, "op7_ann": op7_ann, "op8_token_files": op8_token_files, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_simhash": op2_simhash, "op3_sentencepiece": op3_sentencepiece, "op4_chat_format": op4_chat_format, "op5_decontaminate": op5_decontaminate, "op6_line_dedup": op6_line_dedup, "op7_ann": op7_ann, "op8_token_files": op8_token_files, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL}
