@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import partitions, stored, table
 
 #: The index is fitted on at most SAMPLE vectors (by a hash of vec_id); every vector is indexed. Vectors a list aims at,
-#: lists at most, rows of a block, replicas of a boundary vector, and the two ratios of distances.
+#: lists at most, rows of a block; replicas of a boundary vector, the two ratios of distances, links of a centroid, and
+#: how many lists are read before the others.
 SAMPLE, LIST_SIZE, MOST_LISTS, BLOCK = 20_000, 512, 1024, 4096
-REPLICAS, BOUNDARY, PRUNE, DEGREE = 3, 1.05, 1.18, 16
+REPLICAS, BOUNDARY, PRUNE, DEGREE, FIRST = 3, 1.05, 1.18, 16, 4
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,37 +145,33 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         c, top = shared.value
         graph = CentroidGraph(c)
         for batch in batches:
-            which, lists = [], []
+            which, lists, turns = [], [], []
             x = matrix(batch.column(1))
             for i, q in enumerate(np.concatenate((x * (top / np.linalg.norm(x, axis=1))[:, None], np.zeros((len(x), 1))), 1) if len(x) else []):
                 held, found = 0, graph.search(q, PRUNE)
                 if sum(sizes.get(j, (0, 0))[1] for _, j in found) <= k:
                     found = [(0.0, j) for j in range(len(c))]
-                for d, j in found:
+                for turn, (d, j) in enumerate(found):
                     if held > k and d > found[0][0] * PRUNE:
                         break
                     held += sizes.get(j, (0, 0))[1]
                     which.append(i)
                     lists.append(j)
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), batch.column(0).take(pa.array(which, pa.int64())), batch.column(1).take(pa.array(which, pa.int64()))], ["list", "query_id", "q"])
+                    turns.append(turn)
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(turns, pa.int32()), batch.column(0).take(pa.array(which, pa.int64())), batch.column(1).take(pa.array(which, pa.int64()))], ["list", "turn", "query_id", "q"])
 
     asked = good.filter(F.pmod("vec_id", F.lit(every)) == 0).repartition(partitions(spark), "vec_id")
-    visits = stored(asked.select("vec_id", "v").mapInArrow(choose, "list long, query_id long, q array<double>"), "visits")
-    # At most MOST_LISTS rows: into how many blocks each side of a list is dealt.
-    blocks = visits.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qs")).join(postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ps")), "list")
-    q_side = visits.join(blocks, "list").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("ps") - 1))).select("list", "qb", "pb", "query_id", "q")
-    p_side = postings.join(blocks, "list").withColumn("pb", F.pmod(F.xxhash64("vec_id"), F.col("ps")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).select("list", "qb", "pb", "vec_id", "v")
-
+    visits = stored(asked.select("vec_id", "v").mapInArrow(choose, "list long, turn int, query_id long, q array<double>"), "visits")
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         ids, x = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy())
-        queries, q = left["query_id"].to_numpy(), np.stack(left["q"].to_numpy())
+        queries, q, bound = left["query_id"].to_numpy(), np.stack(left["q"].to_numpy()), left["bound"].to_numpy()
         out = []
         for a in range(0, len(q), 512):
             rough = q[a : a + 512] @ x.T
             rough[queries[a : a + 512, None] == ids] = -np.inf
-            least = np.partition(rough, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+            least = np.maximum(np.partition(rough, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))], bound[a : a + 512])
             scale = 1e-12 * (1 + np.abs(least, where=np.isfinite(least), out=np.zeros_like(least)))
             i, j = np.nonzero((rough >= (least - scale)[:, None]) & np.isfinite(rough))
             exact = np.concatenate([(q[a + i[s : s + 65536]] * x[j[s : s + 65536]]).sum(1) for s in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
@@ -184,11 +181,26 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
             out.append(pd.DataFrame({"query_id": queries[a + i[keep]], "vec_id": ids[j[keep]], "score": exact[keep]}))
         return pd.concat(out)
 
-    keys = ("list", "qb", "pb")
-    found = q_side.groupBy(*keys).cogroup(p_side.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def searched(visits: DataFrame) -> DataFrame:
+        """Each visit's k best of its list that reach the query's bound."""
+        # At most MOST_LISTS rows: into how many blocks each side of a list is dealt.
+        blocks = visits.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qs")).join(postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ps")), "list")
+        q_side = visits.join(blocks, "list").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("ps") - 1))).select("list", "qb", "pb", "query_id", "q", "bound")
+        p_side = postings.join(blocks, "list").withColumn("pb", F.pmod(F.xxhash64("vec_id"), F.col("ps")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).select("list", "qb", "pb", "vec_id", "v")
+        keys = ("list", "qb", "pb")
+        found = q_side.groupBy(*keys).cogroup(p_side.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    # The nearest lists give each query a score that its k-th neighbour reaches; the other lists return only what reaches it too.
+    early = stored(best(searched(visits.filter(F.col("turn") < FIRST).withColumn("bound", F.lit(float("-inf"))))), "early")
+    bound = early.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    late = visits.filter(F.col("turn") >= FIRST).join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    every = early.select("query_id", "vec_id", "score").unionAll(searched(late)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best(every).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
