@@ -11,18 +11,21 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, partitions, prefix_sums, ranges, slices, span_hashes, stored, table, utf8, word_spans
 
-#: Hashed terms; words of a passage and between passages; rank of the latent space; least cosine of a candidate.
-TERMS, PASSAGE, STRIDE, RANK, COSINE = 1 << 18, 32, 16, 192, 0.45
-#: Terms in over this share of documents carry no weight. Items of a benchmark are searched in blocks of so many.
-COMMON, ITEMS = 0.2, 5000
+#: Hashed terms; words of a passage and between passages; rank of a latent space; least cosine of a candidate.
+TERMS, PASSAGE, STRIDE, RANK, COSINE = 1 << 18, 32, 16, 512, 0.35
+#: Terms in over this share of documents carry no weight. A latent space is made of about so many words of items, so that
+#: its rank holds them all, and so many spaces are searched in one scan of the documents.
+COMMON, WORDS, SPACES = 0.2, 8000, 8
 #: A document leaks an item if this share of its words is a common subsequence, or a lower one with the answer in it.
 #: The answer is what follows the last question mark, or else the last ANSWER words.
 SHARE, SHARE_WITH_ANSWER, ANSWER_SHARE, ANSWER = 0.7, 0.5, 0.8, 8
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of UTF-8 texts, and each text's number of words."""
+    """Hashes of the words of UTF-8 texts, lower-cased in ASCII and Latin-1, and each text's number of words."""
     low = LOWER[data]
+    # In UTF-8 the capitals of Latin-1 are byte C3 and then 80 to 9E (97 is a sign).
+    low[1:] += 32 * ((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)).astype(np.uint8)
     start, end, counts = word_spans(low, offsets)
     return span_hashes(prefix_sums(low), start, end), counts
 
@@ -186,25 +189,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, item_words int, common_words int"
     items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null").distinct(), "items")
-    blocks = -(-items.count() // ITEMS)
-    if not blocks:
+    size = items.agg(F.sum(F.size(F.split("text", " ")))).first()[0]
+    if not size:
         return spark.createDataFrame([], schema)
-    weight = weights(*document_frequencies(docs))
-    found = [_search(docs, items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), weight, schema) for b in range(blocks)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
+    weight, blocks = weights(*document_frequencies(docs)), -(-size // WORDS)
+    out = None
+    for a in range(0, blocks, SPACES):
+        spaces = [space(items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), weight) for b in range(a, min(a + SPACES, blocks))]
+        found = search(docs, weight, [s for s in spaces if s], schema)
+        out = found if out is None else out.unionAll(found)
     return out
 
 
-def _search(docs: DataFrame, items: DataFrame, weight: np.ndarray, schema: str) -> DataFrame:
-    spark = docs.sparkSession
-    rows = sorted((r.item_id, r.text) for r in items.collect())  # about ITEMS items
+def space(items: DataFrame, weight: np.ndarray) -> dict | None:
+    """A latent space of about WORDS words of items: columns of its terms, basis, and the items' passages in it."""
+    rows = sorted((r.item_id, r.text) for r in items.collect())
     raw = [t.encode() for _, t in rows]
     h, counts = terms(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64))
     known = np.unique(bucket(h)[weight[bucket(h)] > 0])
     if not len(known):
-        return spark.createDataFrame([], schema)
+        return None
     column = np.full(TERMS, -1, np.int32)
     column[known] = np.arange(len(known))
     basis = randomised_svd(items, weight, column, RANK)
@@ -214,37 +218,47 @@ def _search(docs: DataFrame, items: DataFrame, weight: np.ndarray, schema: str)
     latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
     ends = np.cumsum(counts)
     words = [h[e - n : e].tolist() for e, n in zip(ends, counts)]
-    shared = spark.sparkContext.broadcast((weight, column, basis, latent, of, [i for i, _ in rows], words, [answer_words(t) for _, t in rows]))
+    return {"column": column, "basis": basis, "latent": latent, "of": of, "ids": [i for i, _ in rows], "words": words, "answers": [answer_words(t) for _, t in rows]}
+
+
+def candidates(s: dict, weight: np.ndarray, h: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, item's passage) pairs of at least COSINE. A passage whose part in the space is shorter than that has none."""
+    length, row, col, value = tf_idf(h, first, size, weight, s["column"])
+    some = np.flatnonzero((np.bincount(row, value.astype(np.float64) ** 2, len(first)) >= (COSINE * length) ** 2 * (1 - 1e-6)) & (length > 0))
+    keep = np.isin(row, some)
+    y = projected(len(some), np.searchsorted(some, row[keep]), col[keep], value[keep], s["basis"])
+    where, which = np.nonzero(y @ s["latent"].T >= COSINE * length[some][:, None])
+    return some[where], which
+
+
+def search(docs: DataFrame, weight: np.ndarray, spaces: list[dict], schema: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((weight, spaces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, column, basis, latent, of, ids, words, answers = shared.value
+        weight, spaces = shared.value
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            doc, item, common = [], [], []
+            doc, found = [], []
             for a, b in slices(offsets, 1 << 20):
                 h, counts = terms(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 first, size, text = passages(counts)
-                length, row, col, value = tf_idf(h, first, size, weight, column)
-                some = np.flatnonzero(np.bincount(row, value.astype(np.float64) ** 2, len(first)) >= (COSINE * length) ** 2 * (1 - 1e-6))
-                some = some[length[some] > 0]
-                keep = np.isin(row, some)
-                y = projected(len(some), np.searchsorted(some, row[keep]), col[keep], value[keep], basis)
-                where, which = np.nonzero(y @ latent.T >= COSINE * length[some][:, None])
                 ends = np.cumsum(counts)
-                tried = set()
-                for p, k in zip(some[where].tolist(), of[which].tolist()):
-                    t, n = int(text[p]), len(words[k])
-                    low, high = max(int(ends[t] - counts[t]), int(first[p]) - n), min(int(ends[t]), int(first[p] + size[p]) + n)
-                    if (t, k) in tried:
-                        continue
-                    hit, same = leaked(words[k], answers[k], h[low:high].tolist())
-                    if hit:
-                        tried.add((t, k))
-                        doc.append(a + t)
-                        item.append(k)
-                        common.append(same)
+                for s in spaces:
+                    leaking = set()
+                    for p, q in zip(*(x.tolist() for x in candidates(s, weight, h, first, size))):
+                        t, k = int(text[p]), int(s["of"][q])
+                        if (t, k) in leaking:
+                            continue
+                        n = len(s["words"][k])
+                        low, high = max(int(ends[t] - counts[t]), int(first[p]) - n), min(int(ends[t]), int(first[p] + size[p]) + n)
+                        hit, same = leaked(s["words"][k], s["answers"][k], h[low:high].tolist())
+                        if hit:
+                            leaking.add((t, k))
+                            doc.append(a + t)
+                            found.append((s["ids"][k], n, same))
             taken = batch.column(0).take(pa.array(doc, pa.int64())).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([taken, pa.array([ids[k] for k in item], pa.int64()), pa.array([len(words[k]) for k in item], pa.int32()), pa.array(common, pa.int32())], ["doc_id", "item_id", "item_words", "common_words"])
+            parts = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([taken, *parts], ["doc_id", "item_id", "item_words", "common_words"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
