@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import NOT_SPACE, mix, prefix_sums, ranges, slices, span_hashes, stored, table, utf8, word_spans
 
 #: A line is cut where a sentence ends and after LONG words, so long lines are matched piece by piece. RUN pieces make a
-#: shingle; of WINDOW consecutive shingles the least is a fingerprint: every repeated run of RUN + WINDOW - 1 pieces is found.
+#: shingle; of two consecutive shingles (the window) the lesser is a fingerprint: every repeated run of RUN + 1 pieces is
+#: found, and no more than one piece on either side of its fingerprints is left to extend a match by.
 LONG, RUN, WINDOW = 16, 3, 2
-CONTEXT = WINDOW - 1
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +67,7 @@ def winnow(value: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, tie) -> (h, doc_id, tie, at, around): fingerprints with the hashes of CONTEXT pieces on either side (0 at a text's end)."""
+    """(doc_id, text, tie) -> (h, doc_id, tie, at, prev, next): fingerprints with 32-bit hashes of the pieces beside them (0 at a text's end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,14 +81,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 first = np.cumsum(counts) - counts
                 low, high, at, value = first[who - a], (first + counts)[who - a], at[keep], value[keep]
                 near = []
-                for i in [*range(-CONTEXT, 0), *range(RUN, RUN + CONTEXT)]:
+                for i in (-1, RUN):
                     spot = at + i
                     inside = (spot >= low) & (spot < high)
-                    near.append(np.where(inside, hashes[np.where(inside, spot, 0)] if len(hashes) else 0, 0).astype(np.uint64).view(np.int64))
-                around = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(near, 1).reshape(-1)), 2 * CONTEXT).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[who], pa.int64()), pa.array(tie[who]), pa.array((at - low).astype(np.int32)), around], ["h", "doc_id", "tie", "at", "around"])
+                    beside = hashes[np.where(inside, spot, 0)] if len(hashes) else np.zeros(0, np.uint64)
+                    near.append(pa.array(np.where(inside, (beside >> np.uint64(33)).astype(np.int32) | 1, 0).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[who], pa.int64()), pa.array(tie[who]), pa.array((at - low).astype(np.int32)), *near], ["h", "doc_id", "tie", "at", "prev", "next"])
 
-    return docs.mapInArrow(run, "h long, doc_id long, tie long, at int, around array<long>")
+    return docs.mapInArrow(run, "h long, doc_id long, tie long, at int, prev int, next int")
 
 
 def repeated(prints: DataFrame) -> DataFrame:
@@ -96,16 +96,13 @@ def repeated(prints: DataFrame) -> DataFrame:
 
     A place is (doc_id, tie, at). Each fingerprint is matched with its earliest place only, which is a partial
     aggregate and one row a fingerprint, so a passage that a third of all documents share costs a row each. Only
-    fingerprints with two places or more enter the join; a hot one is a skewed key, which adaptive execution splits.
+    fingerprints with two places or more enter the join, from a table of their own: a hot one is a skewed key of a join
+    between two exchanges, which adaptive execution splits.
     """
-    place = F.struct("doc_id", "tie", "at", "around")
-    first = prints.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
+    place = F.struct("doc_id", "tie", "at", "prev", "next")
+    first = stored(prints.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first"), "first-places")
     later = prints.join(first, "h").filter(F.struct("doc_id", "tie", "at") > F.struct("first.doc_id", "first.tie", "first.at"))
-    left, right = F.lit(0), F.lit(0)
-    for i in range(CONTEXT):  # away from the fingerprint, while pieces are equal and inside both texts
-        equal = lambda k: (F.get("around", F.lit(k)) == F.get("first.around", F.lit(k))) & (F.get("around", F.lit(k)) != 0)
-        left = left + F.when((left == i) & equal(CONTEXT - 1 - i), 1).otherwise(0)
-        right = right + F.when((right == i) & equal(CONTEXT + i), 1).otherwise(0)
+    left, right = (F.expr(f"CAST({x} = first.{x} AND {x} <> 0 AS INT)") for x in ("prev", "next"))
     spans = later.select("doc_id", "tie", F.struct((F.col("at") - left).alias("from"), (F.lit(RUN) + left + right).alias("pieces")).alias("run"))
     return spans.groupBy("doc_id", "tie").agg(F.collect_list("run").alias("runs"))
 
@@ -129,7 +126,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     columns = [c for c in docs.columns if c != "n_removed_pieces"]
     tie = F.xxhash64(F.coalesce("text", F.lit("")))
     narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), tie.alias("tie"))
-    runs = repeated(stored(fingerprints(narrow), "line-prints"))
+    runs = repeated(fingerprints(narrow))
     keyed = docs.select(*columns).withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_tie": tie})
     joined = keyed.join(runs.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("runs").alias("_runs")), ["_id", "_tie"], "left").select(*columns, F.lit(0).cast("long").alias("n_removed_pieces"), "_runs")
 
