@@ -186,7 +186,7 @@ class Viterbi:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         for size in np.unique(lengths[lengths > 0]).tolist():
             every = np.flatnonzero(lengths == size)
-            most = max(1, min(20_000, 4_000_000 // (size * size + 1)))
+            most = max(1, min(8_000, 4_000_000 // (size * size + 1)))
             for group in np.split(every, range(most, len(every), most)):
                 cp = np.frombuffer("".join(words[i] for i in group.tolist()).encode("utf-32-le"), np.uint32).reshape(len(group), size).astype(np.int64)
                 last, back = self.equal_length(cp)
@@ -209,7 +209,7 @@ class Codec:
     def __init__(self, path: str):
         self.pieces = p = Pieces(path)
         self.viterbi = Viterbi(p.ids, p.score, p.model)
-        self.words = WordTable(self.encode_words)
+        self.words = WordTable(self.encode_words, most=500_000)
         # Words end where no piece holds the two characters side by side, so no piece spans two words.
         chars = sorted({c for t in p.ids if len(t) > 1 for c in t})
         self.number = np.zeros(0x110000, np.int32)
@@ -273,7 +273,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for a, b in slices(offsets, 1 << 22):
+            for a, b in slices(offsets, 1 << 21):
                 texts = [data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist())]
                 ids, counts = codec(path).encode(texts)
                 part = batch.slice(a, b - a)
@@ -292,7 +292,9 @@ def decoded(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             lists = batch.column("piece_ids")
             counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = codec(path).decode(lists.flatten().to_numpy(zero_copy_only=False), counts)
+            ids, ends, texts = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(counts))), []
+            for a, b in slices(ends, 1 << 18):
+                texts += codec(path).decode(ids[ends[a] : ends[b]], counts[a:b])
             out = pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], out], [*columns, "decoded"])
 
