@@ -9,8 +9,9 @@ from tessera.llm.lines import op6_line_dedup
 from tessera.llm.pii import op9_pii
 from tessera.llm.sentencepieces import op3_sentencepiece
 from tessera.llm.simhash import op2_simhash
+from tessera.llm.substrings import op1_substrings
 from tessera.llm.tokenfiles import op8_token_files
 from tessera.llm.toxicity import op10_toxicity
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_sentencepiece": op3_sentencepiece, "op4_chat_format": op4_chat_format, "op5_decontaminate": op5_decontaminate, "op6_line_dedup": op6_line_dedup, "op7_ann": op7_ann, "op8_token_files": op8_token_files, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_substrings": op1_substrings, "op2_simhash": op2_simhash, "op3_sentencepiece": op3_sentencepiece, "op4_chat_format": op4_chat_format, "op5_decontaminate": op5_decontaminate, "op6_line_dedup": op6_line_dedup, "op7_ann": op7_ann, "op8_token_files": op8_token_files, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL}
