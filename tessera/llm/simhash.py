@@ -14,7 +14,6 @@ from tessera.llm.common import partitions, stored, table, utf8
 from tessera.llm.components import components
 
 SEED = 42
-SEGMENT_BITS = 32
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -46,37 +45,40 @@ def with_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(fp) distinct -> (a, b) all pairs within two bits, each once.
+def segments(bits: int) -> list[tuple[int, int]]:
+    """(shift, width) of the fewest segments of 64 bits of which one differs by at most one bit when `bits` bits differ."""
+    n = (bits + 2) // 2
+    edges = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
-    With two segments of 32 bits, two differing bits leave one segment with at most one. Each segment is indexed
-    under its 32 one-wildcard variants (the bit deleted), so equality of a variant finds every such pair; the join's
-    condition verifies the distance and keeps a pair at one variant only: the first segment that agrees, at the
-    differing bit or else bit 0. A hot variant is a skewed join key, which adaptive execution splits.
+
+def links(fps: DataFrame, bits: int = 2) -> DataFrame:
+    """(fp) distinct -> (a, b) all pairs within `bits` bits, each once.
+
+    Two or three differing bits leave one of two segments with at most one, four or five one of three, and so on. Each
+    segment is indexed under its one-wildcard variants (a bit deleted), so equality of a variant finds every such pair;
+    the join's condition verifies the distance and keeps a pair at one variant only: the first segment that agrees, at
+    the differing bit or else its lowest. A hot variant is a skewed join key, which adaptive execution splits.
     """
-    half = [F.shiftrightunsigned("fp", SEGMENT_BITS), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))]
-    bits = F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1))
-    rows = []
-    for s in (0, 1):
-        rows.append(
-            fps.select("fp", F.explode(bits).alias("j"), half[s].alias("seg")).select(
-                "fp",
-                # where the wildcard stands and the other bits, in one long
-                F.expr(f"(CAST({s * SEGMENT_BITS} + j AS BIGINT) * 4294967296L) + (seg & ~shiftleft(1L, j))").alias("variant"),
-            )
-        )
-    index = rows[0].unionAll(rows[1])
+    index, agreeing = None, "NULL"
+    for shift, width in segments(bits):
+        mask = (1 << width) - 1
+        segment = f"(shiftrightunsigned(fp, {shift}) & {mask}L)"
+        wild = F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j")
+        # which bit of the 64 is deleted and the segment's other bits, in one long
+        part = fps.select("fp", wild).select("fp", F.expr(f"shiftleft(CAST({shift} + j AS BIGINT), 48) ^ ({segment} & ~shiftleft(1L, j))").alias("variant"))
+        index = part if index is None else index.unionAll(part)
+    for shift, width in reversed(segments(bits)):
+        mask = (1 << width) - 1
+        differing = f"(shiftrightunsigned(x.fp ^ y.fp, {shift}) & {mask}L)"
+        agreeing = f"CASE WHEN bit_count({differing}) <= 1 THEN {shift} + bit_count({differing} - 1 & {mask}L) % {width} ELSE {agreeing} END"
     x, y = index.alias("x"), index.alias("y")
-    agreeing = """
-        x.fp < y.fp AND bit_count(x.fp ^ y.fp) <= 2 AND (x.variant DIV 4294967296L) =
-        CASE WHEN bit_count(shiftrightunsigned(x.fp ^ y.fp, 32)) <= 1
-             THEN bit_count(shiftrightunsigned(x.fp ^ y.fp, 32) - 1 & 4294967295L) % 32
-             ELSE 32 + bit_count(((x.fp ^ y.fp) & 4294967295L) - 1 & 4294967295L) % 32 END"""
-    return x.join(y, (F.col("x.variant") == F.col("y.variant")) & F.expr(agreeing)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    near = F.expr(f"x.fp < y.fp AND bit_count(x.fp ^ y.fp) <= {bits} AND shiftrightunsigned(x.variant, 48) = {agreeing}")
+    return x.join(y, (F.col("x.variant") == F.col("y.variant")) & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, fp, component_id): the smallest doc_id reachable by links of two bits or fewer.
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
+    """(doc_id, text, ...) -> (doc_id, fp, component_id): the smallest doc_id reachable by links of `bits` bits or fewer (at most 30).
 
     Equal fingerprints are pre-aggregated to one node, so copies cost one row in the index. Null and empty texts share
     fingerprint 0 and link like any other; other columns are ignored; an empty table gives an empty one; a repeated
@@ -84,7 +86,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     marked = stored(with_fingerprints(docs, words), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    parts = components(links(nodes.select("fp").repartition(partitions(docs.sparkSession), "fp")))
+    parts = components(links(nodes.select("fp").repartition(partitions(docs.sparkSession), "fp"), bits))
     member = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = member.groupBy("component").agg(F.min("first").alias("component_id"))
     named = member.join(least, "component").select("fp", "component_id")
