@@ -22,9 +22,9 @@ from tessera.llm.lyndon import suffix_arrays
 LENGTH, K = 50, 24
 #: Windows of a segment at most. Keys with over HOT entries are dealt anew by whole windows, so a key that a third of all
 #: documents share is many small texts in many tasks. Rows or bytes that a task gathers before it sends them.
-MOST, HOT, GATHER = 64, 5000, 1 << 21
+MOST, HOT, GATHER = 64, 5000, 1 << 20
 #: Texts over this many bytes are split by whole windows too, and so many bytes are sorted at once.
-LONG, AT_ONCE = 1 << 16, 1 << 21
+LONG, AT_ONCE = 1 << 16, 1 << 20
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -56,6 +56,13 @@ def binary_rows(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
+def digests(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of consecutive spans of so many bytes each, a piece of the data at a time."""
+    at = np.concatenate(([0], np.cumsum(size)))
+    out = [span_hashes(prefix_sums(data[at[a] : at[b]]), at[a:b] - at[a], at[a + 1 : b + 1] - at[a]) for a, b in slices(at, AT_ONCE)]
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def by_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
@@ -244,7 +251,7 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
     def flush(key, doc, tie, start, size, data) -> Iterator[pa.RecordBatch]:
         """Equal segments of a task are one entry, of their earliest document; those of later ones need no other answer."""
         ends = np.cumsum(size)
-        digest = span_hashes(prefix_sums(data), ends - size, ends)
+        digest = digests(data, size)
         order = np.lexsort((doc, digest, key))
         head = np.flatnonzero((np.diff(key[order], prepend=~key[order[:1]]) != 0) | (np.diff(digest[order], prepend=~digest[order[:1]]) != 0))
         least = np.repeat(doc[order[head]], np.diff(np.append(head, len(order))))
@@ -293,17 +300,29 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
                 local = (start - (offsets[a : b + 1] - offsets[a])[owner])[origin] + shift
                 held.append((key, doc, ties[a:b][owner][origin], local, np.diff(np.concatenate(([0], ends))), texts))
                 weight += len(texts)
-                if weight >= 4 * GATHER:
+                if weight >= 4 * GATHER:  # bytes
                     yield from flush(*(np.concatenate(x) for x in zip(*held)))
                     held, weight = [], 0
         if held:
             yield from flush(*(np.concatenate(x) for x in zip(*held)))
 
-    def answer(parts: list[dict]) -> pa.RecordBatch | None:
+    def answers(parts: list[dict]) -> Iterator[pa.RecordBatch]:
+        """The keys of a bucket, so many bytes of segments at a time."""
         read = lambda c, kind: np.concatenate([np.frombuffer(p[c], kind) for p in parts])
         key, doc, tie, start, size, data = read("keys", np.uint64), read("docs", np.int64), read("ties", np.int64), read("starts", np.int32).astype(np.int64), read("sizes", np.int32).astype(np.int64), read("bytes", np.uint8)
+        at = np.cumsum(size) - size
+        order = np.argsort(key, kind="stable")
+        head = grouped(key[order])
+        upto = np.concatenate((np.concatenate(([0], np.cumsum(size[order])))[head], [int(size.sum())]))
+        for a, b in slices(upto, AT_ONCE):
+            some = order[head[a] : head[b] if b < len(head) else len(order)]
+            made = answer(key[some], doc[some], tie[some], start[some], size[some], data[ranges(at[some], size[some])])
+            if made is not None:
+                yield made
+
+    def answer(key, doc, tie, start, size, data) -> pa.RecordBatch | None:
         ends = np.cumsum(size)
-        digest = span_hashes(prefix_sums(data), ends - size, ends)
+        digest = digests(data, size)
         order = np.lexsort((doc, digest, key))
         head = np.flatnonzero((np.diff(key[order], prepend=~key[order[:1]]) != 0) | (np.diff(digest[order], prepend=~digest[order[:1]]) != 0))
         entry = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
@@ -348,9 +367,7 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
             for row in batch.filter(pa.compute.equal(pa.compute.binary_length(batch.column("runs")), 0)).select(["bucket", "keys", "docs", "ties", "starts", "sizes", "bytes"]).to_pylist():
                 parts.setdefault(row["bucket"], []).append(row)
         for b in list(parts):
-            made = answer(parts.pop(b))
-            if made is not None:
-                yield made
+            yield from answers(parts.pop(b))
 
     asked = docs.join(answered.groupBy("doc").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot")), "doc")
     sent = asked.select("doc", "tie", "text", "keys", "hot").mapInArrow(send, schema)
