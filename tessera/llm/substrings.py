@@ -23,8 +23,8 @@ LENGTH, K = 50, 24
 #: Windows of a segment at most. Keys with over HOT entries are dealt anew by whole windows, so a key that a third of all
 #: documents share is many small texts in many tasks. Rows or bytes that a task gathers before it sends them.
 MOST, HOT, GATHER = 64, 5000, 1 << 20
-#: Texts over this many bytes are split by whole windows too, and so many bytes are sorted at once.
-LONG, AT_ONCE = 1 << 16, 1 << 20
+#: Texts over this many bytes are split by whole windows too, each sorted once, and so many bytes are sorted at once.
+LONG, AT_ONCE = 1600, 1 << 20
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -135,38 +135,36 @@ def shared_keys(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
-        told = []
         for batch in batches:
-            kind = batch.column("kind").to_numpy(zero_copy_only=False)
-            bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
-            passed = batch.filter(pa.array(kind == 1))
-            if len(passed):
-                key, doc, _ = read_keys(passed)
+            for k, part in enumerate(batch.column("bucket").to_pylist()):
+                parts.setdefault(part, []).append(batch.slice(k, 1))
+        for b in list(parts):
+            told = []
+            kinds = [[r for r in parts[b] if r.column("kind")[0].as_py() == k] for k in (0, 1)]
+            del parts[b]
+            if kinds[1]:
+                doc, key = (np.concatenate(x) for x in zip(*[(d, k) for k, d, _ in map(read_keys, kinds[1])]))
                 told.append((doc, key, np.zeros(len(key), bool)))
-            for b in np.unique(bucket[kind == 0]).tolist():
-                parts.setdefault(b, []).append(read_keys(batch.filter(pa.array((bucket == b) & (kind == 0)))))
-        for found in parts.values():
-            key, doc, twice = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((doc, key))
-            key, doc, twice = key[order], doc[order], twice[order]
-            head = grouped(key)
-            size = np.diff(np.append(head, len(key)))
-            shared = (np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head)) | np.logical_or.reduceat(twice, head)
-            keep = np.repeat(shared, size)
-            told.append((doc[keep], key[keep], np.repeat(size > hot, size)[keep]))
-        if told:
+            if kinds[0]:
+                key, doc, twice = (np.concatenate(x) for x in zip(*map(read_keys, kinds[0])))
+                order = np.lexsort((doc, key))
+                key, doc, twice = key[order], doc[order], twice[order]
+                head = grouped(key)
+                size = np.diff(np.append(head, len(key)))
+                shared = (np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head)) | np.logical_or.reduceat(twice, head)
+                keep = np.repeat(shared, size)
+                told.append((doc[keep], key[keep], np.repeat(size > hot, size)[keep]))
             doc, key, is_hot = (np.concatenate(x) for x in zip(*told))
+            if not len(doc):
+                continue
             order = np.argsort(doc, kind="stable")
             doc, key, is_hot = doc[order], key[order], is_hot[order]
             head = grouped(doc)
             count = np.diff(np.append(head, len(doc)))
-            for a in range(0, len(head), 100_000):
-                part = slice(int(head[a]), int(head[a + 100_000]) if a + 100_000 < len(head) else len(doc))
-                n = count[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[head[a : a + 100_000]]), binary_rows(key[part], n), binary_rows(is_hot[part].astype(np.uint8), n)], ["doc", "keys", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[head]), binary_rows(key, count), binary_rows(is_hot.astype(np.uint8), count)], ["doc", "keys", "hot"])
 
     sent = docs.select("doc", "text").mapInArrow(send, "bucket long, kind int, keys binary, docs binary, twice binary")
-    return sent.repartition(buckets, "bucket").mapInArrow(meet, "doc long, keys binary, hot binary")
+    return sent.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(meet, "doc long, keys binary, hot binary")
 
 
 def window_minima(key: np.ndarray, data: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -313,9 +311,11 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
         at = np.cumsum(size) - size
         order = np.argsort(key, kind="stable")
         head = grouped(key[order])
-        upto = np.concatenate((np.concatenate(([0], np.cumsum(size[order])))[head], [int(size.sum())]))
-        for a, b in slices(upto, AT_ONCE):
-            some = order[head[a] : head[b] if b < len(head) else len(order)]
+        count, weight = np.diff(np.append(head, len(order))), np.add.reduceat(size[order], head)
+        # keys with about as many bytes are taken together, so that their texts advance in step
+        by = np.argsort(weight, kind="stable")
+        for a, b in slices(np.concatenate(([0], np.cumsum(weight[by]))), AT_ONCE):
+            some = order[ranges(head[by[a:b]], count[by[a:b]])]
             made = answer(key[some], doc[some], tie[some], start[some], size[some], data[ranges(at[some], size[some])])
             if made is not None:
                 yield made
@@ -337,12 +337,17 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
         chosen = np.repeat(weight > limit, np.diff(np.append(family, len(d_key))))
         if chosen.any():
             n_key, n_data, n_ends, n_doc, origin, shift = by_windows(d_key, d_data, d_ends, d_doc, chosen)
-            by = np.argsort(n_key, kind="stable")
             n_size = np.diff(np.concatenate(([0], n_ends)))
-            got = window_minima(n_key[by], n_data[ranges((n_ends - n_size)[by], n_size[by])], np.cumsum(n_size[by]), n_doc[by])
-            n_windows = n_size[by] - LENGTH + 1
+            by = np.lexsort((n_doc, n_key))
+            # equal windows are one, of their least document
+            fresh = ~chosen[origin[by]]
+            fresh[grouped(n_key[by])] = True
+            kept, stands = by[fresh], np.cumsum(fresh) - 1
+            n_windows = n_size - LENGTH + 1
+            got = window_minima(n_key[kept], n_data[ranges((n_ends - n_size)[kept], n_size[kept])], np.cumsum(n_size[kept]), n_doc[kept])
+            where = np.cumsum(n_windows[kept]) - n_windows[kept]
             least = np.empty(int(windows.sum()), np.int64)
-            least[ranges(first[origin[by]] + shift[by], n_windows)] = got
+            least[ranges((first[origin] + shift)[by], n_windows[by])] = got[ranges(where[stands], n_windows[by])]
         else:
             least = window_minima(d_key, d_data, d_ends, d_doc)
         who = order
@@ -371,7 +376,7 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
 
     asked = docs.join(answered.groupBy("doc").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot")), "doc")
     sent = asked.select("doc", "tie", "text", "keys", "hot").mapInArrow(send, schema)
-    return sent.repartition(buckets, "bucket").mapInArrow(meet, "doc long, runs binary")
+    return sent.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(meet, "doc long, runs binary")
 
 
 def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -382,6 +387,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     not remove each other's bytes; other columns are ignored; kept may end within a character, so it is binary.
     """
     buckets = partitions(docs.sparkSession)
+    buckets *= max(1, min(4, 2000 // buckets))  # several a task, so that tasks are even
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), text.alias("text"), F.xxhash64(text).alias("tie"))
     runs = earlier_windows(rows, shared_keys(rows, buckets, hot), buckets)
