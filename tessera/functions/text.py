@@ -88,7 +88,7 @@ def mailto(x) -> Column:
 
 def sentences(x, ends: str = ".!?") -> Column:
     parts = F.split(text(x), rf"(?<=[{ends}])\s+|\n+")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def clip(x, most: int = 280) -> Column:

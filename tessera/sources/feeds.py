@@ -115,7 +115,7 @@ def hiring_thread(payloads: DataFrame) -> DataFrame:
     rows = payloads.select(*[c for c in payloads.columns if c != "body"], F.explode(json_items(F.col("body"), "$.children")).alias("_c"))
     lines = F.filter(F.transform(F.split(F.coalesce(F.get_json_object("_c", "$.text"), F.lit("")), "<p>"), lambda p: plain_addresses(strip_html(p))), lambda p: p != "")
     rows = rows.withColumns({"_lines": lines, "_id": F.get_json_object("_c", "$.id"), "_at": F.get_json_object("_c", "$.created_at")})
-    parts = F.filter(F.transform(F.split(F.coalesce(F.get("_lines", F.lit(0)), F.lit("")), r"\|"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(F.get("_lines", F.lit(0)), F.lit("")), r"\|"), lambda p: F.trim(p)), lambda p: p != "")
     rows = rows.withColumn("_parts", parts).filter(F.size("_parts") >= 2)
     body = F.array_join("_lines", "\n")
     return rows.select(
