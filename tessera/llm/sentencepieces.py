@@ -271,14 +271,18 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     shape = docs.select(*columns, F.array().cast("array<int>").alias("piece_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for a, b in slices(offsets, 1 << 21):
-                texts = [data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist())]
-                ids, counts = codec(path).encode(texts)
-                part = batch.slice(a, b - a)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], lists], [*columns, "piece_ids"])
+        own = codec(path)
+        try:
+            for batch in batches:
+                data, offsets = utf8(batch.column("text"))
+                for a, b in slices(offsets, 1 << 21):
+                    texts = [data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist())]
+                    ids, counts = own.encode(texts)
+                    part = batch.slice(a, b - a)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], lists], [*columns, "piece_ids"])
+        finally:
+            own.words.clear()  # the worker lives on after the task
 
     return docs.select(*columns).mapInArrow(run, shape.schema)
 
