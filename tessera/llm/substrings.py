@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import _powers, mix, partitions, prefix_sums, ranges, slices, span_hashes, table, utf8
 from tessera.llm.lyndon import suffix_arrays
 
-LENGTH, K = 50, 24
+LENGTH, K = 50, 16
 #: Windows of a segment at most. Keys with over HOT entries are dealt anew by whole windows, so a key that a third of all
 #: documents share is many small texts in many tasks. Rows or bytes that a task gathers before it sends them.
 MOST, HOT, GATHER = 64, 5000, 1 << 20
@@ -63,6 +63,12 @@ def digests(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def pieces_of(at: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of ascending positions that span about `most` bytes each."""
+    cuts = [0, *(np.flatnonzero(np.diff((at - at[0]) // most)) + 1).tolist(), len(at)] if len(at) else []
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
 def by_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
@@ -97,21 +103,44 @@ def key_rows(key: np.ndarray, doc: np.ndarray, twice: np.ndarray, kind: int, buc
     key, doc, twice, bucket = key[order], doc[order], twice[order], bucket[order]
     head = grouped(bucket)
     count = np.diff(np.append(head, len(bucket)))
-    short = np.ascontiguousarray((key & LOW48).view(np.uint8).reshape(-1, 8)[:, :6])
     step = np.diff(doc, prepend=0)
     step[head] = doc[head]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(bucket[head]), pa.array(np.full(len(head), kind, np.int32)), binary_rows(short.reshape(-1), count * 6), binary_rows(step, count), binary_rows(twice.astype(np.uint8), count)],
+        [pa.array(bucket[head]), pa.array(np.full(len(head), kind, np.int32)), binary_rows(short_keys(key), count * 6), binary_rows(step, count), binary_rows(twice.astype(np.uint8), count)],
         ["bucket", "kind", "keys", "docs", "twice"],
     )
 
 
+def short_keys(key: np.ndarray) -> np.ndarray:
+    """The low 48 bits of keys, six bytes each."""
+    return np.ascontiguousarray(np.ascontiguousarray(key & LOW48).view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
+
+
+def long_keys(short: bytes) -> np.ndarray:
+    key = np.zeros((len(short) // 6, 8), np.uint8)
+    key[:, :6] = np.frombuffer(short, np.uint8).reshape(-1, 6)
+    return key.view(np.uint64).reshape(-1)
+
+
+def packed(key, doc, tie, start, size, data) -> bytes:
+    """Segments of a bucket as one compressed value."""
+    parts = (key, np.diff(doc, prepend=0), tie.astype(np.int32), start.astype(np.int32), size.astype(np.uint8), data)
+    return pa.compress(b"".join(x.tobytes() for x in parts), codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, n: int, n_bytes: int) -> list[np.ndarray]:
+    raw, out, at = pa.decompress(blob, decompressed_size=n * 25 + n_bytes, codec="zstd", asbytes=True), [], 0
+    for kind, count in ((np.uint64, n), (np.int64, n), (np.int32, n), (np.int32, n), (np.uint8, n), (np.uint8, n_bytes)):
+        out.append(np.frombuffer(raw, kind, count, at))
+        at += out[-1].nbytes
+    out[1:5] = [np.cumsum(out[1]), *(x.astype(np.int64) for x in out[2:5])]
+    return out
+
+
 def read_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    short = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint8).reshape(-1, 6)
-    key = np.zeros((len(short), 8), np.uint8)
-    key[:, :6] = short
+    key = long_keys(b"".join(batch.column("keys").to_pylist()))
     docs = [np.cumsum(np.frombuffer(b, np.int64)) for b in batch.column("docs").to_pylist()]
-    return key.view(np.uint64).reshape(-1), np.concatenate(docs) if docs else np.zeros(0, np.int64), np.frombuffer(b"".join(batch.column("twice").to_pylist()), np.uint8) > 0
+    return key, np.concatenate(docs) if docs else np.zeros(0, np.int64), np.frombuffer(b"".join(batch.column("twice").to_pylist()), np.uint8) > 0
 
 
 def shared_keys(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
@@ -161,7 +190,7 @@ def shared_keys(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
             doc, key, is_hot = doc[order], key[order], is_hot[order]
             head = grouped(doc)
             count = np.diff(np.append(head, len(doc)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[head]), binary_rows(key, count), binary_rows(is_hot.astype(np.uint8), count)], ["doc", "keys", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[head]), binary_rows(short_keys(key), count * 6), binary_rows(is_hot.astype(np.uint8), count)], ["doc", "keys", "hot"])
 
     sent = docs.select("doc", "text").mapInArrow(send, "bucket long, kind int, keys binary, docs binary, twice binary")
     return sent.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(meet, "doc long, keys binary, hot binary")
@@ -228,7 +257,7 @@ def by_windows(key, data, ends, doc, chosen):
 
 def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataFrame:
     """(doc, tie, text) with their shared keys -> (doc, runs): blobs of (tie, first window, number of windows) that an earlier document has."""
-    run_type, limit = np.dtype([("tie", "<i8"), ("start", "<i4"), ("n", "<i4")]), LONG
+    run_type, limit = np.dtype([("tie", "<i4"), ("start", "<i4"), ("n", "<i4")]), LONG
 
     def run_rows(doc, tie, start, n, kind: int | None) -> pa.RecordBatch:
         order = np.argsort(doc, kind="stable")
@@ -239,12 +268,11 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
         blob = binary_rows(runs, np.diff(np.append(head, len(doc))))
         if kind is None:
             return pa.RecordBatch.from_arrays([pa.array(doc[head]), blob], ["doc", "runs"])
-        bucket = by_bucket(mix(doc[head].view(np.uint64)), buckets)
-        nothing = pa.array([b""] * len(head), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(doc[head]), blob, *[nothing] * 6], names)
+        bucket, zero = by_bucket(mix(doc[head].view(np.uint64)), buckets), pa.array(np.zeros(len(head), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(doc[head]), blob, zero, zero, pa.array([b""] * len(head), pa.binary())], names)
 
-    names = ["bucket", "doc", "runs", "keys", "docs", "ties", "starts", "sizes", "bytes"]
-    schema = "bucket long, doc long, runs binary, keys binary, docs binary, ties binary, starts binary, sizes binary, bytes binary"
+    names = ["bucket", "doc", "runs", "n", "n_bytes", "packed"]
+    schema = "bucket long, doc long, runs binary, n long, n_bytes long, packed binary"
 
     def flush(key, doc, tie, start, size, data) -> Iterator[pa.RecordBatch]:
         """Equal segments of a task are one entry, of their earliest document; those of later ones need no other answer."""
@@ -262,11 +290,12 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
         bucket = by_bucket(key[own], buckets)
         head = grouped(bucket)
         n = np.diff(np.append(head, len(own)))
-        taken = data[ranges((ends - size)[own], size[own])]
-        columns = [binary_rows(x[own], n) for x in (key, doc, tie, start.astype(np.int32), size.astype(np.int32))]
+        upto, blobs, weight = np.append(head, len(own)), [], np.add.reduceat(size[own], head)
+        for x, y in zip(upto[:-1].tolist(), upto[1:].tolist()):
+            some = own[x:y]
+            blobs.append(packed(key[some], doc[some], tie[some], start[some], size[some], data[ranges((ends - size)[some], size[some])]))
         nothing = pa.array([b""] * len(head), pa.binary())
-        weight = np.add.reduceat(size[own], head)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[head]), pa.array(np.zeros(len(head), np.int64)), nothing, *columns, binary_rows(taken, weight)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[head]), pa.array(np.zeros(len(head), np.int64)), nothing, pa.array(n), pa.array(weight), pa.array(blobs, pa.binary())], names)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [], 0
@@ -280,9 +309,9 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
                 part = data[offsets[a] : offsets[b]]
                 start, count, key, owner = segments(part, offsets[a : b + 1] - offsets[a])
                 mine = every.slice(int(blobs[a]), int(blobs[b] - blobs[a])).to_pylist()
-                known = np.frombuffer(b"".join(mine), np.uint64)
+                known = long_keys(b"".join(mine))
                 is_hot = np.frombuffer(b"".join(hots.slice(int(blobs[a]), int(blobs[b] - blobs[a])).to_pylist()), np.uint8) > 0
-                which = np.repeat(np.repeat(np.arange(b - a), np.diff(blobs[a : b + 1])), [len(m) // 8 for m in mine])
+                which = np.repeat(np.repeat(np.arange(b - a), np.diff(blobs[a : b + 1])), [len(m) // 6 for m in mine])
                 mark = mix(known ^ mix(which.astype(np.uint64)))
                 asked = mix((key & LOW48) ^ mix(owner.astype(np.uint64)))
                 keep = np.isin(asked, mark)
@@ -306,8 +335,7 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
 
     def answers(parts: list[dict]) -> Iterator[pa.RecordBatch]:
         """The keys of a bucket, so many bytes of segments at a time."""
-        read = lambda c, kind: np.concatenate([np.frombuffer(p[c], kind) for p in parts])
-        key, doc, tie, start, size, data = read("keys", np.uint64), read("docs", np.int64), read("ties", np.int64), read("starts", np.int32).astype(np.int64), read("sizes", np.int32).astype(np.int64), read("bytes", np.uint8)
+        key, doc, tie, start, size, data = (np.concatenate(x) for x in zip(*[unpacked(p["packed"], p["n"], p["n_bytes"]) for p in parts]))
         at = np.cumsum(size) - size
         order = np.argsort(key, kind="stable")
         head = grouped(key[order])
@@ -335,21 +363,22 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
         family = grouped(d_key)
         weight = np.add.reduceat(d_size, family)
         chosen = np.repeat(weight > limit, np.diff(np.append(family, len(d_key))))
+        least = np.empty(int(windows.sum()), np.int64)
+        plain = ~chosen
+        if plain.any():
+            p_data = d_data[ranges((d_ends - d_size)[plain], d_size[plain])] if chosen.any() else d_data
+            least[ranges(first[plain], windows[plain])] = window_minima(d_key[plain], p_data, np.cumsum(d_size[plain]), d_doc[plain])
         if chosen.any():
-            n_key, n_data, n_ends, n_doc, origin, shift = by_windows(d_key, d_data, d_ends, d_doc, chosen)
-            n_size = np.diff(np.concatenate(([0], n_ends)))
-            by = np.lexsort((n_doc, n_key))
-            # equal windows are one, of their least document
-            fresh = ~chosen[origin[by]]
-            fresh[grouped(n_key[by])] = True
-            kept, stands = by[fresh], np.cumsum(fresh) - 1
-            n_windows = n_size - LENGTH + 1
-            got = window_minima(n_key[kept], n_data[ranges((n_ends - n_size)[kept], n_size[kept])], np.cumsum(n_size[kept]), n_doc[kept])
-            where = np.cumsum(n_windows[kept]) - n_windows[kept]
-            least = np.empty(int(windows.sum()), np.int64)
-            least[ranges((first[origin] + shift)[by], n_windows[by])] = got[ranges(where[stands], n_windows[by])]
-        else:
-            least = window_minima(d_key, d_data, d_ends, d_doc)
+            # equal windows of long texts are one, of their least document, before any bytes are taken
+            at = ranges((d_ends - d_size)[chosen], windows[chosen])
+            w_doc = np.repeat(d_doc[chosen], windows[chosen])
+            w_key = np.concatenate([mix(span_hashes(prefix_sums(d_data[at[x:y][0] : at[x:y][-1] + LENGTH]), at[x:y] - at[x], at[x:y] - at[x] + LENGTH)) for x, y in pieces_of(at, AT_ONCE)])
+            by = np.lexsort((w_doc, w_key))
+            head = grouped(w_key[by])
+            got = [window_minima(w_key[by[h]], d_data[(at[by[h]][:, None] + np.arange(LENGTH)).reshape(-1)], np.arange(1, len(h) + 1) * LENGTH, w_doc[by[h]]) for h in np.split(head, range(AT_ONCE // LENGTH, len(head), AT_ONCE // LENGTH))]
+            found = np.empty(len(at), np.int64)
+            found[by] = np.repeat(np.concatenate(got), np.diff(np.append(head, len(by))))
+            least[ranges(first[chosen], windows[chosen])] = found
         who = order
         n = windows[entry]
         w = ranges(first[entry], n)
@@ -369,7 +398,7 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
             told = batch.filter(pa.compute.greater(pa.compute.binary_length(batch.column("runs")), 0))
             if len(told):
                 yield told.select(["doc", "runs"])
-            for row in batch.filter(pa.compute.equal(pa.compute.binary_length(batch.column("runs")), 0)).select(["bucket", "keys", "docs", "ties", "starts", "sizes", "bytes"]).to_pylist():
+            for row in batch.filter(pa.compute.equal(pa.compute.binary_length(batch.column("runs")), 0)).select(["bucket", "n", "n_bytes", "packed"]).to_pylist():
                 parts.setdefault(row["bucket"], []).append(row)
         for b in list(parts):
             yield from answers(parts.pop(b))
@@ -389,10 +418,10 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     buckets = partitions(docs.sparkSession)
     buckets *= max(1, min(4, 2000 // buckets))  # several a task, so that tasks are even
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), text.alias("text"), F.hash(text).cast("long").alias("tie"))
     runs = earlier_windows(rows, shared_keys(rows, buckets, hot), buckets)
     joined = rows.join(runs.groupBy("doc").agg(F.collect_list("runs").alias("runs")), "doc", "left").select("doc", "tie", "text", "runs")
-    run_type = np.dtype([("tie", "<i8"), ("start", "<i4"), ("n", "<i4")])
+    run_type = np.dtype([("tie", "<i4"), ("start", "<i4"), ("n", "<i4")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
