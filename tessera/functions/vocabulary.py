@@ -155,3 +155,4 @@ SKILLS = [
     ("REST APIs", r"(?i)\brest(ful)?\b"), ("Microservices", r"(?i)microservice"), ("CI/CD", r"(?i)ci\/cd|continuous (integration|delivery)"),
     ("Distributed systems", r"(?i)distributed systems?"), ("System design", r"(?i)system design"),
 ]
+LISTING_URL = r"(?i)(-jobs-in-|jobs-in-|\/jobs\/?$|\/jobs\?|\/search|\/role\/l\/|\/q-|\/jobs\/[a-z-]+-jobs|\/careers\/?$|\/blog\/|\/employer-blog\/|cv-writing)"
