@@ -22,9 +22,9 @@ from tessera.llm.lyndon import suffix_arrays
 LENGTH, K = 50, 16
 #: Windows of a segment at most. Keys with over HOT entries are dealt anew by whole windows, so a key that a third of all
 #: documents share is many small texts in many tasks. Rows or bytes that a task gathers before it sends them.
-MOST, HOT, GATHER = 64, 5000, 1 << 20
+MOST, HOT, GATHER = 64, 5000, 1 << 19
 #: Texts over this many bytes are split by whole windows too, each sorted once, and so many bytes are sorted at once.
-LONG, AT_ONCE = 1600, 1 << 20
+LONG, AT_ONCE = 1600, 1 << 19
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -151,7 +151,7 @@ def shared_keys(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in slices(offsets, 1 << 20):
+            for a, b in slices(offsets, AT_ONCE):
                 _, _, key, owner = segments(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 keys.append(key)
                 owners.append(ids[a:b][owner])
@@ -305,7 +305,7 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
             lists = batch.column("keys")
             blobs = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
             every, hots = lists.flatten(), batch.column("hot").flatten()
-            for a, b in slices(offsets, 1 << 20):
+            for a, b in slices(offsets, AT_ONCE):
                 part = data[offsets[a] : offsets[b]]
                 start, count, key, owner = segments(part, offsets[a : b + 1] - offsets[a])
                 mine = every.slice(int(blobs[a]), int(blobs[b] - blobs[a])).to_pylist()
@@ -327,7 +327,7 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
                 local = (start - (offsets[a : b + 1] - offsets[a])[owner])[origin] + shift
                 held.append((key, doc, ties[a:b][owner][origin], local, np.diff(np.concatenate(([0], ends))), texts))
                 weight += len(texts)
-                if weight >= 4 * GATHER:  # bytes
+                if weight >= 8 * GATHER:  # bytes
                     yield from flush(*(np.concatenate(x) for x in zip(*held)))
                     held, weight = [], 0
         if held:
@@ -426,21 +426,23 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            removed, spans, kept = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), []
-            ties = batch.column("tie").to_pylist()
-            for i, found in enumerate(batch.column("runs")):
-                raw = data[offsets[i] : offsets[i + 1]]
-                run = np.frombuffer(b"".join(found.as_py()), run_type) if found.is_valid else np.zeros(0, run_type)
-                run = run[run["tie"] == ties[i]]
-                if len(run):
-                    edge = np.zeros(len(raw) + 1, np.int64)
-                    np.add.at(edge, run["start"], 1)
-                    np.add.at(edge, run["start"] + run["n"] + LENGTH - 1, -1)
-                    away = np.cumsum(edge)[:-1] > 0
-                    removed[i], spans[i] = away.sum(), (away & ~np.concatenate(([False], away[:-1]))).sum()
-                    raw = raw[~away]
-                kept.append(raw.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())], ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+            ties, runs = batch.column("tie").to_pylist(), batch.column("runs")
+            for a, b in slices(offsets, 4 * AT_ONCE):
+                removed, spans, kept = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), []
+                for i in range(a, b):
+                    raw = data[offsets[i] : offsets[i + 1]]
+                    run = np.frombuffer(b"".join(runs[i].as_py()), run_type) if runs[i].is_valid else np.zeros(0, run_type)
+                    run = run[run["tie"] == ties[i]]
+                    if len(run):
+                        edge = np.zeros(len(raw) + 1, np.int64)
+                        np.add.at(edge, run["start"], 1)
+                        np.add.at(edge, run["start"] + run["n"] + LENGTH - 1, -1)
+                        away = np.cumsum(edge)[:-1] > 0
+                        removed[i - a], spans[i - a] = away.sum(), (away & ~np.concatenate(([False], away[:-1]))).sum()
+                        raw = raw[~away]
+                    kept.append(raw.tobytes())
+                columns = [batch.column("doc").slice(a, b - a), pa.array(np.diff(offsets[a : b + 1])), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
     out = joined.mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.nullif("doc", F.lit(-(2**63))).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
