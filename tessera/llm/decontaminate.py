@@ -133,7 +133,9 @@ def randomised_svd(items: DataFrame, weight: np.ndarray, column: np.ndarray, ran
                     np.add.at(total, col, y[row] * value[:, None])
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-        out = sum(np.frombuffer(r.sums, np.float32) for r in items.select("text").mapInArrow(part, "sums binary").collect())
+        # the items of a space are few: a handful of tasks, so that few sums come to the driver
+        out = sum(np.frombuffer(r.sums, np.float32) for r in items.select("text").coalesce(4).mapInArrow(part, "sums binary").toLocalIterator())
+        shared.destroy()
         return out.reshape(-1, z.shape[1])
 
     for _ in range(rounds):
