@@ -206,6 +206,14 @@ def window_minima(key: np.ndarray, data: np.ndarray, ends: np.ndarray, doc: np.n
     size = ends - starts
     head = grouped(key)
     count = np.diff(np.append(head, len(key)))
+    alone = np.repeat(count == 1, count)
+    if alone.any():
+        # a text of one segment has nothing to be put in order: only its own document has its windows
+        out, many = np.repeat(doc, size - LENGTH + 1), np.flatnonzero(~alone)
+        if len(many):
+            first = np.cumsum(size - LENGTH + 1) - (size - LENGTH + 1)
+            out[ranges(first[many], (size - LENGTH + 1)[many])] = window_minima(key[many], data[ranges(starts[many], size[many])], np.cumsum(size[many]), doc[many])
+        return out
     family = np.repeat(np.arange(len(head)), count)
     # where each segment begins in the texts: after the bytes, the ones and the zeros before it
     begin = starts + np.arange(len(key)) + family
