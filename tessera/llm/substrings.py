@@ -26,6 +26,7 @@ MOST, HOT, GATHER = 64, 5000, 1 << 19
 #: Texts over this many bytes are split by whole windows too, each sorted once, and so many bytes are sorted at once.
 LONG, AT_ONCE = 1600, 1 << 19
 LOW48 = np.uint64((1 << 48) - 1)
+HOT_BIT, SLOTS = 1 << 48, 1 << 16
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,6 +123,10 @@ def long_keys(short: bytes) -> np.ndarray:
     return key.view(np.uint64).reshape(-1)
 
 
+def slot_of(key: np.ndarray) -> np.ndarray:
+    return (key & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 def packed(key, doc, tie, start, size, data) -> bytes:
     """Segments of a bucket as one compressed value."""
     parts = (key, np.diff(doc, prepend=0), tie.astype(np.int32), start.astype(np.int32), size.astype(np.uint8), data)
@@ -143,8 +148,23 @@ def read_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return key, np.concatenate(docs) if docs else np.zeros(0, np.int64), np.frombuffer(b"".join(batch.column("twice").to_pylist()), np.uint8) > 0
 
 
+def by_kind(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[pa.RecordBatch]]]:
+    """Rows of a task, bucket by bucket, by their kind."""
+    parts: dict[int, list] = {}
+    for batch in batches:
+        for k, part in enumerate(batch.column("bucket").to_pylist()):
+            parts.setdefault(part, []).append(batch.slice(k, 1))
+    for b in list(parts):
+        found = parts.pop(b)
+        yield {kind: [r for r in found if r.column("kind")[0].as_py() == kind] for kind in (0, 1)}
+
+
 def shared_keys(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
-    """(doc, text) -> (doc, keys, hot): blobs of the keys that another document has too (low 48 bits, and whether the key is hot)."""
+    """(doc, text) -> (doc, keys): the keys that another document has too (low 48 bits, and HOT_BIT if it is dealt by whole windows).
+
+    Whether a key is hot must be one answer for all its documents, also those that a task told at once. So it hangs on a
+    slot of the key's hash: all keys of a slot in which one has over `hot` entries are hot. There are SLOTS at most.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, held = [], [], 0
@@ -163,37 +183,30 @@ def shared_keys(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
             yield from send_keys(np.concatenate(keys), np.concatenate(owners), buckets)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for k, part in enumerate(batch.column("bucket").to_pylist()):
-                parts.setdefault(part, []).append(batch.slice(k, 1))
-        for b in list(parts):
-            told = []
-            kinds = [[r for r in parts[b] if r.column("kind")[0].as_py() == k] for k in (0, 1)]
-            del parts[b]
-            if kinds[1]:
-                doc, key = (np.concatenate(x) for x in zip(*[(d, k) for k, d, _ in map(read_keys, kinds[1])]))
-                told.append((doc, key, np.zeros(len(key), bool)))
+        for kinds in by_kind(batches):
+            told = [(doc, key) for key, doc, _ in map(read_keys, kinds[1])]
             if kinds[0]:
                 key, doc, twice = (np.concatenate(x) for x in zip(*map(read_keys, kinds[0])))
                 order = np.lexsort((doc, key))
                 key, doc, twice = key[order], doc[order], twice[order]
                 head = grouped(key)
-                size = np.diff(np.append(head, len(key)))
                 shared = (np.minimum.reduceat(doc, head) < np.maximum.reduceat(doc, head)) | np.logical_or.reduceat(twice, head)
-                keep = np.repeat(shared, size)
-                told.append((doc[keep], key[keep], np.repeat(size > hot, size)[keep]))
-            doc, key, is_hot = (np.concatenate(x) for x in zip(*told))
-            if not len(doc):
-                continue
-            order = np.argsort(doc, kind="stable")
-            doc, key, is_hot = doc[order], key[order], is_hot[order]
-            head = grouped(doc)
-            count = np.diff(np.append(head, len(doc)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[head]), binary_rows(short_keys(key), count * 6), binary_rows(is_hot.astype(np.uint8), count)], ["doc", "keys", "hot"])
+                keep = np.repeat(shared, np.diff(np.append(head, len(key))))
+                told.append((doc[keep], key[keep]))
+            for doc, key in told:
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key.view(np.int64)), pa.array(slot_of(key))], ["doc", "key", "slot"])
+
+    def hot_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kinds in by_kind(batches):
+            if kinds[0]:
+                key, entries = np.unique(np.concatenate([read_keys(r)[0] for r in kinds[0]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot_of(key[entries > hot])))], ["slot"])
 
     sent = docs.select("doc", "text").mapInArrow(send, "bucket long, kind int, keys binary, docs binary, twice binary")
-    return sent.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(meet, "doc long, keys binary, hot binary")
+    dealt = sent.repartition(partitions(docs.sparkSession), "bucket")
+    hots = dealt.mapInArrow(hot_slots, "slot long").distinct().select("slot", F.lit(HOT_BIT).alias("mark"))  # SLOTS rows at most
+    pairs = dealt.mapInArrow(meet, "doc long, key long, slot long").join(F.broadcast(hots), "slot", "left")
+    return pairs.groupBy("doc").agg(F.collect_list(F.col("key") + F.coalesce("mark", F.lit(0))).alias("keys"))
 
 
 def window_minima(key: np.ndarray, data: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -311,15 +324,14 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
             data, offsets = utf8(batch.column("text"))
             ids, ties = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "tie"))
             lists = batch.column("keys")
-            blobs = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
-            every, hots = lists.flatten(), batch.column("hot").flatten()
+            upto = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            every = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             for a, b in slices(offsets, AT_ONCE):
                 part = data[offsets[a] : offsets[b]]
                 start, count, key, owner = segments(part, offsets[a : b + 1] - offsets[a])
-                mine = every.slice(int(blobs[a]), int(blobs[b] - blobs[a])).to_pylist()
-                known = long_keys(b"".join(mine))
-                is_hot = np.frombuffer(b"".join(hots.slice(int(blobs[a]), int(blobs[b] - blobs[a])).to_pylist()), np.uint8) > 0
-                which = np.repeat(np.repeat(np.arange(b - a), np.diff(blobs[a : b + 1])), [len(m) // 6 for m in mine])
+                mine = every[upto[a] : upto[b]]
+                known, is_hot = mine & LOW48, mine > LOW48
+                which = np.repeat(np.arange(b - a), np.diff(upto[a : b + 1]))
                 mark = mix(known ^ mix(which.astype(np.uint64)))
                 asked = mix((key & LOW48) ^ mix(owner.astype(np.uint64)))
                 keep = np.isin(asked, mark)
@@ -411,8 +423,7 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
         for b in list(parts):
             yield from answers(parts.pop(b))
 
-    asked = docs.join(answered.groupBy("doc").agg(F.collect_list("keys").alias("keys"), F.collect_list("hot").alias("hot")), "doc")
-    sent = asked.select("doc", "tie", "text", "keys", "hot").mapInArrow(send, schema)
+    sent = docs.join(answered, "doc").select("doc", "tie", "text", "keys").mapInArrow(send, schema)
     return sent.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(meet, "doc long, runs binary")
 
 

@@ -36,11 +36,12 @@ def texts(rng):
     return rows + [(900, None), (901, ""), (902, "a" * 400), (903, "a" * 300), (904, "ab" * 100), (905, "q" * 49), (906, "q" * 50), (907, "q" * 51), (300, base), (300, base + " twice"), (908, "é" * 60), (909, "né" * 60)]
 
 
-@pytest.mark.parametrize("hot, long_", [(5000, 1 << 16), (3, 1 << 16), (5000, 200)])
-def test_equals_brute_force(spark, monkeypatch, hot, long_):
+@pytest.mark.parametrize("hot, long_, tasks", [(5000, 1 << 16, 3), (3, 1 << 16, 12), (1, 1 << 16, 3), (5000, 200, 3)])
+def test_equals_brute_force(spark, monkeypatch, hot, long_, tasks):
+    """Also with keys that many tasks have, of which some documents are told by their own task."""
     rows = texts(random.Random(hot))
     monkeypatch.setattr(S, "LONG", long_)
-    docs = spark.createDataFrame([(d, t, "kept") for d, t in rows], "doc_id long, text string, kept string").repartition(3)
+    docs = spark.createDataFrame([(d, t, "kept") for d, t in rows], "doc_id long, text string, kept string").repartition(tasks)
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.without_repeats(docs, hot).collect())
     assert got == brute(rows)
 
