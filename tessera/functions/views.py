@@ -171,3 +171,59 @@ def spaced(sends: DataFrame, seed: int = 1) -> DataFrame:
 def listing_url(x) -> Column:
     """Whether an address is a list or search page rather than a posting."""
     return text(x).rlike(V.LISTING_URL)
+
+
+BLOCK = "array<struct<kind:string,items:array<string>>>"
+
+
+def description_blocks(x) -> Column:
+    """array of (kind, items) of a description: heading, list, para. Neighbouring list lines are one list.
+
+    A line after # marks, or a short one that ends in a colon, is a heading; a line of over 480 characters is cut into
+    paragraphs of three sentences.
+    """
+    lines = F.filter(F.transform(F.split(text(x), r"\n+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    block = lambda kind, value: F.array(F.struct(F.lit(kind).alias("kind"), F.array(value).alias("items"))).cast(BLOCK)
+
+    def one(line: Column) -> Column:
+        parts = F.split(line, r'(?<=[.!?])\s+(?=[A-Z0-9"\u201C(])')
+        threes = F.transform(F.sequence(F.lit(1), F.size(parts), F.lit(3)), lambda i: F.struct(F.lit("para").alias("kind"), F.array(F.array_join(F.slice(parts, i, 3), " ")).alias("items")))
+        return (
+            F.when(line.rlike(r"^[\u2022*-]\s+"), block("list", F.regexp_replace(line, r"^[\u2022*-]\s+", "")))
+            .when(line.rlike(r"^#{1,6}\s+"), block("heading", F.regexp_replace(line, r"^#{1,6}\s+", "")))
+            .when((F.char_length(line) < 60) & line.endswith(":"), block("heading", F.regexp_replace(line, ":$", "")))
+            .when(F.char_length(line) > 480, threes.cast(BLOCK))
+            .otherwise(block("para", line))
+        )
+
+    def put(made: Column, b: Column) -> Column:
+        last = F.try_element_at(made, F.lit(-1))
+        longer = F.array(F.struct(F.lit("list").alias("kind"), F.concat(last["items"], b["items"]).alias("items"))).cast(BLOCK)
+        both = F.coalesce((b["kind"] == "list") & (last["kind"] == "list"), F.lit(False))
+        return F.when(both, F.concat(F.slice(made, 1, F.greatest(F.size(made) - 1, F.lit(0))), longer)).otherwise(F.concat(made, F.array(b).cast(BLOCK)))
+
+    return F.aggregate(F.flatten(F.transform(lines, one)), F.array().cast(BLOCK), put)
+
+
+#: The characters of Unicode's Extended_Pictographic, which Java's patterns do not know by name.
+PICTOGRAPHS = (
+    r"\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{2199}\x{21A9}\x{21AA}\x{231A}\x{231B}\x{2328}\x{2388}\x{23CF}\x{23E9}-\x{23F3}\x{23F8}-\x{23FA}\x{24C2}"
+    r"\x{25AA}\x{25AB}\x{25B6}\x{25C0}\x{25FB}-\x{25FE}\x{2600}-\x{2605}\x{2607}-\x{2612}\x{2614}-\x{2685}\x{2690}-\x{2705}\x{2708}-\x{2712}\x{2714}\x{2716}\x{271D}\x{2721}"
+    r"\x{2728}\x{2733}\x{2734}\x{2744}\x{2747}\x{274C}\x{274E}\x{2753}-\x{2755}\x{2757}\x{2763}-\x{2767}\x{2795}-\x{2797}\x{27A1}\x{27B0}\x{27BF}\x{2934}\x{2935}"
+    r"\x{2B05}-\x{2B07}\x{2B1B}\x{2B1C}\x{2B50}\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1F0FF}\x{1F10D}-\x{1F10F}\x{1F12F}\x{1F16C}-\x{1F171}\x{1F17E}\x{1F17F}"
+    r"\x{1F18E}\x{1F191}-\x{1F19A}\x{1F1AD}-\x{1F1E5}\x{1F201}-\x{1F20F}\x{1F21A}\x{1F22F}\x{1F232}-\x{1F23A}\x{1F23C}-\x{1F23F}\x{1F249}-\x{1F3FA}\x{1F400}-\x{1F53D}"
+    r"\x{1F546}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F774}-\x{1F77F}\x{1F7D5}-\x{1F7FF}\x{1F80C}-\x{1F80F}\x{1F848}-\x{1F84F}\x{1F85A}-\x{1F85F}\x{1F888}-\x{1F88F}"
+    r"\x{1F8AE}-\x{1F8FF}\x{1F90C}-\x{1F93A}\x{1F93C}-\x{1F945}\x{1F947}-\x{1FAFF}\x{1FC00}-\x{1FFFD}"
+)
+
+
+def without_pictographs(x) -> Column:
+    """Quotes as they stand, without pictographs, their selectors and joiners; runs of white space become one blank."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text(x), f"[{PICTOGRAPHS}\\x{{FE0F}}\\x{{200D}}]", ""), r"(?U)\s{2,}", " "))
+
+
+def admission(confidence, verdict, method, generic: list[str], now: Column, auto: bool = True) -> Column:
+    """struct(status, trial_until): a source that is surely good and has a generic reader is active on a trial of seven days, others are candidates."""
+    sure = (col(confidence) >= 0.75) & col(verdict) & col(method).isin(generic) & F.lit(auto)
+    active = F.coalesce(sure, F.lit(False))
+    return F.struct(F.when(active, "active").otherwise("candidate").alias("status"), F.when(active, F.timestamp_micros(F.unix_micros(now) + 7 * 86_400_000_000)).alias("trial_until"))

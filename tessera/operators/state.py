@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import next_due
+from tessera.functions.rules import reply_class
 from tessera.functions.scoring import backoff_seconds
 
 
@@ -144,3 +145,60 @@ def merged_config(base: Column, patch: Column) -> Column:
     return F.map_from_entries(F.concat(F.filter(F.map_entries(base), lambda e: ~F.array_contains(F.map_keys(patch), e["key"])), F.map_entries(patch)))
 
 
+#: Fixed value: the reason that the mode for applications by e-mail gives.
+EMAIL_ONLY = "No application email (email-only mode is on)."
+
+
+def email_only(jobs: DataFrame, on: bool, now: Column) -> DataFrame:
+    """Switched on, targets without an apply address are skipped; switched off, those skipped for it are judged again unless closed."""
+    if on:
+        hit = (F.col("status") == "targeted") & (F.col("apply_method") != "email")
+        new = {"status": F.lit("skipped"), "skip_reason": F.lit(EMAIL_ONLY)}
+    else:
+        hit = (F.col("status") == "skipped") & F.col("skip_reason").startswith("No application email") & F.col("closed_at").isNull()
+        new = {"status": F.lit("new"), "next_judge_at": now}
+    hit = F.coalesce(hit, F.lit(False))
+    return jobs.withColumn("_hit", hit).withColumns({k: F.when(F.col("_hit"), v).otherwise(F.col(k)) for k, v in new.items()}).select(jobs.columns)
+
+
+def claim_sends(outreach: DataFrame, now: Column, n: int = 10) -> DataFrame:
+    """The n sends that are due first, or stuck in sending for over ten minutes, are being sent; the rest stay."""
+    stuck = (F.col("status") == "sending") & (F.unix_micros("updated_at") < F.unix_micros(now) - 600_000_000)
+    due = (F.col("status") == "scheduled") & (F.col("scheduled_for") <= now)
+    taken = outreach.filter(due | stuck).orderBy("scheduled_for", "id").limit(n).select("id", F.lit(True).alias("_taken"))
+    hit = F.col("_taken").isNotNull()
+    out = outreach.join(taken, "id", "left")
+    return out.withColumns({"status": F.when(hit, "sending").otherwise(F.col("status")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}).select(outreach.columns)
+
+
+#: Codes of the send gate that end an outreach.
+FINAL_CODES = ["job_closed", "job_unverified", "missing_contact", "invalid_contact", "do_not_contact", "duplicate_outreach"]
+
+
+def send_outcome(code: Column, in_window: Column, delivered: Column, now: Column, window_start: Column) -> Column:
+    """struct(status, scheduled_for) of a claimed send: outside the work window it waits for the next one; then the gate's code decides.
+
+    The daily cap puts it off a day, any other fault an hour; a delivery that failed is failed.
+    """
+    later = lambda hours: F.timestamp_micros(F.unix_micros(now) + hours * 3_600_000_000)
+    status = F.when(~in_window, "scheduled").when(code.isin(FINAL_CODES), "closed").when(code != "ok", "scheduled").when(~delivered, "failed").otherwise("sent")
+    at = F.when(~in_window, window_start).when(code == "daily_cap", later(24)).when((code != "ok") & ~code.isin(FINAL_CODES), later(1))
+    return F.struct(status.alias("status"), at.alias("scheduled_for"))
+
+
+def track_replies(outreach: DataFrame, replies: DataFrame, now: Column) -> DataFrame:
+    """(id, contact_id, sent_at), (id, position, sender, body) -> the last reply of each thread sent an hour ago or more, with its class.
+
+    blocked is the sender of a refusal; invalid_contact the contact whose mailbox bounced.
+    """
+    old = outreach.filter(F.coalesce(F.unix_micros("sent_at"), F.lit(0)) <= F.unix_micros(now) - 3_600_000_000)
+    last = replies.groupBy("id").agg(F.max_by(F.struct("sender", "body"), "position").alias("r")).select("id", "r.*")
+    kind = reply_class("body")
+    return old.join(last, "id").select("id", kind.alias("reply_class"), F.substring("body", 1, 20_000).alias("body"), F.when(kind == "negative", F.col("sender")).alias("blocked"), F.when(kind == "bounce", F.col("contact_id")).alias("invalid_contact"))
+
+
+def with_companies(companies: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, name, ...), (name) -> companies and one new row for each name that none has in any case; its id is a digest of the name."""
+    fresh = names.filter(F.trim("name") != "").groupBy(F.lower("name").alias("_key")).agg(F.min("name").alias("name"))
+    fresh = fresh.join(companies.select(F.lower("name").alias("_key")), "_key", "left_anti").select(F.md5("_key").alias("id"), "name")
+    return companies.unionByName(fresh, allowMissingColumns=True)

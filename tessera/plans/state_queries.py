@@ -147,3 +147,53 @@ def query_plan(spark, sf):
     role, place = (F.get(F.array(*[F.lit(x) for x in xs]), k.cast("int")) for xs, k in ((("engineer", "developer", "architect"), i % 3), (("berlin", "paris"), F.floor(i / 3) % 2)))
     tail = F.when(i % 4 == 1, " posts").when(i % 4 == 2, " startup").when(i % 4 == 3, " seed").otherwise("")
     return spark.range(60).select(i.alias("i"), F.concat(role, F.lit(" "), place, tail).alias("q"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'scheduled' WHEN 'P' THEN 'sending' ELSE 'sent' END AS status, CAST(o_orderdate AS TIMESTAMP) AS due FROM orders),
+c AS (SELECT id FROM o WHERE (status = 'scheduled' AND due <= TIMESTAMP '1998-07-01') OR (status = 'sending' AND due < TIMESTAMP '1998-06-30 23:50:00') ORDER BY due, id LIMIT 50)
+SELECT id, CASE WHEN c.id IS NOT NULL THEN 'sending' ELSE status END AS status, c.id IS NOT NULL OR due = TIMESTAMP '1998-07-01' AS fresh FROM o LEFT JOIN c USING (id)""")
+def due_sends(spark, sf):
+    at, now = F.col("o_orderdate").cast("timestamp"), F.lit("1998-07-01").cast("timestamp")
+    k = F.col("o_orderstatus")
+    rows = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(k == "O", "scheduled").when(k == "P", "sending").otherwise("sent").alias("status"), at.alias("scheduled_for"), at.alias("updated_at"))
+    return S.claim_sends(rows, now, 50).select("id", "status", (F.col("updated_at") == now).alias("fresh"))
+
+
+@query("""WITH g AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'job_closed' WHEN 2 THEN 'daily_cap' WHEN 3 THEN 'not_approved' ELSE 'ok' END AS code, hour(CAST(ts AS TIMESTAMP)) BETWEEN 9 AND 16 AND isodow(CAST(ts AS TIMESTAMP)) < 6 AS inside, event_id % 4 <> 0 AS delivered, CAST(ts AS TIMESTAMP) AS ts FROM events)
+SELECT event_id, CASE WHEN NOT inside THEN 'scheduled' WHEN code = 'job_closed' THEN 'closed' WHEN code <> 'ok' THEN 'scheduled' WHEN delivered THEN 'sent' ELSE 'failed' END AS status,
+CASE WHEN inside AND code = 'daily_cap' THEN epoch_us(ts) + 86400000000 WHEN inside AND code = 'not_approved' THEN epoch_us(ts) + 3600000000 END AS put_off_us FROM g""")
+def send_outcomes(spark, sf):
+    """What becomes of claimed sends."""
+    k, now = F.col("event_id") % 5, F.col("ts").cast("timestamp")
+    code = F.when(k == 1, "job_closed").when(k == 2, "daily_cap").when(k == 3, "not_approved").otherwise("ok")
+    inside = dates.in_work_window(now, "UTC")
+    out = S.send_outcome(code, inside, F.col("event_id") % 4 != 0, now, dates.next_work_window(now, "UTC"))
+    return t(spark, sf, "events").select("event_id", out["status"].alias("status"), F.when(inside, F.unix_micros(out["scheduled_for"])).alias("put_off_us"))
+
+
+@query("""WITH r AS (SELECT conv_id AS id, role, lower(text) AS x FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
+c AS (SELECT id, role, CASE WHEN regexp_matches(x, 'delivery failed|undeliverable|mailbox unavailable|address not found|550 5\\.1\\.') THEN 'bounce' WHEN regexp_matches(x, 'out of office|automatic reply|auto-reply|vacation responder') THEN 'auto_reply'
+WHEN regexp_matches(x, 'unfortunately|not moving forward|decided not to|other candidates|position has been filled|no longer considering') THEN 'negative' ELSE 'positive' END AS reply_class FROM r)
+SELECT id, reply_class, CASE WHEN reply_class = 'negative' THEN role END AS blocked FROM c WHERE id % 3 <> 0""".replace("\\\\", "\\"))
+def reply_tracking(spark, sf):
+    """The last message of each thread as the reply to it; those of every third are too fresh."""
+    rows = t(spark, sf, "conversations")
+    sent = F.when(F.col("conv_id") % 3 == 0, now()).otherwise(F.timestamp_micros(F.unix_micros(now()) - 3_600_000_000))
+    outreach = rows.select(F.col("conv_id").alias("id"), F.col("conv_id").alias("contact_id"), sent.alias("sent_at")).distinct()
+    return S.track_replies(outreach, rows.select(F.col("conv_id").alias("id"), F.col("turn").alias("position"), F.col("role").alias("sender"), F.col("text").alias("body")), now()).select("id", "reply_class", "blocked")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT' THEN 'skipped' WHEN o_orderstatus = 'O' THEN 'targeted' ELSE 'sent' END AS status FROM orders""")
+def email_only_mode(spark, sf):
+    k = F.col("o_orderstatus") == "O"
+    jobs = t(spark, sf, "orders").select("o_orderkey", F.when(k, "targeted").otherwise("sent").alias("status"), F.when(F.col("o_orderpriority") == "1-URGENT", "email").otherwise("form").alias("apply_method"), F.lit(None).cast("string").alias("skip_reason"))
+    return S.email_only(jobs, True, now()).select("o_orderkey", "status")
+
+
+@query("""SELECT lower(s_name) AS name, s_suppkey % 2 = 0 AS known FROM supplier""")
+def company_get_or_create(spark, sf):
+    """Names in any case against known companies."""
+    s = t(spark, sf, "supplier")
+    known = s.filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"))
+    names = s.select(F.upper("s_name").alias("name")).unionAll(s.select(F.lower("s_name")))
+    return S.with_companies(known, names).select(F.lower("name").alias("name"), (F.length("id") < 32).alias("known"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import rules, scoring, text, urls
+from tessera.functions import rules, scoring, text, urls, views
 from tessera.operators import evaluate
 from tessera.plans.relational_queries import t
 
@@ -146,3 +146,28 @@ def rule_chain_reason(spark, sf):
     x = F.col("text")
     reason = F.when(F.char_length(x) < 100, "too short").when(F.col("lang") != "en", "other language").when(x.rlike("[0-9]{13,}"), "long numbers").when(x.like("%License%"), "licence")
     return t(spark, sf, "documents").select("doc_id", reason.alias("reason"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\n+', E'\n', 'g'), E'\n'), lambda s: trim(s)), lambda s: s <> '') AS lines FROM documents), range(1, 100000) r(i) WHERE i <= len(lines)),
+k AS (SELECT doc_id, i, line, CASE WHEN regexp_matches(line, '^[•*-]\s+') THEN 'list' WHEN regexp_matches(line, '^#{1,6}\s+') OR (length(line) < 60 AND line LIKE '%:') THEN 'heading' WHEN length(line) > 480 THEN 'long' ELSE 'para' END AS kind FROM l),
+n AS (SELECT *, CASE WHEN kind = 'list' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY i) = 'list' THEN 0 ELSE 1 END AS opens FROM k)
+SELECT doc_id, CAST(sum(CASE WHEN kind = 'list' THEN opens ELSE 0 END) AS BIGINT) AS lists, count(*) FILTER (WHERE kind = 'list') AS items, count(*) FILTER (WHERE kind = 'heading') AS headings,
+CAST(sum(CASE kind WHEN 'para' THEN 1 WHEN 'long' THEN (len(regexp_extract_all(line, '[.!?]\s+[A-Z0-9"“(]')) + 3) // 3 ELSE 0 END) AS BIGINT) AS paragraphs FROM n GROUP BY doc_id""")
+def jd_blocks(spark, sf):
+    """Headings, lists and paragraphs of descriptions."""
+    b = views.description_blocks("text")
+    rows = t(spark, sf, "documents").select("doc_id", b.alias("b")).filter(F.size("b") > 0)
+    count = lambda kind: F.size(F.filter("b", lambda x: x["kind"] == kind)).cast("long")
+    items = F.aggregate(F.filter("b", lambda x: x["kind"] == "list"), F.lit(0), lambda n, x: n + F.size(x["items"])).cast("long")
+    return rows.select("doc_id", count("list").alias("lists"), items.alias("items"), count("heading").alias("headings"), count("para").alias("paragraphs"))
+
+
+@query("SELECT doc_id, sha256(CASE WHEN length(text) > 280 THEN text[1:277] || '...' ELSE text END) AS digest FROM documents")
+def clip_ellipsis(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.sha2(text.clip("text"), 256).alias("digest"))
+
+
+@query(r"""SELECT host, page_id AS first_page, n FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, count(*) OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS n FROM pages) QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) = 1""")
+def stable_url_dedupe(spark, sf):
+    """The first page of each host and how many it has."""
+    return t(spark, sf, "pages").groupBy(urls.host("url").alias("host")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))

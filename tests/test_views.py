@@ -34,3 +34,30 @@ def test_targets_and_spacing(spark):
     out = [r.scheduled for r in W.spaced(sends).orderBy("id").collect()]
     gaps = [(b - a).total_seconds() for a, b in zip([NOW, *out[:2]], out[:3])]
     assert all(240 <= g <= 720 for g in gaps) and 240 <= (out[3] - NOW).total_seconds() - 36_000 <= 720
+
+
+def test_description_blocks(spark):
+    long = " ".join(f"Sentence number {i} says a little more than nothing at all." for i in range(10))
+    x = "## About\n\u2022 one\n- two\n\nWe pay:\n* three\nplain text\n" + long
+    got = [(b["kind"], list(b["items"])) for b in one(spark, W.description_blocks("x"), x=x)]
+    assert got[:5] == [("heading", ["About"]), ("list", ["one", "two"]), ("heading", ["We pay"]), ("list", ["three"]), ("para", ["plain text"])]
+    assert [k for k, _ in got[5:]] == ["para"] * 4 and " ".join(i for _, items in got[5:] for i in items) == long
+    assert one(spark, W.description_blocks("x"), x="") == []
+
+
+def test_pictographs_and_admission(spark):
+    assert one(spark, W.without_pictographs("x"), x="Go \U0001f680\ufe0f team \u2728, 5 # \u00e9\u4e2d") == "Go team , 5 # \u00e9\u4e2d"
+    now = F.lit(NOW)
+    assert one(spark, W.admission("c", "v", "m", ["rss"], now), c=0.75, v=True, m="rss").status == "active"
+    for c, v, m in ((0.74, True, "rss"), (0.9, False, "rss"), (0.9, True, "other")):
+        row = one(spark, W.admission("c", "v", "m", ["rss"], now), c=c, v=v, m=m)
+        assert row.status == "candidate" and row.trial_until is None
+
+
+def test_email_only_off(spark):
+    from tessera.operators import state as S
+
+    shape = "id int, status string, skip_reason string, closed_at timestamp, next_judge_at timestamp, apply_method string"
+    rows = [(1, "skipped", S.EMAIL_ONLY, None, None, "form"), (2, "skipped", "other", None, None, "form"), (3, "skipped", S.EMAIL_ONLY, NOW, None, "form"), (4, "skipped", None, None, None, None)]
+    got = {r.id: r.status for r in S.email_only(spark.createDataFrame(rows, shape), False, F.lit(NOW)).collect()}
+    assert got == {1: "new", 2: "skipped", 3: "skipped", 4: "skipped"}
