@@ -52,3 +52,39 @@ def test_long_chains_are_one_component(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(500, 501), (None, 3), (7, 7)], "a long, b long"))
     out = {r.node: r.component for r in components(edges).collect()}
     assert len(out) == 203 and all(out[n] == (0 if n < 500 else 500) for n in out)
+
+
+def test_jaccard_of_four_fifths_is_linked(spark):
+    from tessera.llm import simhash
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shingled = lambda t: set(simhash.shingle_hashes(t.encode(), 5).tolist())
+    rows, pairs = [], []
+    for i in range(120):
+        words = [word() for _ in range(rng.randrange(150, 600))]
+        aim = (0.8, 0.85, 0.9, 0.7)[i % 4]
+        other, base = list(words), shingled(" ".join(words))
+        while True:
+            trial = list(other)
+            trial[rng.randrange(len(trial))] = word()
+            x = shingled(" ".join(trial))
+            if len(x & base) / len(x | base) < aim:
+                break
+            other = trial
+        if i % 4 == 3:
+            other = trial
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        pairs.append(i % 4 != 3)
+    family = [word() for _ in range(300)]  # many near copies of one text, each of them unlike some others
+    for k in range(100):
+        copy = list(family)
+        copy[3 * k : 3 * k + 4] = [word() for _ in range(4)]
+        rows.append((1000 + k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, words=5, bits=5, least=0.8).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(120) if pairs[i]] == [True] * 90
+    assert sum(got[2 * i + 1] == 2 * i for i in range(120) if not pairs[i]) <= 1
+    assert {got[1000 + k] for k in range(100)} == {1000}
+    before = {r.doc_id: r.component_id for r in near_duplicates(docs, words=5, bits=5).collect()}
+    assert sum(before[2 * i + 1] != 2 * i for i in range(120) if pairs[i]) > 30
