@@ -13,9 +13,9 @@ from tessera.llm.common import LOWER, partitions, prefix_sums, ranges, slices, s
 
 #: Hashed terms; words of a passage and between passages; rank of a latent space; least cosine of a candidate.
 TERMS, PASSAGE, STRIDE, RANK, COSINE = 1 << 18, 32, 16, 512, 0.35
-#: Terms in over this share of documents carry no weight. A latent space is made of about so many words of items, so that
-#: its rank holds them all, and so many spaces are searched in one scan of the documents.
-COMMON, WORDS, SPACES = 0.2, 8000, 8
+#: A latent space is made of about so many words of items, so that its rank holds them all, and so many spaces are searched
+#: in one scan of the documents.
+WORDS, SPACES = 8000, 8
 #: A document leaks an item if this share of its words is a common subsequence, or a lower one with the answer in it.
 #: The answer is what follows the last question mark, or else the last ANSWER words.
 SHARE, SHARE_WITH_ANSWER, ANSWER_SHARE, ANSWER = 0.7, 0.5, 0.8, 8
@@ -75,10 +75,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def weights(df: np.ndarray, n: int) -> np.ndarray:
-    """Inverse document frequencies; 0 for terms that are common in the corpus (a corpus of under 50 documents has none)."""
-    out = np.log((n + 1) / (df + 1)) + 1
-    out[df > max(COMMON * n, 10)] = 0
-    return out.astype(np.float32)
+    """Inverse document frequencies, 1 at least: a leak that is in most documents makes its own terms common, and they still find it."""
+    return (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
 
 
 def tf_idf(h: np.ndarray, first: np.ndarray, size: np.ndarray, weight: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -46,3 +46,16 @@ def test_planted_items_are_found_and_nothing_else(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id int, text string, doc_id string")
     assert {(r.doc_id, r.item_id) for r in D.leaks(docs, bench).collect()} == planted
     assert D.leaks(docs.limit(0), bench).count() == 0 and D.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_an_item_in_a_third_of_the_documents_is_found(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    item, other = (" ".join(word() for _ in range(25)) for _ in range(2))
+    rows = []
+    for d in range(150):
+        words = [word() for _ in range(120)]
+        words[60:60] = item.split() if d % 3 == 0 else []
+        rows.append((d, " ".join(words)))
+    found = D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, other)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(d, 1) for d in range(0, 150, 3)]
