@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, partitions, prefix_sums, ranges, slices, span_hashes, stored, table, utf8, word_spans
 
-#: Hashed terms; words of a passage and between passages; rank of a latent space; least cosine of a candidate.
+#: Hashed terms; words of a passage and between passages; rank of a latent space; least cosine of a candidate, where the
+#: shorter of the two vectors counts for both lengths: a short item is not held against the foreign words of its window.
 TERMS, PASSAGE, STRIDE, RANK, COSINE = 1 << 18, 32, 16, 512, 0.35
-#: A latent space is made of about so many words of items, so that its rank holds them all, and so many spaces are searched
-#: in one scan of the documents.
-WORDS, SPACES = 8000, 8
+#: A latent space is made of items of at most RANK passages (or one item of more, with a rank of as many), so that its rank
+#: holds them all, and so many spaces are searched in one scan of the documents.
+SPACES = 8
 #: A document leaks an item if this share of its words is a common subsequence, or a lower one with the answer in it.
 #: The answer is what follows the last question mark, or else the last ANSWER words.
 SHARE, SHARE_WITH_ANSWER, ANSWER_SHARE, ANSWER = 0.7, 0.5, 0.8, 8
@@ -189,20 +190,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, item_words int, common_words int"
     items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null").distinct(), "items")
-    size = items.agg(F.sum(F.size(F.split("text", " ")))).first()[0]
-    if not size:
+    blocks = item_blocks(items)
+    if not blocks:
         return spark.createDataFrame([], schema)
-    weight, blocks = weights(*document_frequencies(docs)), -(-size // WORDS)
+    weight = weights(*document_frequencies(docs))
     out = None
-    for a in range(0, blocks, SPACES):
-        spaces = [space(items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), weight) for b in range(a, min(a + SPACES, blocks))]
+    for a in range(0, len(blocks), SPACES):
+        spaces = [space(items.filter(F.col("item_id").between(low, high)), weight) for low, high in blocks[a : a + SPACES]]
         found = search(docs, weight, [s for s in spaces if s], schema)
         out = found if out is None else out.unionAll(found)
     return out
 
 
+def item_blocks(items: DataFrame) -> list[tuple[int, int]]:
+    """First and last item_id of blocks of at most RANK passages; an item of more is a block of its own."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            _, words = terms(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+            n = np.bincount(passages(words)[2], minlength=len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64))], ["item_id", "n"])
+
+    out, held = [], 0
+    for r in items.select("item_id", "text").mapInArrow(count, "item_id long, n long").filter("n > 0").groupBy("item_id").agg(F.sum("n").alias("n")).orderBy("item_id").collect():
+        if out and held + r.n <= RANK:
+            out[-1], held = (out[-1][0], r.item_id), held + r.n
+        else:
+            out.append((r.item_id, r.item_id))
+            held = r.n
+    return out
+
+
 def space(items: DataFrame, weight: np.ndarray) -> dict | None:
-    """A latent space of about WORDS words of items: columns of its terms, basis, and the items' passages in it."""
+    """A latent space of a block of items: columns of its terms, basis, and the items' passages in it."""
     rows = sorted((r.item_id, r.text) for r in items.collect())
     raw = [t.encode() for _, t in rows]
     h, counts = terms(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64))
@@ -211,23 +232,24 @@ def space(items: DataFrame, weight: np.ndarray) -> dict | None:
         return None
     column = np.full(TERMS, -1, np.int32)
     column[known] = np.arange(len(known))
-    basis = randomised_svd(items, weight, column, RANK)
     first, size, of = passages(counts)
+    basis = randomised_svd(items, weight, column, max(RANK, len(first)))
     length, row, col, value = tf_idf(h, first, size, weight, column)
     latent = projected(len(first), row, col, value, basis)
     latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
     ends = np.cumsum(counts)
     words = [h[e - n : e].tolist() for e, n in zip(ends, counts)]
-    return {"column": column, "basis": basis, "latent": latent, "of": of, "ids": [i for i, _ in rows], "words": words, "answers": [answer_words(t) for _, t in rows]}
+    return {"column": column, "basis": basis, "latent": latent, "length": length.astype(np.float32), "of": of, "ids": [i for i, _ in rows], "words": words, "answers": [answer_words(t) for _, t in rows]}
 
 
 def candidates(s: dict, weight: np.ndarray, h: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(passage, item's passage) pairs of at least COSINE. A passage whose part in the space is shorter than that has none."""
+    """(passage, item's passage) pairs whose product is COSINE or more of the shorter vector's length. A passage whose part in the space is shorter than that has none."""
     length, row, col, value = tf_idf(h, first, size, weight, s["column"])
-    some = np.flatnonzero((np.bincount(row, value.astype(np.float64) ** 2, len(first)) >= (COSINE * length) ** 2 * (1 - 1e-6)) & (length > 0))
+    least = np.minimum(length, s["length"].min())
+    some = np.flatnonzero((np.bincount(row, value.astype(np.float64) ** 2, len(first)) >= (COSINE * least) ** 2 * (1 - 1e-6)) & (length > 0))
     keep = np.isin(row, some)
     y = projected(len(some), np.searchsorted(some, row[keep]), col[keep], value[keep], s["basis"])
-    where, which = np.nonzero(y @ s["latent"].T >= COSINE * length[some][:, None])
+    where, which = np.nonzero(y @ s["latent"].T >= COSINE * np.minimum(length[some][:, None].astype(np.float32), s["length"]))
     return some[where], which
 
 

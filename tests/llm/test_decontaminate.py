@@ -59,3 +59,19 @@ def test_an_item_in_a_third_of_the_documents_is_found(spark):
         rows.append((d, " ".join(words)))
     found = D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, other)], "item_id long, text string"))
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(d, 1) for d in range(0, 150, 3)]
+
+
+def test_short_items_are_found_anywhere(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(4 + i % 9))) for i in range(600)]
+    rows = []
+    for d in range(300):
+        words = [word() for _ in range(100)]
+        at = rng.randrange(100)
+        words[at:at] = items[2 * d][1].split()
+        rows.append((d, " ".join(words)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert [high - low + 1 for low, high in D.item_blocks(bench)] == [D.RANK, 600 - D.RANK]
+    found = D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(d, 2 * d) for d in range(300)]
