@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import NOT_SPACE, mix, prefix_sums, ranges, slices, span_hashes, stored, table, utf8, word_spans
 
-#: A line is cut where a sentence ends and after LONG words, so long lines are matched piece by piece. RUN pieces make a
-#: shingle; of two consecutive shingles (the window) the lesser is a fingerprint: every repeated run of RUN + 1 pieces is
+#: A line is cut where a sentence ends, before a word whose hash is the least of NEAR words on either side in its sentence
+#: (the cuts of a passage are its own, wherever it begins), and LONG words after a cut. RUN pieces make a shingle; of two consecutive shingles (the window) the lesser is a fingerprint: every repeated run of RUN + 1 pieces is
 #: found, and no more than one piece on either side of its fingerprints is left to extend a match by.
-LONG, RUN, WINDOW = 16, 3, 2
+LONG, NEAR, RUN, WINDOW = 16, 3, 3, 2
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -30,10 +30,19 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     fresh[first_of[counts > 0]] = True
     fresh[1:] |= (newline[start[1:]] > newline[end[:-1]]) | np.isin(last[:-1], np.frombuffer(b".!?", np.uint8))
     at = np.arange(n)
+    words = span_hashes(prefix_sums(data), start, end)
+    least = np.ones(n, bool)
+    sentence = np.cumsum(fresh)
+    for i in range(1, min(NEAR, n - 1) + 1):
+        # no cut within NEAR words of a sentence's edge either
+        same = sentence[i:] == sentence[:-i]
+        least[i:] &= same & (words[i:] < words[:-i])
+        least[:-i] &= same & (words[:-i] <= words[i:])
+        least[:i] = least[n - i :] = False
+    fresh |= least
     since = at - np.maximum.accumulate(np.where(fresh, at, 0))
     begin = np.flatnonzero(since % LONG == 0)
     close = np.append(begin[1:], n) - 1
-    words = span_hashes(prefix_sums(data), start, end)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(words + (since % LONG).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))))
     hashes = mix(sums[close + 1] - sums[begin])
     return start[begin], end[close], hashes, np.diff(np.searchsorted(begin, np.append(first_of, n)))

@@ -60,3 +60,15 @@ def test_edges(spark):
     texts = sorted((r.doc_id or -1, r.text or "", r.n_removed_pieces) for r in out)
     assert len(out) == 8 and texts[0] == (-1, same, 0) and [t[1] for t in texts if t[0] == 1] == ["", ""]
     assert L.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_passages_spliced_in_mid_sentence_go(spark):
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    passages = [words(60) for _ in range(50)]
+    docs = [(i + 50 * late, " ".join(words(rng.randrange(5, 40)) + passages[i] + words(rng.randrange(5, 40)))) for late in (0, 1) for i in range(50)]
+    out = {r.doc_id: r for r in L.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(out[i].n_removed_pieces == 0 for i in range(50))
+    assert all(out[i].n_removed_pieces >= 3 for i in range(50, 100))
+    gone = [len(t.split()) - len(out[d].text.split()) for d, t in docs[50:]]
+    assert max(gone) <= 60 and sum(gone) > 50 * 36
