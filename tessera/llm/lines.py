@@ -103,17 +103,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def repeated(prints: DataFrame) -> DataFrame:
     """fingerprints() -> (doc_id, tie, runs: array of (from, pieces)): what repeats an earlier place, extended both ways.
 
-    A place is (doc_id, tie, at). Each fingerprint is matched with its earliest place only, which is a partial
-    aggregate and one row a fingerprint, so a passage that a third of all documents share costs a row each. Only
-    fingerprints with two places or more enter the join, from a table of their own: a hot one is a skewed key of a join
-    between two exchanges, which adaptive execution splits.
+    A place is (doc_id, tie, at). Each fingerprint is matched with its earliest place, which is a partial aggregate and
+    one row a fingerprint, so a passage that a third of all documents share costs a row each. Where the piece beside it
+    is another one there, the earliest place of the fingerprint with that very piece on that side extends the match: those
+    are aggregated by (fingerprint, side, piece) of the rows that differ. Only what has two places or more enters a join,
+    from a table of its own: a hot one is a skewed key of a join between two exchanges, which adaptive execution splits.
     """
+    spot = F.struct("doc_id", "tie", "at")
     place = F.struct("doc_id", "tie", "at", "prev", "next")
     first = stored(prints.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first"), "first-places")
-    later = prints.join(first, "h").filter(F.struct("doc_id", "tie", "at") > F.struct("first.doc_id", "first.tie", "first.at"))
-    left, right = (F.expr(f"CAST({x} = first.{x} AND {x} <> 0 AS INT)") for x in ("prev", "next"))
-    spans = later.select("doc_id", "tie", F.struct((F.col("at") - left).alias("from"), (F.lit(RUN) + left + right).alias("pieces")).alias("run"))
-    return spans.groupBy("doc_id", "tie").agg(F.collect_list("run").alias("runs"))
+    later = (spot > F.struct("first.doc_id", "first.tie", "first.at")).alias("later")
+    met = stored(prints.join(first, "h").select("h", *(F.col(c) for c in ("doc_id", "tie", "at", "prev", "next")), F.col("first.prev").alias("first_prev"), F.col("first.next").alias("first_next"), later), "repeats")
+    left, right = (F.expr(f"CAST({x} = first_{x} AND {x} <> 0 AS INT)") for x in ("prev", "next"))
+    spans = met.filter("later").select("doc_id", "tie", F.struct((F.col("at") - left).alias("from"), (F.lit(RUN) + left + right).alias("pieces")).alias("run"))
+    beside = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(x).alias("piece"), F.col(f"first_{x}").alias("known")) for side, x in ((-1, "prev"), (0, "next"))))).alias("b")
+    others = met.select("h", "doc_id", "tie", "at", beside).filter("b.piece <> 0 AND b.piece <> b.known").select("h", "doc_id", "tie", "at", "b.side", "b.piece")
+    keys = ["h", "side", "piece"]
+    known = stored(others.groupBy(*keys).agg(F.min(spot).alias("earliest"), F.count("*").alias("n")).filter("n > 1").select(*keys, "earliest"), "first-neighbours")
+    more = others.join(known, keys).filter(spot > F.col("earliest")).select("doc_id", "tie", F.struct((F.col("at") + F.col("side")).alias("from"), F.lit(RUN + 1).alias("pieces")).alias("run"))
+    return spans.unionAll(more).groupBy("doc_id", "tie").agg(F.collect_list("run").alias("runs"))
 
 
 def removed_pieces(runs: list[dict], n: int) -> np.ndarray:

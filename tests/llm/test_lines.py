@@ -72,3 +72,15 @@ def test_passages_spliced_in_mid_sentence_go(spark):
     assert all(out[i].n_removed_pieces >= 3 for i in range(50, 100))
     gone = [len(t.split()) - len(out[d].text.split()) for d, t in docs[50:]]
     assert max(gone) <= 60 and sum(gone) > 50 * 36
+
+
+def test_matches_are_extended_against_the_place_that_has_the_same_neighbours(spark):
+    rng = random.Random(7)
+    sentences = lambda n: [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4)) + "." for _ in range(n)]
+    docs = []
+    for i in range(40):
+        run, head, tail = sentences(4), sentences(1), sentences(1)
+        first = head + run[1:] if i % 2 else run[:-1] + tail  # shares only three of the four
+        docs += [(i, " ".join(first)), (100 + i, " ".join(run)), (200 + i, " ".join(sentences(2) + run + sentences(2)))]
+    out = {r.doc_id: r.n_removed_pieces for r in L.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(out[i] == 0 for i in range(40)) and [out[200 + i] for i in range(40)] == [4] * 40
