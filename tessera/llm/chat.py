@@ -86,12 +86,13 @@ def formatted_blocks(turns: DataFrame) -> DataFrame:
 
     loss: array of (start, length) of assistant texts in `formatted`, in code points. A conversation of any length is
     rendered in pieces, so no task gathers more than a block of its rows. Equal turn numbers are ordered by role and
-    text. A real control string always follows the text's start or a space, never a backslash.
+    text; null turns are the last ones. Rows without turn and role, which no mapping made, are left out. A real control string always follows the text's start or a space, never a backslash.
     """
     head = F.concat(F.lit("<s>[INST] "), escaped(F.col("role")), F.lit(" [/INST] "))
     body = escaped(F.col("text"))
     piece = F.struct("turn", "role", "text", F.concat(head, body, F.lit(" </s>")).alias("piece"), F.char_length(head).alias("head"), F.char_length(body).alias("body"))
-    rows = turns.filter("turn is not null").select("conv_id", F.floor(F.col("turn") / BLOCK).alias("block"), piece.alias("p"))
+    last = F.lit(2**63 - 1)
+    rows = turns.filter("turn is not null or role is not null").select("conv_id", F.coalesce(F.floor(F.col("turn") / BLOCK), last).alias("block"), piece.alias("p"))
     sorted_rows = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list("p")).alias("p"))
     lengths = F.transform("p", lambda x: F.char_length(x["piece"]))
     start = F.transform("p", lambda x, i: F.struct((F.aggregate(F.slice(F.col("lengths"), 1, i), F.lit(0), lambda a, b: a + b) + x["head"]).alias("start"), x["body"].alias("length"), x["role"].alias("role")))

@@ -60,3 +60,11 @@ def test_edges(spark):
     out = got(chat.read_back(chat.formatted_blocks(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").na.fill("", ["role", "text"]))))
     assert out[1] == digests([("", ""), ("assistant", "a"), ("assistant", "b")]) and out[None] == digests([("user", "x" * 200_000)])
     assert chat.read_back(chat.formatted_blocks(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_null_turns_come_last(spark):
+    rows = [(1, None, "user", "z"), (1, 3, "assistant", "a"), (1, None, "assistant", "b"), (2, None, "user", "c")]
+    records = [(c, json.dumps({"turn": t, "role": r, "text": x})) for c, t, r, x in rows] + [(1, "{"), (3, '{"x": 1}')]
+    turns = chat.canonical_turns(spark.createDataFrame(records, "conv_id long, record string"))
+    out = got(chat.read_back(chat.formatted_blocks(turns)))
+    assert out == {1: digests([("assistant", "a"), ("assistant", "b"), ("user", "z")]), 2: digests([("user", "c")])}
