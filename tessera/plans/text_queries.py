@@ -116,6 +116,16 @@ def preference_logodds(spark, sf):
     return scoring.token_weights(examples).join(seen, "token", "left_semi").select("token", F.round("weight", 6).alias("weight"))
 
 
+@query("""WITH w AS (SELECT DISTINCT d.doc_id, quality = 1 AS liked, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9+#.-]{2,}')) AS token FROM documents d JOIN labels USING (doc_id)),
+n AS (SELECT count(*) FILTER (WHERE quality = 1) AS likes, count(*) FILTER (WHERE quality <> 1) AS dislikes FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT token, count(*) FILTER (WHERE liked) AS l, count(*) FILTER (WHERE NOT liked) AS d FROM w WHERE token NOT IN ('the', 'and', 'for', 'with', 'you', 'our', 'are', 'will', 'this', 'that', 'from', 'have', 'your', 'senior', 'staff', 'lead', 'junior', 'engineer', 'engineering', 'software', 'developer', 'team') GROUP BY token)
+SELECT token, round(ln((l + 1) / (likes + 2)) - ln((d + 1) / (dislikes + 2)), 6) AS weight FROM c, n""")
+def preference_logodds_all(spark, sf):
+    """Token weights of the preference model: those of all tokens."""
+    examples = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id").select((F.col("quality") == 1).alias("liked"), "text")
+    return scoring.token_weights(examples).select("token", F.round("weight", 6).alias("weight"))
+
+
 @query("""WITH r AS (SELECT lang, toxic = 1 AS y, regexp_matches(text, '(?i)\\b(idiot|moron|stupid|trash|scum)\\b') AS p FROM documents JOIN labels USING (doc_id))
 SELECT lang, count(*) FILTER (WHERE y AND p) AS tp, count(*) FILTER (WHERE NOT y AND p) AS fp, count(*) FILTER (WHERE y AND NOT p) AS fn, count(*) FILTER (WHERE NOT y AND NOT p) AS tn,
 round(CASE WHEN count(*) FILTER (WHERE p) > 0 THEN count(*) FILTER (WHERE y AND p) / count(*) FILTER (WHERE p) END, 6) AS precision,

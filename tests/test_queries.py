@@ -30,3 +30,8 @@ def test_equals_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got) == plain(want)
     assert len(got) > 0
+
+
+def test_rare_tokens_have_a_preference_weight(spark):
+    every, frequent = ({r.token: r.weight for r in catalogue.QUERIES[name](spark, SF).collect()} for name in ("preference_logodds_all", "preference_logodds"))
+    assert frequent.items() < every.items()
