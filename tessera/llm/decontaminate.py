@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, partitions, prefix_sums, ranges, slices, span_hashes, stored, table, utf8, word_spans
 
-#: Hashed terms; words of a passage and between passages; rank of a latent space; least cosine of a candidate, where the
-#: shorter of the two vectors counts for both lengths: a short item is not held against the foreign words of its window.
-TERMS, PASSAGE, STRIDE, RANK, COSINE = 1 << 18, 32, 16, 512, 0.35
-#: A latent space is made of items of at most RANK passages (or one item of more, with a rank of as many), so that its rank
-#: holds them all, and so many spaces are searched in one scan of the documents.
-SPACES = 8
+#: Hashed terms; words of a block (a passage is two neighbouring blocks); rank of a latent space and further columns of its
+#: sketch; least cosine of a candidate, where the shorter of the two vectors counts for both lengths: a short item is not
+#: held against the foreign words of its window; rows that are multiplied at once.
+TERMS, BLOCK, RANK, EXTRA, COSINE, TILE = 1 << 18, 16, 256, 16, 0.35, 128
+#: A latent space is made for items of at most WORDS words (or one longer item), and so many are searched in one scan of
+#: the documents. Partial sums of the corpus are one a task, of so many tasks at most for each core.
+WORDS, SPACES, TASKS_A_CORE = 1 << 14, 4, 4
 #: A document leaks an item if this share of its words is a common subsequence, or a lower one with the answer in it.
 #: The answer is what follows the last question mark, or else the last ANSWER words.
 SHARE, SHARE_WITH_ANSWER, ANSWER_SHARE, ANSWER = 0.7, 0.5, 0.8, 8
@@ -35,13 +36,21 @@ def bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(TERMS - 1)).astype(np.int64)
 
 
-def passages(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of words and text of each passage; the last one of a text ends with it; a text without words has none."""
-    n = np.where(counts > 0, np.maximum(0, -(-(counts - PASSAGE) // STRIDE)) + 1, 0)
+def blocks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of words and text of each block of BLOCK words; the last one of a text may be shorter."""
+    n = -(-counts // BLOCK)
     text = np.repeat(np.arange(len(counts)), n)
-    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    begin = np.minimum(k * STRIDE, np.maximum(counts[text] - PASSAGE, 0))
-    return (np.cumsum(counts) - counts)[text] + begin, np.minimum(counts[text], PASSAGE), text
+    k = ranges(np.zeros(len(n), np.int64), n)
+    return (np.cumsum(counts) - counts)[text] + k * BLOCK, np.minimum(counts[text] - k * BLOCK, BLOCK), text
+
+
+def passages(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last block of each passage: two neighbouring blocks of a text, or its only one. Any BLOCK + 1 words in a row are in one."""
+    n = len(text)
+    fresh = np.diff(text, prepend=-1) != 0
+    last = np.append(fresh[1:], True)[:n]
+    first = np.flatnonzero(~last | fresh)
+    return first, np.where(last[first], first, first + 1)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -80,80 +89,118 @@ def weights(df: np.ndarray, n: int) -> np.ndarray:
     return (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
 
 
-def tf_idf(h: np.ndarray, first: np.ndarray, size: np.ndarray, weight: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Passages' lengths, and the entries (passage, column, value) of terms that have a column. The weight of a term is root(tf) idf."""
+def tf_idf(h: np.ndarray, size: np.ndarray, weight: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks' squared lengths, and the entries (block, column, value) of terms that have a column. The weight of a term is root(tf) idf."""
     b = bucket(h)
-    squares = np.concatenate(([0], np.cumsum(weight[b].astype(np.float64) ** 2)))
-    length = np.sqrt(squares[first + size] - squares[first])
+    owner = np.repeat(np.arange(len(size)), size)
+    squares = np.bincount(owner, weight[b].astype(np.float64) ** 2, len(size))
     hit = np.flatnonzero(column[b] >= 0)
-    low, high = np.searchsorted(hit, first), np.searchsorted(hit, first + size)
-    at = hit[ranges(low, high - low)]
-    pair = np.repeat(np.arange(len(first)), high - low) * TERMS + b[at]
-    unique, tf = np.unique(pair, return_counts=True)
+    unique, tf = np.unique(owner[hit] * TERMS + b[hit], return_counts=True)
     term = unique % TERMS
-    return length, unique // TERMS, column[term], np.sqrt(tf).astype(np.float32) * weight[term]
+    return squares, unique // TERMS, column[term], np.sqrt(tf).astype(np.float32) * weight[term]
+
+
+def tiles(n: int, row: np.ndarray, col: np.ndarray, value: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """A sparse matrix of n rows, by its entries in order of rows, as dense tiles of TILE rows: the rows, the columns that occur in them, the tile."""
+    upto = np.searchsorted(row, np.arange(0, n + TILE, TILE))
+    for k, (a, b) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist())):
+        if a < b:
+            rows = slice(k * TILE, min((k + 1) * TILE, n))
+            known, at = np.unique(col[a:b], return_inverse=True)
+            dense = np.zeros((rows.stop - rows.start, len(known)), np.float32)
+            dense[row[a:b] - rows.start, at] = value[a:b]
+            yield rows, known, dense
 
 
 def projected(n: int, row: np.ndarray, col: np.ndarray, value: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A sparse matrix of n rows, by its entries in order of rows, times the basis."""
     out = np.zeros((n, basis.shape[1]), np.float32)
-    if len(row):
-        first = np.flatnonzero(np.diff(row, prepend=-1))
-        out[row[first]] = np.add.reduceat(basis[col] * value[:, None], first, axis=0)
+    for rows, known, dense in tiles(n, row, col, value):
+        out[rows] = dense @ basis[known]
     return out
 
 
-def randomised_svd(items: DataFrame, weight: np.ndarray, column: np.ndarray, rank: int, rounds: int = 2, seed: int = 1) -> np.ndarray:
-    """The leading right singular vectors (columns x rank) of the items' TF-IDF passages, scaled to unit length.
+def sketched(h: np.ndarray, counts: np.ndarray, weight: np.ndarray, column: np.ndarray, omega: np.ndarray, out: np.ndarray) -> float:
+    """out += A'(A omega) of the texts' blocks of unit length; returns the trace of A'A."""
+    _, size, _ = blocks(counts)
+    squares, row, col, value = tf_idf(h, size, weight, column)
+    value = value / np.sqrt(squares[row]).astype(np.float32)
+    for _, known, dense in tiles(len(size), row, col, value):
+        out[known] += dense.T @ (dense @ omega[known])
+    return float((value.astype(np.float64) ** 2).sum())
 
-    Each round a Spark job sums A'(A Z) over the partitions of passages and the driver orthonormalises the columns;
-    a last one sums (A Z)'(A Z), whose eigenvectors turn the basis. The sums are of columns x rank numbers at most.
+
+def sketches(docs: DataFrame, weight: np.ndarray, columns: list[np.ndarray], omegas: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+    """Of each space: A'(A omega) and the trace of A'A over all blocks of all documents.
+
+    A task adds up what it reads, the partial sums are added block by block of columns, and (columns x rank) numbers of
+    each space come to the driver, whatever the number of documents.
     """
-    spark, n = items.sparkSession, int(column.max()) + 1
-    rank = min(rank, n)
-    z = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, rank)))[0].astype(np.float32)
-
-    def product(z: np.ndarray, gram: bool) -> np.ndarray:
-        shared = spark.sparkContext.broadcast((z, weight, column))
-
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            z, weight, column = shared.value
-            total = np.zeros((z.shape[1] if gram else len(z), z.shape[1]), np.float32)
-            for batch in batches:
-                data, offsets = utf8(batch.column(0))
-                h, counts = terms(data[offsets[0] : offsets[-1]], offsets - offsets[0])
-                first, size, _ = passages(counts)
-                length, row, col, value = tf_idf(h, first, size, weight, column)
-                value = value / np.maximum(length, 1e-9)[row].astype(np.float32)
-                y = projected(len(first), row, col, value, z)
-                if gram:
-                    total += y.T @ y
-                else:
-                    np.add.at(total, col, y[row] * value[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-        # the items of a space are few: a handful of tasks, so that few sums come to the driver
-        out = sum(np.frombuffer(r.sums, np.float32) for r in items.select("text").coalesce(4).mapInArrow(part, "sums binary").toLocalIterator())
-        shared.destroy()
-        return out.reshape(-1, z.shape[1])
-
-    for _ in range(rounds):
-        z = np.linalg.qr(product(z, False))[0].astype(np.float32)
-    values, turn = np.linalg.eigh(product(z, True).astype(np.float64))
-    keep = values > 1e-6 * max(values.max(), 1e-12)
-    return (z @ turn[:, keep][:, ::-1]).astype(np.float32)
-
-
-def common_subsequence(a: list[int], b: list[int]) -> tuple[int, list[bool]]:
-    """Length of the longest common subsequence and which elements of a are in one: rows of bits, then a walk back."""
+    spark, width = docs.sparkSession, 256
+    shared = spark.sparkContext.broadcast((weight, columns, omegas))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, columns, omegas = shared.value
+        total, traces = [np.zeros_like(o) for o in omegas], np.zeros(len(omegas))
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for a, b in slices(offsets, 1 << 18):
+                h, counts = terms(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for k in range(len(omegas)):
+                    traces[k] += sketched(h, counts, weight, columns[k], omegas[k], total[k])
+        for k, t in enumerate(total):
+            for a in range(0, len(t), width):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([a]), pa.array([t[a : a + width].tobytes()], pa.binary()), pa.array([traces[k] if a == 0 else 0.0])], ["space", "first", "sums", "trace"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                at = held.setdefault((r["space"], r["first"]), [0, 0.0])
+                at[0], at[1] = at[0] + np.frombuffer(r["sums"], np.float32), at[1] + r["trace"]
+        for (k, a), (x, trace) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([a]), pa.array([x.tobytes()], pa.binary()), pa.array([trace])], ["space", "first", "sums", "trace"])
+
+    schema = "space long, first long, sums binary, trace double"
+    few = docs.select("text").coalesce(TASKS_A_CORE * max(8, spark.sparkContext.defaultParallelism))
+    rows = few.mapInArrow(part, schema).repartition(partitions(spark), "space", "first").mapInArrow(add, schema).collect()
+    shared.destroy()
+    out = []
+    for k, omega in enumerate(omegas):
+        mine = sorted(((r.first, r.sums, r.trace) for r in rows if r.space == k), key=lambda r: r[0])
+        out.append((np.frombuffer(b"".join(m[1] for m in mine), np.float32).reshape(omega.shape) if mine else np.zeros_like(omega), sum(m[2] for m in mine)))
+    return out
+
+
+def singular_vectors(sketch: np.ndarray, omega: np.ndarray) -> np.ndarray:
+    """The leading RANK right singular vectors of A from one sketch A'(A omega), omega orthonormal (the Nystrom form of the randomised SVD)."""
+    sketch = sketch.astype(np.float64)
+    shift = 1e-6 * np.linalg.norm(sketch)
+    sketch = sketch + shift * omega
+    core = omega.T @ sketch
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    keep = values > 1e-9 * max(values.max(), 1e-12)
+    u, s, _ = np.linalg.svd(sketch @ (turn[:, keep] / np.sqrt(values[keep])), full_matrices=False)
+    return np.ascontiguousarray(u[:, : min(RANK, int((s**2 > 4 * shift).sum()))]).astype(np.float32)
+
+
+def subsequence_rows(a: list[int], b: list[int]) -> list[int]:
+    """Rows of bits of the longest common subsequence's table: 0 at bit j of row i where b[j] makes it longer for a[: i + 1]."""
     where: dict[int, int] = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << j
-    full, row, rows = (1 << len(b)) - 1, (1 << len(b)) - 1, []
+    full = (1 << len(b)) - 1
+    row, rows = full, []
     for x in a:
         u = row & where.get(x, 0)
         row = ((row + u) | (row - u)) & full
         rows.append(row)
+    return rows
+
+
+def common_subsequence(a: list[int], b: list[int], rows: list[int] | None = None) -> tuple[int, list[bool]]:
+    """Length of the longest common subsequence and which elements of a are in one: a walk back over the rows."""
+    rows, full = subsequence_rows(a, b) if rows is None else rows, (1 << len(b)) - 1
     used, j = [False] * len(a), len(b)
     for i in range(len(a) - 1, -1, -1):
         length = lambda r, j: j - (r & ((1 << j) - 1)).bit_count()
@@ -167,10 +214,17 @@ def common_subsequence(a: list[int], b: list[int]) -> tuple[int, list[bool]]:
 
 def leaked(item: list[int], answer: int, words: list[int]) -> tuple[bool, int]:
     """Whether words hold the item (its last `answer` words are the answer), and the common words."""
-    n, used = common_subsequence(item, words)
+    known = set(words)
+    most = sum(x in known for x in item)  # no common subsequence is longer
+    if most < SHARE_WITH_ANSWER * len(item):
+        return False, most
+    rows = subsequence_rows(item, words)
+    n = len(words) - rows[-1].bit_count()
     share = n / len(item)
-    told = sum(used[len(item) - answer :]) / answer if answer else 1.0
-    return share >= SHARE or (share >= SHARE_WITH_ANSWER and told >= ANSWER_SHARE), n
+    if share >= SHARE or share < SHARE_WITH_ANSWER:
+        return share >= SHARE, n
+    used = common_subsequence(item, words, rows)[1]
+    return (sum(used[len(item) - answer :]) / answer if answer else 1.0) >= ANSWER_SHARE, n
 
 
 def answer_words(text: str) -> int:
@@ -185,36 +239,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text, ...), (item_id, text, ...) -> (doc_id, item_id, item_words, common_words): each document that holds an item.
 
     Whole texts are searched, in overlapping passages. An item of no words is no item; null texts are empty; repeated
-    rows give repeated results; an empty table on either side gives an empty one.
+    rows give repeated results; an empty table on either side gives an empty one; very long texts are read 256 kB of
+    documents at a time, a longer one at once.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, item_words int, common_words int"
     items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null").distinct(), "items")
-    blocks = item_blocks(items)
-    if not blocks:
+    found = item_blocks(items)
+    if not found:
         return spark.createDataFrame([], schema)
     weight = weights(*document_frequencies(docs))
     out = None
-    for a in range(0, len(blocks), SPACES):
-        spaces = [space(items.filter(F.col("item_id").between(low, high)), weight) for low, high in blocks[a : a + SPACES]]
-        found = search(docs, weight, [s for s in spaces if s], schema)
-        out = found if out is None else out.unionAll(found)
+    for a in range(0, len(found), SPACES):
+        spaces = [space(items.filter(F.col("item_id").between(low, high)), weight) for low, high in found[a : a + SPACES]]
+        part = search(docs, weight, with_latent_space(docs, weight, spaces), schema)
+        out = part if out is None else out.unionAll(part)
     return out
 
 
 def item_blocks(items: DataFrame) -> list[tuple[int, int]]:
-    """First and last item_id of blocks of at most RANK passages; an item of more is a block of its own."""
+    """First and last item_id of blocks of at most WORDS words; an item of more is a block of its own. One row an item of the benchmark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             _, words = terms(data[offsets[0] : offsets[-1]], offsets - offsets[0])
-            n = np.bincount(passages(words)[2], minlength=len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64))], ["item_id", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.astype(np.int64))], ["item_id", "n"])
 
     out, held = [], 0
     for r in items.select("item_id", "text").mapInArrow(count, "item_id long, n long").filter("n > 0").groupBy("item_id").agg(F.sum("n").alias("n")).orderBy("item_id").collect():
-        if out and held + r.n <= RANK:
+        if out and held + r.n <= WORDS:
             out[-1], held = (out[-1][0], r.item_id), held + r.n
         else:
             out.append((r.item_id, r.item_id))
@@ -222,35 +276,51 @@ def item_blocks(items: DataFrame) -> list[tuple[int, int]]:
     return out
 
 
-def space(items: DataFrame, weight: np.ndarray) -> dict | None:
-    """A latent space of a block of items: columns of its terms, basis, and the items' passages in it."""
+def space(items: DataFrame, weight: np.ndarray) -> dict:
+    """A block of items (at most WORDS words, or one item): the columns of their terms, their words and answers."""
     rows = sorted((r.item_id, r.text) for r in items.collect())
     raw = [t.encode() for _, t in rows]
     h, counts = terms(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64))
-    known = np.unique(bucket(h)[weight[bucket(h)] > 0])
-    if not len(known):
-        return None
+    known = np.unique(bucket(h))
     column = np.full(TERMS, -1, np.int32)
     column[known] = np.arange(len(known))
-    first, size, of = passages(counts)
-    basis = randomised_svd(items, weight, column, max(RANK, len(first)))
-    length, row, col, value = tf_idf(h, first, size, weight, column)
-    latent = projected(len(first), row, col, value, basis)
-    latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
     ends = np.cumsum(counts)
     words = [h[e - n : e].tolist() for e, n in zip(ends, counts)]
-    return {"column": column, "basis": basis, "latent": latent, "length": length.astype(np.float32), "of": of, "ids": [i for i, _ in rows], "words": words, "answers": [answer_words(t) for _, t in rows]}
+    return {"column": column, "n": len(known), "h": h, "counts": counts, "ids": [i for i, _ in rows], "words": words, "answers": [answer_words(t) for _, t in rows]}
 
 
-def candidates(s: dict, weight: np.ndarray, h: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(passage, item's passage) pairs whose product is COSINE or more of the shorter vector's length. A passage whose part in the space is shorter than that has none."""
-    length, row, col, value = tf_idf(h, first, size, weight, s["column"])
-    least = np.minimum(length, s["length"].min())
-    some = np.flatnonzero((np.bincount(row, value.astype(np.float64) ** 2, len(first)) >= (COSINE * least) ** 2 * (1 - 1e-6)) & (length > 0))
-    keep = np.isin(row, some)
-    y = projected(len(some), np.searchsorted(some, row[keep]), col[keep], value[keep], s["basis"])
-    where, which = np.nonzero(y @ s["latent"].T >= COSINE * np.minimum(length[some][:, None].astype(np.float32), s["length"]))
-    return some[where], which
+def with_latent_space(docs: DataFrame, weight: np.ndarray, spaces: list[dict]) -> list[dict]:
+    """Spaces with the basis of their latent space and their items' passages in it.
+
+    What is decomposed are the TF-IDF blocks of the items and of all documents over the items' terms, either of them with
+    half the weight: the documents alone keep their common words and lose the items, the items alone know nothing of
+    which terms stand for each other. A passage's vector is divided by the share of its square that the space keeps, so
+    a copy's product with its item is the item's length, however much of it the space keeps.
+    """
+    rng = np.random.default_rng(1)
+    omegas = [np.linalg.qr(rng.standard_normal((s["n"], min(RANK + EXTRA, s["n"]))))[0].astype(np.float32) for s in spaces]
+    out = []
+    for s, omega, (sketch, trace) in zip(spaces, omegas, sketches(docs, weight, [s["column"] for s in spaces], omegas)):
+        own = np.zeros_like(omega)
+        mine = sketched(s["h"], s["counts"], weight, s["column"], omega, own)
+        basis = singular_vectors(own + sketch * (mine / trace if trace else 0), omega)
+        length, latent, text = in_space(s["h"], s["counts"], weight, s["column"], basis)
+        kept = np.maximum((latent * latent).sum(axis=1), 1e-3 * length**2)
+        out.append({"column": s["column"], "basis": basis, "latent": (latent * (length / kept)[:, None]).astype(np.float32), "length": length, "of": text, "ids": s["ids"], "words": s["words"], "answers": s["answers"]})
+    return out
+
+
+def in_space(h: np.ndarray, counts: np.ndarray, weight: np.ndarray, column: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each passage its length, its vector in the latent space, and its text."""
+    _, size, text = blocks(counts)
+    squares, row, col, value = tf_idf(h, size, weight, column)
+    y = projected(len(size), row, col, value, basis)
+    a, b = passages(text)
+    two = a != b
+    vectors, length = y[a], squares[a]
+    vectors[two] += y[b[two]]
+    length[two] += squares[b[two]]
+    return np.sqrt(length).astype(np.float32), vectors, text[a]
 
 
 def search(docs: DataFrame, weight: np.ndarray, spaces: list[dict], schema: str) -> DataFrame:
@@ -261,18 +331,26 @@ def search(docs: DataFrame, weight: np.ndarray, spaces: list[dict], schema: str)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             doc, found = [], []
-            for a, b in slices(offsets, 1 << 20):
+            for a, b in slices(offsets, 1 << 18):
                 h, counts = terms(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                first, size, text = passages(counts)
-                ends = np.cumsum(counts)
+                _, size, block_text = blocks(counts)
+                first, last = passages(block_text)
+                upto = np.cumsum(size)
+                begin, close, ends = upto[first] - size[first], upto[last], np.cumsum(counts)
                 for s in spaces:
+                    length, vectors, text = in_space(h, counts, weight, s["column"], s["basis"])
+                    where, which = [], []
+                    for x in range(0, len(text), 4096):
+                        p, q = np.nonzero(vectors[x : x + 4096] @ s["latent"].T >= COSINE * np.minimum(length[x : x + 4096, None], s["length"]))
+                        where += (p + x).tolist()
+                        which += s["of"][q].tolist()
                     leaking = set()
-                    for p, q in zip(*(x.tolist() for x in candidates(s, weight, h, first, size))):
-                        t, k = int(text[p]), int(s["of"][q])
+                    for p, k in dict.fromkeys(zip(where, which)):
+                        t = int(text[p])
                         if (t, k) in leaking:
                             continue
                         n = len(s["words"][k])
-                        low, high = max(int(ends[t] - counts[t]), int(first[p]) - n), min(int(ends[t]), int(first[p] + size[p]) + n)
+                        low, high = max(int(ends[t] - counts[t]), int(begin[p]) - n), min(int(ends[t]), int(close[p]) + n)
                         hit, same = leaked(s["words"][k], s["answers"][k], h[low:high].tolist())
                         if hit:
                             leaking.add((t, k))
