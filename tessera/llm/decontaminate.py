@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, partitions, prefix_sums, ranges, slices, span_hashes, stored, table, utf8, word_spans
+from tessera.llm.common import LOWER, lean, partitions, prefix_sums, ranges, slices, span_hashes, stored, table, utf8, word_spans
 
 #: Hashed terms; words of a block (a passage is two neighbouring blocks); rank of a latent space and further columns of its
 #: sketch; least cosine of a candidate, where the shorter of the two vectors counts for both lengths: a short item is not
@@ -78,7 +78,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["part", "sums"])
 
     schema = "part long, sums binary"
-    sums = docs.select("text").mapInArrow(count, schema).repartition(min(partitions(docs.sparkSession), TERMS // width), "part").mapInArrow(add, schema)
+    sums = docs.select("text").mapInArrow(lean(count), schema).repartition(min(partitions(docs.sparkSession), TERMS // width), "part").mapInArrow(add, schema)
     rows = sorted((r.part, np.frombuffer(r.sums, np.int64)) for r in sums.collect())  # TERMS numbers, whatever the input
     every = np.concatenate([v for _, v in rows]) if rows else np.zeros(TERMS + 1, np.int64)
     return every[:TERMS], int(every[TERMS])
@@ -163,7 +163,7 @@ def sketches(docs: DataFrame, weight: np.ndarray, columns: list[np.ndarray], ome
 
     schema = "space long, first long, sums binary, trace double"
     few = docs.select("text").coalesce(TASKS_A_CORE * max(8, spark.sparkContext.defaultParallelism))
-    rows = few.mapInArrow(part, schema).repartition(partitions(spark), "space", "first").mapInArrow(add, schema).collect()
+    rows = few.mapInArrow(lean(part), schema).repartition(partitions(spark), "space", "first").mapInArrow(add, schema).collect()
     shared.destroy()
     out = []
     for k, omega in enumerate(omegas):
@@ -360,7 +360,7 @@ def search(docs: DataFrame, weight: np.ndarray, spaces: list[dict], schema: str)
             parts = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([taken, *parts], ["doc_id", "item_id", "item_words", "common_words"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ranges, slices, table, utf8
+from tessera.llm.common import lean, ranges, slices, table, utf8
 from tessera.llm.pretokens import WordTable
 
 SPACE_MARK = "▁"
 UNIGRAM, BPE = 1, 2
 START, UNKNOWN = (1 << 22) - 1, 1 << 21
+#: Pairs of neighbours whose stability is kept at most; words of one length that advance together at least, fewer go one by one.
+PAIRS, FEW = 1_000_000, 4
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -90,6 +92,7 @@ class Viterbi:
     merges, and the segmentation that the merges end in is the one path all of whose neighbours are stable: merging the
     two pieces' characters on their own ends in these two pieces. So a step to an unstable neighbour scores minus
     infinity, and the maximum is the merge result exactly. Stability of a pair is found once and kept in sorted keys.
+    Where fewer than FEW words have a length, arrays of words gain nothing and the same recurrence runs word by word.
     """
 
     def __init__(self, ids: dict[str, int], score: list[float], model: int):
@@ -103,7 +106,10 @@ class Viterbi:
         self.score = np.array(score)
         self.bad = float(self.score[self.of].min()) - 10
         self.name = {i: t for t, i in ids.items()}
-        self.pairs, self.stable = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.forget()
+
+    def forget(self) -> None:
+        self.pairs, self.stable, self.told = np.zeros(0, np.uint64), np.zeros(0, bool), {}
 
     @staticmethod
     def key(text: str) -> int:
@@ -129,6 +135,11 @@ class Viterbi:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def is_stable(self, pair: int) -> bool:
+        b = self.piece_text(pair & 0xFFFFFFFF)
+        a = [] if pair >> 32 == START else [self.piece_text(pair >> 32)]
+        return self.merged("".join(a) + b) == [*a, b]
+
     def allowed(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         pair = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
         unique, inverse = np.unique(pair, return_inverse=True)
@@ -137,11 +148,7 @@ class Viterbi:
         known[known] = self.pairs[at[known]] == unique[known]
         if not known.all():
             fresh = unique[~known]
-            told = []
-            for p in fresh.tolist():
-                b = self.piece_text(p & 0xFFFFFFFF)
-                a = [] if p >> 32 == START else [self.piece_text(p >> 32)]
-                told.append(self.merged("".join(a) + b) == [*a, b])
+            told = [self.is_stable(p) for p in fresh.tolist()]
             spot = np.searchsorted(self.pairs, fresh)
             self.pairs, self.stable = np.insert(self.pairs, spot, fresh), np.insert(self.stable, spot, told)
             at = np.searchsorted(self.pairs, unique)
@@ -180,12 +187,43 @@ class Viterbi:
                 best[b, rows], last[b, rows], back[b, rows] = value[up], token, b - a
         return last, back
 
+    def one_word(self, word: str) -> list[int]:
+        """The recurrence of equal_length() for one word."""
+        n, ids, told = len(word), self.ids, self.told
+        best, last, back = [-np.inf] * (n + 1), [START] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for b in range(1, n + 1):
+            for a in range(max(0, b - self.longest), b):
+                token = ids.get(word[a:b], UNKNOWN + ord(word[a]) if b == a + 1 else None)
+                if token is None or best[a] == -np.inf:
+                    continue
+                if self.model == BPE:
+                    pair = last[a] << 32 | token
+                    if pair not in told:
+                        told[pair] = self.is_stable(pair)
+                    gain = 0.0 if told[pair] else -np.inf
+                else:
+                    gain = float(self.score[token]) if token < UNKNOWN else self.bad
+                if best[a] + gain > best[b]:
+                    best[b], last[b], back[b] = best[a] + gain, token, b - a
+        out = []
+        while n:
+            out.append(last[n])
+            n -= back[n]
+        return out[::-1]
+
     def segment(self, words: list[str]) -> list[list[int]]:
         """Tokens of each word: ids, or UNKNOWN + code point for a character that is no piece."""
+        if len(self.pairs) + len(self.told) > PAIRS:
+            self.forget()
         out: list[list[int]] = [[] for _ in words]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         for size in np.unique(lengths[lengths > 0]).tolist():
             every = np.flatnonzero(lengths == size)
+            if len(every) < FEW:
+                for i in every.tolist():
+                    out[i] = self.one_word(words[i])
+                continue
             most = max(1, min(8_000, 4_000_000 // (size * size + 1)))
             for group in np.split(every, range(most, len(every), most)):
                 cp = np.frombuffer("".join(words[i] for i in group.tolist()).encode("utf-32-le"), np.uint32).reshape(len(group), size).astype(np.int64)
@@ -200,6 +238,10 @@ class Viterbi:
                 order = np.lexsort((-np.arange(len(who)), who))
                 for w, tokens in zip(group.tolist(), np.split(token[order], np.cumsum(np.bincount(who, minlength=len(group)))[:-1])):
                     out[w] = tokens.tolist()
+        # pieces were found by hashes: their texts must be the word
+        for i, (word, tokens) in enumerate(zip(words, out)):
+            if "".join(map(self.piece_text, tokens)) != word:
+                out[i] = self.one_word(word)
         return out
 
 
@@ -266,7 +308,11 @@ def codec(path: str) -> Codec:
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """docs with a column piece_ids array<int> (replaced if it is there already): the ids of whole texts, none for null and empty texts."""
+    """docs with a column piece_ids array<int> (replaced if it is there already): the ids of whole texts, none for null and empty texts.
+
+    One row for each input row, repeated ones too; an empty table gives an empty one; other columns are kept. Texts are
+    read 512 kB at a time, a longer one at once; a very long word without a place to cut it takes about 50 us a character.
+    """
     columns = [c for c in docs.columns if c != "piece_ids"]
     shape = docs.select(*columns, F.array().cast("array<int>").alias("piece_ids"))
 
@@ -275,7 +321,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         try:
             for batch in batches:
                 data, offsets = utf8(batch.column("text"))
-                for a, b in slices(offsets, 1 << 21):
+                for a, b in slices(offsets, 1 << 19):
                     texts = [data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist())]
                     ids, counts = own.encode(texts)
                     part = batch.slice(a, b - a)
@@ -283,8 +329,9 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], lists], [*columns, "piece_ids"])
         finally:
             own.words.clear()  # the worker lives on after the task
+            own.viterbi.forget()
 
-    return docs.select(*columns).mapInArrow(run, shape.schema)
+    return docs.select(*columns).mapInArrow(lean(run), shape.schema)
 
 
 def decoded(docs: DataFrame, path: str) -> DataFrame:
@@ -302,7 +349,7 @@ def decoded(docs: DataFrame, path: str) -> DataFrame:
             out = pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], out], [*columns, "decoded"])
 
-    return docs.select(*columns).mapInArrow(run, shape.schema)
+    return docs.select(*columns).mapInArrow(lean(run), shape.schema)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, partitions, stored, table, utf8
+from tessera.llm.common import lean, mix, partitions, stored, table, utf8
 from tessera.llm.components import components
 
 SEED = 42
@@ -45,8 +45,11 @@ def majority(hashes: np.ndarray) -> int:
     n = len(hashes)
     if n < 2:
         return int(hashes[0]) if n else 0
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > n, bitorder="little").tobytes(), "little")
+    total = np.zeros(64, np.int64)
+    for a in range(0, n, 1 << 14):  # a hash is 64 bytes here: a very long text is counted piece by piece
+        part = hashes[a : a + (1 << 14)]
+        total += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > n, bitorder="little").tobytes(), "little")
 
 
 def with_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -58,7 +61,7 @@ def with_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             out = np.fromiter((fingerprint(data[a:b].tobytes(), words) for a, b in zip(at[:-1], at[1:])), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def segments(bits: int) -> list[tuple[int, int]]:
@@ -131,7 +134,7 @@ def with_shingles(docs: DataFrame, words: int) -> DataFrame:
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), long(fps), long(ids), pa.array(keys, pa.list_(pa.int64())), pa.array(finer, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "fp", "id", "keys", "finer", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, id long, keys array<long>, finer array<long>, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, fp long, id long, keys array<long>, finer array<long>, shingles binary")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -149,7 +152,7 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     both = pairs
     for end, name in (("a", "x"), ("b", "y")):
         both = both.join(sets.select(F.col("id").alias(end), F.col("fp").alias(f"fp_{end}"), F.col("shingles").alias(name)), end)
-    return both.mapInArrow(run, "a long, b long, fp_a long, fp_b long, near boolean")
+    return both.mapInArrow(lean(run), "a long, b long, fp_a long, fp_b long, near boolean")
 
 
 def similar(prints: DataFrame, least: float) -> DataFrame:
@@ -189,6 +192,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, least: float
     Equal fingerprints are pre-aggregated to one node, so copies cost one row in the index. Null and empty texts share
     fingerprint 0 and link like any other; other columns are ignored; an empty table gives an empty one; a repeated
     doc_id keeps a row for each input row, a null doc_id counts as a document of its own that no component is named by.
+    Very long texts are taken whole: about 40 bytes a word while their shingles are hashed.
     """
     marked = stored(with_fingerprints(docs, words) if least is None else with_shingles(docs, words), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, mix, prefix_sums, ranges, slices, span_hashes, table, utf8, word_spans
+from tessera.llm.common import LOWER, lean, mix, prefix_sums, ranges, slices, span_hashes, table, utf8, word_spans
 
 #: Words of a window and between starts of windows; width of the state; buckets and width of either embedding.
 WINDOW, STRIDE, H = 32, 16, 8
@@ -230,7 +230,7 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int
 class Scorer:
     """A network at work: remembers the gates' input parts of up to `most` words by their hashes."""
 
-    def __init__(self, params: dict, most: int = 300_000):
+    def __init__(self, params: dict, most: int = 150_000):
         self.net, self.most = Network(), most
         self.net.p = params
         self.clear()
@@ -273,16 +273,23 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network:
-    """Train on a bounded sample: at most `most` labelled rows of each class, by a hash of doc_id, without the held-out fifth."""
+    """Train on a bounded sample: at most `most` labelled rows of each class, by a hash of doc_id, without the held-out fifth.
+
+    Of a repeated doc_id the least text counts, and the label is the largest; null doc_ids and other labels are left out.
+    """
     named = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [named.filter(f"toxic = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: zlib.crc32(str(r.doc_id).encode()))
     return train([(r.text or "").encode() for r in rows], np.array([r.toxic for r in rows], np.int64))
 
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:
-    """docs with a column toxicity_score (replaced if it is there already), over whole texts; null and empty texts get the empty window's score."""
+    """docs with a column toxicity_score (replaced if it is there already), over whole texts, one row for each input row.
+
+    Null and empty texts get the empty window's score; equal texts get equal scores, whatever their doc_id; a very long
+    text is many windows, 4096 at a time; an empty table gives an empty one; other columns are kept.
+    """
     params = docs.sparkSession.sparkContext.broadcast({k: v for k, v in net.p.items()})
     columns = [c for c in docs.columns if c != "toxicity_score"]
     held = docs.select(*columns, F.lit(0.0).alias("toxicity_score"))
@@ -295,7 +302,7 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
             values = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], values], schema=batch.schema)
 
-    return held.mapInArrow(run, held.schema)
+    return held.mapInArrow(lean(run), held.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

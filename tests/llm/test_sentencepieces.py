@@ -46,7 +46,7 @@ def test_merges_out_of_order_equal_the_greedy_merges():
         v = Viterbi({p: i for i, p in enumerate(pieces)}, [-float(x) for x in order], BPE)
         words = ["".join(rng.choice("abz") for _ in range(rng.randrange(1, 14))) for _ in range(200)]
         for w, tokens in zip(words, v.segment(words)):
-            assert [v.piece_text(t) for t in tokens] == v.merged(w)
+            assert [v.piece_text(t) for t in tokens] == v.merged(w) == [v.piece_text(t) for t in v.one_word(w)]
 
 
 def test_edges(spark):
@@ -55,3 +55,20 @@ def test_edges(spark):
     out = decoded(encoded(docs, model_path()), model_path()).collect()
     assert len(out) == 5 and all(r.decoded == (r.text or "") for r in out)
     assert decoded(encoded(docs.limit(0), model_path()), model_path()).count() == 0
+
+
+def test_a_long_unbroken_word_equals_the_library():
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    c = codec(model_path())
+    texts = ["=" * 32_000, "ab" * 3_000 + "=-" * 500]
+    ids, counts = c.encode(texts)
+    assert ids[: counts[0]].tolist() == sp.encode(texts[0]) and ids[counts[0] :].tolist() == sp.encode(texts[1])
+
+
+def test_the_query_gives_the_librarys_ids(spark):
+    from tessera.llm.sentencepieces import op3_sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = op3_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: r.n_pieces for r in rows} == {d: len(sp.encode(t)) for d, t in docs.items()} and all(r.round_trip for r in rows)
