@@ -68,10 +68,10 @@ def token_starts(cp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Ids of the words seen by this worker, by the words' 64-bit hashes; over `most` words it starts anew."""
+    """Ids of the words seen by this worker, by the words' 64-bit hashes; over `most` words it starts anew. Texts with one of `added` are no series of words."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 2_000_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 2_000_000, added: list[bytes] | None = None):
+        self.encode, self.most, self.added = encode, most, added or []
         self.clear()
 
     def clear(self) -> None:
@@ -105,8 +105,41 @@ class WordTable:
         return self.start[at][inverse], self.length[at][inverse]
 
 
+def texts_with(strings: list[bytes], data: np.ndarray, offsets: np.ndarray) -> list[int]:
+    """Which texts hold one of the strings."""
+    raw, out = data.tobytes(), set()
+    for s in strings:
+        at = raw.find(s)
+        while at >= 0:
+            k = int(np.searchsorted(offsets, at, side="right")) - 1
+            whole = at + len(s) <= offsets[k + 1]
+            if whole:
+                out.add(k)
+            at = raw.find(s, int(offsets[k + 1]) if whole else at + 1)
+    return sorted(out)
+
+
 def encode_texts(table: WordTable, data: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 texts -> all their ids one after another, and each text's number of ids; end_id closes each text."""
+    special = texts_with(table.added, data, offsets)
+    if not special:
+        return encode_plain(table, data, offsets, end_id)
+    ids, counts, a = [], [], 0
+    for k in [*special, len(offsets) - 1]:
+        if a < k:
+            part, n = encode_plain(table, data[offsets[a] : offsets[k]], offsets[a : k + 1] - offsets[a], end_id)
+            ids.append(part)
+            counts.append(n)
+        if k < len(offsets) - 1:
+            own = table.encode([data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")])[0] + ([] if end_id is None else [end_id])
+            ids.append(np.array(own, np.int32))
+            counts.append(np.array([len(own)], np.int64))
+        a = k + 1
+    return np.concatenate(ids), np.concatenate(counts)
+
+
+def encode_plain(table: WordTable, data: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """encode_texts() of texts without added tokens: cut into words, each looked up."""
     text, cp, at = code_points(data, offsets)
     begin = token_starts(cp, at)
     start, length = table.look_up(text, cp, begin, np.append(begin[1:], len(cp))) if len(begin) else (np.zeros(0, np.int64), np.zeros(0, np.int64))

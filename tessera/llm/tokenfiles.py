@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, shared_dir, slices, stored, table, utf8
+from tessera.llm.common import lean, partitions, shared_dir, slices, stored, table, utf8
 from tessera.llm.pretokens import WordTable, encode_texts
 
 END_ID = 2
@@ -28,18 +28,27 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def byte_bpe(path: str) -> WordTable:
-    """The tokenizers library behind this worker's word table. Strings of special tokens in a text are ordinary text."""
+    """The tokenizers library behind this worker's word table. Texts that hold the string of an added token go to the library whole."""
     if path not in _WORDS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _WORDS[path] = WordTable(lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)])
+        t = tokenizer(path)
+        encode = lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
+        _WORDS[path] = WordTable(encode, added=sorted(a.content.encode() for a in t.get_added_tokens_decoder().values()))
     return _WORDS[path]
 
 
+def id_width(path: str) -> pa.DataType:
+    """The narrowest type that holds all ids of a vocabulary and the end id."""
+    return pa.uint16() if max([END_ID, *tokenizer(path).get_vocab(with_added_tokens=True).values()]) < 1 << 16 else pa.uint32()
+
+
 def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pyarrow.fs.LocalFileSystem(), uri)
 
@@ -110,8 +119,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str, files: int) -> DataFra
     """(doc_id, text, ...) -> token files in `folder`, in ascending doc_id order over files and within them.
 
     Returns the index: file, doc_id, at (ids before it in its file), n_tokens with the end id. Null texts are empty and
-    have the end id only; equal doc_ids are ordered by text; an empty table makes no file.
+    have the end id only; a null doc_id comes first, equal doc_ids are ordered by text (a doc_id that many rows share is
+    dealt by the head of its texts too); an empty table makes no file. Other columns are ignored. Texts are read 1 MB at a
+    time, a longer one at once.
     """
+    width = id_width(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, out, at = byte_bpe(path), None, 0
@@ -120,7 +132,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, files: int) -> DataFra
             data, offsets = utf8(batch.column(1))
             for a, b in slices(offsets, 1 << 20):
                 ids, counts = encode_texts(words, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], END_ID)
-                out = out or TokenWriter(f"{folder}/tokens-{part:06d}.arrow", pa.uint16())
+                out = out or TokenWriter(f"{folder}/tokens-{part:06d}.arrow", width)
                 out.write(ids)
                 ends = at + np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, part)), batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(ends - counts), pa.array(counts)], ["file", "doc_id", "at", "n_tokens"])
@@ -128,8 +140,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, files: int) -> DataFra
         if out:
             out.close()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(ordered.mapInArrow(run, "file long, doc_id long, at long, n_tokens long"), "token-index")
+    ordered = docs.select("doc_id", "text").repartitionByRange(files, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    return stored(ordered.mapInArrow(lean(run), "file long, doc_id long, at long, n_tokens long"), "token-index")
 
 
 def read_tokens(index: DataFrame, folder: str) -> DataFrame:
