@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table, utf8
+from tessera.llm.common import lean, stored, table, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -19,9 +20,12 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What may be an identifier: six characters or more with a digit in them, or an at sign.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z_+@./-]*[0-9@])[A-Za-z0-9][A-Za-z0-9_+@./-]{4,}[A-Za-z0-9]")
-BEFORE = re.compile(r"(\w+)?([^\w\n]*)$")
+#: What may be an identifier: six characters or more from a letter or digit to one, with a digit or an at sign in them.
+RUN = re.compile(r"[A-Za-z0-9_+@./-]++")
+HINT = re.compile(r"[0-9@]")
+WORDS = re.compile(r"\w++")
+#: The shape of a key or secret, a seed of the graph beside the base entities: so long, with letters and digits mixed.
+SHAPE = re.compile(r"(?=(?:[^0-9]*[0-9]){4})(?=(?:[^A-Za-z]*[A-Za-z]){4})[A-Za-z0-9_-]{20,}")
 
 
 def luhn(digits: str) -> bool:
@@ -54,31 +58,50 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return {"email": emails(text), "ip": ips, "card": cards, "phone": phones}
 
 
-def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, str, bool, list[str]]]:
-    """(start, end, instance, seed, patterns): base entities and other possible identifiers with the words around them."""
+def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, str, bool, bool, list[str]]]:
+    """(start, end, instance, seed, shape, patterns): base entities and other possible identifiers with the words around them."""
     known = sorted({x for spans in base.values() for x in spans})
-    found, last = [(a, b, True) for a, b in known], 0
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        while last < len(known) and known[last][1] <= a:
-            last += 1
-        if not any(x < b and a < y for x, y in known[last : last + 8]):
-            found.append((a, b, False))
+    found, covered = [(a, b, True) for a, b in known], disjoint(known)
+    starts = [a for a, _ in covered]
+    for m in RUN.finditer(text):
+        run = m[0].lstrip("_+@./-")
+        a = m.end() - len(run)
+        b = a + len(run.rstrip("_+@./-"))
+        if b - a >= 6 and HINT.search(text, a, b):
+            k = bisect.bisect_left(starts, b)
+            if not k or covered[k - 1][1] <= a:
+                found.append((a, b, False))
+    if not found:
+        return []
+    words = [m.span() for m in WORDS.finditer(text)]
+    first, last = [a for a, _ in words], [b for _, b in words]
     out = []
     for a, b, seed in sorted(found):
-        m = BEFORE.search(text[max(0, a - 40) : a])
-        word, mark = (m[1] or "").lower(), re.sub(r"\s+", " ", m[2])
-        patterns = [f"left|{word}|{mark}"] if word else []
-        nxt = re.match(r"[^\w\n]*(\w+)", text[b : b + 40])
-        if word and nxt:
-            patterns.append(f"both|{word}|{nxt[1].lower()}")
-        out.append((a, b, text[a:b], seed, patterns))
+        left, right = bisect.bisect_right(last, a) - 1, bisect.bisect_left(first, b)
+        word, mark = (text[slice(*words[left])].lower(), text[last[left] : a]) if left >= 0 else ("", "")
+        patterns = []
+        if word and "\n" not in mark:
+            patterns.append(f"left|{word}|" + re.sub(r"\s+", " ", mark))
+            if right < len(words) and "\n" not in text[b : first[right]]:
+                patterns.append(f"both|{word}|{text[slice(*words[right])].lower()}")
+        out.append((a, b, text[a:b], seed, SHAPE.fullmatch(text, a, b) is not None, patterns))
     return out
 
 
-SCHEMA = "row long, doc_id long, base array<struct<kind:int,start:int,end:int>>, cand array<struct<start:int,end:int,instance:string,seed:boolean,patterns:array<string>>>"
+def disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that overlap joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+SCHEMA = "row long, doc_id long, base array<struct<kind:int,start:int,end:int>>, cand array<struct<start:int,end:int,instance:string,seed:boolean,shape:boolean,patterns:array<string>>>"
 ARROW_BASE = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-ARROW_CAND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
+ARROW_CAND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("seed", pa.bool_()), ("shape", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -98,38 +121,42 @@ def scan(docs: DataFrame) -> DataFrame:
                 text = data[a:b].tobytes().decode("utf-8", "replace")
                 base = base_spans(text)
                 bases.append([{"kind": k, "start": x, "end": y} for k, name in enumerate(KINDS) for x, y in base[name]])
-                cands.append([{"start": x, "end": y, "instance": s, "seed": seed, "patterns": p} for x, y, s, seed, p in candidates(text, base)])
+                cands.append([{"start": x, "end": y, "instance": s, "seed": seed, "shape": shape, "patterns": p} for x, y, s, seed, shape, p in candidates(text, base)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(bases, ARROW_BASE), pa.array(cands, ARROW_CAND)], ["row", "doc_id", "base", "cand"])
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(lean(run), SCHEMA)
 
 
 def discover(scanned: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.8) -> DataFrame:
     """scan() -> (instance) that high-confidence patterns find and that are no base entities.
 
-    Each round scores a pattern by the share of its distinct instances that are known, trusts those with `support`
-    known instances and that share, and then scores an instance by its patterns (noisy or); those that reach the
-    confidence are known in the next round. Seeds stay. Both sides are aggregated in Spark over all documents.
+    Base entities and strings of the shape of a key are known first. Each round scores a pattern by the share of its
+    distinct instances that are known, trusts those with `support` known instances and that share, and then scores an
+    instance by its patterns (noisy or); those that reach the confidence are known in the next round. Seeds stay, but a
+    string is told only if trusted patterns find it: its shape alone is no proof. Both sides are aggregated in Spark over
+    all documents.
     """
-    every = scanned.select(F.explode("cand").alias("c")).select("c.instance", "c.seed", F.explode("c.patterns").alias("pattern"))
-    edges = stored(every.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    known = edges.groupBy("instance").agg(F.max("seed").alias("known"))
+    every = scanned.select(F.explode("cand").alias("c")).select("c.instance", "c.seed", "c.shape", F.explode("c.patterns").alias("pattern"))
+    edges = stored(every.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("shape").alias("shape")), "edges")
+    known = edges.groupBy("instance").agg(F.max(F.col("seed") | F.col("shape")).alias("known"), F.lit(False).alias("told"))
     for _ in range(rounds):
         known = stored(known, "known")
         share = F.sum(F.col("known").cast("int")) / F.count("*")
         trusted = edges.join(known, "instance").groupBy("pattern").agg(F.sum(F.col("known").cast("int")).alias("n"), share.alias("share")).filter(f"n >= {support} and share >= {confidence}")
         score = 1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("share")))))
         found = edges.join(trusted, "pattern").groupBy("instance").agg(score.alias("score")).filter(f"score >= {confidence}").select("instance", F.lit(True).alias("hit"))
-        known = known.join(found, "instance", "left").select("instance", F.coalesce(F.col("known") | F.col("hit"), F.col("known")).alias("known"))
+        hit = F.coalesce("hit", F.lit(False))
+        known = known.join(found, "instance", "left").select("instance", (F.col("known") | hit).alias("known"), (F.col("told") | hit).alias("told"))
     seeds = edges.filter("seed").select("instance").distinct()
-    return known.filter("known").select("instance").join(seeds, "instance", "left_anti")
+    return known.filter("told").select("instance").join(seeds, "instance", "left_anti")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, base, more): base spans (kind, start, end) and discovered spans (start, end), in code points.
 
     One row for each input row, repeated doc_ids too; null and empty texts have no spans; other columns are ignored;
-    base spans always stay, discovered ones never overlap them.
+    base spans always stay, discovered ones never overlap them. Very long texts are taken whole, in time that grows with
+    their length; the words beside an identifier count in full, however long.
     """
     scanned = stored(scan(docs), "scanned")
     spots = scanned.select("row", F.explode("cand").alias("c")).filter("not c.seed").select("row", "c.instance", F.struct("c.start", "c.end").alias("span"))
