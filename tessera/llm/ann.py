@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, stored, table
+from tessera.llm.common import lean, partitions, stored, table
 
 #: The index is fitted on at most SAMPLE vectors (by a hash of vec_id); every vector is indexed. Vectors a list aims at,
-#: lists at most, rows of a block; replicas of a boundary vector, the two ratios of distances, links of a centroid, and
-#: how many lists are read before the others.
+#: lists at most (or the root of the number of vectors, and no more than a quarter of the sample), rows of a block;
+#: replicas of a boundary vector, the two ratios of distances, how far apart centroids of one vector are at least
+#: (as a share of its distance), links of a centroid, and how many lists are read before the others.
 SAMPLE, LIST_SIZE, MOST_LISTS, BLOCK = 20_000, 512, 1024, 4096
-REPLICAS, BOUNDARY, PRUNE, DEGREE, FIRST = 3, 1.05, 1.18, 16, 4
+REPLICAS, BOUNDARY, PRUNE, APART, DEGREE, FIRST = 2, 1.05, 1.11, 0.3, 16, 4
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,9 +92,9 @@ def lifted(x: np.ndarray, norm: float) -> np.ndarray:
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, v) without vectors that are null, zero, of another length than most, or hold null or non-finite components."""
-    v = F.col("embedding").cast("array<double>")
-    fine = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("v", lambda x: x != 0)
+    """(vec_id, v) without vectors that are null, zero, of another length than most (no inner product), or hold null or non-finite components."""
+    v = F.col("embedding") if rows.schema["embedding"].dataType.simpleString() == "array<float>" else F.col("embedding").cast("array<double>")
+    fine = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("v", lambda x: x != 0)  # in the type that is stored; scores are in double precision
     good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and size(v) > 0").filter(fine)
     usual = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return good.filter(F.size("v") == (usual[0]["n"] if usual else -1))
@@ -104,16 +105,18 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 
     Every usable vector is indexed in its nearest lists and each query reads the lists within the pruning ratio, more of
     them until they hold k other vectors; scores are exact. Lists and the queries of a list are dealt in blocks, so a
-    list that holds a third of all vectors is many tasks. Ties go to the smaller vec_id; equal ids count once, by their
-    largest score; an empty table gives an empty one.
+    list that holds a third of all vectors is many tasks. Ties go to the smaller vec_id. Rows of a repeated vec_id are
+    rows like any others, as queries and as candidates (of each other too). Null ids take no part, other columns are
+    ignored, an empty table gives an empty one.
     """
     spark = rows.sparkSession
-    good = usable(rows)
-    norm, n = good.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.count("*")).first()
+    good = stored(usable(rows).withColumn("row", F.monotonically_increasing_id()), "vectors")  # stored, so that a row keeps its number
+    norm, n = good.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))), F.count("*")).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = np.array([r.v for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
-    centroids = balanced_centroids(lifted(sample, norm), int(np.clip(n // LIST_SIZE, 1, MOST_LISTS)))
+    sample = matrix(good.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks())
+    most = max(MOST_LISTS, min(int(n**0.5), SAMPLE // 4))
+    centroids = balanced_centroids(lifted(sample, norm), int(np.clip(n // LIST_SIZE, 1, most)))
     shared = spark.sparkContext.broadcast((centroids, norm))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,15 +133,17 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                     nxt = order[:, r]
                     dist = np.take_along_axis(d, nxt[:, None], 1)[:, 0]
                     # near the boundary, and not behind a centroid that has it already
-                    ok = (dist <= BOUNDARY * d.min(1)) & (among[nxt[:, None], chosen] >= dist[:, None] * 0.8).all(1)
+                    ok = (dist <= BOUNDARY * d.min(1)) & (among[nxt[:, None], chosen] >= dist[:, None] * APART).all(1)
                     where.append(np.flatnonzero(ok))
                     which.append(nxt[ok])
                     chosen = np.concatenate((chosen, np.where(ok, nxt, chosen[:, 0])[:, None]), 1)
                 rows_, lists = np.concatenate(where), np.concatenate(which)
                 primary = np.arange(len(rows_)) < len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(lists), part.column(0).take(pa.array(rows_)), part.column(1).take(pa.array(rows_)), pa.array(primary)], ["list", "vec_id", "v", "main"])
+                taken = [part.column(c).take(pa.array(rows_)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(lists), taken[0], taken[1], taken[2], pa.array(primary)], ["list", "vec_id", "v", "row", "main"])
 
-    postings = stored(good.select("vec_id", "v").mapInArrow(assign, "list long, vec_id long, v array<double>, main boolean"), "postings")
+    kind = good.schema["v"].dataType.simpleString()
+    postings = stored(good.select("vec_id", "v", "row").mapInArrow(lean(assign), f"list long, vec_id long, v {kind}, row long, main boolean"), "postings")
     sizes = {r["list"]: (r["n"], r["main"]) for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("main").cast("int")).alias("main")).collect()}
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,49 +163,54 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                     which.append(i)
                     lists.append(j)
                     turns.append(turn)
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(turns, pa.int32()), batch.column(0).take(pa.array(which, pa.int64())), batch.column(1).take(pa.array(which, pa.int64()))], ["list", "turn", "query_id", "q"])
+            taken = [batch.column(c).take(pa.array(which, pa.int64())) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(turns, pa.int32()), *taken], ["list", "turn", "query_id", "q", "asker"])
+
+    asked = good.filter(F.pmod("vec_id", F.lit(every)) == 0).repartition(partitions(spark), "row")
+    visits = stored(asked.select("vec_id", "v", "row").mapInArrow(lean(choose), f"list long, turn int, query_id long, q {kind}, asker long"), "visits")
 
-    asked = good.filter(F.pmod("vec_id", F.lit(every)) == 0).repartition(partitions(spark), "vec_id")
-    visits = stored(asked.select("vec_id", "v").mapInArrow(choose, "list long, turn int, query_id long, q array<double>"), "visits")
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        ids, x = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy())
-        queries, q, bound = left["query_id"].to_numpy(), np.stack(left["q"].to_numpy()), left["bound"].to_numpy()
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "asker": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "row": np.zeros(0, np.int64), "score": np.zeros(0)})
+        ids, x, own = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()).astype(np.float64), right["row"].to_numpy()
+        queries, q, bound, asker = left["query_id"].to_numpy(), np.stack(left["q"].to_numpy()).astype(np.float64), left["bound"].to_numpy(), left["asker"].to_numpy()
+        # how far the two ways to sum a product may be apart
+        slack = 4 * x.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
         out = []
         for a in range(0, len(q), 512):
             rough = q[a : a + 512] @ x.T
-            rough[queries[a : a + 512, None] == ids] = -np.inf
+            rough[asker[a : a + 512, None] == own] = -np.inf
             least = np.maximum(np.partition(rough, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))], bound[a : a + 512])
-            scale = 1e-12 * (1 + np.abs(least, where=np.isfinite(least), out=np.zeros_like(least)))
-            i, j = np.nonzero((rough >= (least - scale)[:, None]) & np.isfinite(rough))
+            i, j = np.nonzero((rough >= (least - slack[a : a + 512])[:, None]) & np.isfinite(rough))
             exact = np.concatenate([(q[a + i[s : s + 65536]] * x[j[s : s + 65536]]).sum(1) for s in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
-            order = np.lexsort((ids[j], -exact, i))
+            order = np.lexsort((own[j], ids[j], -exact, i))
             i, j, exact = i[order], j[order], exact[order]
             keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-            out.append(pd.DataFrame({"query_id": queries[a + i[keep]], "vec_id": ids[j[keep]], "score": exact[keep]}))
+            out.append(pd.DataFrame({"query_id": queries[a + i[keep]], "asker": asker[a + i[keep]], "vec_id": ids[j[keep]], "row": own[j[keep]], "score": exact[keep]}))
         return pd.concat(out)
 
+    pair = ["query_id", "asker", "vec_id", "row"]
+
     def searched(visits: DataFrame) -> DataFrame:
         """Each visit's k best of its list that reach the query's bound."""
         # At most MOST_LISTS rows: into how many blocks each side of a list is dealt.
         blocks = visits.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qs")).join(postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ps")), "list")
-        q_side = visits.join(blocks, "list").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("ps") - 1))).select("list", "qb", "pb", "query_id", "q", "bound")
-        p_side = postings.join(blocks, "list").withColumn("pb", F.pmod(F.xxhash64("vec_id"), F.col("ps")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).select("list", "qb", "pb", "vec_id", "v")
+        q_side = visits.join(blocks, "list").withColumn("qb", F.pmod(F.xxhash64("asker"), F.col("qs")).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("ps") - 1))).select("list", "qb", "pb", "query_id", "asker", "q", "bound")
+        p_side = postings.join(blocks, "list").withColumn("pb", F.pmod(F.xxhash64("row"), F.col("ps")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).select("list", "qb", "pb", "vec_id", "row", "v")
         keys = ("list", "qb", "pb")
-        found = q_side.groupBy(*keys).cogroup(p_side.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
-        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        found = q_side.groupBy(*keys).cogroup(p_side.groupBy(*keys)).applyInPandas(score, "query_id long, asker long, vec_id long, row long, score double")
+        return found.groupBy(*pair).agg(F.max("score").alias("score"))  # a replica is no other row
 
     def best(found: DataFrame) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", "row")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     # The nearest lists give each query a score that its k-th neighbour reaches; the other lists return only what reaches it too.
     early = stored(best(searched(visits.filter(F.col("turn") < FIRST).withColumn("bound", F.lit(float("-inf"))))), "early")
-    bound = early.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    late = visits.filter(F.col("turn") >= FIRST).join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    every = early.select("query_id", "vec_id", "score").unionAll(searched(late)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return best(every).select("query_id", "rank", "vec_id", "score")
+    bound = early.filter(F.col("rank") == k).select("asker", F.col("score").alias("bound"))
+    late = visits.filter(F.col("turn") >= FIRST).join(bound, "asker", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    both = early.select(*pair, "score").unionByName(searched(late)).groupBy(*pair).agg(F.max("score").alias("score"))
+    return best(both).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,3 +39,36 @@ def test_recall_and_exact_scores(spark, monkeypatch, n, block):
 
 def test_empty(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_rows_of_a_repeated_id_are_rows_and_huge_norms_keep_their_order(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.standard_normal((40, 8)), rng.standard_normal((60, 8)) * 1e8))
+    ids = np.arange(100)
+    ids[[1, 2, 41]] = [20, 20, 0]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in set(ids[ids % 20 == 0].tolist()):
+        want = []
+        for i in np.flatnonzero(ids == q):
+            score = (x[i] * x).sum(1)
+            order = sorted((j for j in range(100) if j != i), key=lambda j: (-score[j], ids[j]))[:20]
+            want += [(n + 1, int(ids[j])) for n, j in enumerate(order)]
+        assert sorted((n, v) for n, v, _ in got[q]) == sorted(want)
+
+
+def test_the_query_finds_the_nearest(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], np.float64)
+    out = ann.op7_ann(spark, "/root/testdata/sf0.01")
+    assert out.columns == ["query_id", "rank", "vec_id", "score"]
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = brute(ids, x, 20, 20)
+    assert got.keys() == want.keys()
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.9
+    where = {i: k for k, i in enumerate(ids.tolist())}
+    assert all(s == (x[where[q]] * x[where[v]]).sum() for q in got for v, s in got[q])
