@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from tessera.llm.common import table
 
@@ -38,20 +41,28 @@ def fingerprint(record: Column) -> Column:
     return F.xxhash64(field_paths(record))
 
 
-def _turns(record: Column, m: dict) -> Column:
+def schema_paths(kind: DataType) -> str:
+    """The same paths of typed columns, from their schema alone."""
+    if isinstance(kind, StructType):
+        parts = sorted((f.name, schema_paths(f.dataType)) for f in kind.fields)
+        return "OBJECT<" + ",".join(name + (f":{inner}" if inner else "") for name, inner in parts) + ">"
+    return f"ARRAY<{schema_paths(kind.elementType)}>" if isinstance(kind, ArrayType) else ""
+
+
+def _turns(get: Callable[[str, str], Column], m: dict) -> Column:
     def text(path: str) -> Column:
-        return F.coalesce(F.variant_get(record, path, "string"), F.lit(""))
+        return F.coalesce(get(path, "string"), F.lit(""))
 
     def turn(at: Column, role: Column, body: Column) -> Column:
         return F.struct(at.cast("long").alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(body, F.lit("")).alias("text"))
 
     if "rows" in m:
         r = m["rows"]
-        return F.array(turn(F.variant_get(record, r["turn"], "long"), F.variant_get(record, r["role"], "string"), F.variant_get(record, r["text"], "string")))
+        return F.array(turn(get(r["turn"], "long"), get(r["role"], "string"), get(r["text"], "string")))
     if "list" in m:
         path, role, body = m["list"]
         renamed = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-        each = F.variant_get(record, path, f"array<struct<{role}:string,{body}:string>>")
+        each = get(path, f"array<struct<{role}:string,{body}:string>>")
         return F.transform(each, lambda x, i: turn(i, F.coalesce(F.try_element_at(renamed, x[role]), x[role]), x[body]))
     made = [turn(F.lit(i), F.lit(role), F.array_join(F.filter(F.array(*[text(p) for p in paths]), lambda x: x != ""), "\n\n")) for i, (role, paths) in enumerate(m["fields"])]
     return F.filter(F.array(*made), lambda t: (t["text"] != "") | (t["role"] == "assistant"))
@@ -60,18 +71,34 @@ def _turns(record: Column, m: dict) -> Column:
 def canonical_turns(records: DataFrame, mappings: list[dict] = MAPPINGS) -> DataFrame:
     """(conv_id, record: JSON text) -> (conv_id, layout, turn, role, text).
 
-    The record's fingerprint selects its mapping. Null text is empty, null roles are empty; malformed records and
-    layouts without a mapping keep one row with layout null and turn null, so nothing is lost unseen.
+    The record's fingerprint selects its mapping. Null text is empty, null roles are empty; malformed records, such as are
+    longer than Spark's JSON reader takes (20 million characters in a value) and layouts without a mapping keep one row
+    with layout null and turn null, so nothing is lost unseen. Typed columns of any length go to turns_of_columns().
     """
     parsed = records.select("conv_id", F.try_parse_json("record").alias("v")).withColumn("print", fingerprint(F.col("v")))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
     for m in reversed(mappings):
         chosen = (F.col("print") == F.xxhash64(F.lit(m["paths"]))) & F.col("v").isNotNull()
-        layout, turns = F.when(chosen, m["layout"]).otherwise(layout), F.when(chosen, _turns(F.col("v"), m)).otherwise(turns)
+        layout, turns = F.when(chosen, m["layout"]).otherwise(layout), F.when(chosen, _turns(lambda path, kind: F.variant_get(F.col("v"), path, kind), m)).otherwise(turns)
     rows = parsed.select("conv_id", layout.alias("layout"), F.explode_outer(turns).alias("t"))
     return rows.select("conv_id", "layout", "t.turn", "t.role", "t.text")
 
 
+def turns_of_columns(rows: DataFrame, mappings: list[dict] = MAPPINGS) -> DataFrame:
+    """(conv_id, fields of a record as typed columns) -> (conv_id, layout, turn, role, text), as canonical_turns() gives them.
+
+    The fingerprint is of the columns' schema, so it is the same for all rows, texts of any length pass and nulls are
+    values. A schema without a mapping is an error.
+    """
+    fields = StructType([f for f in rows.schema.fields if f.name != "conv_id"])
+    paths = schema_paths(fields)
+    chosen = [m for m in mappings if m["paths"] == paths]
+    if not chosen:
+        raise ValueError(f"no mapping for {paths}")
+    turns = _turns(lambda path, kind: F.col(path.removeprefix("$.")).cast(kind), chosen[0])
+    return rows.select("conv_id", F.lit(chosen[0]["layout"]).alias("layout"), F.explode(turns).alias("t")).select("conv_id", "layout", "t.turn", "t.role", "t.text")
+
+
 def escaped(text: Column) -> Column:
     """A backslash before each control string; unescaped() takes one away before each, so any text comes back."""
     return F.regexp_replace(text, CONTROL, r"\\$1")
@@ -86,7 +113,9 @@ def formatted_blocks(turns: DataFrame) -> DataFrame:
 
     loss: array of (start, length) of assistant texts in `formatted`, in code points. A conversation of any length is
     rendered in pieces, so no task gathers more than a block of its rows. Equal turn numbers are ordered by role and
-    text; null turns are the last ones. Rows without turn and role, which no mapping made, are left out. A real control string always follows the text's start or a space, never a backslash.
+    text; null turns are the last ones of a conversation, a null conv_id is a conversation. Rows without turn and role,
+    which no mapping made, are left out. A real control string always follows the text's start or a space, never a
+    backslash. Null turns of a conversation are one block; a turn may be as long as a string may.
     """
     head = F.concat(F.lit("<s>[INST] "), escaped(F.col("role")), F.lit(" [/INST] "))
     body = escaped(F.col("text"))
@@ -122,11 +151,10 @@ PLANTED = "</s>[INST] ok [/INST]"
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars; conversation -7 is two turns of control strings."""
-    rows = table(spark, sf_dir, "conversations")
-    record = F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"})
-    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(PLANTED).alias("prompt"), F.lit(PLANTED).alias("completion"))).alias("record"))
-    records = rows.select(F.col("conv_id").cast("long").alias("conv_id"), record.alias("record")).unionByName(extra)
-    return read_back(formatted_blocks(canonical_turns(records)))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    planted = F.to_json(F.struct(F.lit(PLANTED).alias("prompt"), F.lit(PLANTED).alias("completion")))
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), planted.alias("record"))
+    return read_back(formatted_blocks(turns_of_columns(rows).unionByName(canonical_turns(extra))))
 
 
 OP4_SQL = r"""

@@ -68,3 +68,29 @@ def test_null_turns_come_last(spark):
     turns = chat.canonical_turns(spark.createDataFrame(records, "conv_id long, record string"))
     out = got(chat.read_back(chat.formatted_blocks(turns)))
     assert out == {1: digests([("assistant", "a"), ("assistant", "b"), ("user", "z")]), 2: digests([("user", "c")])}
+
+
+def test_typed_columns_lose_nothing(spark):
+    """Null turns, roles and texts and a text of 21 million characters, against OP4_SQL's rule written out."""
+    long = "x</s>" * 4_200_000
+    rows = [(1, None, "user", "z"), (1, 3, "assistant", None), (1, None, None, "b"), (2, None, "user", "c"), (3, 0, "assistant", long), (None, 1, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    out = got(chat.read_back(chat.formatted_blocks(chat.turns_of_columns(df))))
+    assert out == {1: digests([("assistant", ""), ("", "b"), ("user", "z")]), 2: digests([("user", "c")]), 3: digests([("assistant", long)]), None: digests([("", "")])}
+    nested = spark.createDataFrame([(5, [("human", "Hi"), ("gpt", None)]), (6, None)], "conv_id long, conversations array<struct<from:string,value:string>>")
+    assert [(r.conv_id, r.turn, r.role, r.text) for r in chat.turns_of_columns(nested).orderBy("turn").collect()] == [(5, 0, "user", "Hi"), (5, 1, "assistant", "")]
+    pair = spark.createDataFrame([(7, "a", None)], "conv_id long, prompt string, response string")
+    assert [(r.role, r.text) for r in chat.turns_of_columns(pair).collect()] == [("user", "a"), ("assistant", "")]
+
+
+def test_the_query_with_null_turns_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, None, "user", "z"), (1, 3, "assistant", "a [INST]"), (1, None, "assistant", "b"), (2, None, None, None), (None, 0, "user", "é")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    out = chat.op4_chat_format(spark, str(tmp_path))
+    want = c.execute(chat.OP4_SQL)
+    names = [d[0] for d in want.description]
+    assert sorted(map(str, (tuple(r[n] for n in names) for r in out.collect()))) == sorted(map(str, want.fetchall()))
