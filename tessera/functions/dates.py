@@ -33,13 +33,13 @@ def next_due(t, tier, kind="crawl") -> Column:
     return plus_hours(t, F.when(kind == "closed_check", V.CLOSED_CHECK_HOURS).otherwise(hours))
 
 
-def in_work_window(t, zone: str, first: int = 9, last: int = 17) -> Column:
+def in_work_window(t, zone, first: int = 9, last: int = 17) -> Column:
     """Monday to Friday, from the first hour until before the last, in the zone."""
-    local = F.from_utc_timestamp(col(t), zone)
+    local = F.from_utc_timestamp(col(t), zone)  # the zone is a name or a column
     return (F.weekday(local) < 5) & (F.hour(local) >= first) & (F.hour(local) < last)
 
 
-def next_work_window(t, zone: str, first: int = 9, last: int = 17) -> Column:
+def next_work_window(t, zone, first: int = 9, last: int = 17) -> Column:
     """The time itself inside a window, else the next window's start: the first of the days ahead that is later."""
     local = F.from_utc_timestamp(col(t), zone)
     starts = F.transform(F.sequence(F.lit(0), F.lit(21)), lambda d: F.date_trunc("day", local) + F.make_interval(days=d, hours=F.lit(first)))
@@ -47,6 +47,20 @@ def next_work_window(t, zone: str, first: int = 9, last: int = 17) -> Column:
     return F.when(in_work_window(t, zone, first, last), col(t)).otherwise(F.to_utc_timestamp(F.array_min(ahead), zone))
 
 
+def zone_of(countries) -> Column:
+    """The zone of the first country that has one, else UTC."""
+    table = F.create_map(*[F.lit(x) for pair in V.COUNTRY_ZONES.items() for x in pair])
+    known = F.filter(F.transform(col(countries), lambda c: F.try_element_at(table, F.upper(c))), lambda z: z.isNotNull())
+    return F.coalesce(F.get(known, F.lit(0)), F.lit("UTC"))
+
+
+def tolerant(x) -> Column:
+    """A timestamp of ISO or database text: a blank for the T, any number of decimals, an offset of hours only; null for all else."""
+    t = F.regexp_replace(F.trim(text(x)), r"^(\d{4}-\d{2}-\d{2}) (?=\d)", "$1T")
+    t = F.regexp_replace(F.regexp_replace(t, r"(\.\d{3})\d+", "$1"), r"(T.*[+-]\d{2})$", "$1:00")
+    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(t))
+
+
 def local_day(t, zone: str) -> Column:
     return F.to_date(F.from_utc_timestamp(col(t), zone))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as V
@@ -25,13 +25,14 @@ def job_language(title, body) -> Column:
     """english or non_english, from the first 6000 characters: script, then the share of English stop words."""
     head = F.when(F.trim(text(body)) != "", F.substring(text(body), 1, 6000)).otherwise(text(title))
     letters, latin = F.regexp_count(head, F.lit(r"\p{L}")), F.regexp_count(head, F.lit("[A-Za-z]"))
-    words = F.regexp_extract_all(F.lower(head), F.lit("[a-z']+"), F.lit(0))
-    stop = F.size(F.filter(words, lambda w: w.isin(V.ENGLISH_STOP_WORDS)))
+    low = F.lower(head)
+    words = F.regexp_count(low, F.lit("[a-z']++"))
+    stop = F.regexp_count(low, F.lit("(?<![a-z'])(?:" + "|".join(V.ENGLISH_STOP_WORDS) + ")(?![a-z'])"))  # whole words only
     return (
         F.when(letters == 0, "english")
         .when(latin / F.greatest(letters, F.lit(1)) < 0.6, "non_english")
-        .when(F.size(words) < 15, "english")
-        .when(stop / F.greatest(F.size(words), F.lit(1)) >= 0.08, "english")
+        .when(words < 15, "english")
+        .when(stop / F.greatest(words, F.lit(1)) >= 0.08, "english")
         .otherwise("non_english")
     )
 
@@ -178,6 +179,60 @@ def reply_class(x) -> Column:
     return first_case(x, V.REPLIES, "positive")
 
 
+def new_company_signal(body) -> Column:
+    """The first sentence that tells of a young company, clipped; null without one."""
+    said = F.get(F.filter(sentences(body), lambda s: s.rlike(js(V.NEW_COMPANY))), F.lit(0))
+    return F.substring(said, 1, 300)
+
+
+def skills_found(body) -> Column:
+    """Names of the skills that a text mentions, in the table's order."""
+    return F.array_compact(F.array(*[F.when(text(body).rlike(js(pattern)), F.lit(name)) for name, pattern in V.SKILLS]))
+
+
+def skill_demand(bodies: DataFrame, body: str, own: list[str], most: int = 12) -> DataFrame:
+    """(skill, n, in_cv): how many texts mention each skill, counted in one pass; the `most` first ones, and whether ours has them."""
+    one = bodies.agg(*[F.count_if(text(body).rlike(js(pattern))).alias(f"s{i}") for i, (_, pattern) in enumerate(V.SKILLS)])
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(name).alias("skill"), F.col(f"s{i}").alias("n"), F.lit(i).alias("place")) for i, (name, _) in enumerate(V.SKILLS)])).alias("s")).select("s.*").filter("n > 0")
+    low = F.lower("skill")
+    mine = F.lit(False)
+    for word in own:
+        mine = mine | F.lit(word.lower()).contains(F.regexp_replace(low, "s$", "")) | low.contains(word.lower())
+    return rows.withColumn("in_cv", mine).orderBy(F.desc("n"), "place").limit(most).select("skill", "n", "in_cv")
+
+
+def title_company(title, company, separator: str) -> Column:
+    """struct(title, company): where the company is unknown, what stands before the title's first separator is it."""
+    at = F.locate(separator, text(title))
+    split = (at > 0) & col(company).isNull()
+    rest = F.trim(F.substr(text(title), at + F.lit(len(separator))))
+    return F.struct(F.when(split, rest).otherwise(col(title)).alias("title"), F.when(split, F.trim(F.substr(text(title), F.lit(1), at - 1))).otherwise(col(company)).alias("company"))
+
+
+def cv_variant(title) -> Column:
+    return F.when(text(title).rlike(r"(?i)full\s?stack|backend|back-end|platform"), "ai_fullstack").otherwise("ai_engineer")
+
+
+def error_class(kind, status) -> Column:
+    """retryable, blocked or permanent, by the kind of a fault (network, http, body_too_large, ...) and its HTTP status; null without a fault."""
+    k, code = col(kind), col(status)
+    again = k.isin("network", "body_too_large", "render", "database") | ((k == "http") & (code.between(500, 599) | code.isin(408, 425, 429)))
+    return F.when(k.isNull(), None).when(again, "retryable").when(k.isin("blocked", "robots_denied"), "blocked").otherwise("permanent")
+
+
+def search_query(i) -> Column:
+    """The i-th query of the search plan: role, place and phrase count up like digits, one of four forms by turns."""
+    n = col(i)
+    pick = lambda values, k: F.get(F.array(*[F.lit(v) for v in values]), F.pmod(k, F.lit(len(values))).cast("int"))
+    digit = lambda size: F.floor(n / size)
+    roles, places = len(V.SEARCH_ROLES), len(V.SEARCH_PLACES)
+    parts = {"{role}": pick(V.SEARCH_ROLES, n), "{place}": pick(V.SEARCH_PLACES, digit(roles)), "{phrase}": pick(V.SEARCH_PHRASES, digit(roles * places))}
+    out = pick(V.SEARCH_FORMS, n)
+    for name, value in parts.items():
+        out = F.replace(out, F.lit(name), value)
+    return out
+
+
 def role_bucket(title) -> Column:
     return first_case(title, V.ROLE_BUCKETS, "Software engineer")
 

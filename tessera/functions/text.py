@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions import vocabulary as V
 
@@ -74,6 +78,28 @@ def page_text(x) -> Column:
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
+def readable(x) -> Column:
+    """A page's markup as plain text for reading: items after a dash, at most one empty line, an unclosed tag at the end goes."""
+    out = F.regexp_replace(text(x), r"(?is)<\s*(script|style)[^>]*>.*?<\s*/\s*\1\s*>", "")
+    for pattern, value in ((r"(?i)<\s*br\s*/?>", "\n"), (r"(?i)<\s*/\s*(?:p|div|li|h[1-6]|ul|ol|tr|section)\s*>", "\n"), (r"(?i)<\s*li[^>]*>", "\n- "), (r"<[^>]*>", ""), (r"<[^>]*$", "")):
+        out = F.regexp_replace(out, pattern, value)
+    out = decode_entities(out)
+    for pattern, value in ((r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " "), (r"(?U)^\s+|\s+$", "")):
+        out = F.regexp_replace(out, pattern, value)
+    return out
+
+
+@F.pandas_udf(StringType())
+def _nfkc(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+
+
+def nfkc(x) -> Column:
+    """Compatibility composition. Spark has none, so rows with other than ASCII characters go through Arrow; the rest never leave the JVM."""
+    other = text(x).rlike(r"[^\x00-\x7f]")
+    return F.coalesce(_nfkc(F.when(other, text(x))), text(x))
+
+
 def emails(x) -> Column:
     """Addresses in lower case, sorted, each once; punctuation at the end goes."""
     found = F.regexp_extract_all(text(x), F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0))

@@ -156,3 +156,14 @@ SKILLS = [
     ("Distributed systems", r"(?i)distributed systems?"), ("System design", r"(?i)system design"),
 ]
 LISTING_URL = r"(?i)(-jobs-in-|jobs-in-|\/jobs\/?$|\/jobs\?|\/search|\/role\/l\/|\/q-|\/jobs\/[a-z-]+-jobs|\/careers\/?$|\/blog\/|\/employer-blog\/|cv-writing)"
+
+# Words of young companies.
+NEW_COMPANY = r"(?i)\b(start-?up|early[- ]stage|pre-?seed|seed[- ](stage|round|funded)|series a\b|founding (engineer|team|member)|stealth|founded in 20(2[3-6])|(yc|y combinator)\s*\(?[wsfx]2[3-6]|just raised|recently raised|first \d+ (hires|employees)|small team of)\b"
+
+# Zones of countries; hosts that many boards share; parts of the search queries.
+COUNTRY_ZONES = {"SG": "Asia/Singapore", "AU": "Australia/Sydney", "NZ": "Pacific/Auckland", "US": "America/New_York", "UK": "Europe/London", "CA": "America/Toronto", "CH": "Europe/Zurich", "DE": "Europe/Berlin", "AE": "Asia/Dubai", "QA": "Asia/Qatar", "SA": "Asia/Riyadh", "ID": "Asia/Jakarta"}
+SHARED_HOSTS = ["boards-api.greenhouse.io", "api.lever.co", "api.ashbyhq.com", "api.smartrecruiters.com"]
+SEARCH_ROLES = ["AI engineer", "AI software engineer", "LLM engineer", "GenAI engineer", "agentic AI engineer", "AI fullstack engineer", "machine learning engineer"]
+SEARCH_PLACES = ["Singapore", "Dubai", "Abu Dhabi", "Riyadh", "Saudi Arabia", "Doha", "Auckland", "Wellington", "Sydney", "Melbourne", "London", "Berlin", "Zurich", "Toronto", "remote"]
+SEARCH_PHRASES = ['"send your CV"', '"send your resume"', '"email your CV"', '"apply via email"', '"careers@"', '"hiring@"']
+SEARCH_FORMS = ['"{role}" {place} {phrase}', 'site:linkedin.com/posts "{role}" {place} hiring {phrase}', '"{role}" {place} startup hiring {phrase}', '"{role}" {place} ("seed" OR "series A" OR "founding engineer") {phrase}']

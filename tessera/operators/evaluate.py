@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as V
-from tessera.functions.text import js, sentences, text
+from tessera.functions.text import js, nfkc, sentences, text
 
 
 def normal(x: Column) -> Column:
@@ -75,12 +75,12 @@ def outcome(label, predicted) -> Column:
 
 
 def evaluated(cases: DataFrame) -> DataFrame:
-    """Cases with predicted, outcome, reason and seniority bucket."""
-    r, g = role("title", "description"), language("title", "description")
-    rows = cases.withColumns({"_role": r, "_language": g})
+    """Cases with predicted, outcome, reason and seniority bucket. Rules see titles and descriptions in compatibility composition."""
+    r, g = role("_title", "_description"), language("_title", "_description")
+    rows = cases.withColumns({"_title": nfkc("title"), "_description": nfkc("description")}).withColumns({"_role": r, "_language": g})
     predicted = F.col("_role.fit") & F.col("_language.fit")
     reason = F.when(F.col("_role.fit"), F.col("_language.reason")).otherwise(F.col("_role.reason"))
-    return rows.withColumns({"predicted": predicted, "why": reason, "bucket": seniority("seniority", "title")}).withColumn("outcome", outcome(F.col("label"), F.col("predicted"))).drop("_role", "_language")
+    return rows.withColumns({"predicted": predicted, "why": reason, "bucket": seniority("seniority", "_title")}).withColumn("outcome", outcome(F.col("label"), F.col("predicted"))).drop("_role", "_language", "_title", "_description")
 
 
 def metrics(rows: DataFrame, groups: list[str], label: str = "label", predicted: str = "predicted") -> DataFrame:

@@ -67,6 +67,51 @@ def shares(rows: DataFrame, by: str, items: Column, relevant: Column, duplicate:
 
 
 def budget_gate(rows: DataFrame, time: str, cost: str, cap: float, tie: str) -> DataFrame:
-    """Running cost of each month in order of time, and whether each row still fits under the cap."""
-    w = Window.partitionBy(F.date_trunc("month", F.col(time))).orderBy(time, tie).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("spent", F.sum(cost).over(w)).withColumn("fits", F.col("spent") <= cap)
+    """Running cost of each month in order of time, and whether each row still fits under the cap.
+
+    Days are summed first and the sums run over the days of a month (31 rows at most), so the rows of a month are in as
+    many tasks as it has days.
+    """
+    month, day = F.date_trunc("month", F.col(time)), F.date_trunc("day", F.col(time))
+    days = rows.groupBy(month.alias("_month"), day.alias("_day")).agg(F.sum(cost).alias("_sum"))
+    before = Window.partitionBy("_month").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(F.col("_day").alias("_d"), F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_before"))
+    within = Window.partitionBy("_day").orderBy(time, tie).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("_day", day).join(days, F.col("_day").eqNullSafe(F.col("_d")), "left").drop("_d")
+    return out.withColumn("spent", F.col("_before") + F.sum(cost).over(within)).withColumn("fits", F.col("spent") <= cap).drop("_day", "_before")
+
+
+def without_overlap(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among the others'."""
+    return rows.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def found_in(rows: DataFrame, fields: list[str], words: str, health: str | None = None) -> DataFrame:
+    """Rows whose fields, joined by blanks, hold the words in any case; with a health only those of it."""
+    hit = F.contains(F.lower(F.concat_ws(" ", *fields)), F.lit(words.strip().lower()))
+    return rows.filter(hit if health is None else hit & (F.col("health") == health))
+
+
+#: The status that a tab of the outreach list shows; two of them are virtual.
+TABS = {"draft": "draft", "drafts": "draft", "scheduled": "scheduled_queue", "sent": "sent", "replied": "replied", "followup_due": "followup_due"}
+
+
+def tab(rows: DataFrame, name: str | None, now: Column, status: str | None = None, days: int = 6, **more) -> DataFrame:
+    """Rows of a tab, or of a status where one is given; more equality filters count where they are given.
+
+    scheduled_queue is what waits or is being sent; followup_due are first letters sent `days` ago or more, to jobs
+    without a follow-up.
+    """
+    status = status or TABS.get(name or "")
+    out = filtered(rows, **more)
+    if status == "scheduled_queue":
+        return out.filter(F.col("status").isin("approved", "scheduled", "sending"))
+    if status == "followup_due":
+        old = F.unix_micros("sent_at") <= F.unix_micros(now) - days * 86_400_000_000
+        return without_overlap(out.filter((F.col("kind") == "initial") & (F.col("status") == "sent") & old), rows.filter("kind = 'followup'"), "job_id")
+    return filtered(out, status=status)
+
+
+def queue_depth(tasks: DataFrame) -> DataFrame:
+    """One row: tasks that wait or are leased."""
+    return tasks.agg(F.count_if(F.col("status").isin("queued", "leased")).alias("depth"))

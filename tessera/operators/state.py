@@ -11,7 +11,7 @@ from tessera.functions.scoring import backoff_seconds
 
 
 def plus_seconds(t, seconds) -> Column:
-    return F.timestamp_micros(F.unix_micros(t) + (seconds * 1_000_000).cast("long"))
+    return F.timestamp_micros(F.unix_micros(t) + (seconds.cast("double") * 1_000_000).cast("long"))
 
 
 def claimable(now: Column) -> Column:
@@ -91,6 +91,19 @@ def expire(state: DataFrame, now: Column, days: int = 14) -> DataFrame:
     return state.withColumn("status", F.when(old, "closed").otherwise(F.col("status")))
 
 
+def schedule(sources: DataFrame, now: Column, most: int = 1000) -> DataFrame:
+    """Sources with a crawl or a check for closed postings due, by tier and the earlier of both -> their tasks of either kind."""
+    from tessera.functions.scoring import queue_priority
+
+    free = F.col("blocked_until").isNull() | (F.col("blocked_until") <= now)
+    due = sources.filter(free & ((F.col("next_due_at") <= now) | (F.col("closed_due_at") <= now)))
+    first = due.orderBy("tier", F.least("next_due_at", "closed_due_at"), "id").limit(most)
+    kinds = F.explode(F.array(F.struct(F.lit("crawl").alias("kind"), F.col("next_due_at").alias("at")), F.struct(F.lit("closed_check").alias("kind"), F.col("closed_due_at").alias("at")))).alias("t")
+    each = first.select("id", "tier", kinds).filter(F.col("t.at") <= now)
+    key = F.concat_ws(":", "t.kind", "id", F.date_format("t.at", "yyyy-MM-dd'T'HH:mm:ss"))
+    return each.select(F.md5(key).alias("id"), key.alias("dedupe_key"), "t.kind", F.col("id").alias("source_id"), queue_priority("tier", F.col("t.kind")).alias("priority"))
+
+
 def due_tasks(sources: DataFrame, now: Column, most: int = 1000) -> DataFrame:
     """Due sources by tier and due time -> their tasks (id, dedupe_key, kind, source_id, priority)."""
     from tessera.functions.scoring import queue_priority
@@ -202,3 +215,121 @@ def with_companies(companies: DataFrame, names: DataFrame) -> DataFrame:
     fresh = names.filter(F.trim("name") != "").groupBy(F.lower("name").alias("_key")).agg(F.min("name").alias("name"))
     fresh = fresh.join(companies.select(F.lower("name").alias("_key")), "_key", "left_anti").select(F.md5("_key").alias("id"), "name")
     return companies.unionByName(fresh, allowMissingColumns=True)
+
+
+def source_failures(sources: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
+    """(id, blocked, error) of failed crawls -> sources with fail_count, blocked_until and last_error: three failures or a ban rest a source for a day."""
+    each = failures.groupBy("id").agg(F.count("*").alias("_n"), F.max("blocked").alias("_blocked"), F.max("error").alias("_error"))
+    out = sources.join(each, "id", "left")
+    hit = F.col("_n").isNotNull()
+    count = F.col("fail_count") + F.col("_n")
+    return out.withColumns({
+        "blocked_until": F.when(hit & ((count >= 3) | F.col("_blocked")), plus_seconds(now, F.lit(86_400))).otherwise(F.col("blocked_until")),
+        "last_error": F.when(hit, F.col("_error")).otherwise(F.col("last_error")),
+        "fail_count": F.when(hit, count).otherwise(F.col("fail_count")),
+    }).select(sources.columns)
+
+
+def source_successes(sources: DataFrame, done: DataFrame) -> DataFrame:
+    """(id) of sources that answered: failures are forgotten."""
+    out = sources.join(done.select("id", F.lit(True).alias("_ok")).dropDuplicates(["id"]), "id", "left")
+    new = {"fail_count": F.lit(0), "blocked_until": F.lit(None), "last_error": F.lit(None)}
+    return out.withColumns({k: F.when(F.col("_ok"), v).otherwise(F.col(k)) for k, v in new.items()}).select(sources.columns)
+
+
+def company_health(companies: DataFrame, sources: DataFrame, ends: DataFrame) -> DataFrame:
+    """(id, ok, blocked) of crawled sources -> companies with the health of their last word: blocked before failing before ok."""
+    each = ends.join(sources.select("id", "company_id"), "id").groupBy("company_id").agg(F.max("blocked").alias("_blocked"), F.min("ok").alias("_ok"))
+    out = companies.join(each, companies.id == each.company_id, "left")
+    health = F.when(F.col("_ok"), "ok").when(F.col("_blocked"), "blocked").otherwise("failing")
+    return out.withColumn("health", F.when(F.col("_ok").isNotNull(), health).otherwise(F.col("health"))).select(*[companies[c] if c != "health" else F.col("health") for c in companies.columns])
+
+
+def upsert_sightings(sightings: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
+    """(job_id, source_id, url) of a crawl, the last of each by position -> sightings with the new address and time."""
+    last = batch.groupBy("job_id", "source_id").agg(F.max_by("url", "position").alias("_url"))
+    out = sightings.join(last, ["job_id", "source_id"], "full_outer")
+    return out.select("job_id", "source_id", F.coalesce("_url", "url").alias("url"), F.when(F.col("_url").isNotNull(), now).otherwise(F.col("seen_at")).alias("seen_at"))
+
+
+def judge_queue(jobs: DataFrame, now: Column, n: int = 25) -> DataFrame:
+    """The n jobs to judge next: new, parked ones that are due, targets not confirmed or to be scored again; the latter first, then by age."""
+    waiting = F.col("status").isin("new", "unverified", "pending_judge") | ((F.col("status") == "targeted") & (~F.col("jev_verified") | F.col("needs_rescore")))
+    due = jobs.filter(F.col("closed_at").isNull() & (F.col("next_judge_at") <= now) & waiting)
+    return due.orderBy(F.desc("needs_rescore"), F.desc(F.coalesce("posted_at", "first_seen_at")), "id").limit(n)
+
+
+def park(jobs: DataFrame, parked: DataFrame, now: Column) -> DataFrame:
+    """(id, status, reason, minutes) -> jobs that wait so long for the next judgement; without a status only the time changes."""
+    p = parked.select("id", F.col("status").alias("_status"), F.col("reason").alias("_reason"), F.col("minutes").alias("_minutes")).dropDuplicates(["id"])
+    out = jobs.join(p, "id", "left")
+    named = F.col("_status").isNotNull()
+    return out.withColumns({
+        "status": F.coalesce("_status", "status"),
+        "skip_reason": F.when(named, F.col("_reason")).otherwise(F.col("skip_reason")),
+        "next_judge_at": F.when(F.col("_minutes").isNotNull(), plus_seconds(now, F.col("_minutes") * 60)).otherwise(F.col("next_judge_at")),
+    }).select(jobs.columns)
+
+
+def upsert_feedback(feedback: DataFrame, batch: DataFrame) -> DataFrame:
+    """(job_id, verdict, at): the latest verdict of each job."""
+    every = feedback.unionByName(batch.select(feedback.columns))
+    return every.groupBy("job_id").agg(F.max_by(F.struct("verdict", "at"), "at").alias("v")).select("job_id", "v.*")
+
+
+def do_not_contact(entries: DataFrame, companies: DataFrame) -> DataFrame:
+    """(email_or_domain, reason), (name, domain) of companies ruled out -> entries with those that are not there yet."""
+    key = F.coalesce("domain", F.concat(F.lit("company:"), F.lower("name")))
+    new = companies.select(key.alias("email_or_domain"), F.lit("Blacklisted from dashboard").alias("reason")).dropDuplicates(["email_or_domain"])
+    return entries.unionByName(new.join(entries, "email_or_domain", "left_anti"))
+
+
+def patched(rows: DataFrame, patch: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, set: array of field names, fields) -> rows in which named fields have the patch's value, null too; the others stay."""
+    p = patch.select(key, F.col("set").alias("_set"), *[F.col(f).alias(f"_{f}") for f in fields])
+    out = rows.join(p, key, "left")
+    named = lambda f: F.coalesce(F.array_contains("_set", f), F.lit(False))
+    return out.withColumns({f: F.when(named(f), F.col(f"_{f}")).otherwise(F.col(f)) for f in fields}).select(rows.columns)
+
+
+def yield_stats(stats: DataFrame, events: DataFrame) -> DataFrame:
+    """(id, items, relevant, duplicate, failed, at) events -> counters of each id with the first and last time of a yield. Deltas are summed before they meet the state."""
+    items, relevant = F.sum(F.coalesce("items", F.lit(1))), F.sum(F.coalesce("relevant", F.lit(0)))
+    delta = events.groupBy("id").agg(items.alias("_items"), relevant.alias("_relevant"), F.count_if("duplicate").alias("_duplicates"), F.count_if("failed").alias("_failures"), F.min("at").alias("_first"), F.max("at").alias("_last"))
+    out = stats.join(delta, "id", "full_outer")
+    plus = lambda a, b: (F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))).alias(a)
+    counts = [plus(a, b) for a, b in (("items_seen", "_items"), ("relevant_jobs", "_relevant"), ("duplicate_jobs", "_duplicates"), ("failures", "_failures"))]
+    return out.select("id", *counts, F.coalesce("first_yield_at", "_first").alias("first_yield_at"), F.coalesce("_last", "last_yield_at").alias("last_yield_at"))
+
+
+def seeded(sources: DataFrame, seed: DataFrame, key: str = "seed_key", kept: tuple = ("status",)) -> DataFrame:
+    """Sources and a seed by key: new rows come in, known ones take the seed's values but for the kept columns. Twice is as once."""
+    s, n = sources.alias("s"), seed.alias("n")
+    known, given = F.col(f"s.{key}").isNotNull(), F.col(f"n.{key}").isNotNull()
+    pick = lambda c: F.when(given & ~(known & F.lit(c in kept)), F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
+    return s.join(n, F.col(f"s.{key}") == F.col(f"n.{key}"), "full_outer").select(*[pick(c) for c in sources.columns])
+
+
+def search_turn(cursor, space: int, forms: int = 4) -> Column:
+    """struct(query, next): the number of the search query that is due and the cursor after it."""
+    at = F.pmod(F.coalesce(F.col(cursor) if isinstance(cursor, str) else cursor, F.lit(0)), F.lit(space * forms))
+    return F.struct(at.alias("query"), (at + 1).alias("next"))
+
+
+def breaker_key(url) -> Column:
+    """What rests together after failures: a host, or a board's path on hosts that many boards share."""
+    from tessera.functions import vocabulary as V
+    from tessera.functions.urls import host
+
+    x = F.col(url) if isinstance(url, str) else url
+    parts = F.slice(F.split(F.regexp_replace(F.coalesce(F.try_parse_url(x, F.lit("PATH")), F.lit("")), "^/", ""), "/"), 1, 5)
+    return F.when(host(x).isin(V.SHARED_HOSTS), F.concat(host(x), F.lit("/"), F.array_join(parts, "/"))).otherwise(host(x))
+
+
+def circuits(ends: DataFrame) -> DataFrame:
+    """(url, at, ok, blocked) of requests -> key, streak, rests_until: failures since the key's last success and how long it rests from its last failure."""
+    rows = ends.withColumn("key", breaker_key("url"))
+    last = rows.groupBy("key").agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("_ok"))
+    bad = rows.filter("NOT ok").join(last, "key").filter("_ok IS NULL OR at > _ok")
+    each = bad.groupBy("key").agg(F.count("*").alias("streak"), F.max("at").alias("_at"), F.max_by("blocked", "at").alias("_blocked"))
+    return each.select("key", "streak", plus_seconds(F.col("_at"), open_circuit(F.col("streak"), F.col("_blocked"))).alias("rests_until"))

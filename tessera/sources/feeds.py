@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,8 +45,13 @@ def json_items(body: Column, at: str) -> Column:
 
 
 def board(payloads: DataFrame, kind: str, fields: dict | None = None, strict: bool = False) -> DataFrame:
-    """(body, base_url, ...) -> RECORD rows with the payload's other columns. Items without title or address are skipped, or raise if strict."""
+    """(body, base_url, ...) -> RECORD rows with the payload's other columns. Items without title or address are skipped, or raise if strict.
+
+    `fields` replaces the board's own: a field that is configured has no other choice to fall back on. With a JSON path
+    under "next_page" each row also has the payload's cursor.
+    """
     m = BOARDS[kind] | (fields or {})
+    next_page = value_text(F.col("body"), m["next_page"]) if m.get("next_page") else None
     rows = payloads.withColumn("_item", F.explode(json_items(F.col("body"), m["items"])))
     pick = lambda k: F.coalesce(*[value_text(F.col("_item"), p) for p in m[k]], F.lit(None).cast("string"))
     base = F.col("base_url") if "base_url" in payloads.columns else F.lit(None).cast("string")
@@ -52,6 +59,8 @@ def board(payloads: DataFrame, kind: str, fields: dict | None = None, strict: bo
     if kind == "workday":
         out["external_id"] = F.coalesce(out["external_id"], F.translate(F.regexp_replace(out["url"], "^/", ""), "/", ":"))
         out["url"] = urls.joined(base, out["url"])
+    if next_page is not None:
+        out["next_page"] = next_page
     made = rows.select(*[c for c in payloads.columns if c not in ("body", "base_url")], *[v.alias(k) for k, v in out.items()])
     whole = (F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != "")
     if strict:
@@ -87,16 +96,35 @@ def sitemap(payloads: DataFrame) -> DataFrame:
     return rows.withColumn("url", F.replace("url", F.lit("&amp;"), F.lit("&"))).filter("url rlike '(?i)^https?://'")
 
 
+#: How deep postings are looked for in arrays and @graph of one another.
+DEPTH = 6
+
+
+def is_posting(item: Column) -> Column:
+    kinds = F.get_json_object(item, "$['@type']")
+    many = F.coalesce(F.from_json(kinds, "array<string>"), F.array(kinds))
+    return F.coalesce(F.exists(many, lambda k: F.lower(k) == "jobposting"), F.lit(False))
+
+
 def json_ld(payloads: DataFrame) -> DataFrame:
-    """(body, base_url) of HTML pages -> RECORD rows of their JobPosting objects: single ones, arrays, and @graph."""
+    """(body, base_url) of HTML pages -> RECORD rows of their JobPosting objects: single ones, in arrays and in @graph, to a depth of DEPTH.
+
+    A posting is not looked into for others.
+    """
     scripts = F.regexp_extract_all(F.col("body"), F.lit(r'(?is)<script\b[^>]*type\s*=\s*["\']application/ld\+json["\'][^>]*>(.*?)</script>'), F.lit(1))
     rows = payloads.select("*", F.explode(scripts).alias("_s"))
-    many = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array(c))
-    top = rows.select(*payloads.columns, F.explode(many(F.col("_s"))).alias("_o"))
-    inner = F.coalesce(F.from_json(F.get_json_object("_o", "$['@graph']"), "array<string>"), F.array(F.col("_o")))
-    objects = top.select(*payloads.columns, F.explode(inner).alias("_item"))
-    kinds = F.lower(F.coalesce(F.get_json_object("_item", "$['@type']"), F.lit("")))
-    jobs = objects.filter(kinds.rlike(r'(^|["])jobposting($|["])'))
+    level, none = F.array("_s"), F.array().cast("array<string>")
+
+    def below(x: Column) -> Column:
+        graph = F.get_json_object(x, "$['@graph']")
+        inside = F.coalesce(F.from_json(graph, "array<string>"), F.when(graph.isNotNull(), F.array(graph)), none)
+        return F.when(F.ltrim(x).startswith("["), F.coalesce(F.from_json(x, "array<string>"), none)).when(is_posting(x), F.array(x)).otherwise(inside)
+
+    rows = rows.withColumn("_level", level)
+    for _ in range(DEPTH):
+        rows = rows.withColumn("_level", F.flatten(F.transform("_level", below)))
+    objects = rows.select(*payloads.columns, F.explode("_level").alias("_item"))
+    jobs = objects.filter(is_posting(F.col("_item")))
     pick = lambda *ps: F.coalesce(*[value_text(F.col("_item"), p) for p in ps], F.lit(None).cast("string"))
     place = F.concat_ws(", ", *[pick(f"$.jobLocation.address.{k}", f"$.jobLocation[0].address.{k}") for k in ("addressLocality", "addressRegion", "addressCountry")])
     url = pick("$.url", "$.mainEntityOfPage", "$['@id']")
@@ -125,10 +153,16 @@ def hiring_thread(payloads: DataFrame) -> DataFrame:
 
 
 def csv_rows(payloads: DataFrame, fields: dict[str, str | int], delimiter: str = ",", header: bool = True) -> DataFrame:
-    """(body) of CSV files -> RECORD rows: fields by header name or position. A row without title or url raises."""
-    cell = rf'(?:^|{delimiter})(?:"((?:[^"]|"")*)"|([^"{delimiter}]*))'
-    lines = F.filter(F.split("body", r"\r?\n(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda line: F.trim(line) != "")
-    quoted, plain = (F.regexp_extract_all(F.col("_line"), F.lit(cell), F.lit(i)) for i in (1, 2))
+    """(body) of CSV files -> RECORD rows: fields by header name or position. A row without title or url raises.
+
+    Quoted cells may hold delimiters, doubled quotes and line ends; a quote that is never closed holds the rest of the file.
+    """
+    d = re.escape(delimiter)
+    # possessive, so that a cell or file of any length is read without recursion and in one pass
+    cell = rf'{d}(?:"((?:[^"]++|"")*+)"|([^"{d}]*+))'
+    every = F.regexp_extract_all(F.col("body"), F.lit(r'(?:[^"\n]++|"(?:[^"]++|"")*+"?)++'), F.lit(0))
+    lines = F.filter(F.transform(every, lambda line: F.regexp_replace(line, r"\r$", "")), lambda line: F.trim(line) != "")
+    quoted, plain = (F.regexp_extract_all(F.concat(F.lit(delimiter), F.col("_line")), F.lit(cell), F.lit(i)) for i in (1, 2))
     cells = F.zip_with(quoted, plain, lambda q, p: F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(p))
     kept = [c for c in payloads.columns if c != "body"]
     rows = payloads.select(*kept, lines.alias("_lines")).select(*kept, F.get("_lines", F.lit(0)).alias("_line"), F.explode(F.slice("_lines", 2 if header else 1, 2**30)).alias("_row"))
@@ -182,3 +216,118 @@ def allowed(requests: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     hits = F.filter("rules", lambda r: F.regexp_like(F.col("path"), r["regex"]))
     verdict = F.get(F.array_sort(hits, lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).otherwise(b["allow"].cast("int") - a["allow"].cast("int"))), F.lit(0))["allow"]
     return requests.join(sets, "host", "left").withColumn("allowed", F.coalesce(verdict, F.lit(True))).drop("rules")
+
+
+def next_offset(payloads: DataFrame, size: int) -> DataFrame:
+    """(body, offset, ...) of Workday listings -> the payloads whose page was full, with the offset of the next one."""
+    n = F.size(json_items(F.col("body"), BOARDS["workday"]["items"]))
+    return payloads.filter(n >= size).withColumn("offset", F.col("offset") + size).drop("body")
+
+
+def hiring_threads(listings: DataFrame, most: int = 2) -> DataFrame:
+    """(body) of thread searches, newest first -> (thread_id) of the first ones asking who is hiring, of each payload."""
+    hits = F.filter(json_items(F.col("body"), "$.hits"), lambda h: F.lower(F.coalesce(F.get_json_object(h, "$.title"), F.lit(""))).contains("who is hiring"))
+    ids = F.filter(F.transform(hits, lambda h: F.get_json_object(h, "$.objectID")), lambda x: x.isNotNull())
+    return listings.select(*[c for c in listings.columns if c != "body"], F.explode(F.slice(ids, 1, most)).alias("thread_id"))
+
+
+#: Of each board the part that tells an endpoint, the configured name, the host and the endpoint of a name.
+ENDPOINTS = {
+    "greenhouse": ("boards-api.greenhouse.io/v1/boards/", ["$.board_token"], "greenhouse.io", "https://boards-api.greenhouse.io/v1/boards/%s/jobs?content=true"),
+    "lever": ("api.lever.co/v0/postings/", ["$.organization", "$.org"], "lever.co", "https://api.lever.co/v0/postings/%s?mode=json"),
+    "ashby": ("api.ashbyhq.com/posting-api/job-board/", ["$.board", "$.organization"], "ashbyhq.com", "https://api.ashbyhq.com/posting-api/job-board/%s?includeCompensation=true"),
+}
+
+
+def endpoint(kind: str, url, config) -> Column:
+    """The listing's address of a board: the url if it is one, else made of the configured name or that in the url; null without one."""
+    url, config = F.col(url) if isinstance(url, str) else url, F.col(config) if isinstance(config, str) else config
+    configured = lambda p: F.nullif(F.trim(F.get_json_object(config, p)), F.lit(""))
+    if kind == "workday":
+        origin = F.regexp_extract(url, r"^(https?://[^/?#:]+)", 1)
+        made = F.concat(origin, F.lit("/wday/cxs/"), configured("$.tenant"), F.lit("/"), configured("$.site"), F.lit("/jobs"))
+        return F.when(url.contains("/wday/cxs/"), url).otherwise(made)
+    known, names, host, address = ENDPOINTS[kind]
+    parts = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"), lambda p: p != "")
+    own = F.when(urls.host(url).endswith(host), F.get(parts, F.lit(0)))
+    if kind == "greenhouse":
+        at = F.array_position(F.transform(parts, lambda p: F.lower(p)), "boards")
+        own = F.coalesce(F.when(at > 0, F.get(parts, at.cast("int"))), own)
+    name = F.coalesce(*[configured(p) for p in names], own)
+    before, after = address.split("%s")
+    return F.when(url.contains(known), url).otherwise(F.concat(F.lit(before), name, F.lit(after)))
+
+
+def first_board(probes: DataFrame) -> DataFrame:
+    """(slug, kind, body) of probed boards -> (slug, kind, jobs, company): of each slug the first of greenhouse, ashby and lever that lists a job."""
+    jobs = F.size(F.when(F.col("kind") == "lever", json_items(F.col("body"), "$")).otherwise(json_items(F.col("body"), "$.jobs")))
+    order = F.array_position(F.array(*[F.lit(k) for k in ("greenhouse", "ashby", "lever")]), F.col("kind"))
+    named = F.when(F.col("kind") == "greenhouse", F.nullif(F.get_json_object("body", "$.jobs[0].company_name"), F.lit("")))
+    words = F.transform(F.split("slug", "[-_]"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2**30)))
+    rows = probes.select("slug", "kind", jobs.alias("jobs"), F.coalesce(named, F.array_join(words, " ")).alias("company"), order.alias("_n")).filter("jobs > 0 and _n > 0")
+    return rows.groupBy("slug").agg(F.min_by(F.struct("kind", "jobs", "company"), "_n").alias("b")).select("slug", "b.*")
+
+
+#: Where the search services have their results, and links that are no results.
+SEARCHES = {
+    "brave": {"items": "$.web.results", "url": "$.url", "snippet": ["$.description", "$.extra_snippets"]},
+    "serper": {"items": "$.organic", "url": "$.link", "snippet": ["$.snippet"]},
+    "google_cse": {"items": "$.items", "url": "$.link", "snippet": ["$.snippet"]},
+}
+NO_RESULT = r"yahoo\.|yimg\.|bing\.com|doubleclick|/search\?"
+
+
+def search_hits(payloads: DataFrame, kind: str) -> DataFrame:
+    """(body) of search services -> at, url, title, snippet, tags taken out of snippets."""
+    m = SEARCHES[kind]
+    rows = payloads.select(*[c for c in payloads.columns if c != "body"], F.posexplode(json_items(F.col("body"), m["items"])).alias("at", "_i"))
+    get = lambda p: F.coalesce(F.get_json_object("_i", p), F.lit(""))
+    parts = [F.when(get(p).startswith("["), F.array_join(F.from_json(get(p), "array<string>"), " ")).otherwise(get(p)) for p in m["snippet"]]
+    said = F.array_join(F.filter(F.array(*parts), lambda s: s != ""), " ")
+    snippet = F.regexp_replace(said, r"<[^>]+>", "") if kind == "brave" else said
+    return rows.select(*[c for c in payloads.columns if c != "body"], "at", get(m["url"]).alias("url"), get("$.title").alias("title"), snippet.alias("snippet"))
+
+
+def markdown_hits(payloads: DataFrame, most: int = 15) -> DataFrame:
+    """(body) of result pages in Markdown -> at, url, title, snippet: links without the service's own, unwrapped, each once, `most` of a page."""
+    link = r"\[([^\]]{3,200})\]\((https?://[^)\s]+)\)"
+    body = F.regexp_replace("body", link, "\u0001$0")
+    pieces = F.slice(F.split(body, "\u0001"), 2, 2**30)  # each begins with its link
+    tidy = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\\([+\-!().#*_\[\]])", "$1"), r"[*_`#]", ""), r"\s+", " "))
+
+    def hit(p: Column, i: Column) -> Column:
+        raw = F.regexp_extract(p, link, 2)
+        inner = F.regexp_extract(raw, r"/RU=([^/]+)/", 1)
+        rest = F.array_join(F.slice(pieces, i + 1, 2**30), "")
+        after = F.substring(F.regexp_replace(rest, "^" + link, ""), 1, 400)
+        return F.struct(F.when(inner != "", F.try_url_decode(inner)).otherwise(raw).alias("url"), tidy(F.regexp_extract(p, link, 1)).alias("title"), tidy(F.regexp_replace(after, r"\[[^\]]*\]\([^)]*\)", " ")).alias("snippet"))
+
+    hits = F.filter(F.transform(pieces, hit), lambda h: ~h["url"].rlike(NO_RESULT))
+    addresses = F.slice(F.array_distinct(F.transform(hits, lambda h: h["url"])), 1, most)
+    once = F.transform(addresses, lambda u: F.get(F.filter(hits, lambda h: h["url"] == u), F.lit(0)))
+    kept = [c for c in payloads.columns if c != "body"]
+    return payloads.select(*kept, F.posexplode(once).alias("at", "h")).select(*kept, "at", "h.*")
+
+
+def simple_robots(files: DataFrame) -> DataFrame:
+    """(host, body) -> (host, prefix): the Disallow prefixes of the group of all agents, up to a star; comments don't count."""
+    lines = files.select("host", F.posexplode(F.split("body", r"\r?\n")).alias("at", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*", "")))
+    key, value = F.lower(F.trim(F.split_part("line", F.lit(":"), F.lit(1)))), F.trim(F.regexp_replace("line", r"^[^:]*:?", ""))
+    rows = lines.select("host", "at", key.alias("k"), value.alias("v")).filter("k in ('user-agent', 'disallow')")
+    every = rows.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "k", "v"))).alias("r"))
+
+    def step(s: Column, x: Column) -> Column:
+        agent = x["k"] == "user-agent"
+        found = F.when(~agent & s["mine"] & (x["v"] != ""), F.concat(s["found"], F.array(x["v"]))).otherwise(s["found"])
+        return F.struct(F.when(agent, x["v"] == "*").otherwise(s["mine"]).alias("mine"), found.alias("found"))
+
+    start = F.struct(F.lit(False).alias("mine"), F.array().cast("array<string>").alias("found"))
+    found = F.aggregate("r", start, step)["found"]
+    return every.select("host", F.explode(found).alias("prefix")).withColumn("prefix", F.regexp_replace("prefix", r"(?s)\*.*$", ""))
+
+
+def simply_allowed(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, ...) with `allowed`: no prefix of the host begins the path."""
+    sets = rules.groupBy("host").agg(F.collect_set("prefix").alias("_p"))
+    out = requests.join(sets, "host", "left")
+    return out.withColumn("allowed", ~F.coalesce(F.exists("_p", lambda p: F.col("path").startswith(p)), F.lit(False))).drop("_p")

@@ -17,10 +17,11 @@ def csv_lines(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A folder of part files with CRLF line ends; the header is the first line of each."""
+    """A folder of part files with CRLF line ends; the header is the first line of each that has rows."""
     head = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
-    csv_lines(df).select(F.concat("line", F.lit("\r")).alias("line")).write.option("lineSep", "\n").text(path)
-    df.sparkSession.createDataFrame([(head,)], "line string").coalesce(1).write.mode("append").text(path + "-header")
+    first = F.monotonically_increasing_id() % (1 << 33) == 0  # the first row of its partition, which is a file
+    line = F.concat(F.when(first, head + "\r\n").otherwise(""), "line", F.lit("\r"))
+    csv_lines(df).select(line.alias("line")).write.option("lineSep", "\n").text(path)
 
 
 def envelope(data: Column) -> Column:
