@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as V
+from tessera.functions.dates import age_group, local_day
 from tessera.functions.scoring import lookup
-from tessera.functions.text import col, js, normal_space, text
+from tessera.functions.text import col, js, normal_space, page_text, text
 
 
 def percent(x) -> Column:
@@ -227,3 +228,118 @@ def admission(confidence, verdict, method, generic: list[str], now: Column, auto
     sure = (col(confidence) >= 0.75) & col(verdict) & col(method).isin(generic) & F.lit(auto)
     active = F.coalesce(sure, F.lit(False))
     return F.struct(F.when(active, "active").otherwise("candidate").alias("status"), F.when(active, F.timestamp_micros(F.unix_micros(now) + 7 * 86_400_000_000)).alias("trial_until"))
+
+
+def country_short(x) -> Column:
+    code = F.upper(text(x))
+    known = F.create_map(*[F.lit(v) for item in V.COUNTRY_SHORT.items() for v in item])
+    return F.coalesce(F.try_element_at(known, code), F.when(F.char_length(code) == 2, code), text(x))
+
+
+PLACE = "struct<city:string,country:string,countries:array<string>,regions:array<string>>"
+
+
+def _place(segment: Column, us_first: Column) -> Column:
+    """What the parts of a place's text are: a city, countries, regions; the first city and the first country stand for it."""
+    words = F.create_map(*[F.lit(v) for item in V.COUNTRY_WORDS.items() for v in item])
+    clean = lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(p, js(V.PLACE_NOISE), " "), r"\s+", " "), r"^[^\p{L}]+|[^\p{L}.]+$", ""))
+    tokens = F.filter(F.transform(F.split(segment, js(r"(?i)\s*(?:,|:|\s-\s|\band\b)\s*")), clean), lambda t: t != "")
+
+    def step(s: Column, token: Column) -> Column:
+        key, no_city = F.lower(token), s["city"] == ""
+        name = F.try_element_at(words, key)
+        ends_us = key.rlike(r"\s(usa|us)$") & no_city
+        state = ~no_city & key.isin(V.PLACE_STATES) & (us_first | (F.char_length(key) > 2) | name.isNull())
+        country, region = name.isNotNull() & (name != ""), (name.isNotNull() & (name == "")) | (name.isNull() & key.isin(V.PLACE_REGIONS))
+        other = key.rlike(r"\d") | key.rlike(js(r"^(days?|weeks?|week|hours?|months?|years?)\b"))
+        first = lambda old, new: F.when(old == "", new).otherwise(old)
+        in_us, plain = ends_us | state, ~(name.isNotNull() | region | other)
+        return F.struct(
+            F.when(ends_us, F.regexp_replace(token, r"(?i)\s+(usa|us)$", "")).when(~state & plain, first(s["city"], token)).otherwise(s["city"]).alias("city"),
+            F.when(in_us, first(s["country"], F.lit("US"))).when(country, first(s["country"], name)).otherwise(s["country"]).alias("country"),
+            F.when(~in_us & country, F.array_union(s["countries"], F.array(name))).otherwise(s["countries"]).alias("countries"),
+            F.when(~in_us & region, F.array_union(s["regions"], F.array(token))).otherwise(s["regions"]).alias("regions"),
+        ).cast(PLACE)
+
+    none = F.array().cast("array<string>")
+    return F.aggregate(tokens, F.struct(F.lit("").alias("city"), F.lit("").alias("country"), none.alias("countries"), none.alias("regions")).cast(PLACE), step)
+
+
+def place_label(location, country) -> Column:
+    """A location's text as one short phrase: a city and country and how many more cities, or a count of countries or regions."""
+    raw = F.trim(F.regexp_replace(text(location), r"\([^)]*\)", " "))
+    fallback = F.when(text(country).isin("", "Other", "Remote", "unknown"), "").otherwise(country_short(country))
+    us_first = country_short(country) == "US"
+    segments = F.filter(F.transform(F.split(raw, js(r"(?i)\s*(?:\||;|/|\bor\b)\s*")), lambda s: F.trim(s)), lambda s: s != "")
+    places = F.transform(segments, lambda s: _place(s, us_first))
+
+    def phrase(p: Column) -> Column:
+        extra = F.size(F.filter(F.slice(places, 2, 2**30), lambda x: x["city"] != ""))
+        plus = F.when(extra > 0, F.concat(F.lit(" +"), extra.cast("string"))).otherwise("")
+        where = F.when(p["country"] == "", fallback).otherwise(p["country"])
+        count = lambda a, word: F.concat(F.size(a).cast("string"), F.lit(f" {word}"))
+        return (
+            F.when((p["city"] == "") & (F.size(p["countries"]) >= 3), count(p["countries"], "countries"))
+            .when((p["city"] == "") & (p["country"] == "") & (F.size(p["regions"]) >= 2), count(p["regions"], "regions"))
+            .when((p["city"] != "") & (where != "") & (F.lower(p["city"]) != F.lower(where)), F.concat(p["city"], F.lit(", "), where, plus))
+            .when(p["city"] != "", F.concat(p["city"], plus))
+            .when(F.size(p["countries"]) == 2, F.array_join(p["countries"], " and "))
+            .when(where != "", F.concat(where, plus))
+            .when(F.size(p["regions"]) > 0, F.concat(F.get(p["regions"], F.lit(0)), plus))
+            .otherwise("Location varies")
+        )
+
+    stated = F.get(F.transform(F.slice(places, 1, 1), phrase), F.lit(0))
+    return F.when(raw == "", F.coalesce(F.nullif(fallback, F.lit("")), F.lit("Location not stated"))).otherwise(F.coalesce(stated, F.nullif(fallback, F.lit("")), F.lit("Location varies")))
+
+
+def page_record(html) -> Column:
+    """struct(text, title, site_name) of a page: what a reader sees, 40,000 characters at most of the first three million."""
+    head = F.substring(text(html), 1, 3_000_000)
+    title = normal_space(F.regexp_extract(head, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    site = F.nullif(F.regexp_extract(head, r'(?i)<meta[^>]+property="og:site_name"[^>]+content="([^"]+)"', 1), F.lit(""))
+    return F.struct(F.substring(page_text(head), 1, 40_000).alias("text"), title.alias("title"), site.alias("site_name"))
+
+
+def by_age(page: DataFrame, now: Column) -> DataFrame:
+    """(group, ids) of a page of targets in the order of `position`: today's, this week's, older ones; empty groups are left out."""
+    group = age_group(F.coalesce("posted_at", "first_seen_at"), now)
+    rows = page.groupBy(group.alias("group")).agg(F.array_sort(F.collect_list(F.struct("position", "id"))).alias("r"))
+    return rows.select("group", F.transform("r", lambda x: x["id"]).alias("ids"))
+
+
+def country_list(targets: DataFrame) -> DataFrame:
+    return targets.select("country").filter(F.trim(F.coalesce("country", F.lit(""))) != "").distinct().orderBy("country")
+
+
+def live_and_failing(sources: DataFrame, companies: DataFrame) -> DataFrame:
+    """One row: active sources, and companies whose health is not ok."""
+    live = sources.agg(F.count_if(F.col("status") == "active").alias("live"))
+    return live.crossJoin(companies.agg(F.count_if(~F.coalesce(F.col("health") == "ok", F.lit(False))).alias("failing")))  # one row each
+
+
+def sent_today(outreach: DataFrame, now: Column, zone: str) -> DataFrame:
+    return outreach.agg(F.count_if(local_day("sent_at", zone) == local_day(now, zone)).alias("sent_today"))
+
+
+def week_totals(daily: DataFrame) -> DataFrame:
+    """One row of a week's series: its sums and the height of its chart, 1 at least."""
+    return daily.agg(F.coalesce(F.sum("discovered"), F.lit(0)).alias("posted"), F.coalesce(F.sum("targeted"), F.lit(0)).alias("targeted"), F.greatest(F.max("discovered"), F.lit(1)).alias("top"))
+
+
+def last_crawl(times: list[Column], now: Column, hours: int = 6) -> Column:
+    """struct(latest, idle): the latest crawl of any tier, and whether it was too long ago."""
+    latest = F.greatest(*times)
+    return F.struct(latest.alias("latest"), F.coalesce(F.unix_micros(now) - F.unix_micros(latest) > hours * 3_600_000_000, F.lit(True)).alias("idle"))
+
+
+def fit_lines(parts: dict[str, Column]) -> Column:
+    """array of (key, percent, label) of a score's parts, the highest first; nulls don't count."""
+    each = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(percent(v).alias("percent"), F.lit(-i).alias("place"), F.lit(k).alias("key"), F.lit(FIT_LABELS.get(k, k)).alias("label"))) for i, (k, v) in enumerate(parts.items())]))
+    return F.transform(F.reverse(F.array_sort(each)), lambda x: F.struct(x["key"], x["percent"], x["label"]))
+
+
+def apply_first(contacts) -> Column:
+    """Contacts with those that take applications first, else in their order."""
+    mine = lambda c: F.coalesce(c["role"] == "apply", F.lit(False))
+    return F.concat(F.filter(col(contacts), mine), F.filter(col(contacts), lambda c: ~mine(c)))

@@ -167,3 +167,20 @@ SEARCH_ROLES = ["AI engineer", "AI software engineer", "LLM engineer", "GenAI en
 SEARCH_PLACES = ["Singapore", "Dubai", "Abu Dhabi", "Riyadh", "Saudi Arabia", "Doha", "Auckland", "Wellington", "Sydney", "Melbourne", "London", "Berlin", "Zurich", "Toronto", "remote"]
 SEARCH_PHRASES = ['"send your CV"', '"send your resume"', '"email your CV"', '"apply via email"', '"careers@"', '"hiring@"']
 SEARCH_FORMS = ['"{role}" {place} {phrase}', 'site:linkedin.com/posts "{role}" {place} hiring {phrase}', '"{role}" {place} startup hiring {phrase}', '"{role}" {place} ("seed" OR "series A" OR "founding engineer") {phrase}']
+
+# How countries are called, other names of theirs, states, regions, and words that say nothing of a place.
+COUNTRY_SHORT = {
+    "UK": "UK", "GB": "UK", "US": "US", "AE": "UAE", "SG": "Singapore", "AU": "Australia", "NZ": "New Zealand", "CA": "Canada", "DE": "Germany", "FR": "France", "NL": "Netherlands", "CH": "Switzerland", "IE": "Ireland", "ES": "Spain", "IT": "Italy",
+    "SE": "Sweden", "DK": "Denmark", "NO": "Norway", "FI": "Finland", "PL": "Poland", "PT": "Portugal", "AT": "Austria", "BE": "Belgium", "JP": "Japan", "KR": "South Korea", "IN": "India", "ID": "Indonesia", "MY": "Malaysia", "HK": "Hong Kong", "QA": "Qatar",
+    "SA": "Saudi Arabia", "IL": "Israel", "BR": "Brazil", "MX": "Mexico", "CZ": "Czechia", "EE": "Estonia", "IS": "Iceland", "LT": "Lithuania",
+}
+COUNTRY_WORDS = {
+    "united kingdom": "UK", "uk": "UK", "great britain": "UK", "england": "UK", "scotland": "UK", "united states": "US", "united states of america": "US", "usa": "US", "us": "US", "america": "US",
+    "united arab emirates": "UAE", "uae": "UAE", "deutschland": "Germany", "the netherlands": "Netherlands", "northern america": "",
+} | {word.lower(): name for code, name in COUNTRY_SHORT.items() if code not in ("UK", "GB", "US", "AE") for word in (code, name)}
+PLACE_STATES = (
+    "al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi wy dc".split(" ")
+    + ["california", "washington", "texas", "massachusetts", "colorado", "illinois", "georgia", "oregon", "virginia", "florida", "new york", "new jersey", "north carolina", "pennsylvania"]
+)
+PLACE_REGIONS = ["europe", "emea", "apac", "latam", "americas", "north america", "northern america", "asia", "global", "worldwide", "anywhere", "eu"]
+PLACE_NOISE = r"(?i)\b(remote(ly)?|hybrid|on-?site|in-?person|office|hq|headquarters|full[- ]?time|part[- ]?time|contract(or)?|permanent|temporary|in the|in|or|and)\b"

@@ -137,6 +137,15 @@ rule("view_reader_kind", "a m u", "s", [("Greenhouse", None, None, "greenhouse")
 rule("view_listing_url", "x", "b", [("https://a.io/jobs/", True), ("https://a.io/jobs/77-dev", False), ("https://a.io/search?q=1", True), (None, False)], lambda: views.listing_url("x"))
 rule("view_without_pictographs", "x", "s", [("Go 🚀 now ❤️", "Go now"), ("5 * # 1", "5 * # 1"), (None, "")], lambda: views.without_pictographs("x"))
 
+rule("view_place_label", "l c", "s", [
+    ("London, England", "UK", "London, UK"), ("San Francisco, CA; New York, NY; Austin, TX", "US", "San Francisco, US +2"), ("Singapore", "SG", "Singapore"), ("Remote - France, Germany, Spain", None, "3 countries"), ("Remote (EMEA)", "DE", "Germany"), ("", "DE", "Germany"), (None, None, "Location not stated"),
+    ("Europe, APAC", None, "2 regions"), ("Europe", None, "Europe"), ("Berlin or Munich", "DE", "Berlin, Germany +1"), ("UK and Ireland", None, "UK and Ireland"), ("Seattle US", None, "Seattle, US"), ("3 days in office", None, "Location varies"), ("Northern America", "Remote", "Northern America"), ("Toronto, CA", "CA", "Toronto, Canada"),
+], lambda: views.place_label("l", "c"))
+rule("view_page_record", "h", "s", [('<title> A  page</title><meta property="og:site_name" content="Acme"><style>x</style><p>Hi <i>you</i></p>', "A page|Acme|A page\nHi you"), ("plain", "||plain"), (None, "||")], lambda: F.concat_ws("|", views.page_record("h")["title"], F.coalesce(views.page_record("h")["site_name"], F.lit("")), views.page_record("h")["text"]))
+rule("view_last_crawl", "a b c", "s", [("2026-10-01 20:00:00", None, "2026-10-01 10:00:00", "20 false"), (None, None, "2026-10-01 17:59:00", "17 true"), (None, None, None, "true")], lambda: F.concat_ws(" ", *[f(views.last_crawl([F.to_timestamp(k) for k in "abc"], F.lit("2026-10-02 00:00:00").cast("timestamp"))) for f in (lambda x: F.hour(x["latest"]).cast("string"), lambda x: x["idle"].cast("string"))]))
+rule("view_fit_lines", "a b c", "s", [("0.5", "0.9", None, "seniority 90,role fit 50"), (None, None, None, ""), ("0.7", "0.7", "1", "freshness 100,role fit 70,seniority 70")], lambda: F.array_join(F.transform(views.fit_lines({k: F.col(c).cast("double") for k, c in (("roleFit", "a"), ("seniority", "b"), ("freshness", "c"))}), lambda x: F.concat_ws(" ", x["label"], x["percent"].cast("int").cast("string"))), ","))
+rule("view_apply_first", "a b", "s", [("hr", "apply", "apply,hr"), (None, "apply", "apply,"), ("x", "y", "x,y")], lambda: F.array_join(F.transform(views.apply_first(F.array(F.struct(F.col("a").alias("role")), F.struct(F.col("b").alias("role")))), lambda c: F.coalesce(c["role"], F.lit(""))), ","))
+
 # ---- numbers
 rule("score_backoff", "n", "d", [("0", 60.0), ("1", 60.0), ("7", 3840.0), ("20", 86400.0)], lambda: scoring.backoff_seconds(F.col("n").cast("int"), 30))
 rule("score_rest", "n b", "d", [("0", "false", 30.0), ("1", "false", 60.0), ("1", "true", 900.0), ("30", "false", 86400.0), ("30", "true", 86400.0)], lambda: S.open_circuit(F.col("n").cast("int"), F.col("b").cast("boolean")))
@@ -299,6 +308,12 @@ for name, ids in (("drafts", [1]), ("scheduled", [2, 5]), ("sent", [3, 4, 6]), (
 expect("tab_by_kind", "id:i", [(5,)], lambda spark: R.tab(outreach(spark), "scheduled", now(), kind="followup"))
 expect("found_in_companies", "id:i", [(1,), (3,)], lambda spark: R.found_in(spark.createDataFrame([(1, "Acme", "Berlin", "ok"), (2, "Other", None, "ok"), (3, "Big", "acme.io", "failing")], "id int, name string, city string, health string"), ["name", "city"], " ACME "))
 expect("found_in_healthy", "id:i", [(1,)], lambda spark: R.found_in(spark.createDataFrame([(1, "Acme", "ok"), (3, "acme", "failing")], "id int, name string, health string"), ["name"], "acme", "ok"))
+expect("targets_by_age", "group:s ids:s", [("Today", "3,1"), ("Older", "2")], lambda spark: views.by_age(spark.createDataFrame([(1, 2, "2026-10-01 12:00:00"), (2, 3, "2026-08-01 00:00:00"), (3, 1, "2026-10-01 13:00:00")], "id int, position int, at string").select("id", "position", F.to_timestamp("at").alias("posted_at"), F.lit(None).cast("timestamp").alias("first_seen_at")), now()).withColumn("ids", F.array_join("ids", ",")))
+expect("target_countries", "country:s", [("DE",), ("US",)], lambda spark: views.country_list(spark.createDataFrame([("US",), ("DE",), ("US",), (None,), ("",)], "country string")))
+expect("live_and_failing", "live:i failing:i", [(1, 2)], lambda spark: views.live_and_failing(spark.createDataFrame([("active",), ("paused",)], "status string"), spark.createDataFrame([("ok",), ("failing",), (None,)], "health string")))
+expect("sent_today", "sent_today:i", [(1,)], lambda spark: views.sent_today(spark.createDataFrame([("2026-10-01 23:30:00",), ("2026-10-01 20:00:00",), (None,)], "at string").select(F.to_timestamp("at").alias("sent_at")), now(), "Europe/Berlin"))
+expect("week_totals", "posted:i targeted:i top:i", [(5, 1, 4)], lambda spark: views.week_totals(spark.createDataFrame([(4, 1), (1, 0)], "discovered long, targeted long")))
+expect("new_since_refresh", "id:i", [(3,)], lambda spark: R.without_overlap(spark.createDataFrame([(1,), (3,)], "id int"), spark.createDataFrame([(1,), (2,)], "id int"), "id"))
 expect("queue_depth", "depth:i", [(3,)], lambda spark: R.queue_depth(spark.createDataFrame([("queued",), ("leased",), ("done",), ("queued",)], "status string")))
 BODIES = [("Python and Rust",), ("python only",), ("Kubernetes, k8s",), ("nothing",), (None,)]
 expect("skill_demand_table", "skill:s n:i in_cv:b", [("Python", 2, True), ("Rust", 1, False), ("Kubernetes", 1, False)], lambda spark: rules.skill_demand(spark.createDataFrame(BODIES, "b string"), "b", ["Python 3"]))
