@@ -154,3 +154,12 @@ def test_a_paraphrase_of_other_words_is_found_by_what_the_corpus_knows(spark, mo
     assert sum(v * b.get(c, 0.0) for c, v in a.items()) < D.COSINE
     found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert (1000, 0) in {(r.doc_id, r.item_id) for r in found.collect()}
+
+
+def test_the_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r.item_id, r.text or "") for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    out = D.op5_decontaminate(spark, sf)
+    assert out.columns == ["doc_id", "item_id", "item_words", "common_words"]
+    assert {(r.doc_id, r.item_id) for r in out.collect()} == brute_force(docs, items)

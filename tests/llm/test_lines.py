@@ -84,3 +84,28 @@ def test_matches_are_extended_against_the_place_that_has_the_same_neighbours(spa
         docs += [(i, " ".join(first)), (100 + i, " ".join(run)), (200 + i, " ".join(sentences(2) + run + sentences(2)))]
     out = {r.doc_id: r.n_removed_pieces for r in L.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert all(out[i] == 0 for i in range(40)) and [out[200 + i] for i in range(40)] == [4] * 40
+
+
+def test_a_passage_in_a_third_of_the_documents_goes_but_from_the_first(spark):
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    passage = words(60)
+    docs = [(d, " ".join(words(20) + (passage if d % 3 == 1 else []) + words(20))) for d in range(300)] + [(None, " ".join(words(50)))]
+    out = {r.doc_id: r for r in L.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert all((r.n_removed_pieces > 0) == (d is not None and d % 3 == 1 and d > 1) for d, r in out.items())
+    assert all(out[d].text == t for d, t in docs if out[d].n_removed_pieces == 0)
+
+
+def test_the_query_digests_what_is_left(spark):
+    import hashlib
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    left = {r.doc_id: (r.n_removed_pieces, (r.text or "").encode()) for r in L.without_repeats(docs).collect()}
+    must, may = brute([(r.doc_id, r.text or "") for r in docs.orderBy("doc_id").collect()])
+    rows = L.op6_line_dedup(spark, sf).collect()
+    assert {r.doc_id for r in rows} == set(left) and sum(r.n_removed_pieces for r in rows) > 0
+    for r in rows:
+        n, raw = left[r.doc_id]
+        assert (r.n_removed_pieces, r.n_bytes, r.kept_sha256) == (n, len(raw), hashlib.sha256(raw).hexdigest())
+        assert len(must[r.doc_id]) <= n <= len(may[r.doc_id])

@@ -1,7 +1,10 @@
 import corpus_pipeline as P
+import sentencepiece
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, lines, simhash, toxicity
+from tests.llm.test_decontaminate import brute_force
+from tests.llm.test_lines import brute
+from tessera.llm import lines, sentencepieces, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,6 +27,8 @@ def test_stages_take_effect_on_their_own_input(spark):
             assert set(b) == {d for d in a if score[d] < 0.5}
         elif name == "line dedup":
             gone = {r.doc_id: r.n_removed_pieces for r in lines.without_repeats(before).collect()}
+            must, may = brute([(d, a[d].text or "") for d in sorted(a)])
+            assert all(len(must[d]) <= gone[d] <= len(may[d]) for d in a)
             assert set(a) == set(b) and all((a[d].text == b[d].text) == (gone[d] == 0) and b[d].n_chars == len(b[d].text) for d in b)
         elif name == "simhash near-dedup":
             prints = {d: simhash.fingerprint((a[d].text or "").encode(), 5) for d in a}
@@ -35,10 +40,12 @@ def test_stages_take_effect_on_their_own_input(spark):
                         root = {d: low if r == high else r for d, r in root.items()}
             assert set(b) == {d for d in a if root[d] == d}
         elif name == "decontamination":
-            found = {r.doc_id for r in decontaminate.leaks(before, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+            items = [(r.item_id, r.text or "") for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            found = {d for d, _ in brute_force([(d, r.text or "") for d, r in a.items()], items)}
             assert set(b) == set(a) - found
         else:
-            assert all(r.decoded == (r.text or "") for r in b.values())
+            sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.model_path())
+            assert all(r.decoded == (r.text or "") and r.piece_ids == sp.encode(r.text or "") for r in b.values())
         seen.append(len(b))
         before = after
     assert seen[0] <= docs.count() and P.run(spark, SF).count() == seen[-1]

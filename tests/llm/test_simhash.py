@@ -88,3 +88,25 @@ def test_jaccard_of_four_fifths_is_linked(spark):
     assert {got[1000 + k] for k in range(100)} == {1000}
     before = {r.doc_id: r.component_id for r in near_duplicates(docs, words=5, bits=5).collect()}
     assert sum(before[2 * i + 1] != 2 * i for i in range(120) if pairs[i]) > 30
+
+
+def test_the_query_equals_brute_force(spark):
+    from tessera.llm.simhash import op2_simhash
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    prints = {d: plain(t, 3) for d, t in docs.items()}
+    root = {d: d for d in docs}
+    for x in sorted(docs):
+        for y in sorted(docs):
+            if x < y and bin(prints[x] ^ prints[y]).count("1") <= 2:
+                low, high = sorted((root[x], root[y]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    out = op2_simhash(spark, sf)
+    assert out.columns == ["doc_id", "fingerprint", "component_id"]
+    assert sorted(map(tuple, out.collect())) == sorted((d, f"{prints[d]:016x}", root[d]) for d in docs)
+
+
+def test_fingerprints_of_very_long_texts_are_counted_in_parts():
+    text = " ".join(str(i * 7919 % 10007) for i in range(40_000))
+    assert fingerprint(text.encode(), 3) == plain(text, 3)

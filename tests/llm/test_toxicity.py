@@ -59,3 +59,60 @@ def test_held_out_accuracy_and_edges(spark):
     held = [(r.toxicity_score >= 0.5) == bool(labels[r.doc_id][1]) for r in got if r.held and r.doc_id < 500]
     assert sum(held) / len(held) > 0.9
     assert T.scored(docs.limit(0), T.fit(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
+
+
+def slow_logit(net, x):
+    """One window, word by word: two gated passes, attention over the states, the output."""
+    p, sig = net.p, lambda v: 1 / (1 + np.exp(-v))
+    states = []
+    for d in "fb":
+        h, out = np.zeros(T.H), [None] * len(x)
+        for i in range(len(x)) if d == "f" else reversed(range(len(x))):
+            a, b = x[i] @ p[f"Wx{d}"] + p[f"b{d}"], h @ p[f"U{d}"]
+            z, r = sig(a[: T.H] + b[: T.H]), sig(a[T.H : 2 * T.H] + b[T.H : 2 * T.H])
+            h = z * h + (1 - z) * np.tanh(a[2 * T.H :] + r * b[2 * T.H :])
+            out[i] = h
+        states.append(out)
+    both = [np.concatenate(s) for s in zip(*states)]
+    raw = np.array([np.tanh(s @ p["A"] + p["a"]) @ p["v"] for s in both])
+    weight = np.exp(raw - raw.max()) / np.exp(raw - raw.max()).sum()
+    return sum(w * s for w, s in zip(weight, both)) @ p["w"] + p["c"][0]
+
+
+def test_scores_are_the_highest_window_of_a_slow_forward_pass():
+    rng = random.Random(6)
+    net = T.Network(3)
+    net.p = {k: v * (3 if k in ("word", "char") else 1) for k, v in net.p.items()}
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(n)) for n in (1, 5, 31, 32, 33, 50, 90)]
+    want = []
+    for text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        low, sums, start, end, _ = T.read_words(raw, np.array([0, len(raw)]))
+        x = net.inputs(*T.features(low, start, end, sums)).astype(np.float64)
+        begins = sorted({min(k, max(len(x) - T.WINDOW, 0)) for k in range(0, max(len(x) - T.WINDOW, 0) + T.STRIDE, T.STRIDE)})
+        want.append(1 / (1 + np.exp(-max(slow_logit(net, x[b : b + T.WINDOW]) for b in begins))))
+    joined = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    got = T.Scorer(net.p).score(np.frombuffer(joined, np.uint8), offsets)
+    assert np.abs(got - np.array(want)).max() < 1e-4
+
+
+def test_the_query_marks_the_labelled_documents(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    out = T.op10_toxicity(spark, sf)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"]
+    rows = {r.doc_id: r for r in out.collect()}
+    docs = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    assert set(rows) == docs and all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for d, r in rows.items())
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    held = [rows[d].predicted == y for d, y in labels if d in rows and rows[d].held_out]
+    assert sum(held) / len(held) > 0.9
+
+
+def test_a_repeated_id_trains_the_same_network_each_time(spark):
+    rows = [(i % 30, f"word{i} other text {i % 2}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    nets = [T.fit(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert all((nets[0].p[k] == nets[1].p[k]).all() for k in nets[0].p)
