@@ -15,10 +15,13 @@ from tessera.llm.common import lean, partitions, stored, table
 
 #: The index is fitted on at most SAMPLE vectors (by a hash of vec_id); every vector is indexed. Vectors a list aims at,
 #: lists at most (or the root of the number of vectors, and no more than a quarter of the sample), rows of a block;
-#: replicas of a boundary vector, the two ratios of distances, how far apart centroids of one vector are at least
-#: (as a share of its distance), links of a centroid, and how many lists are read before the others.
+#: replicas of a boundary vector, the ratio of distances up to which it has them, how far apart centroids of one vector
+#: are at least (as a share of its distance), links of a centroid, and how many lists are read before the others.
 SAMPLE, LIST_SIZE, MOST_LISTS, BLOCK = 20_000, 512, 1024, 4096
-REPLICAS, BOUNDARY, PRUNE, APART, DEGREE, FIRST = 2, 1.05, 1.11, 0.3, 16, 4
+REPLICAS, BOUNDARY, APART, DEGREE, FIRST = 2, 1.05, 0.3, 16, 4
+#: The ratio of distances that prunes the lists of a query is measured: PROBES queries (by a hash of their row) are compared with all
+#: vectors, and it is the one that brings RECALL of their neighbours.
+PROBES, RECALL = 128, 0.95
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,6 +94,47 @@ def lifted(x: np.ndarray, norm: float) -> np.ndarray:
     return np.concatenate((x, np.sqrt(np.maximum(norm**2 - (x * x).sum(1), 0))[:, None]), axis=1)
 
 
+def as_queries(x: np.ndarray, norm: float) -> np.ndarray:
+    """Queries beside lifted vectors: of length `norm`, which changes no order."""
+    return np.concatenate((x * (norm / np.linalg.norm(x, axis=1))[:, None], np.zeros((len(x), 1))), axis=1) if len(x) else np.zeros((0, 0))
+
+
+def pruning_ratio(asked: DataFrame, postings: DataFrame, centroids: np.ndarray, norm: float, k: int) -> float:
+    """The least ratio of distances to the nearest centroid's at which the lists hold RECALL of the probes' k neighbours among all vectors.
+
+    A neighbour needs the nearest of its lists. PROBES x k rows come to the driver at most.
+    """
+    some = asked.orderBy(F.xxhash64("vec_id", "row"), "row").limit(PROBES).select("v", "row").toArrow()
+    if not len(some):
+        return 1.0
+    probes, rows = matrix(some.column("v").combine_chunks()), some.column("row").to_numpy()
+    shared = asked.sparkSession.sparkContext.broadcast((probes, rows))
+    keep = k * (REPLICAS + 1)  # so many copies hold the k best rows of a task
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, own = shared.value
+        held = [np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))]
+        for batch in batches:
+            for a in range(0, len(batch), BLOCK):
+                part = batch.slice(a, BLOCK)
+                lists, ids = part.column(0).to_numpy(), part.column(2).to_numpy()
+                score = q @ matrix(part.column(1)).T
+                score[own[:, None] == ids] = -np.inf
+                both = [np.concatenate((h, np.broadcast_to(x, score.shape)), axis=1) for h, x in zip(held, (lists, ids, score))]
+                top = np.argsort(-both[2], axis=1, kind="stable")[:, :keep]
+                held = [np.take_along_axis(x, top, 1) for x in both]
+        n = np.repeat(np.arange(len(q)), held[0].shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(n), *(pa.array(x.ravel()) for x in held)], ["probe", "list", "row", "score"])
+
+    found = postings.select("list", "v", "row").mapInArrow(lean(best), "probe long, list long, row long, score double").filter("score > double('-inf')")
+    each = found.groupBy("probe", "row").agg(F.max("score").alias("score"), F.collect_set("list").alias("lists"))
+    nearest = each.withColumn("n", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "row"))).filter(F.col("n") <= k)
+    d = distances(as_queries(probes, norm), centroids)
+    needed = [d[r.probe, r.lists].min() / max(d[r.probe].min(), 1e-300) for r in nearest.select("probe", "lists").collect()]
+    shared.destroy()
+    return float(np.quantile(needed, RECALL, method="higher")) * (1 + 1e-9) if needed else 1.0
+
+
 def usable(rows: DataFrame) -> DataFrame:
     """(vec_id, v) without vectors that are null, zero, of another length than most (no inner product), or hold null or non-finite components."""
     v = F.col("embedding") if rows.schema["embedding"].dataType.simpleString() == "array<float>" else F.col("embedding").cast("array<double>")
@@ -103,8 +147,8 @@ def usable(rows: DataFrame) -> DataFrame:
 def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """(vec_id, embedding, ...) -> query_id, rank, vec_id, score: the k largest inner products of each row whose id is divisible by `every`.
 
-    Every usable vector is indexed in its nearest lists and each query reads the lists within the pruning ratio, more of
-    them until they hold k other vectors; scores are exact. Lists and the queries of a list are dealt in blocks, so a
+    Every usable vector is indexed in its nearest lists and each query reads the lists within the pruning ratio (see
+    pruning_ratio()), more of them until they hold k other vectors; scores are exact. Lists and the queries of a list are dealt in blocks, so a
     list that holds a third of all vectors is many tasks. Ties go to the smaller vec_id. Rows of a repeated vec_id are
     rows like any others, as queries and as candidates (of each other too). Null ids take no part, other columns are
     ignored, an empty table gives an empty one.
@@ -146,18 +190,21 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     postings = stored(good.select("vec_id", "v", "row").mapInArrow(lean(assign), f"list long, vec_id long, v {kind}, row long, main boolean"), "postings")
     sizes = {r["list"]: (r["n"], r["main"]) for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("main").cast("int")).alias("main")).collect()}
 
+    asked = good.filter(F.pmod("vec_id", F.lit(every)) == 0)
+    ratio = pruning_ratio(asked, postings, centroids, norm, k)
+
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, top = shared.value
         graph = CentroidGraph(c)
         for batch in batches:
             which, lists, turns = [], [], []
             x = matrix(batch.column(1))
-            for i, q in enumerate(np.concatenate((x * (top / np.linalg.norm(x, axis=1))[:, None], np.zeros((len(x), 1))), 1) if len(x) else []):
-                held, found = 0, graph.search(q, PRUNE)
+            for i, q in enumerate(as_queries(x, top)):
+                held, found = 0, graph.search(q, ratio)
                 if sum(sizes.get(j, (0, 0))[1] for _, j in found) <= k:
                     found = [(0.0, j) for j in range(len(c))]
                 for turn, (d, j) in enumerate(found):
-                    if held > k and d > found[0][0] * PRUNE:
+                    if held > k and d > found[0][0] * ratio:
                         break
                     held += sizes.get(j, (0, 0))[1]
                     which.append(i)
@@ -166,8 +213,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
             taken = [batch.column(c).take(pa.array(which, pa.int64())) for c in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(turns, pa.int32()), *taken], ["list", "turn", "query_id", "q", "asker"])
 
-    asked = good.filter(F.pmod("vec_id", F.lit(every)) == 0).repartition(partitions(spark), "row")
-    visits = stored(asked.select("vec_id", "v", "row").mapInArrow(lean(choose), f"list long, turn int, query_id long, q {kind}, asker long"), "visits")
+    visits = stored(asked.repartition(partitions(spark), "row").select("vec_id", "v", "row").mapInArrow(lean(choose), f"list long, turn int, query_id long, q {kind}, asker long"), "visits")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
