@@ -169,10 +169,10 @@ def _of_kind(k: int):
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; discovered spans are of kind `id`, after the others."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id, n_spans; discovered spans are of kind `id`, after the others."""
     out = personal_data(table(spark, sf_dir, "documents"))
     names = F.array(*[F.lit(k) for k in KINDS])
     base = F.transform("base", lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"]))
     more = F.transform("more", lambda s: F.concat_ws(":", F.lit("id"), s["start"], s["end"]))
     counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, more), ",").alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, more), ",").alias("spans"), F.size("more").cast("long").alias("n_id"), (F.size("base") + F.size("more")).cast("long").alias("n_spans"))

@@ -93,4 +93,5 @@ def test_the_query_keeps_the_base_spans(spark):
         spans = plain(texts[r.doc_id])
         base = ",".join(f"{k}:{a}:{b}" for k in ("email", "ip", "card", "phone") for a, b in spans[k])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(spans[k]) for k in ("email", "ip", "card", "phone")]
+        assert r.n_spans == sum(map(len, spans.values())) + r.n_id and r.n_spans == len(r.spans.split(",") if r.spans else [])
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and (r.spans == base or r.spans.startswith(base + "," if base else "id:"))
