@@ -25,8 +25,9 @@ LENGTH, K = 50, 16
 #: task gathers before it sends them.
 MOST, HOT, GATHER = 64, 5000, 1 << 19
 #: A text over LONG bytes is made into several by the minimisers of longer strings, which equal windows share too; those of
-#: the longest are sorted whatever their length. So many bytes are sorted at once.
-LONG, FINER, AT_ONCE = 1600, {K: 32, 32: 44, 44: 49}, 1 << 19
+#: the longest are sorted whatever their length. So many bytes are sorted at once, and of so many bytes texts of about
+#: one length are put together.
+LONG, FINER, AT_ONCE, TOGETHER = 800, {K: 32, 32: 44, 44: 49}, 1 << 19, 1 << 22
 LOW48 = np.uint64((1 << 48) - 1)
 HOT_BIT, SLOTS, TWICE = 1 << 48, 1 << 16, 1 << 15
 #: Rows without doc_id go under numbers below this one, made of their texts, and count as one document before all others.
@@ -107,7 +108,8 @@ def contiguous(start: np.ndarray, size: np.ndarray) -> bool:
 
 
 def by_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    return ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    """Keys are least hashes, so they are small numbers: a hash of theirs deals them evenly."""
+    return ((mix(key) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
 def grouped(values: np.ndarray) -> np.ndarray:
@@ -149,7 +151,7 @@ def send_keys(key: np.ndarray, doc: np.ndarray, digest: np.ndarray, buckets: int
 
 
 def key_rows(key: np.ndarray, doc: np.ndarray, kinds: np.ndarray, kind: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    bucket = by_bucket(key if kind == 0 else mix(doc.view(np.uint64)), buckets)
+    bucket = by_bucket(key if kind == 0 else doc.view(np.uint64), buckets)
     order = np.lexsort((doc, bucket))
     key, doc, kinds, bucket = key[order], doc[order], kinds[order], bucket[order]
     head = grouped(bucket)
@@ -389,7 +391,7 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
         blob = binary_rows(runs, np.diff(np.append(head, len(doc))))
         if not sent:
             return pa.RecordBatch.from_arrays([pa.array(doc[head]), blob], ["doc", "runs"])
-        bucket, zero = by_bucket(mix(doc[head].view(np.uint64)), buckets), pa.array(np.zeros(len(head), np.int64))
+        bucket, zero = by_bucket(doc[head].view(np.uint64), buckets), pa.array(np.zeros(len(head), np.int64))
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(doc[head]), blob, zero, zero, pa.array([b""] * len(head), pa.binary())], names)
 
     def blob_rows(key, doc, tie, start, size, data) -> pa.RecordBatch:
@@ -469,25 +471,33 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
             if parts:
                 yield from (flush_hot if flag else flush)(*(np.concatenate(x) for x in zip(*parts)))
 
+    def answers(parts: list[dict]) -> Iterator[pa.RecordBatch]:
+        """Whole keys of one or several buckets, so many bytes of segments at a time."""
+        key, doc, tie, start, size, data = (np.concatenate(x) for x in zip(*[unpacked(p["packed"], p["n"], p["n_bytes"]) for p in parts]))
+        at, order = np.cumsum(size) - size, np.argsort(key, kind="stable")
+        head = grouped(key[order])
+        count, weight = np.diff(np.append(head, len(order))), np.add.reduceat(size[order], head)
+        for a, b in slices(np.concatenate(([0], np.cumsum(weight))), TOGETHER):
+            some = order[ranges(head[a:b], count[a:b])]
+            least = least_documents(key[some], data[ranges(at[some], size[some])], size[some], rank(doc[some]), limit=limit)
+            of, first, many = window_runs(least, doc[some], size[some] - LENGTH + 1)
+            if len(of):
+                yield run_rows(doc[some[of]], tie[some[of]], start[some[of]] + first, many, False)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The keys of a bucket, so many bytes of segments at a time."""
+        """A few buckets together, so that many texts advance in step."""
+        parts, weight = [], 0
         for rows in by_buckets(batches):
-            sent = np.array([n > 0 for n in rows.column("n").to_pylist()])
-            for told in rows.filter(pa.array(~sent)).select(["doc", "runs"]).to_batches():
-                yield told
-            parts = rows.filter(pa.array(sent)).select(["n", "n_bytes", "packed"]).to_pylist()
-            if not parts:
-                continue
-            key, doc, tie, start, size, data = (np.concatenate(x) for x in zip(*[unpacked(p["packed"], p["n"], p["n_bytes"]) for p in parts]))
-            at, order = np.cumsum(size) - size, np.argsort(key, kind="stable")
-            head = grouped(key[order])
-            count, weight = np.diff(np.append(head, len(order))), np.add.reduceat(size[order], head)
-            for a, b in slices(np.concatenate(([0], np.cumsum(weight))), 4 * AT_ONCE):
-                some = order[ranges(head[a:b], count[a:b])]
-                least = least_documents(key[some], data[ranges(at[some], size[some])], size[some], rank(doc[some]), limit=limit)
-                of, first, many = window_runs(least, doc[some], size[some] - LENGTH + 1)
-                if len(of):
-                    yield run_rows(doc[some[of]], tie[some[of]], start[some[of]] + first, many, False)
+            sent = np.array(rows.column("n").to_pylist()) > 0
+            yield from rows.filter(pa.array(~sent)).select(["doc", "runs"]).to_batches()
+            own = rows.filter(pa.array(sent)).select(["n", "n_bytes", "packed"]).to_pylist()
+            parts += own
+            weight += sum(p["n_bytes"] for p in own)
+            if weight >= TOGETHER:
+                yield from answers(parts)
+                parts, weight = [], 0
+        if parts:
+            yield from answers(parts)
 
     sent = docs.join(answered, "doc").select("doc", "tie", "text", "keys").mapInArrow(lean(send), schema)
     return sent.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), "doc long, runs binary")
@@ -507,7 +517,9 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     known = F.col("doc_id").cast("long")
     without = F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(-(2**63))
-    doc = F.when(known.isNull(), without).when(known < NULLS, F.raise_error(F.lit("doc_ids under -2**62 are not supported"))).otherwise(known)
+    if not docs.filter(known < NULLS).isEmpty():  # a filter that Parquet's statistics answer
+        raise ValueError("doc_ids under -2**62 are not supported")
+    doc = F.coalesce(known, without)
     rows = docs.select(doc.alias("doc"), text.alias("text"), F.xxhash64(text).alias("tie"))
     runs = earlier_windows(rows, shared_keys(rows, buckets, hot), buckets)
     joined = rows.join(runs.groupBy("doc").agg(F.collect_list("runs").alias("runs")), "doc", "left").select("doc", "tie", "text", "runs")
