@@ -20,10 +20,10 @@ from tessera.llm.common import _powers, lean, mix, partitions, prefix_sums, rang
 from tessera.llm.lyndon import suffix_arrays
 
 LENGTH, K = 50, 16
-#: Windows of a segment at most. Of keys with over HOT entries each task sorts its own segments and sends only their
-#: distinct windows, dealt one by one, so a key that a third of all documents share is in all tasks. Rows or bytes that a
-#: task gathers before it sends them.
-MOST, HOT, GATHER = 64, 5000, 1 << 19
+#: Windows of a segment at most. One task sorts the segments of a key, up to HOT of them (some 6 MB). Of keys with more each
+#: task sorts its own segments and sends only their distinct windows, dealt one by one, so a key that a third of all
+#: documents share is in all tasks. Rows or bytes that a task gathers before it sends them.
+MOST, HOT, GATHER = 64, 50_000, 1 << 19
 #: A text over LONG bytes is made into several by the minimisers of longer strings, which equal windows share too; those of
 #: the longest are sorted whatever their length. So many bytes are sorted at once, and of so many bytes texts of about
 #: one length are put together.
