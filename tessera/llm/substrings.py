@@ -29,7 +29,9 @@ MOST, HOT, GATHER = 64, 50_000, 1 << 19
 #: one length are put together.
 LONG, FINER, AT_ONCE, TOGETHER = 800, {K: 32, 32: 44, 44: 49}, 1 << 19, 1 << 22
 LOW48 = np.uint64((1 << 48) - 1)
-HOT_BIT, SLOTS, TWICE = 1 << 48, 1 << 16, 1 << 15
+HOT_BIT, SLOTS, TWICE = 1 << 48, 1 << 16, 128
+#: Runs that a task holds back, so that a document is one row of it.
+HELD = 2_000_000
 #: Rows without doc_id go under numbers below this one, made of their texts, and count as one document before all others.
 NULLS = -(2**62)
 
@@ -122,14 +124,14 @@ def rank(doc: np.ndarray) -> np.ndarray:
 
 
 def send_keys(key: np.ndarray, doc: np.ndarray, digest: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A task's keys -> one entry a key (any of its documents, how many distinct segments, TWICE if another document has it), and at once the keys of the other documents.
+    """A task's keys -> one entry a key (any of its documents, the logarithm of how many distinct segments it has, TWICE more if another document has it), and at once the keys of the other documents.
 
     That pre-aggregation makes a key one entry a task, however many documents have it.
     """
     order = np.lexsort((digest, key))
     head = grouped(key[order])
     fresh = (np.diff(key[order], prepend=~key[order[:1]]) != 0) | (np.diff(digest[order], prepend=~digest[order[:1]]) != 0)
-    kinds = np.minimum(np.add.reduceat(fresh.astype(np.int64), head), TWICE - 1) if len(head) else np.zeros(0, np.int64)
+    kinds = np.ceil(np.log2(np.add.reduceat(fresh.astype(np.int64), head))).astype(np.int64) if len(head) else np.zeros(0, np.int64)
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     fresh = np.ones(len(key), bool)
@@ -138,16 +140,16 @@ def send_keys(key: np.ndarray, doc: np.ndarray, digest: np.ndarray, buckets: int
     head = grouped(key)
     size = np.diff(np.append(head, len(key)))
     many = np.repeat(rank(doc[head]) < rank(doc[head + size - 1]), size)
-    yield from key_rows(key[head], doc[head], (kinds + TWICE * many[head]).astype(np.uint16), 0, buckets)
+    yield from key_rows(key[head], doc[head], (kinds + TWICE * many[head]).astype(np.uint8), 0, buckets)
     # rows without doc_id only come to know a key by another document, so they are entries of their own
     rest = many.copy()
     rest[head] = False
     if rest.any():
-        yield from key_rows(key[rest], doc[rest], np.zeros(int(rest.sum()), np.uint16), 1, buckets)
+        yield from key_rows(key[rest], doc[rest], np.zeros(int(rest.sum()), np.uint8), 1, buckets)
     others = np.repeat(size > 1, size) & ~many
     others[head] = False
     if others.any():
-        yield from key_rows(key[others], doc[others], np.zeros(int(others.sum()), np.uint16), 0, buckets)
+        yield from key_rows(key[others], doc[others], np.zeros(int(others.sum()), np.uint8), 0, buckets)
 
 
 def key_rows(key: np.ndarray, doc: np.ndarray, kinds: np.ndarray, kind: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -197,7 +199,7 @@ def unpacked(blob: bytes, n: int, n_bytes: int) -> list[np.ndarray]:
 def read_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = long_keys(b"".join(batch.column("keys").to_pylist()))
     docs = [np.cumsum(np.frombuffer(b, np.int64)) for b in batch.column("docs").to_pylist()]
-    return key, np.concatenate(docs) if docs else np.zeros(0, np.int64), np.frombuffer(b"".join(batch.column("kinds").to_pylist()), np.uint16).astype(np.int64)
+    return key, np.concatenate(docs) if docs else np.zeros(0, np.int64), np.frombuffer(b"".join(batch.column("kinds").to_pylist()), np.uint8).astype(np.int64)
 
 
 def by_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -265,7 +267,7 @@ def shared_keys(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
             if len(key):
                 order = np.argsort(key, kind="stable")
                 key, head = key[order], grouped(key[order])
-                entries = np.add.reduceat(kinds[order] % TWICE, head)
+                entries = np.add.reduceat(1 << (kinds[order] % TWICE), head)
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(slot_of(key[head[entries > hot]])))], ["slot"])
 
     sent = docs.select("doc", "text").mapInArrow(lean(send), "bucket long, kind int, keys binary, docs binary, kinds binary")
@@ -471,8 +473,8 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
             if parts:
                 yield from (flush_hot if flag else flush)(*(np.concatenate(x) for x in zip(*parts)))
 
-    def answers(parts: list[dict]) -> Iterator[pa.RecordBatch]:
-        """Whole keys of one or several buckets, so many bytes of segments at a time."""
+    def answers(parts: list[dict]) -> Iterator[tuple]:
+        """Runs of whole keys of one or several buckets, so many bytes of segments at a time."""
         key, doc, tie, start, size, data = (np.concatenate(x) for x in zip(*[unpacked(p["packed"], p["n"], p["n_bytes"]) for p in parts]))
         at, order = np.cumsum(size) - size, np.argsort(key, kind="stable")
         head = grouped(key[order])
@@ -482,22 +484,38 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
             least = least_documents(key[some], data[ranges(at[some], size[some])], size[some], rank(doc[some]), limit=limit)
             of, first, many = window_runs(least, doc[some], size[some] - LENGTH + 1)
             if len(of):
-                yield run_rows(doc[some[of]], tie[some[of]], start[some[of]] + first, many, False)
+                yield doc[some[of]], tie[some[of]], start[some[of]] + first, many
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A few buckets together, so that many texts advance in step."""
-        parts, weight = [], 0
-        for rows in by_buckets(batches):
-            sent = np.array(rows.column("n").to_pylist()) > 0
-            yield from rows.filter(pa.array(~sent)).select(["doc", "runs"]).to_batches()
-            own = rows.filter(pa.array(sent)).select(["n", "n_bytes", "packed"]).to_pylist()
-            parts += own
-            weight += sum(p["n_bytes"] for p in own)
-            if weight >= TOGETHER:
+        """A few buckets together, so that many texts advance in step; what the tasks told themselves joins the answers."""
+        parts, weight, held, n = [], 0, [], 0
+
+        def found() -> Iterator[tuple]:
+            nonlocal parts, weight
+            for rows in by_buckets(batches):
+                sent = np.array(rows.column("n").to_pylist()) > 0
+                told = rows.filter(pa.array(~sent))
+                if len(told):
+                    blobs = told.column("runs").to_pylist()
+                    runs = np.frombuffer(b"".join(blobs), RUN)
+                    yield np.repeat(told.column("doc").to_numpy(), [len(b) // RUN.itemsize for b in blobs]), runs["tie"], runs["start"].astype(np.int64), runs["n"].astype(np.int64)
+                own = rows.filter(pa.array(sent)).select(["n", "n_bytes", "packed"]).to_pylist()
+                parts += own
+                weight += sum(p["n_bytes"] for p in own)
+                if weight >= TOGETHER:
+                    yield from answers(parts)
+                    parts, weight = [], 0
+            if parts:
                 yield from answers(parts)
-                parts, weight = [], 0
-        if parts:
-            yield from answers(parts)
+
+        for some in found():
+            held.append(some)
+            n += len(some[0])
+            if n >= HELD:
+                yield run_rows(*(np.concatenate(x) for x in zip(*held)), False)
+                held, n = [], 0
+        if n:
+            yield run_rows(*(np.concatenate(x) for x in zip(*held)), False)
 
     sent = docs.join(answered, "doc").select("doc", "tie", "text", "keys").mapInArrow(lean(send), schema)
     return sent.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), "doc long, runs binary")
