@@ -530,8 +530,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     binary; an empty table gives an empty one. A text is worked on at once, in about 60 bytes for each of its own. Ids
     under -2**62 are an error.
     """
-    buckets = partitions(docs.sparkSession)
-    buckets *= max(1, min(4, 2000 // buckets))  # several a task, so that tasks are even
+    buckets = partitions(docs.sparkSession)  # a hash deals them evenly; larger values compress better than more of them
     text = F.coalesce("text", F.lit(""))
     known = F.col("doc_id").cast("long")
     without = F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(-(2**63))
