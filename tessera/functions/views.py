@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as V
@@ -158,15 +158,14 @@ def reader_kind(adapter, method, url) -> Column:
 def spaced(sends: DataFrame, seed: int = 1) -> DataFrame:
     """(zone, id, base) -> scheduled: in order of base, each four to twelve minutes after the later of its base and the one before.
 
-    The gap is drawn from a hash of the id and the seed, so a run can be repeated. s(k) = max(base(k), s(k-1)) + g(k)
-    unrolls to the running sum of gaps plus a running maximum.
+    The gap is drawn from a hash of the id and the seed, so a run can be repeated. s(k) = max(base(k), s(k-1)) + g(k) is the
+    running slot of base + gap. A zone may have all sends.
     """
+    from tessera.operators.scan import running_slots
+
     gap = (240 + F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(481))) * 1_000_000
-    w = Window.partitionBy("zone").orderBy("base", "id").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("_gap").over(w)
-    rows = sends.withColumn("_gap", gap).withColumn("_total", total)
-    ahead = F.max(F.unix_micros("base") - F.col("_total") + F.col("_gap")).over(w)
-    return rows.withColumn("scheduled", F.timestamp_micros(ahead + F.col("_total"))).drop("_gap", "_total")
+    out = running_slots(sends, ["zone"], ["base", "id"], F.unix_micros("base") + gap, gap, "scheduled")
+    return out.withColumn("scheduled", F.timestamp_micros("scheduled"))
 
 
 def listing_url(x) -> Column:

@@ -7,24 +7,36 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rules, scoring
 from tessera.functions.text import text
+from tessera.operators.scan import running_sums
 from tessera.operators.state import EMAIL_ONLY, plus_seconds
 
 #: Reasons, the cost of a paid judgement, minutes until the next try.
-BLACKLISTED, DISLIKED = "Company is blacklisted.", "Disliked by Brian."
+BLACKLISTED, DISLIKED = "Company is blacklisted.", "Disliked by {owner}."
 OVER_BUDGET = "Monthly LLM budget cap reached; crawling continues."
 COST_USD, PARK_MINUTES, RETRY_MINUTES = 0.02, 60, 15
 #: What an outside judge tells of a job; null where it was not reached, and the local rules stand in.
 EXTERNAL = "struct<role_relevance:double,language_fit:double,remote_scope:string,sponsorship:string,seniority:string,agentic_focus:double,preference_fit:double>"
 
 
-def judged(jobs: DataFrame, now: Column, weights: dict, country_weights: dict, skills: list[str], spent: float = 0.0, cap: float = 30.0, email_only: bool = False) -> DataFrame:
+def within_budget(jobs: DataFrame, pays: Column, order: list[str], spent: float, cap: float, cost: float = COST_USD) -> DataFrame:
+    """Jobs with within_budget: whether what was spent, the jobs before it in `order` that pay and its own cost stay under the cap. All jobs are one queue."""
+    paid = F.when(pays, 1).otherwise(0)
+    out = running_sums(jobs.withColumn("_queue", F.lit(0)), ["_queue"], order, _paid=paid)
+    return out.withColumn("within_budget", (F.round(spent + F.col("_paid") * cost, 9) <= cap) | (F.col("_paid") == 0)).drop("_queue", "_paid")
+
+
+def judged(jobs: DataFrame, now: Column, weights: dict, country_weights: dict, skills: list[str], spent: float = 0.0, cap: float = 30.0, email_only: bool = False, owner: str = "the owner", outside: str = "Judge", order: list[str] | None = None) -> DataFrame:
     """Jobs -> their judgement, one row each: status, skip_reason, score and all that it is made of.
 
     Needs id, title, jd_text, jd_text_english, location, apply_url, company_blacklisted, feedback, posted_at,
     first_seen_at, preference (of the local model, null if unknown) and external (EXTERNAL). The first of these decides:
     a blacklisted company, a dislike, the prefilter, no address for applications where one is asked for, the month's
     budget; then the verdicts. Later values are null where an earlier gate ended the judgement.
+
+    The budget is a running gate: in the queue's order (`order`, then id) each job that reaches the paid step adds its cost,
+    and those that would go over the cap are parked. `owner` and `outside` are the names that reasons tell.
     """
+    disliked = DISLIKED.format(owner=owner)
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     rows = jobs.withColumns({
         "countries": rules.countries("location"),
@@ -45,27 +57,28 @@ def judged(jobs: DataFrame, now: Column, weights: dict, country_weights: dict, s
         "agentic_focus": local("agentic_focus", scoring.agentic_focus("title", "_english")),
         "preference_fit": F.when(F.col("_told"), F.when(F.col("_x.preference_fit").isNotNull(), scoring.blend(F.col("_x.preference_fit"), F.col("preference")))).otherwise(F.col("preference")),
     })
-    judge = F.when(F.col("_told"), "Jev").otherwise("Local rules (Jev unreachable)")
+    judge = F.when(F.col("_told"), outside).otherwise(f"Local rules ({outside} unreachable)")
     rejected = (
         F.when(F.col("_level") == "graduate", "Graduate or internship level.")
         .when(F.col("role_relevance") < 0.5, F.concat(judge, F.lit(": not an AI software engineering role.")))
         .when(F.col("language_fit") < 0.5, F.concat(judge, F.lit(": needs a language other than English (or is nationality restricted).")))
     )
-    reason = (
+    unpaid = (
         F.when(flag("company_blacklisted"), BLACKLISTED)
-        .when(F.coalesce(F.col("feedback") == "dislike", F.lit(False)), DISLIKED)
+        .when(F.coalesce(F.col("feedback") == "dislike", F.lit(False)), disliked)
         .when(~F.col("_gate.pass"), F.coalesce("_gate.reason", F.lit("Prefilter rejected")))
         .when(F.lit(email_only) & F.col("apply").isNull(), EMAIL_ONLY)
-        .when(F.lit(spent + COST_USD > cap), OVER_BUDGET)
-        .otherwise(rejected)
     )
+    rows = rows.withColumns({"_unpaid": unpaid, "_rejected": rejected})
+    rows = within_budget(rows, F.col("_unpaid").isNull(), [*(order or []), "id"], spent, cap)
+    reason = F.when(F.col("_unpaid").isNotNull(), F.col("_unpaid")).when(~F.col("within_budget"), OVER_BUDGET).otherwise(F.col("_rejected"))
     rows = rows.withColumns({"seniority": F.when(F.col("_level") == "graduate", "unknown").otherwise(F.col("_level")), "skip_reason": reason})
     named = F.get(F.filter("countries", lambda c: c.isin(list(country_weights))), F.lit(0))
     weight = F.when(F.col("remote_scope").isin("remote_global", "remote_apac"), 1.0).otherwise(scoring.lookup(country_weights, F.coalesce(named, F.lit("other")), float(country_weights.get("other", 0.5))))
     since = F.coalesce("posted_at", "first_seen_at")
     rows = rows.withColumn("breakdown", scoring.job_score("role_relevance", "seniority", "remote_scope", "sponsorship", since, scoring.skill_overlap("_english", skills), weight, now, weights))
     final = scoring.final_score(F.col("breakdown.score"), F.col("agentic_focus"), F.col("preference_fit"), F.col("apply").isNotNull(), F.col("new_company").isNotNull())
-    parked, early = F.col("skip_reason") == OVER_BUDGET, F.col("skip_reason").isin(BLACKLISTED, DISLIKED, EMAIL_ONLY, OVER_BUDGET) | ~F.col("_gate.pass")
+    parked, early = F.col("skip_reason") == OVER_BUDGET, F.col("skip_reason").isin(BLACKLISTED, disliked, EMAIL_ONLY, OVER_BUDGET) | ~F.col("_gate.pass")
     early = F.coalesce(early, ~F.col("_gate.pass"))
     status = F.when(F.col("skip_reason").isNull(), "targeted").when(F.col("skip_reason") == BLACKLISTED, "blacklisted").when(parked, "pending_judge").otherwise("skipped")
     wait = F.when(parked, PARK_MINUTES).when(~early & ~F.col("_told"), RETRY_MINUTES)

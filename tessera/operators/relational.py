@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.scan import running_sums
+
 
 def filtered(df: DataFrame, **equal) -> DataFrame:
     """Equality filters; those that are None don't count."""
@@ -66,19 +68,11 @@ def shares(rows: DataFrame, by: str, items: Column, relevant: Column, duplicate:
     return sums.withColumns({"relevant_per_100": rate(F.col("relevant") * 100), "duplicate_ratio": rate(F.col("duplicates"))})
 
 
-def budget_gate(rows: DataFrame, time: str, cost: str, cap: float, tie: str) -> DataFrame:
-    """Running cost of each month in order of time, and whether each row still fits under the cap.
-
-    Days are summed first and the sums run over the days of a month (31 rows at most), so the rows of a month are in as
-    many tasks as it has days.
-    """
-    month, day = F.date_trunc("month", F.col(time)), F.date_trunc("day", F.col(time))
-    days = rows.groupBy(month.alias("_month"), day.alias("_day")).agg(F.sum(cost).alias("_sum"))
-    before = Window.partitionBy("_month").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(F.col("_day").alias("_d"), F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_before"))
-    within = Window.partitionBy("_day").orderBy(time, tie).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("_day", day).join(days, F.col("_day").eqNullSafe(F.col("_d")), "left").drop("_d")
-    return out.withColumn("spent", F.col("_before") + F.sum(cost).over(within)).withColumn("fits", F.col("spent") <= cap).drop("_day", "_before")
+def budget_gate(rows: DataFrame, time: str, cost: str, cap: float, tie: str, by: list[str] | None = None) -> DataFrame:
+    """Running cost of each month (and `by`) in order of time, and whether each row still fits under the cap. A month may have all rows."""
+    dated = rows.withColumn("_month", F.date_trunc("month", F.col(time)))
+    out = running_sums(dated, ["_month", *(by or [])], [time, tie], spent=F.col(cost))
+    return out.withColumn("fits", F.round("spent", 9) <= cap).drop("_month")
 
 
 def without_overlap(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.dates import next_due
 from tessera.functions.rules import reply_class
 from tessera.functions.scoring import backoff_seconds
+from tessera.operators.scan import running_slots
 
 
 def plus_seconds(t, seconds) -> Column:
@@ -131,16 +132,9 @@ def blacklist(jobs: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def reserve_slots(requests: DataFrame, seconds: int) -> DataFrame:
-    """(host, at, id) -> slot: one request a host each so many seconds, in order, never before it was asked for.
-
-    The k-th slot is the greatest of (at of the j-th + (k - j) x interval) over j <= k: a running maximum.
-    """
-    w = Window.partitionBy("host").orderBy("at", "id")
-    k = F.row_number().over(w)
-    gap = F.lit(seconds * 1_000_000)
-    base = F.unix_micros("at") - k * gap
-    ahead = requests.withColumns({"_k": k, "_base": base})
-    return ahead.withColumn("slot", F.timestamp_micros(F.max("_base").over(w) + F.col("_k") * gap)).drop("_k", "_base")
+    """(host, at, id) -> slot: one request a host each so many seconds, in order, never before it was asked for. A host may have all requests."""
+    out = running_slots(requests, ["host"], ["at", "id"], F.unix_micros("at"), F.lit(seconds * 1_000_000), "slot")
+    return out.withColumn("slot", F.timestamp_micros("slot"))
 
 
 def open_circuit(streak: Column, blocked: Column) -> Column:
@@ -254,7 +248,7 @@ def upsert_sightings(sightings: DataFrame, batch: DataFrame, now: Column) -> Dat
 
 def judge_queue(jobs: DataFrame, now: Column, n: int = 25) -> DataFrame:
     """The n jobs to judge next: new, parked ones that are due, targets not confirmed or to be scored again; the latter first, then by age."""
-    waiting = F.col("status").isin("new", "unverified", "pending_judge") | ((F.col("status") == "targeted") & (~F.col("jev_verified") | F.col("needs_rescore")))
+    waiting = F.col("status").isin("new", "unverified", "pending_judge") | ((F.col("status") == "targeted") & (~F.col("verified") | F.col("needs_rescore")))
     due = jobs.filter(F.col("closed_at").isNull() & (F.col("next_judge_at") <= now) & waiting)
     return due.orderBy(F.desc("needs_rescore"), F.desc(F.coalesce("posted_at", "first_seen_at")), "id").limit(n)
 
