@@ -20,12 +20,12 @@ TOKENS = 128
 #: Two documents of a similarity of 0.8 share 1.6 children of a node of the first kind on average and one of the second, so
 #: after the first levels a tree has lost 1 of 16 such pairs at most, five trees one in a million.
 TREES, LEVELS = 5, 2
-#: A node of so few documents, and so few pairs that are not linked yet, is compared exhaustively by one task.
-SMALL, PAIRS = 1024, 1 << 15
+#: A node of so many documents and shingles at most is compared exhaustively by one task.
+SMALL, SHINGLES = 4096, 1 << 22
 #: A pair's share of equal tokens may lie so many standard deviations under the similarity asked for.
 DEVIATIONS = 5
 #: Documents that a task compares with one head in a row.
-RUN = 1000
+RUN = 256
 SLICE = 1 << 18
 
 
@@ -77,31 +77,31 @@ def with_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def branched(members: DataFrame, classes: DataFrame, level: int) -> DataFrame:
-    """(node, id) -> the members of the nodes' children. Level 0: `classes` branch from the roots of the trees."""
+    """(node, id, n_shingles) -> the members of the nodes' children, also numbered k by how they branched. Level 0: `classes` branch from the roots of the trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(ids), TOKENS).astype(np.uint64)
-            nodes, own = [], []
+            n = len(batch)
+            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(n, TOKENS).astype(np.uint64)
+            nodes, rows, numbers = [], [], []
             for j in range(2 * TREES if not level else 2):
                 if not level:
-                    node, position = np.full(len(ids), mix(np.array([j + 1], np.uint64))[0]), np.full(len(ids), j)
+                    node, position, chosen = np.full(n, mix(np.array([j + 1], np.uint64))[0]), np.full(n, j), np.ones(n, bool)
                 else:
-                    parent = batch.column(2).to_numpy().view(np.uint64)
+                    parent = batch.column("node").to_numpy().view(np.uint64)
                     node = mix(parent * np.uint64(2) + np.uint64(j + 1))
-                    position = (node >> np.uint64(40)) % np.uint64(TOKENS)
-                chosen = np.ones(len(ids), bool) if level <= LEVELS - 1 or not j else mix(parent) % np.uint64(4) == 0
-                child = mix(node + tokens[np.arange(len(ids)), position.astype(np.int64)] * np.uint64(0x9E3779B97F4A7C15))
+                    position = ((node >> np.uint64(40)) % np.uint64(TOKENS)).astype(np.int64)
+                    chosen = np.full(n, level < LEVELS or not j) | (mix(parent) % np.uint64(4) == 0)
+                child = mix(node + tokens[np.arange(n), position] * np.uint64(0x9E3779B97F4A7C15))
                 nodes.append(child[chosen])
-                own.append(ids[chosen])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.concatenate(own))], ["node", "id"])
+                rows.append(np.flatnonzero(chosen))
+                numbers.append(np.full(int(chosen.sum()), j))
+            taken = [batch.column(c).take(pa.array(np.concatenate(rows))) for c in ("id", "n_shingles")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), *taken, pa.array(np.concatenate(numbers), pa.int32())], ["node", "id", "n_shingles", "k"])
 
-    if not level:
-        rows = classes.select("id", "tokens")
-    else:
-        rows = members.join(classes.select("id", "tokens"), "id").select("id", "tokens", "node")
-    return rows.mapInArrow(lean(run), "node long, id long")
+    of = classes.select("id", "n_shingles", "tokens")
+    rows = of if not level else members.select("node", "id").join(of, "id")
+    return rows.mapInArrow(lean(run), "node long, id long, n_shingles long, k int")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least_equal: int) -> DataFrame:
@@ -118,82 +118,126 @@ def likely(pairs: DataFrame, classes: DataFrame, least_equal: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
-def in_small_nodes(members: DataFrame, classes: DataFrame, least_equal: int) -> DataFrame:
-    """(node, id, label) of small nodes -> (a, b): likely pairs of different labels, each node compared exhaustively."""
+def grouped(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
+    """The rows of each value of a column by which the batches are sorted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = batch.column(name).to_numpy()
+        edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, b in zip(edges, edges[1:]):
+            if held and held[-1].column(name)[0].as_py() != values[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def compared(rows: pa.Table) -> pa.RecordBatch:
-            node, ids, labels = (rows.column(c).to_numpy() for c in ("node", "id", "label"))
-            bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(len(ids), TOKENS)
-            first, second = [], []
-            edges = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
-            for a, b in zip(edges, edges[1:]):
-                names, of, count = np.unique(labels[a:b], return_inverse=True, return_counts=True)
-                for i in a + np.flatnonzero(of != count.argmax()):  # pairs within the largest label are linked already
-                    same = (bits[a:b] == bits[i]).sum(axis=1) >= least_equal
-                    there = a + np.flatnonzero(same & (labels[a:b] != labels[i]))
-                    first.append(np.minimum(ids[i], ids[there]))
-                    second.append(np.maximum(ids[i], ids[there]))
-            empty = np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *x])) for x in (first, second)], ["a", "b"])
-
-        last = None
-        for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            if not len(nodes):
-                continue
-            if held and nodes[0] != last:
-                yield compared(pa.Table.from_batches(held))
-                held = []
-            last = nodes[-1]
-            cut = int((nodes != last).sum())
-            if cut:  # the last node may go on in the next batch
-                yield compared(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield compared(pa.Table.from_batches(held))
+def columns(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node, labels and homes of the rows of a node."""
+    homes = rows.column("homes").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+    return rows.column("node")[0].as_py(), rows.column("label").to_numpy(), homes
 
-    rows = members.join(classes.select("id", "bits"), "id").select("node", "id", "label", "bits")
-    dealt = rows.repartition(partitions(members.sparkSession), "node").sortWithinPartitions("node")
-    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
+
+def here(node: int, homes: np.ndarray, i: int, among: np.ndarray) -> np.ndarray:
+    """Which pairs of row i are compared in this node: those that have no earlier small node of level 0 in common."""
+    common = (homes[among] == homes[i]) & (homes[i] != 0)
+    return ~common.any(axis=1) | (homes[i][common.argmax(axis=1)] == node)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, least: int) -> DataFrame:
-    """(a, b) of classes -> those whose full sets have `least` percent of their union in common or more.
+def active(members: DataFrame, classes: DataFrame, least_equal: int) -> DataFrame:
+    """(node, id, label, homes) of small nodes -> those rows that have a likely partner of another label to be compared with in this node."""
 
-    The texts are fetched once for all their pairs and dealt to heads, the pairs' first members; a head of many pairs is
-    given to several tasks, RUN of its pairs each, so no task holds more than one head's set beside the text it compares.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, "node"):
+            node, labels, homes = columns(rows)
+            bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(len(rows), TOKENS)
+            keep = np.zeros(len(rows), bool)
+            for i in range(len(rows) - 1):
+                among = i + 1 + np.flatnonzero(labels[i + 1 :] != labels[i])
+                among = among[(bits[among] == bits[i]).sum(axis=1) >= least_equal]
+                among = among[here(node, homes, i, among)]
+                keep[among] = True
+                keep[i] |= len(among) > 0
+            yield from rows.select(["node", "id", "label", "homes"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    rows = members.join(classes.select("id", "bits"), "id").select("node", "id", "label", "homes", "bits")
+    dealt = rows.repartition(partitions(members.sparkSession), "node").sortWithinPartitions("node")
+    return dealt.mapInArrow(lean(run), "node long, id long, label long, homes array<long>")
+
+
+def linked(node: int, labels: np.ndarray, homes: np.ndarray, hashes: np.ndarray, at: np.ndarray, least: int) -> tuple[list[int], list[int]]:
+    """Pairs of a node's members that join all that are alike, counted on full sets; of members that are joined already no further pair is counted."""
+    where = np.unique(hashes, return_inverse=True)[1]
+    sizes, parts = np.diff(at), np.unique(labels, return_inverse=True)[1]
+    mark = np.zeros(len(hashes) + 1, bool)
+    first, second = [], []
+    for i in range(len(sizes) - 1):
+        among = i + 1 + np.flatnonzero(parts[i + 1 :] != parts[i])
+        among = among[100 * np.minimum(sizes[among], sizes[i]) >= least * np.maximum(sizes[among], sizes[i])]
+        among = among[here(node, homes, i, among)]
+        own = where[at[i] : at[i + 1]]
+        mark[own] = True
+        for a in range(0, len(among), 256):
+            some = among[a : a + 256]
+            same = np.add.reduceat(mark[where[ranges(at[some], sizes[some])]].astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+            for j in some[100 * same >= least * (sizes[some] + sizes[i] - same)].tolist():
+                if parts[j] != parts[i]:
+                    first.append(i)
+                    second.append(j)
+                    parts[parts == parts[j]] = parts[i]
+        mark[own] = False
+    return first, second
+
+
+def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, docs: DataFrame, words: int, least: int) -> DataFrame:
+    """Links confirmed on full sets, with `least` percent of their union in common or more: of (a, b), and within the nodes of active() rows.
+
+    The texts are fetched once for all. Pairs are dealt to heads, their first members; a head of many pairs is given to
+    several tasks, RUN of its pairs each, which hold the head's set beside the text that they compare. A node goes to one
+    task, which holds its sets: SHINGLES hashes at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, head = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            data, offsets = utf8(batch.column(3))
-            heads, ids, member = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            near = np.zeros(len(batch), bool)
-            for a, b in slices(offsets, SLICE):
-                hashes, at = shingle_sets(data, offsets[a : b + 1], words)
-                for i in range(a, b):
-                    own = hashes[at[i - a] : at[i - a + 1]]
-                    if not member[i]:
-                        of, head = heads[i], own
-                    elif of == heads[i] and len(head):
+        for group in grouped(batches, "grp"):
+            ids = group.column("id").to_numpy()
+            first, second = [], []
+            if group.column("star")[0].as_py():
+                texts, head = group.column("text"), None
+                data, offsets = utf8(texts)
+                for a, b in slices(offsets, SLICE):
+                    hashes, at = shingle_sets(data, offsets[a : b + 1], words)
+                    for i in range(a, b):
+                        own = hashes[at[i - a] : at[i - a + 1]]
+                        if head is None:
+                            head = own
+                            continue
                         found = np.searchsorted(head, own)
                         same = int((head[np.minimum(found, len(head) - 1)] == own).sum())
-                        near[i] = 100 * same >= least * (len(head) + len(own) - same)
-            yield pa.RecordBatch.from_arrays([pa.array(heads[near]), pa.array(ids[near])], ["a", "b"])
-
+                        if 100 * same >= least * (len(head) + len(own) - same):
+                            first.append(0)
+                            second.append(i)
+            else:
+                data, offsets = utf8(group.column("text"))
+                parts = [shingle_sets(data, offsets[a : b + 1], words) for a, b in slices(offsets, SLICE)]
+                at = np.r_[0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))]
+                first, second = linked(*columns(group), np.concatenate([p[0] for p in parts]), at, least)
+            pair = ids[np.array(first, np.int64)], ids[np.array(second, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pair], ["a", "b"])
+
+    none = F.array().cast("array<long>")
     runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
-    members = pairs.join(runs, "a").select(F.col("b").alias("id"), F.struct("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("run"), F.lit(True).alias("member")).alias("place"))
-    heads = runs.select(F.col("a").alias("id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("runs") - 1), lambda i: F.struct(F.col("a").alias("a"), i.alias("run"), F.lit(False).alias("member")))).alias("place"))
-    places = members.unionAll(heads).join(classes.select("id", "doc_id", "hash"), "id")
+    star = lambda a, run, member: F.struct(F.xxhash64(a, run).alias("grp"), F.lit(True).alias("star"), F.lit(member).alias("member"), F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("label"), none.alias("homes"))
+    members = pairs.join(runs, "a").select(F.col("b").alias("id"), star(F.col("a"), F.pmod(F.xxhash64("b"), F.col("runs")).cast("int"), True).alias("place"))
+    heads = runs.select(F.col("a").alias("id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("runs") - 1), lambda i: star(F.col("a"), i, False))).alias("place"))
+    inside = rows.select("id", F.struct(F.xxhash64("node", F.lit("node")).alias("grp"), F.lit(False).alias("star"), F.lit(True).alias("member"), "node", "label", "homes").alias("place"))
+    places = members.unionAll(heads).unionAll(inside).join(classes.select("id", "doc_id", "hash"), "id")
     texts = docs.select(F.col("doc_id").alias("of"), F.col("hash").alias("text_hash"), "text")
-    rows = places.join(texts, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("text_hash"))).select("place.a", "id", "place.member", "text", "place.run")
-    dealt = rows.repartition(partitions(pairs.sparkSession), "a", "run").sortWithinPartitions("a", "run", "member")
-    return dealt.select("a", "id", "member", "text").mapInArrow(lean(run), "a long, b long")
+    found = places.join(texts, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("text_hash"))).select("place.*", "id", "text")
+    dealt = found.repartition(partitions(pairs.sparkSession), "grp").sortWithinPartitions("grp", "member", "id")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def least_equal_tokens(least: int) -> int:
@@ -202,38 +246,35 @@ def least_equal_tokens(least: int) -> int:
 
 
 def links(classes: DataFrame, docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
-    """(id, doc_id, hash, tokens, bits) of distinct sets -> (a, b): enough links to join all that are alike, every one confirmed on full sets.
+    """(id, n_shingles, doc_id, hash, tokens, bits) of distinct sets -> (a, b): enough links to join all that are alike, every one confirmed on full sets.
 
-    At each level the members of a node are compared with one of them, which links a family of any size by as many pairs as
-    it has members. Then nodes whose members are linked are done; small ones are compared exhaustively, pairs within
-    the largest part that is linked excepted; the rest branches. Levels go on until no node is left.
+    Level by level: a small node is compared exhaustively by one task, each pair in one of its nodes. The members of a large
+    one are compared with one of them, which links a family of any size by as many pairs as it has members; if they are
+    not all linked then, the node branches. Levels go on until no node is left.
     """
     enough = least_equal_tokens(least)
     members = stored(branched(classes, classes, 0), "members")
-    found = judged = likely_small = None
+    homes = labels = found = None
     level = 0
     while True:
-        pivot = F.col("id") if not level else F.xxhash64("id", "node")  # the same head for a family in all trees; then others
-        heads = members.groupBy("node").agg(F.count("*").alias("n"), F.min_by("id", pivot).alias("a")).filter("n > 1")
-        met = stored(members.join(heads, "node"), "met")
-        pairs = met.filter("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        if judged is not None:
-            pairs = pairs.join(judged, ["a", "b"], "left_anti")
-        ready = likely(pairs, classes, enough)
-        ready = stored((ready if likely_small is None else ready.unionAll(likely_small)).distinct(), "likely")
-        new = stored(verified(ready, classes, docs, words, least), "links")
-        found, judged = new if found is None else found.unionAll(new), ready if judged is None else judged.unionAll(ready)
-        named = components(found)
-        tagged = met.select("node", "id").join(named.withColumnRenamed("node", "id"), "id", "left").select("node", "id", F.coalesce("component", "id").alias("label"))
-        counts = tagged.groupBy("node", "label").agg(F.count("*").alias("n"))
-        mixed = counts.groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("labels")).filter("labels > 1")
-        tagged = stored(tagged.join(mixed.select("node", (F.col("n").between(0, SMALL) & ((F.col("n") - F.col("most")) * F.col("n") <= PAIRS)).alias("small")), "node"), "mixed")
-        likely_small = in_small_nodes(tagged.filter("small"), classes, enough).join(judged, ["a", "b"], "left_anti")
+        heads = members.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("sum"), F.min_by("id", F.col("id") if not level else F.xxhash64("id", "node")).alias("head")).filter("n > 1")
+        met = stored(members.join(heads.select("node", "head", ((F.col("n") <= SMALL) & (F.col("sum") <= SHINGLES)).alias("small")), "node"), "met")
+        small, large = met.filter("small"), met.filter("not small")
+        if homes is None:  # the small nodes of level 0 of each document, by the numbers of their trees
+            homes = stored(small.groupBy("id").agg(F.array(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("node"))), F.lit(0)) for k in range(2 * TREES)]).alias("homes")), "homes")
+        rows = small.select("node", "id").join(homes, "id", "left").withColumn("homes", F.coalesce("homes", F.array_repeat(F.lit(0).cast("long"), 2 * TREES)))
+        rows = rows.withColumn("label", F.col("id")) if labels is None else rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        pairs = large.filter("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
+        ready, busy = stored(likely(pairs, classes, enough), "likely"), stored(active(rows.select("node", "id", "label", "homes"), classes, enough), "active")
+        new = stored(verified(ready, busy, classes, docs, words, least), "links")
+        found = new if found is None else found.unionAll(new)
+        if large.isEmpty():
+            return found
+        labels = stored(components(found).select(F.col("node").alias("id"), F.col("component").alias("label")), "labels")
+        tagged = large.select("node", "id").join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
+        mixed = tagged.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("node")
         level += 1
-        members = stored(branched(tagged.filter("not small"), classes, level), "members")
-        if members.isEmpty():
-            rest = stored(likely_small, "likely")
-            return found if rest.isEmpty() else found.unionAll(stored(verified(rest, classes, docs, words, least), "links"))
+        members = stored(branched(tagged.join(mixed, "node"), classes, level), "members")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -247,8 +288,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
     sets = stored(with_sets(rows, words), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
-    classes = sets.filter("key is not null").groupBy("key").agg(first.alias("first"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "key", "first.doc_id", "first.hash", "tokens", "bits"), "classes")
+    classes = sets.filter("key is not null").groupBy("key").agg(first.alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "key", "first.doc_id", "first.hash", "n_shingles", "tokens", "bits"), "classes")
     named = components(links(classes, rows, words, least)).withColumnRenamed("node", "id")
     parts = classes.select("id", "key", "doc_id").join(named, "id", "left").select("key", "doc_id", F.coalesce("component", "id").alias("component"))
     parts = parts.join(parts.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("key", "component_id")

@@ -91,8 +91,8 @@ def test_families(spark, n, share):
 
 
 def test_nodes_that_branch(spark, monkeypatch):
-    """With nodes compared exhaustively only up to a few pairs, the trees do the work; the links found are the same."""
-    monkeypatch.setattr(chosenpath, "PAIRS", 8)
+    """With nodes compared exhaustively only up to a few members, the trees do the work; the links found are the same."""
+    monkeypatch.setattr(chosenpath, "SMALL", 12)
     rng = random.Random(5)
     base = [word(rng) for _ in range(120)]
     kin = [changed(rng, base, 0.6) for _ in range(40)]
