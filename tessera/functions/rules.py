@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as V
-from tessera.functions.text import any_of, apply_addresses, clip, col, first_case, js, sentences, text
+from tessera.functions.text import any_of, apply_addresses, clip, col, first_case, js, let, sentences, text
 
 EVIDENCE = "array<struct<quote:string,source:string,reason:string>>"
 
@@ -24,17 +24,21 @@ def none() -> Column:
 def job_language(title, body) -> Column:
     """english or non_english, from the first 6000 characters: script, then the share of English stop words."""
     head = F.when(F.trim(text(body)) != "", F.substring(text(body), 1, 6000)).otherwise(text(title))
-    letters, latin = F.regexp_count(head, F.lit(r"\p{L}")), F.regexp_count(head, F.lit("[A-Za-z]"))
-    low = F.lower(head)
-    words = F.regexp_count(low, F.lit("[a-z']++"))
-    stop = F.regexp_count(low, F.lit("(?<![a-z'])(?:" + "|".join(V.ENGLISH_STOP_WORDS) + ")(?![a-z'])"))  # whole words only
-    return (
-        F.when(letters == 0, "english")
-        .when(latin / F.greatest(letters, F.lit(1)) < 0.6, "non_english")
-        .when(words < 15, "english")
-        .when(stop / F.greatest(words, F.lit(1)) >= 0.08, "english")
-        .otherwise("non_english")
-    )
+    size = lambda x, other: F.char_length(F.regexp_replace(x, other, ""))
+    counts = let(F.regexp_replace(head, r"\P{L}++", ""), lambda x: F.struct(F.char_length(x).alias("letters"), size(x, "[^A-Za-z]++").alias("latin")))
+    words = let(F.regexp_extract_all(F.lower(head), F.lit("[a-z']++"), F.lit(0)), lambda x: F.struct(F.size(x).alias("words"), F.size(F.filter(x, lambda w: w.isin(V.ENGLISH_STOP_WORDS))).alias("stop")))
+
+    def verdict(x: Column) -> Column:
+        c, w = x["c"], x["w"]
+        return (
+            F.when(c["letters"] == 0, "english")
+            .when(c["latin"] / F.greatest(c["letters"], F.lit(1)) < 0.6, "non_english")
+            .when(w["words"] < 15, "english")
+            .when(w["stop"] / F.greatest(w["words"], F.lit(1)) >= 0.08, "english")
+            .otherwise("non_english")
+        )
+
+    return let(F.struct(counts.alias("c"), words.alias("w")), verdict)
 
 
 def _is_ai(x: Column) -> Column:
@@ -61,30 +65,43 @@ def language_gate(title, body) -> Column:
 
 def required_language(body) -> Column:
     """The phrase that asks for another language and is no mere plus, else null."""
-    found = F.regexp_extract(text(body), js(V.REQUIRED_LANGUAGE), 0)
-    return F.when((found != "") & ~found.rlike(js(V.MERELY_A_PLUS)), found)
+    return let(F.regexp_extract(text(body), js(V.REQUIRED_LANGUAGE), 0), lambda found: F.when((found != "") & ~found.rlike(js(V.MERELY_A_PLUS)), found))
 
 
 def prefilter(title, body) -> Column:
     """struct(pass, reason, language, evidence, language_evidence): the first gate that fails gives the reason."""
-    name, language = F.trim(text(title)), job_language(title, body)
-    reason = (
-        F.when(name.rlike(js(V.EXCLUDED_TITLE)), F.concat(F.lit("Excluded title: "), name))
-        .when(~name.rlike(js(V.ENGINEERING_TITLE)), F.lit("Not an engineering title."))
-        .when(name.rlike(js(V.NON_SOFTWARE_TITLE)) & ~name.rlike(js(V.AI_TITLE)), F.concat(F.lit("Outside AI software engineering: "), name))
-        .when(~language_gate(title, body), F.lit("Non-English JD does not mention English as a working language."))
-        .when(text(body).rlike(js(V.NATIONALS_ONLY)), F.lit("Saudi-only role."))
-        .when(required_language(body).isNotNull(), F.concat(F.lit('Requires a language other than English: "'), required_language(body), F.lit('"')))
-        .when(F.size(ai_evidence(name, body)) == 0, F.lit("No AI evidence in the title or description."))
-    )
-    passed = reason.isNull()
-    return F.struct(passed.alias("pass"), reason.alias("reason"), language.alias("language"), F.when(passed, ai_evidence(name, body)).otherwise(none()).alias("evidence"), F.when(passed, language_evidence(body)).otherwise(none()).alias("language_evidence"))
+    name = F.trim(text(title))
+    made = F.struct(job_language(title, body).alias("language"), ai_evidence(name, body).alias("evidence"), required_language(body).alias("required"))
+
+    def reason(x: Column) -> Column:
+        return (
+            F.when(name.rlike(js(V.EXCLUDED_TITLE)), F.concat(F.lit("Excluded title: "), name))
+            .when(~name.rlike(js(V.ENGINEERING_TITLE)), F.lit("Not an engineering title."))
+            .when(name.rlike(js(V.NON_SOFTWARE_TITLE)) & ~name.rlike(js(V.AI_TITLE)), F.concat(F.lit("Outside AI software engineering: "), name))
+            .when((x["language"] != "english") & ~text(body).rlike(js(V.ENGLISH_MARKER)), F.lit("Non-English JD does not mention English as a working language."))
+            .when(text(body).rlike(js(V.NATIONALS_ONLY)), F.lit("Saudi-only role."))
+            .when(x["required"].isNotNull(), F.concat(F.lit('Requires a language other than English: "'), x["required"], F.lit('"')))
+            .when(F.size(x["evidence"]) == 0, F.lit("No AI evidence in the title or description."))
+        )
+
+    def whole(x: Column) -> Column:
+        passed = x["r"].isNull()
+        return F.struct(passed.alias("pass"), x["r"].alias("reason"), x["x"]["language"].alias("language"), F.when(passed, x["x"]["evidence"]).otherwise(none()).alias("evidence"), F.when(passed, language_evidence(body)).otherwise(none()).alias("language_evidence"))
+
+    return let(made, lambda x: let(F.struct(reason(x).alias("r"), x.alias("x")), whole))
 
 
 def quote_around(x, pattern: str) -> Column:
-    """The text between full stops around the first match, null without one."""
-    found = F.regexp_extract(text(x), r"(?s)([^.]*(?:" + js(pattern) + r")[^.]*\.?)", 1)
-    return F.when(found != "", F.trim(found))
+    """The text between full stops around the first match, null without one. The text is searched once, whatever its length."""
+    said = text(x)
+
+    def around(found: Column) -> Column:
+        before = F.substring_index(F.substring(said, F.lit(1), found["at"] - 1), ".", -1)
+        after = F.regexp_extract(F.substring(said, found["at"] + F.char_length(found["match"]), F.char_length(said)), r"(?s)^[^.]*\.?", 0)
+        return F.when(found["at"] > 0, F.trim(F.concat(before, found["match"], after)))
+
+    one = js(f"(?:{pattern})")
+    return let(F.struct(F.regexp_instr(said, F.lit(one)).alias("at"), F.regexp_extract(said, one, 0).alias("match")), around)
 
 
 def role_relevant(evidence) -> Column:
@@ -150,8 +167,7 @@ def apply_email(body, apply_url=None) -> Column:
     """struct(email, quote) of the address that takes applications, null without one: a mailto link first, then the first sentence that invites them."""
     local = lambda e: F.split_part(e, F.lit("@"), F.lit(1))
     clean = lambda e: F.lower(F.regexp_replace(e, r"[.,;:)\]]+$", ""))
-    parts = sentences(body)
-    context = F.transform(parts, lambda s, i: F.struct(s.alias("s"), F.concat_ws(" ", F.when(i > 0, F.get(parts, i - 1)), s).alias("c")))
+    context = let(sentences(body), lambda parts: F.filter(F.transform(parts, lambda s, i: F.struct(s.alias("s"), F.concat_ws(" ", F.when(i > 0, F.get(parts, i - 1)), s).alias("c"))), lambda x: F.contains(x["s"], F.lit("@"))))
 
     def offers(x: Column) -> Column:
         hiring = x["c"].rlike(js(V.HIRING_CONTEXT))
@@ -169,10 +185,9 @@ def apply_email(body, apply_url=None) -> Column:
 
 def public_emails(body) -> Column:
     """array of (email, quote): every address but excluded ones, with the first sentence that has it."""
-    pairs = F.flatten(F.transform(sentences(body), lambda s: F.transform(apply_addresses(s), lambda e: F.struct(F.lower(e).alias("email"), clip(s, 400).alias("quote")))))
+    pairs = F.flatten(F.transform(F.filter(sentences(body), lambda s: F.contains(s, F.lit("@"))), lambda s: F.transform(apply_addresses(s), lambda e: F.struct(F.lower(e).alias("email"), clip(s, 400).alias("quote")))))
     fine = F.filter(pairs, lambda p: plausible_email(p["email"]) & ~F.split_part(p["email"], F.lit("@"), F.lit(1)).rlike(js(V.NEVER_MAILBOX)))
-    names = F.array_distinct(F.transform(fine, lambda p: p["email"]))
-    return F.transform(names, lambda e: F.get(F.filter(fine, lambda p: p["email"] == e), F.lit(0)))
+    return let(fine, lambda ps: F.transform(F.array_distinct(F.transform(ps, lambda p: p["email"])), lambda e: F.get(F.filter(ps, lambda p: p["email"] == e), F.lit(0))))
 
 
 def reply_class(x) -> Column:

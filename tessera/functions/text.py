@@ -25,6 +25,11 @@ def text(x) -> Column:
     return F.coalesce(col(x), F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normal_space(x) -> Column:
     """Runs of white space become one blank, none at the ends."""
     return F.trim(F.regexp_replace(text(x), r"(?U)\s+", " "))

@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as V
-from tessera.functions.text import js, nfkc, sentences, text
+from tessera.functions.text import js, let, nfkc, sentences, text
 
 
 def normal(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
 
 
-def first_quote(title, body, pattern: str) -> Column:
+def parts_of(title, body) -> Column:
+    """struct of the sentences of a title and a description."""
+    return F.struct(sentences(title, ".!?;").alias("title"), sentences(body, ".!?;").alias("body"))
+
+
+def first_quote(parts: Column, pattern: str) -> Column:
     """The first sentence of the title, else of the description, that matches."""
-    hit = lambda t: F.get(F.filter(sentences(t, ".!?;"), lambda s: s.rlike(js(pattern))), F.lit(0))
-    return F.coalesce(hit(title), hit(body))
+    hit = lambda t: F.get(F.filter(t, lambda s: s.rlike(js(pattern))), F.lit(0))
+    return F.coalesce(hit(parts["title"]), hit(parts["body"]))
 
 
 def role(title, body) -> Column:
@@ -25,7 +30,14 @@ def role(title, body) -> Column:
     excluded = F.lit(None).cast("string")
     for label, pattern, only_title in reversed(V.CASE_DISQUALIFIERS):
         excluded = F.when((name if only_title else whole).rlike(js(pattern)), label).otherwise(excluded)
-    ai, ml, product, engineering = (first_quote(title, body, p) for p in (V.CASE_AI, V.CASE_ML, V.CASE_PRODUCT, V.CASE_ENGINEERING))
+    kinds = {"ai": V.CASE_AI, "ml": V.CASE_ML, "product": V.CASE_PRODUCT, "engineering": V.CASE_ENGINEERING}
+    found = let(parts_of(title, body), lambda parts: F.struct(*[first_quote(parts, p).alias(k) for k, p in kinds.items()]))
+    return let(F.struct(excluded.alias("excluded"), found.alias("found")), _role)
+
+
+def _role(x: Column) -> Column:
+    excluded = x["excluded"]
+    ai, ml, product, engineering = (x["found"][k] for k in ("ai", "ml", "product", "engineering"))
     direct = ai.isNotNull() & engineering.isNotNull()
     shipped = ml.isNotNull() & product.isNotNull() & engineering.isNotNull()
     fit = excluded.isNull() & (direct | shipped)
@@ -35,8 +47,11 @@ def role(title, body) -> Column:
 
 
 def english(title, body) -> Column:
-    sample = normal(F.concat(text(title), F.lit("\n"), text(body)))
-    other, latin = F.regexp_count(sample, F.lit(V.CASE_NON_LATIN)), F.regexp_count(sample, F.lit("[a-z]"))
+    return let(normal(F.concat(text(title), F.lit("\n"), text(body))), _english)
+
+
+def _english(sample: Column) -> Column:
+    other, latin = F.regexp_count(sample, F.lit(V.CASE_NON_LATIN)), F.char_length(F.regexp_replace(sample, "[^a-z]++", ""))
     foreign = sum((sample.rlike(js(rf"\b(?:{p})\b")).cast("int") for p in V.CASE_FOREIGN[1:]), sample.rlike(js(rf"\b(?:{V.CASE_FOREIGN[0]})\b")).cast("int"))
     words = F.regexp_count(sample, F.lit(js(rf"\b(?:{V.CASE_ENGLISH_WORDS})\b")))
     return F.when((other > F.greatest(F.lit(3.0), latin * 0.08)) | (foreign >= 2), False).otherwise((words >= 2) | ((latin > 0) & (foreign == 0)))
@@ -44,13 +59,27 @@ def english(title, body) -> Column:
 
 def language(title, body) -> Column:
     """struct(fit, reason): nationality, required languages in order, an English text, or English named."""
-    required = F.lit(None).cast("string")
-    for name, match, strong, wish in reversed(V.CASE_LANGUAGES):
-        said = first_quote(title, body, rf"(?i)\b(?:{match})\b")
-        firm, level, soft = (said.rlike(js(rf"(?i)\b(?:{p})\b")) for p in (f"{V.CASE_REQUIRED}|{strong}", V.CASE_LEVEL, f"{V.CASE_WISH}|{wish}"))
-        required = F.when((firm | level) & ~(soft & ~firm), name).otherwise(required)
-    is_english, named = english(title, body), first_quote(title, body, V.CASE_ENGLISH).isNotNull()
-    nationals = first_quote(title, body, V.CASE_NATIONALS).isNotNull()
+
+    def asks(strong: str, wish: str):
+        words = lambda p: js(rf"(?i)\b(?:{p})\b")
+
+        def test(said: Column) -> Column:
+            firm, level, soft = (said.rlike(words(p)) for p in (f"{V.CASE_REQUIRED}|{strong}", V.CASE_LEVEL, f"{V.CASE_WISH}|{wish}"))
+            return (firm | level) & ~(soft & ~firm)
+
+        return test
+
+    def found(parts: Column) -> Column:
+        required = F.lit(None).cast("string")
+        for name, match, strong, wish in reversed(V.CASE_LANGUAGES):
+            required = F.when(let(first_quote(parts, rf"(?i)\b(?:{match})\b"), asks(strong, wish)), name).otherwise(required)
+        return F.struct(required.alias("required"), first_quote(parts, V.CASE_ENGLISH).isNotNull().alias("named"), first_quote(parts, V.CASE_NATIONALS).isNotNull().alias("nationals"))
+
+    return let(F.struct(let(parts_of(title, body), found).alias("found"), english(title, body).alias("english")), _language)
+
+
+def _language(x: Column) -> Column:
+    nationals, required, named, is_english = x["found"]["nationals"], x["found"]["required"], x["found"]["named"], x["english"]
     reason = (
         F.when(nationals, "Saudi-only roles are excluded.")
         .when(required.isNotNull(), F.concat(required, F.lit(" is required as a non-English working language.")))
