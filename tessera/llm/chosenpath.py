@@ -235,7 +235,8 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, docs: DataFr
     inside = rows.select("id", F.struct(F.xxhash64("node", F.lit("node")).alias("grp"), F.lit(False).alias("star"), F.lit(True).alias("member"), "node", "label", "homes").alias("place"))
     places = members.unionAll(heads).unionAll(inside).join(classes.select("id", "doc_id", "hash"), "id")
     texts = docs.select(F.col("doc_id").alias("of"), F.col("hash").alias("text_hash"), "text")
-    found = places.join(texts, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("text_hash"))).select("place.*", "id", "text")
+    # always dealt by key: the places grow with the documents, so a broadcast would only work while they are few
+    found = places.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("text_hash"))).select("place.*", "id", "text")
     dealt = found.repartition(partitions(pairs.sparkSession), "grp").sortWithinPartitions("grp", "member", "id")
     return dealt.mapInArrow(lean(run), "a long, b long")
 
