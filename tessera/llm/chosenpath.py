@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, NOT_SPACE, lean, mix, partitions, prefix_sums, ranges, slices, span_hashes, stored, table, utf8, word_spans
@@ -22,6 +22,8 @@ TOKENS = 128
 TREES, LEVELS = 5, 2
 #: A node of so many documents and shingles at most is compared exhaustively by one task.
 SMALL, SHINGLES = 4096, 1 << 22
+#: Bits of the sieves that keep most rows that are not asked for out of an exchange.
+SIEVE = 20
 #: A pair's share of equal tokens may lie so many standard deviations under the similarity asked for.
 DEVIATIONS = 5
 #: Documents that a task compares with one head in a row.
@@ -60,8 +62,13 @@ def minwise(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (mix(out) >> np.uint64(32)).astype(np.uint32)
 
 
-def with_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, hash of the text, n_shingles, key, tokens, bits): key is 128 bits of the set, null if it is empty."""
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, ...) -> (doc_id, text, hash): what tells the texts of a repeated doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+
+
+def with_sets(docs: DataFrame, words: int, *kept: str) -> DataFrame:
+    """(doc_id, text, hash, kept) -> (doc_id, hash, n_shingles, key, tokens, bits, kept): key is 128 bits of the set, null if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,9 +78,27 @@ def with_sets(docs: DataFrame, words: int) -> DataFrame:
                 tokens = minwise(hashes, at)
                 keys = [xxhash.xxh3_128_digest(hashes[x:y].tobytes()) if y > x else None for x, y in zip(at, at[1:])]
                 blobs = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(at)), pa.array(keys, pa.binary()), blobs(tokens), blobs(tokens.astype(np.uint8))], ["doc_id", "hash", "n_shingles", "key", "tokens", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(at)), pa.array(keys, pa.binary()), blobs(tokens), blobs(tokens.astype(np.uint8)), *(batch.column(c).slice(a, b - a) for c in kept)], ["doc_id", "hash", "n_shingles", "key", "tokens", "bits", *kept])
+
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.select("doc_id", "text", "hash", *kept).mapInArrow(lean(run), "doc_id long, hash long, n_shingles long, key binary, tokens binary, bits binary" + more)
+
+
+def classes_of(sets: DataFrame, *more: Column) -> DataFrame:
+    """with_sets() -> a row for each distinct set, empty ones left out, with an id of its own."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
+    classes = sets.filter("key is not null").groupBy("key").agg(first.alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"), *more)
+    return stored(classes.select(F.monotonically_increasing_id().alias("id"), "key", "first.doc_id", "first.hash", *classes.columns[2:]), "classes")
 
-    return docs.select("doc_id", "text", "hash").mapInArrow(lean(run), "doc_id long, hash long, n_shingles long, key binary, tokens binary, bits binary")
+
+def sieve(asked: DataFrame, column: str):
+    """A test of a column for values that may be among those asked for: a bitmap of their hashes, 2**SIEVE bits whatever their number. None is lost."""
+    bit = F.pmod(F.xxhash64(column), F.lit(1 << SIEVE))
+    words = asked.select(bit.alias("bit")).groupBy(F.shiftright("bit", 3).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (SIEVE - 3), np.uint8)
+    bitmap[words.column("byte").to_numpy()] = words.column("bits").to_numpy()
+    byte = F.conv(F.hex(F.call_function("substring", F.lit(bitmap.tobytes()), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (bit % 8).cast("int")) == 1
 
 
 def branched(members: DataFrame, classes: DataFrame, level: int) -> DataFrame:
@@ -233,8 +258,8 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, docs: DataFr
     members = pairs.join(runs, "a").select(F.col("b").alias("id"), star(F.col("a"), F.pmod(F.xxhash64("b"), F.col("runs")).cast("int"), True).alias("place"))
     heads = runs.select(F.col("a").alias("id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("runs") - 1), lambda i: star(F.col("a"), i, False))).alias("place"))
     inside = rows.select("id", F.struct(F.xxhash64("node", F.lit("node")).alias("grp"), F.lit(False).alias("star"), F.lit(True).alias("member"), "node", "label", "homes").alias("place"))
-    places = members.unionAll(heads).unionAll(inside).join(classes.select("id", "doc_id", "hash"), "id")
-    texts = docs.select(F.col("doc_id").alias("of"), F.col("hash").alias("text_hash"), "text")
+    places = stored(members.unionAll(heads).unionAll(inside).join(classes.select("id", "doc_id", "hash"), "id"), "places")
+    texts = docs.filter(sieve(places, "hash")).select(F.col("doc_id").alias("of"), F.col("hash").alias("text_hash"), "text")
     # always dealt by key: the places grow with the documents, so a broadcast would only work while they are few
     found = places.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("text_hash"))).select("place.*", "id", "text")
     dealt = found.repartition(partitions(pairs.sparkSession), "grp").sortWithinPartitions("grp", "member", "id")
@@ -275,7 +300,9 @@ def links(classes: DataFrame, docs: DataFrame, words: int = WORDS, least: int =
         tagged = large.select("node", "id").join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
         mixed = tagged.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("node")
         level += 1
-        members = stored(branched(tagged.join(mixed, "node"), classes, level), "members")
+        left = stored(tagged.join(mixed, "node").select("node", "id"), "left")
+        classes = classes.filter(sieve(left, "id"))  # only these come to deeper levels
+        members = stored(branched(left, classes, level), "members")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -286,11 +313,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
     no component unless nothing else is in it. Other columns are ignored; an empty table gives an empty one. Texts
     are taken whole, however long.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    rows = identified(docs)
     sets = stored(with_sets(rows, words), "sets")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
-    classes = sets.filter("key is not null").groupBy("key").agg(first.alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "key", "first.doc_id", "first.hash", "n_shingles", "tokens", "bits"), "classes")
+    classes = classes_of(sets)
     named = components(links(classes, rows, words, least)).withColumnRenamed("node", "id")
     parts = classes.select("id", "key", "doc_id").join(named, "id", "left").select("key", "doc_id", F.coalesce("component", "id").alias("component"))
     parts = parts.join(parts.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("key", "component_id")

@@ -10,15 +10,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lean, mix, partitions, stored, table, utf8
+from tessera.llm import chosenpath
+from tessera.llm.common import lean, partitions, stored, table, utf8
 from tessera.llm.components import components
 
 SEED = 42
-#: Of min-hashes, so many make a key, and a document has so many keys: at a similarity of 0.8, 0.9996 of pairs have one in
-#: common. Up to FEW documents of a key are paired in full. More are paired with one of them, and those unlike it are dealt
-#: anew by FINER further min-hashes, up to ROUNDS times.
-ROWS, BANDS, FEW, FINER, ROUNDS = 5, 20, 16, 2, 8
-HASHES = ROWS * BANDS + FINER * ROUNDS
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -96,93 +92,29 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     return x.join(y, (F.col("x.variant") == F.col("y.variant")) & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
-def min_hashes(hashes: np.ndarray) -> np.ndarray:
-    """HASHES minima, each under an order of its own."""
-    k = np.arange(HASHES, dtype=np.uint64)
-    odd, shift = mix(k + np.uint64(1)) | np.uint64(1), mix(k + np.uint64(1 << 32))
-    out = np.full(HASHES, 2**64 - 1, np.uint64)
-    for a in range(0, len(hashes), 512):
-        out = np.minimum(out, (hashes[a : a + 512, None] * odd + shift).min(axis=0))
-    return out
-
-
-def folded(values: np.ndarray) -> np.ndarray:
-    """One 64-bit hash of each row, whose number counts too."""
-    out = mix(np.arange(len(values), dtype=np.uint64) + np.uint64(SEED))
-    for i in range(values.shape[1]):
-        out = mix(out * np.uint64(3) + values[:, i])
-    return out
-
-
-def with_shingles(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, fp, id, keys, finer, shingles): the set as sorted 32-bit hashes, and what deals it. id tells sets of a fingerprint apart."""
+def beside_fingerprints(rows: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text, hash) -> also fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(1))
-            fps, ids, keys, finer, sets = [], [], [], [], []
-            for a, b in zip(at[:-1], at[1:]):
-                hashes = shingle_hashes(data[a:b].tobytes(), words)
-                fps.append(majority(hashes))
-                hashes = np.unique(hashes)
-                blob = np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes()
-                ids.append(xxhash.xxh64_intdigest(blob, fps[-1]))
-                least = min_hashes(hashes)
-                keys.append(folded(least[: ROWS * BANDS].reshape(BANDS, ROWS)).view(np.int64) if len(hashes) else [])
-                finer.append(folded(least[ROWS * BANDS :].reshape(ROUNDS, FINER)).view(np.int64))
-                sets.append(blob)
-            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), long(fps), long(ids), pa.array(keys, pa.list_(pa.int64())), pa.array(finer, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "fp", "id", "keys", "finer", "shingles"])
-
-    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, fp long, id long, keys array<long>, finer array<long>, shingles binary")
-
-
-def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b), (id, fp, shingles) -> (a, b, fp_a, fp_b, near): whether the sets have a Jaccard similarity of `least` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(same >= least * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "fp_a", "fp_b")), pa.array(near, pa.bool_())], ["a", "b", "fp_a", "fp_b", "near"])
+            out = np.fromiter((fingerprint(data[a:b].tobytes(), words) for a, b in zip(at[:-1], at[1:])), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.view(np.int64))], ["doc_id", "text", "hash", "fp"])
 
-    both = pairs
-    for end, name in (("a", "x"), ("b", "y")):
-        both = both.join(sets.select(F.col("id").alias(end), F.col("fp").alias(f"fp_{end}"), F.col("shingles").alias(name)), end)
-    return both.mapInArrow(lean(run), "a long, b long, fp_a long, fp_b long, near boolean")
+    return rows.select("doc_id", "text", "hash").mapInArrow(lean(run), "doc_id long, text string, hash long, fp long")
 
 
-def similar(prints: DataFrame, least: float) -> DataFrame:
-    """with_shingles() -> (a, b) fingerprints of documents whose shingle sets have a Jaccard similarity of `least` or more.
+def similar(sets: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """chosenpath.with_sets() with fp -> (a, b) fingerprints, enough of them to join all documents whose shingle sets have a Jaccard similarity of `least` or more.
 
-    Every pair is verified on the sets. Documents of equal keys are candidates: all pairs of up to FEW; more are paired
-    with the one of the least id, and those unlike it are dealt anew by finer keys, so the pairs grow with the rows.
-    Members of so large a family that are like each other but not like that one are linked only if a finer key joins them.
+    The pairs are those of the chosen-path join, confirmed on full sets; families of any size are joined by the same rule.
     """
-    sets = prints.select("id", "fp", "shingles").dropDuplicates(["id"])
-    dealt = stored(prints.dropDuplicates(["id"]).select("id", "finer", F.explode("keys").alias("key")), "keys")
-    out = None
-    for i in range(ROUNDS + 1):
-        heads = dealt.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-        met = stored(dealt.join(heads, "key"), "met")
-        small = met.filter(f"n <= {FEW}")
-        pairs = small.select("key", F.col("id").alias("x")).join(small.select("key", F.col("id").alias("y")), "key").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        large = met.filter(f"n > {FEW} AND id <> a")
-        pairs = stored(pairs.unionAll(large.select("a", F.col("id").alias("b"))).distinct(), "pairs")
-        used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        judged = stored(alike(pairs, sets.join(used, "id", "left_semi"), least), "judged")
-        near = judged.filter("near AND fp_a <> fp_b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
-        out = near if out is None else out.unionAll(near)
-        if i == ROUNDS:
-            break
-        unlike = large.join(judged.filter("NOT near").select("a", F.col("b").alias("id")), ["a", "id"], "left_semi")
-        dealt = stored(unlike.select("id", "finer", F.xxhash64("key", F.col("finer")[i]).alias("key")), "keys")
-        if dealt.isEmpty():
-            break
-    return out
+    classes = chosenpath.classes_of(sets, F.min("fp").alias("fp"))
+    name = classes.select("id", "key", "fp")
+    pairs = chosenpath.links(classes, rows, words, 100 * least)
+    across = pairs.join(name.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").join(name.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b").select("x", "y")
+    within = sets.select("key", F.col("fp").alias("x")).distinct().join(name.select("key", F.col("fp").alias("y")), "key").select("x", "y")
+    return across.unionAll(within).filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, least: float | None = None) -> DataFrame:
@@ -194,10 +126,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, least: float
     doc_id keeps a row for each input row, a null doc_id counts as a document of its own that no component is named by.
     Very long texts are taken whole: about 40 bytes a word while their shingles are hashed.
     """
-    marked = stored(with_fingerprints(docs, words) if least is None else with_shingles(docs, words), "fingerprints")
+    if least is None:
+        marked = stored(with_fingerprints(docs, words), "fingerprints")
+    else:
+        rows = chosenpath.identified(docs)
+        marked = stored(chosenpath.with_sets(beside_fingerprints(rows, words), words, "fp"), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     linked = links(nodes.select("fp").repartition(partitions(docs.sparkSession), "fp"), bits)
-    parts = components(linked if least is None else linked.unionAll(similar(marked, least)))
+    parts = components(linked if least is None else linked.unionAll(similar(marked, rows, words, least)))
     member = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least_id = member.groupBy("component").agg(F.min("first").alias("component_id"))
     named = member.join(least_id, "component").select("fp", "component_id")

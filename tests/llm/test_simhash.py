@@ -110,3 +110,18 @@ def test_the_query_equals_brute_force(spark):
 def test_fingerprints_of_very_long_texts_are_counted_in_parts():
     text = " ".join(str(i * 7919 % 10007) for i in range(40_000))
     assert fingerprint(text.encode(), 3) == plain(text, 3)
+
+
+@pytest.mark.parametrize("n", [100, 3000])
+def test_families_whose_members_are_unlike_their_first(spark, n):
+    """A chain of texts, each like its neighbours only: every link counts, however many there are."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    words, rows = [word() for _ in range(150)], []
+    for k in range(n):
+        at = rng.randrange(0, 144)
+        words[at : at + 4] = [word() for _ in range(4)]  # at most 8 of 146 shingles change: a similarity of 0.89 or more
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.component_id for r in near_duplicates(docs, words=5, bits=5, least=0.8).collect()]
+    assert got == [0] * n
