@@ -19,10 +19,9 @@ EXTERNAL = "struct<role_relevance:double,language_fit:double,remote_scope:string
 
 
 def within_budget(jobs: DataFrame, pays: Column, order: list[str], spent: float, cap: float, cost: float = COST_USD) -> DataFrame:
-    """Jobs with within_budget: whether what was spent, the jobs before it in `order` that pay and its own cost stay under the cap. All jobs are one queue."""
-    paid = F.when(pays, 1).otherwise(0)
-    out = running_sums(jobs.withColumn("_queue", F.lit(0)), ["_queue"], order, _paid=paid)
-    return out.withColumn("within_budget", (F.round(spent + F.col("_paid") * cost, 9) <= cap) | (F.col("_paid") == 0)).drop("_queue", "_paid")
+    """Jobs with within_budget: whether what was spent, the jobs before it in `order` that pay and its own cost stay under the cap; true for those that do not pay. All jobs are one queue."""
+    out = running_sums(jobs.withColumns({"_queue": F.lit(0), "_pays": pays}), ["_queue"], order, _paid=F.when(F.col("_pays"), 1).otherwise(0))
+    return out.withColumn("within_budget", ~F.col("_pays") | (F.round(spent + F.col("_paid") * cost, 9) <= cap)).drop("_queue", "_pays", "_paid")
 
 
 def judged(jobs: DataFrame, now: Column, weights: dict, country_weights: dict, skills: list[str], spent: float = 0.0, cap: float = 30.0, email_only: bool = False, owner: str = "the owner", outside: str = "Judge", order: list[str] | None = None) -> DataFrame:
