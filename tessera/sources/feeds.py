@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import dates, urls
 from tessera.functions.text import emails, html_blocks, normal_space, plain_addresses, strip_html, text
+from tessera.shared import stored
 
 RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "url", "apply_url", "external_id", "company", "location", "description")] + [T.StructField("posted_at", T.TimestampType()), T.StructField("emails", T.ArrayType(T.StringType())), T.StructField("source_kind", T.StringType())])
 
@@ -96,10 +97,6 @@ def sitemap(payloads: DataFrame) -> DataFrame:
     return rows.withColumn("url", F.replace("url", F.lit("&amp;"), F.lit("&"))).filter("url rlike '(?i)^https?://'")
 
 
-#: How deep postings are looked for in arrays and @graph of one another.
-DEPTH = 6
-
-
 def is_posting(item: Column) -> Column:
     kinds = F.get_json_object(item, "$['@type']")
     many = F.coalesce(F.from_json(kinds, "array<string>"), F.array(kinds))
@@ -107,29 +104,30 @@ def is_posting(item: Column) -> Column:
 
 
 def json_ld(payloads: DataFrame) -> DataFrame:
-    """(body, base_url) of HTML pages -> RECORD rows of their JobPosting objects: single ones, in arrays and in @graph, to a depth of DEPTH.
+    """(body, base_url) of HTML pages -> RECORD rows of their JobPosting objects: single ones, in arrays and in @graph, however deep.
 
-    A posting is not looked into for others.
+    A posting is not looked into for others. Each round opens what the last one found and is written as a table, until
+    nothing is left to open; so it is for batches, not for streams.
     """
+    kept = [c for c in payloads.columns if c not in ("body", "base_url")]
     scripts = F.regexp_extract_all(F.col("body"), F.lit(r'(?is)<script\b[^>]*type\s*=\s*["\']application/ld\+json["\'][^>]*>(.*?)</script>'), F.lit(1))
-    rows = payloads.select("*", F.explode(scripts).alias("_s"))
-    level, none = F.array("_s"), F.array().cast("array<string>")
-
-    def below(x: Column) -> Column:
-        graph = F.get_json_object(x, "$['@graph']")
-        inside = F.coalesce(F.from_json(graph, "array<string>"), F.when(graph.isNotNull(), F.array(graph)), none)
-        return F.when(F.ltrim(x).startswith("["), F.coalesce(F.from_json(x, "array<string>"), none)).when(is_posting(x), F.array(x)).otherwise(inside)
-
-    rows = rows.withColumn("_level", level)
-    for _ in range(DEPTH):
-        rows = rows.withColumn("_level", F.flatten(F.transform("_level", below)))
-    objects = rows.select(*payloads.columns, F.explode("_level").alias("_item"))
-    jobs = objects.filter(is_posting(F.col("_item")))
+    level = stored(payloads.select(*kept, emails("body").alias("_page"), F.explode(scripts).alias("_item")), "json-ld")
+    none = F.array().cast("array<string>")
+    graph = F.get_json_object("_item", "$['@graph']")
+    inside = F.coalesce(F.from_json(graph, "array<string>"), F.when(graph.isNotNull(), F.array(graph)), none)
+    listed, jobs = F.ltrim("_item").startswith("["), None
+    while True:
+        found = level.filter(~listed & is_posting(F.col("_item")))
+        jobs = found if jobs is None else jobs.unionAll(found)
+        below = F.when(listed, F.coalesce(F.from_json("_item", "array<string>"), none)).when(is_posting(F.col("_item")), none).otherwise(inside)
+        level = stored(level.select(*kept, "_page", F.explode(below).alias("_item")), "json-ld")
+        if level.isEmpty():
+            break
     pick = lambda *ps: F.coalesce(*[value_text(F.col("_item"), p) for p in ps], F.lit(None).cast("string"))
     place = F.concat_ws(", ", *[pick(f"$.jobLocation.address.{k}", f"$.jobLocation[0].address.{k}") for k in ("addressLocality", "addressRegion", "addressCountry")])
     url = pick("$.url", "$.mainEntityOfPage", "$['@id']")
     body = html_blocks(pick("$.description"))
-    own, page = emails(body), emails("body")
+    own, page = emails(body), F.col("_page")
     out = jobs.select(
         *[c for c in payloads.columns if c not in ("body", "base_url")], pick("$.title", "$.name").alias("title"), url.alias("url"), F.lit(None).cast("string").alias("apply_url"),
         F.coalesce(pick("$.identifier"), urls.identifier(url)).alias("external_id"), pick("$.hiringOrganization").alias("company"), F.nullif(F.coalesce(F.nullif(place, F.lit("")), pick("$.jobLocation", "$.jobLocation.address")), F.lit("")).alias("location"),
@@ -331,3 +329,12 @@ def simply_allowed(requests: DataFrame, rules: DataFrame) -> DataFrame:
     sets = rules.groupBy("host").agg(F.collect_set("prefix").alias("_p"))
     out = requests.join(sets, "host", "left")
     return out.withColumn("allowed", ~F.coalesce(F.exists("_p", lambda p: F.col("path").startswith(p)), F.lit(False))).drop("_p")
+
+
+def page_rows(payloads: DataFrame, key: str) -> DataFrame:
+    """(key, body, base_url) -> one row a page: jobs (array of RECORD), emails, links, ats (known hosts named), content_hash. A page without postings has none."""
+    from tessera.functions import rules
+
+    jobs = json_ld(payloads.select(key, "body", "base_url")).groupBy(key).agg(F.collect_list(F.struct(*[f.name for f in RECORD.fields])).alias("jobs"))
+    own = payloads.select(key, emails("body").alias("emails"), urls.links("base_url", "body").alias("links"), rules.ats_markers("body").alias("ats"), F.sha2("body", 256).alias("content_hash"))
+    return own.join(jobs, key, "left").withColumn("jobs", F.coalesce("jobs", F.array().cast(T.ArrayType(RECORD))))

@@ -363,3 +363,11 @@ def test_the_budget_is_a_running_gate(spark):
     pays = [i for i in sorted(got, reverse=True) if i % 5 != 4]
     assert [got[i] for i in pays] == ["targeted"] * 50 + ["pending_judge"] * 50
     assert all(got[i] == "blacklisted" for i in got if i % 5 == 4)
+
+
+def test_postings_are_found_however_deep(spark):
+    deep = POSTING
+    for i in range(14):
+        deep = {"@graph": [deep]} if i % 2 else [[deep], {"@type": "Person"}]
+    page = '<script type="application/ld+json">' + json.dumps(deep) + "</script>"
+    assert [r.title for r in feeds.json_ld(bodies(spark, page, "<p>none</p>")).collect()] == ["Dev"]
