@@ -23,7 +23,7 @@ TREES, LEVELS = 5, 2
 #: A node of so many documents and shingles at most is compared exhaustively by one task.
 SMALL, SHINGLES = 4096, 1 << 22
 #: Bits of the sieves that keep most rows that are not asked for out of an exchange.
-SIEVE = 20
+SIEVE = 18
 #: A pair's share of equal tokens may lie so many standard deviations under the similarity asked for.
 DEVIATIONS = 5
 #: Documents that a task compares with one head in a row.
