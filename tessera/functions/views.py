@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vocabulary as V
 from tessera.functions.dates import age_group, local_day
 from tessera.functions.scoring import lookup
-from tessera.functions.text import col, js, normal_space, page_text, text
+from tessera.functions.text import col, js, let, normal_space, page_text, text
 
 
 def percent(x) -> Column:
@@ -144,6 +144,74 @@ def recruiter_addresses(results_text, company) -> Column:
     return F.slice(F.filter(found, lambda e: own_domain(e, company) & ~local(e).rlike(PLACEHOLDERS) & ~local(e).rlike(NOT_RECRUITING)), 1, 3)
 
 
+#: Sites that guess addresses, and the search service's own.
+GUESSING_SITES = r"(?i)(rocketreach|zoominfo|signalhire|contactout|apollo\.io|lusha|hunter\.io|leadiq|clearbit|snov\.io|voilanorbert|emailformat|email-format|kendoemailapp|getemail|findthat)"
+OWN_SITE = r"brave\.com|search\.brave"
+ADDRESS, HREF = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r'href="(https?://[^"]+)"'
+
+
+def positions(x: Column, pattern: str, group: int) -> Column:
+    """array of (at, end, value) of all matches of a pattern in a text, counted from 0: the lengths of what lies between are summed."""
+    between, whole, value = F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1)), F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(group + 1))
+    each = F.zip_with(F.slice(between, 1, F.size(whole)), F.arrays_zip(whole.alias("w"), value.alias("v")), lambda b, m: F.struct(F.char_length(b).alias("gap"), F.char_length(m["w"]).alias("size"), m["v"].alias("v")))
+    shape = "struct<at:int,out:array<struct<at:int,end:int,value:string>>>"
+
+    def step(s: Column, m: Column) -> Column:
+        at = s["at"] + m["gap"]
+        return F.struct((at + m["size"]).alias("at"), F.concat(s["out"], F.array(F.struct(at.alias("at"), (at + m["size"]).alias("end"), m["v"].alias("value")))).alias("out")).cast(shape)
+
+    return F.aggregate(each, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,end:int,value:string>>").alias("out")).cast(shape), step)["out"]
+
+
+def mails_with_links(html) -> Column:
+    """array of (email, at, url): every address of a page's markup, scripts and styles taken out, with the nearest link before it; null without one.
+
+    An as-of match in one pass: links and addresses are merged by place, and the last link is carried along.
+    """
+    clean = F.regexp_replace(F.regexp_replace(text(html), r"(?is)<script.*?</script>", " "), r"(?is)<style.*?</style>", " ")
+
+    def matched(x: Column) -> Column:
+        links = F.transform(F.filter(positions(x, HREF, 1), lambda p: ~p["value"].rlike(OWN_SITE)), lambda p: F.struct(p["end"].alias("at"), F.lit(0).alias("kind"), p["value"].alias("value"), p["at"].alias("start")))
+        mails = F.transform(positions(x, ADDRESS, 0), lambda p: F.struct(p["at"].alias("at"), F.lit(1).alias("kind"), p["value"].alias("value"), p["at"].alias("start")))
+        shape = "struct<url:string,out:array<struct<email:string,at:int,url:string>>>"
+
+        def step(s: Column, p: Column) -> Column:
+            mail = p["kind"] == 1
+            found = F.array(F.struct(F.regexp_replace(F.lower(p["value"]), r"\.+$", "").alias("email"), p["start"].alias("at"), s["url"].alias("url")))
+            return F.struct(F.when(mail, s["url"]).otherwise(p["value"]).alias("url"), F.when(mail, F.concat(s["out"], found)).otherwise(s["out"]).alias("out")).cast(shape)
+
+        start = F.struct(F.lit(None).cast("string").alias("url"), F.array().cast("array<struct<email:string,at:int,url:string>>").alias("out")).cast(shape)
+        return F.transform(F.aggregate(F.array_sort(F.concat(links, mails)), start, step)["out"], lambda m: F.struct(m["email"], m["at"], m["url"], _window(x, m).alias("window")))
+
+    return let(clean, matched)
+
+
+def _window(x: Column, m: Column) -> Column:
+    """400 characters before an address and 200 behind it as plain text."""
+    first = F.greatest(F.lit(0), m["at"] - 400)
+    out = F.substring(x, first + 1, m["at"] + F.char_length(m["email"]) + 200 - first)
+    for pattern in (r"<[^>]+>", r"<[^>]*$", r"^[^<]*>", r"(?i)&[a-z#0-9]+;"):
+        out = F.regexp_replace(out, pattern, " ")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def recruiter_contacts(html, company) -> Column:
+    """array of (email, quote, url): at most three addresses of a result page at the company's own domain, each with its nearest preceding link and what is said around it."""
+    local = lambda e: F.split_part(e, F.lit("@"), F.lit(1))
+    fine = lambda m: own_domain(m["email"], company) & ~local(m["email"]).rlike(PLACEHOLDERS) & ~local(m["email"]).rlike(NOT_RECRUITING) & m["url"].isNotNull() & ~m["url"].rlike(GUESSING_SITES) & F.contains(F.lower(m["window"]), m["email"])
+
+    def told(m: Column) -> Column:
+        at = F.call_function("instr", F.lower(m["window"]), m["email"]) - 1
+        first = F.greatest(F.lit(0), at - 160)
+        return F.struct(m["email"], F.trim(F.substring(m["window"], first + 1, at + F.char_length(m["email"]) + 80 - first)).alias("quote"), m["url"])
+
+    def firsts(ms: Column) -> Column:
+        once = F.transform(F.slice(F.array_distinct(F.transform(ms, lambda m: m["email"])), 1, 3), lambda e: F.get(F.filter(ms, lambda m: m["email"] == e), F.lit(0)))
+        return F.transform(once, told)
+
+    return let(F.filter(mails_with_links(html), fine), firsts)
+
+
 def reader_kind(adapter, method, url) -> Column:
     """Which reader a source gets: its adapter, else its method, else its address; null for unknown ones."""
     names = {"greenhouse": "greenhouse", "lever": "lever", "ashby": "ashby", "workday": "workday", "workday_cxs": "workday", "hn_whoishiring": "hiring_thread", "json_api": "json", "rss": "rss", "sitemap": "sitemap", "json_ld": "json_ld", "html_selector": "selector", "csv_download": "csv", "headless": "headless"}

@@ -240,3 +240,24 @@ def fault_classes(spark, sf):
     three = F.col("o_custkey") % 3
     due = S.paused_until(three == 0, F.when(three == 1, F.to_timestamp(F.lit("9999-12-31"))).otherwise(F.col("o_orderdate").cast("timestamp")), F.lit(_NOW).cast("timestamp"))
     return t(spark, sf, "orders").select("o_orderkey", rules.error_class(kind, code).alias("fault"), F.to_date(due).alias("due"))
+
+
+#: Result pages made of documents with addresses: a link, the text, another link, an address without a link before it in every fifth.
+_RESULT = "CASE WHEN doc_id % 5 = 0 THEN '' ELSE '<a href=\"https://src' || doc_id || '.io/a?b=1\">x</a>' END || '<p>' || text || '</p><script>var a = \"no@script.io\";</script><a href=\"https://late.io/' || doc_id || '\">y</a> Hire: Ann.Lee@acme.dev, talk <b>now</b> &amp; here.'"
+_LISTED = """m AS MATERIALIZED (SELECT doc_id, x, pieces, hits, k FROM (SELECT doc_id, x, string_split_regex(x, {0}) AS pieces, regexp_extract_all(x, {0}) AS hits FROM r), range(1, 100000) g(k) WHERE k <= len(hits)),
+{1} AS MATERIALIZED (SELECT doc_id, x, hits[k] AS hit, CAST(list_sum(list_transform(pieces[1:k], lambda p: length(p))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda p: length(p))), 0) AS BIGINT) AS start FROM m)"""
+_AROUND = "substring(x, greatest(0, start - 400) + 1, start + length(email) + 200 - greatest(0, start - 400))"
+for _p in (r"<[^>]+>", r"<[^>]*$", r"^[^<]*>", r"(?i)&[a-z#0-9]+;"):
+    _AROUND = f"regexp_replace({_AROUND}, {q(_p)}, ' ', 'g')"
+
+
+@query(f"""WITH r AS (SELECT doc_id, regexp_replace({_RESULT}, '(?is)<script.*?</script>', ' ', 'g') AS x FROM documents WHERE text LIKE '%@%'), {_LISTED.format(q(views.ADDRESS), "mails")}, {_LISTED.format(q(views.HREF), "links").replace("m AS", "n AS").replace("FROM m)", "FROM n)")},
+e AS (SELECT doc_id, x, start, regexp_replace(lower(hit), '\\.+$', '') AS email FROM mails), a AS (SELECT e.doc_id, e.start, any_value(email) AS email, any_value(e.x) AS x, arg_max(regexp_extract(hit, 'href="([^"]+)"', 1), l.start) AS url FROM e LEFT JOIN links l ON l.doc_id = e.doc_id AND l.start + length(l.hit) <= e.start GROUP BY ALL)
+SELECT doc_id, start AS at, email, url, md5(trim(regexp_replace({_AROUND}, '\\s+', ' ', 'g'))) AS said FROM a""".replace("\\\\", "\\"))
+def mails_and_links(spark, sf):
+    """Every address of a page with the link before it and what is said around it."""
+    d = F.col("doc_id").cast("string")
+    head = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit('<a href="https://src'), d, F.lit('.io/a?b=1">x</a>')))
+    page = F.concat(head, F.lit("<p>"), "text", F.lit('</p><script>var a = "no@script.io";</script><a href="https://late.io/'), d, F.lit('">y</a> Hire: Ann.Lee@acme.dev, talk <b>now</b> &amp; here.'))
+    rows = t(spark, sf, "documents").filter("text like '%@%'").select("doc_id", F.explode(views.mails_with_links(page)).alias("m"))
+    return rows.select("doc_id", F.col("m.at").cast("long").alias("at"), "m.email", "m.url", F.md5("m.window").alias("said"))

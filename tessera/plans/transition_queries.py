@@ -287,3 +287,27 @@ def judged_postings(spark, sf):
     })
     out = judging.judged(rows, now(), {"seniority": {"mid": 1.0}, "modeVisa": {}, "freshnessDays": [(2, 1.0)]}, {"other": 0.5}, [], spent=29.5)
     return out.select("id", "status", "skip_reason")
+
+
+@query("""WITH s AS (SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS external_id, md5(text) AS h, CASE doc_id % 4 WHEN 0 THEN 'closed' WHEN 1 THEN 'targeted' WHEN 2 THEN 'sent' ELSE 'new' END AS status FROM documents WHERE doc_id % 3 <> 0),
+b AS (SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS external_id, md5(text || '!') AS h FROM documents WHERE doc_id % 50 = 0)
+SELECT coalesce(s.source_id, b.source_id) AS source_id, coalesce(s.external_id, b.external_id) AS external_id, coalesce(b.h, s.h) AS jd_hash, CASE WHEN s.source_id IS NULL THEN 'new' WHEN b.source_id IS NULL THEN s.status WHEN s.status = 'closed' THEN 'new' WHEN s.status IN ('targeted') THEN 'new' ELSE s.status END AS status
+FROM s FULL OUTER JOIN b ON s.source_id = b.source_id AND s.external_id = b.external_id""")
+def bucketed_upsert(spark, sf):
+    """A stored state of documents in buckets, and a batch of one in fifty that rewrites only its own."""
+    import uuid
+
+    from tessera.operators.stored_state import BucketedState
+    from tessera.shared import shared_dir
+
+    d = t(spark, sf, "documents")
+    k = F.col("doc_id") % 4
+    status = F.when(k == 0, "closed").when(k == 1, "targeted").when(k == 2, "sent").otherwise("new")
+    key = [F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("external_id"), F.lit("x").alias("title")]
+    at = F.lit(None).cast("timestamp").alias("posted_at")
+    first = d.filter("doc_id % 3 <> 0").select(*key, F.md5("text").alias("jd_hash"), at, status.alias("status"), now().alias("last_seen_at"))
+    more = d.filter("doc_id % 50 = 0").select(*key, F.md5(F.concat("text", F.lit("!"))).alias("jd_hash"), at, F.col("doc_id").alias("position"))
+    state = BucketedState(spark, f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}", first.schema, ["source_id", "external_id"])
+    state.merge(first, 0, lambda old, new: new)
+    state.merge(more, 1, lambda old, new: S.upsert_jobs(old, new, now()))
+    return state.read().select("source_id", "external_id", "jd_hash", "status")

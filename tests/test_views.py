@@ -61,3 +61,13 @@ def test_email_only_off(spark):
     rows = [(1, "skipped", S.EMAIL_ONLY, None, None, "form"), (2, "skipped", "other", None, None, "form"), (3, "skipped", S.EMAIL_ONLY, NOW, None, "form"), (4, "skipped", None, None, None, None)]
     got = {r.id: r.status for r in S.email_only(spark.createDataFrame(rows, shape), False, F.lit(NOW)).collect()}
     assert got == {1: "new", 2: "skipped", 3: "skipped", 4: "skipped"}
+
+
+def test_recruiters_with_their_links(spark):
+    page = '<a href="https://a.io/1">x</a> Write Ann@acme.dev now. <a href="https://search.brave.com/x">s</a> <b>bob@acme.dev</b> and ann@acme.dev. <a href="https://rocketreach.co/p">g</a> carl@acme.dev <a href="https://b.io/">z</a> privacy@acme.dev dora@other.io eve@acme.dev fred@acme.dev'
+    got = one(spark, W.recruiter_contacts("h", F.lit("Acme Inc")), h=page)
+    assert [(c.email, c.url) for c in got] == [("ann@acme.dev", "https://a.io/1"), ("bob@acme.dev", "https://a.io/1"), ("eve@acme.dev", "https://b.io/")]
+    assert got[0].quote.startswith("x Write Ann@acme.dev now. s bob@acme.dev") and all(len(c.quote) <= 260 for c in got)
+    assert one(spark, W.recruiter_contacts("h", F.lit("Acme")), h="ann@acme.dev <a href=\"https://a.io\">late</a>") == [] and one(spark, W.recruiter_contacts("h", F.lit("Acme")), h=None) == []
+    long = '<a href="https://a.io/1">x</a> ' + " ".join(f"user{i}@acme.dev" for i in range(2000))
+    assert len(one(spark, W.mails_with_links("h"), h=long)) == 2000
