@@ -367,6 +367,7 @@ def least_documents(key: np.ndarray, data: np.ndarray, size: np.ndarray, doc: np
 
 
 RUN = np.dtype([("tie", "<i8"), ("start", "<i4"), ("n", "<i4")])
+OF_DOC = np.dtype([("doc", "<i8"), *RUN.descr])
 
 
 def window_runs(least: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -384,18 +385,25 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
     names = ["bucket", "doc", "runs", "n", "n_bytes", "packed"]
     schema = "bucket long, doc long, runs binary, n long, n_bytes long, packed binary"
 
-    def run_rows(doc, tie, start, n, sent: bool) -> pa.RecordBatch:
+    def run_rows(doc, tie, start, n) -> pa.RecordBatch:
         order = np.argsort(doc, kind="stable")
         doc = doc[order]
         runs = np.empty(len(doc), RUN)
         runs["tie"], runs["start"], runs["n"] = tie[order], start[order], n[order]
         head = grouped(doc)
         blob = binary_rows(runs, np.diff(np.append(head, len(doc))))
-        if not sent:
-            return pa.RecordBatch.from_arrays([pa.array(doc[head]), blob], ["doc", "runs"])
         bucket, zero = by_bucket(doc[head].view(np.uint64), buckets), pa.array(np.zeros(len(head), np.int64))
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(doc[head]), blob, zero, zero, pa.array([b""] * len(head), pa.binary())], names)
 
+    def packed_runs(doc, tie, start, n) -> pa.RecordBatch:
+        """What a task found, a value for each bucket of documents: as many rows as there are buckets, whatever the documents."""
+        runs, bucket = np.empty(len(doc), OF_DOC), by_bucket(doc.view(np.uint64), buckets)
+        order = np.argsort(bucket, kind="stable")
+        for name, values in (("doc", doc), ("tie", tie), ("start", start), ("n", n)):
+            runs[name] = values[order]
+        head = grouped(bucket[order])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[order][head]), binary_rows(runs, np.diff(np.append(head, len(doc))))], ["bucket", "runs"])
+
     def blob_rows(key, doc, tie, start, size, data) -> pa.RecordBatch:
         at = np.cumsum(size) - size
         bucket = by_bucket(key, buckets)
@@ -416,7 +424,7 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
         least = np.repeat(rank(doc)[order[head]], np.diff(np.append(head, len(order))))
         later = order[rank(doc)[order] > least]
         if len(later):
-            yield run_rows(doc[later], tie[later], start[later], (size - LENGTH + 1)[later], True)
+            yield run_rows(doc[later], tie[later], start[later], (size - LENGTH + 1)[later])
         own = rank(doc)[order] == least
         fresh = np.zeros(len(order), bool)
         fresh[head] = True
@@ -429,7 +437,7 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
         least = least_documents(key, data, size, rank(doc), limit=limit)
         of, at, many = window_runs(least, doc, n)
         if len(of):
-            yield run_rows(doc[of], tie[of], start[of] + at, many, True)
+            yield run_rows(doc[of], tie[of], start[of] + at, many)
         owner, shift = np.repeat(np.arange(len(n)), n), ranges(np.zeros(len(n), np.int64), n)
         own = np.flatnonzero(least == rank(doc)[owner])
         if not len(own):
@@ -512,13 +520,25 @@ def earlier_windows(docs: DataFrame, answered: DataFrame, buckets: int) -> DataF
             held.append(some)
             n += len(some[0])
             if n >= HELD:
-                yield run_rows(*(np.concatenate(x) for x in zip(*held)), False)
+                yield packed_runs(*(np.concatenate(x) for x in zip(*held)))
                 held, n = [], 0
         if n:
-            yield run_rows(*(np.concatenate(x) for x in zip(*held)), False)
+            yield packed_runs(*(np.concatenate(x) for x in zip(*held)))
 
     sent = docs.join(answered, "doc").select("doc", "tie", "text", "keys").mapInArrow(lean(send), schema)
-    return sent.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), "doc long, runs binary")
+    met = sent.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), "bucket long, runs binary")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All runs of a bucket's documents, a row a document."""
+        for rows in by_buckets(batches):
+            runs = np.frombuffer(b"".join(rows.column("runs").to_pylist()), OF_DOC)
+            runs = runs[np.argsort(runs["doc"], kind="stable")]
+            head, bare = grouped(runs["doc"]), np.empty(len(runs), RUN)
+            for name in RUN.names:
+                bare[name] = runs[name]
+            yield pa.RecordBatch.from_arrays([pa.array(runs["doc"][head]), binary_rows(bare, np.diff(np.append(head, len(runs))))], ["doc", "runs"])
+
+    return met.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(spread), "doc long, runs binary")
 
 
 def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -539,7 +559,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     doc = F.coalesce(known, without)
     rows = docs.select(doc.alias("doc"), text.alias("text"), F.xxhash64(text).alias("tie"))
     runs = earlier_windows(rows, shared_keys(rows, buckets, hot), buckets)
-    joined = rows.join(runs.groupBy("doc").agg(F.collect_list("runs").alias("runs")), "doc", "left").select("doc", "tie", "text", "runs")
+    joined = rows.join(runs, "doc", "left").select("doc", "tie", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -549,7 +569,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 removed, spans, kept = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64), []
                 for i in range(a, b):
                     raw = data[offsets[i] : offsets[i + 1]]
-                    run = np.frombuffer(b"".join(runs[i].as_py()), RUN) if runs[i].is_valid else np.zeros(0, RUN)
+                    run = np.frombuffer(runs[i].as_py(), RUN) if runs[i].is_valid else np.zeros(0, RUN)
                     run = run[run["tie"] == ties[i]]
                     if len(run):
                         edge = np.zeros(len(raw) + 1, np.int64)
