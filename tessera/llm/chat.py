@@ -123,10 +123,19 @@ def formatted_blocks(turns: DataFrame) -> DataFrame:
     last = F.lit(2**63 - 1)
     rows = turns.filter("turn is not null or role is not null").select("conv_id", F.coalesce(F.floor(F.col("turn") / BLOCK), last).alias("block"), piece.alias("p"))
     sorted_rows = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    lengths = F.transform("p", lambda x: F.char_length(x["piece"]))
-    start = F.transform("p", lambda x, i: F.struct((F.aggregate(F.slice(F.col("lengths"), 1, i), F.lit(0), lambda a, b: a + b) + x["head"]).alias("start"), x["body"].alias("length"), x["role"].alias("role")))
-    spans = F.transform(F.filter(start, lambda s: s["role"] == "assistant"), lambda s: F.struct(s["start"], s["length"]))
-    return sorted_rows.withColumn("lengths", lengths).select("conv_id", "block", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("formatted"), spans.alias("loss"))
+    # BLOCK pieces at a time: their starts are sums of a few lengths, and those of the groups before are summed once a group
+    groups = F.transform(F.sequence(F.lit(1), F.size("p"), F.lit(BLOCK)), lambda a: F.slice("p", a, BLOCK))
+    made = F.transform(groups, lambda g: F.struct(g.alias("g"), F.array_join(F.transform(g, lambda x: x["piece"]), "").alias("text")))
+    sums = F.aggregate("made", F.array(F.lit(0)), lambda a, m: F.concat(a, F.array(F.element_at(a, -1) + F.char_length(m["text"]))))
+
+    def spans(z: Column) -> Column:
+        pieces = z["made"]["g"]
+        before = lambda j: F.aggregate(F.slice(pieces, 1, j), z["sums"], lambda a, x: a + F.char_length(x["piece"]))
+        each = F.transform(pieces, lambda x, j: F.when(x["role"] == "assistant", F.struct((before(j) + x["head"]).alias("start"), x["body"].alias("length"))))
+        return F.filter(each, lambda x: x.isNotNull())
+
+    rows = sorted_rows.select("conv_id", "block", made.alias("made")).withColumn("sums", F.slice(sums, 1, F.size("made")))
+    return rows.select("conv_id", "block", F.array_join(F.transform("made", lambda m: m["text"]), "").alias("formatted"), F.flatten(F.transform(F.arrays_zip("made", "sums"), spans)).alias("loss"))
 
 
 def whole_conversations(blocks: DataFrame) -> DataFrame:

@@ -94,3 +94,19 @@ def test_the_query_with_null_turns_equals_its_sql(spark, tmp_path):
     want = c.execute(chat.OP4_SQL)
     names = [d[0] for d in want.description]
     assert sorted(map(str, (tuple(r[n] for n in names) for r in out.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_many_null_turns_of_a_conversation_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        rows = spark.range(n).selectExpr("7L AS conv_id", "CAST(NULL AS BIGINT) AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+        began = time.monotonic()
+        blocks = chat.formatted_blocks(rows).collect()
+        return time.monotonic() - began, blocks
+
+    seconds(100)
+    took, (block,) = seconds(50_000)
+    assert took < 20
+    said = [block.formatted[s.start : s.start + s.length] for s in block.loss]
+    assert sorted(said) == sorted(f"t{i}" for i in range(1, 50_000, 2))
