@@ -16,7 +16,7 @@ SPACE_MARK = "▁"
 UNIGRAM, BPE = 1, 2
 START, UNKNOWN = (1 << 22) - 1, 1 << 21
 #: Pairs of neighbours whose stability is kept at most; words of one length that advance together at least, fewer go one by one.
-PAIRS, FEW = 1_000_000, 4
+PAIRS, FEW = 500_000, 4
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -321,7 +321,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         try:
             for batch in batches:
                 data, offsets = utf8(batch.column("text"))
-                for a, b in slices(offsets, 1 << 21):
+                for a, b in slices(offsets, 1 << 19):
                     texts = [data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist())]
                     ids, counts = own.encode(texts)
                     part = batch.slice(a, b - a)
