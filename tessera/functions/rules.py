@@ -200,14 +200,37 @@ def new_company_signal(body) -> Column:
     return F.substring(said, 1, 300)
 
 
+def literals(pattern: str) -> list[str]:
+    """Strings of which each match of a pattern holds one, in lower case: its alternatives, options and sets written out. For patterns of plain words only."""
+    out = []
+    plain = pattern.replace("(?i)", "").replace(r"\b", "").replace(r"(?= |,|\))", "")
+    for one in re.split(r"\|(?![^()]*\))", plain):
+        made = [""]
+        for piece, again in re.findall(r"(\([^()]*\)|\[[^\]]*\]|\\.|[^?])(\??)", one):
+            choices = piece[1:-1].split("|") if piece[0] == "(" else list(piece[1:-1]) if piece[0] == "[" else [piece[-1]]
+            made = [m + c for m in made for c in (choices + [""] if again else choices)]
+        out += made
+    kept = sorted({x.lower() for x in out}, key=lambda x: (len(x), x))
+    return [x for i, x in enumerate(kept) if not any(k in x for k in kept[:i])]
+
+
+def _skill(body: Column, low: Column, pattern: str) -> Column:
+    """A search for a few strings comes first, so the pattern runs over the texts only that hold one of them."""
+    there = F.lit(False)
+    for x in literals(pattern):
+        there = there | F.contains(low, F.lit(x))
+    return there & body.rlike(js(pattern))
+
+
 def skills_found(body) -> Column:
     """Names of the skills that a text mentions, in the table's order."""
-    return F.array_compact(F.array(*[F.when(text(body).rlike(js(pattern)), F.lit(name)) for name, pattern in V.SKILLS]))
+    return let(F.lower(text(body)), lambda low: F.array_compact(F.array(*[F.when(_skill(text(body), low, pattern), F.lit(name)) for name, pattern in V.SKILLS])))
 
 
 def skill_demand(bodies: DataFrame, body: str, own: list[str], most: int = 12) -> DataFrame:
     """(skill, n, in_cv): how many texts mention each skill, counted in one pass; the `most` first ones, and whether ours has them."""
-    one = bodies.agg(*[F.count_if(text(body).rlike(js(pattern))).alias(f"s{i}") for i, (_, pattern) in enumerate(V.SKILLS)])
+    rows = bodies.select(text(body).alias("_body"), F.lower(text(body)).alias("_low"))
+    one = rows.agg(*[F.count_if(_skill(F.col("_body"), F.col("_low"), pattern)).alias(f"s{i}") for i, (_, pattern) in enumerate(V.SKILLS)])
     rows = one.select(F.explode(F.array(*[F.struct(F.lit(name).alias("skill"), F.col(f"s{i}").alias("n"), F.lit(i).alias("place")) for i, (name, _) in enumerate(V.SKILLS)])).alias("s")).select("s.*").filter("n > 0")
     low = F.lower("skill")
     mine = F.lit(False)

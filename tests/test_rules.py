@@ -146,3 +146,18 @@ def test_evaluator(spark):
     assert out["a"].bucket == "senior" and out["c"].why == "German is required as a non-English working language." and out["d"].why.startswith("Excluded by pre-filter: AI training")
     m = {r.country: r for r in evaluate.metrics(evaluate.evaluated(df), ["country"]).collect()}
     assert (m[None].tp, m[None].fp, m[None].fn, m[None].tn) == (3, 1, 1, 3) and m["DE"].precision == 1.0 and m["US"].recall == 0.5
+
+
+def test_literals_of_patterns():
+    import random
+    import re
+
+    from tessera.functions import rules
+    from tessera.functions import vocabulary as V
+
+    assert rules.literals(r"(?i)node\.?js|vector (db|store)|fine[- ]tun|c\+\+") == ["c++", "nodejs", "node.js", "fine tun", "fine-tun", "vector db", "vector store"]
+    rng, words = random.Random(1), " ".join(x for _, p in V.SKILLS for x in rules.literals(p)).split() + ["LLMs", "agents", "ai", "go,", "restful", "k8s", "x"]
+    for name, pattern in V.SKILLS:  # whatever matches holds one of the strings
+        for _ in range(300):
+            text = rng.choice([" ", "-", ""]).join(rng.choice(words) for _ in range(6))
+            assert not re.search(pattern, text) or any(x in text.lower() for x in rules.literals(pattern)), (name, text)
