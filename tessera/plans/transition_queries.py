@@ -311,3 +311,19 @@ def bucketed_upsert(spark, sf):
     state.merge(first, 0, lambda old, new: new)
     state.merge(more, 1, lambda old, new: S.upsert_jobs(old, new, now()))
     return state.read().select("source_id", "external_id", "jd_hash", "status")
+
+
+@query("SELECT CAST(date_trunc('week', ts) AS DATE) AS period, event_type, count(DISTINCT user_id) AS users, count(DISTINCT event_id) AS events, true AS close FROM events GROUP BY ALL")
+def weekly_distinct(spark, sf):
+    """Distinct users and events of a week from the sketches of its days, beside the exact counts: within 2 %."""
+    from tessera.operators.sketches import daily_sketches, united
+    from tessera.shared import stored
+
+    e = t(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    week = lambda c: F.to_date(F.date_trunc("week", c))
+    exact = e.groupBy(week("ts").alias("period"), "event_type").agg(F.countDistinct("user_id").alias("users"), F.countDistinct("event_id").alias("events"))
+    for key, name in (("user_id", "u"), ("event_id", "v")):
+        days = stored(daily_sketches(e, "ts", ["event_type"], key), "sketches")
+        exact = exact.join(united(days, week("day"), ["event_type"], name), ["period", "event_type"])
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(0.0), F.col(b) * 0.02)
+    return exact.select("period", "event_type", "users", "events", (near("u", "users") & near("v", "events")).alias("close"))
