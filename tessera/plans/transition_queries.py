@@ -327,3 +327,19 @@ def weekly_distinct(spark, sf):
         exact = exact.join(united(days, week("day"), ["event_type"], name), ["period", "event_type"])
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(0.0), F.col(b) * 0.02)
     return exact.select("period", "event_type", "users", "events", (near("u", "users") & near("v", "events")).alias("close"))
+
+
+WORDS = ["license", "Example.com", "the ", "und", "zz", "+1", "einen", "contact", "never said anywhere", "ción"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{w}' AS word, doc_id FROM documents WHERE contains(lower(text), '{w.lower()}')" for w in WORDS))
+def substring_hits(spark, sf):
+    """Ten words looked up in the texts by their rarest trigrams."""
+    from tessera.operators.substring_search import TrigramIndex
+
+    index = TrigramIndex(t(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    out = None
+    for w in WORDS:
+        found = index.search(w).select(F.lit(w).alias("word"), "doc_id")
+        out = found if out is None else out.unionAll(found)
+    return out
