@@ -109,7 +109,7 @@ def nested_postings(spark, sf):
     script = F.concat(F.lit('<p>hr@a.io</p><script type="application/ld+json">'), F.repeat(F.lit('{"@graph": [[{"@type": "Person"}], '), depth), posting, F.repeat(F.lit("]}"), depth), F.lit("</script>"))
     pages = t(spark, sf, "pages").select("page_id", F.concat("html", script).alias("body"), F.col("url").alias("base_url"))
     out = feeds.page_rows(pages, "page_id").select("page_id", "links", F.explode("jobs").alias("j"))
-    return out.select("page_id", "j.title", "j.url", "j.external_id", "j.company", "j.location", (F.size("links") > 0).alias("linked"), F.get("j.emails", F.lit(0)).alias("email"))
+    return out.select("page_id", "j.title", "j.url", "j.external_id", "j.company", "j.location", (F.size("links") > 0).alias("linked"), F.when(F.array_contains("j.emails", "hr@a.io"), "hr@a.io").alias("email"))
 
 
 @query(r"""WITH h AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages), p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) AS path FROM pages)
