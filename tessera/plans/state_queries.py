@@ -134,19 +134,21 @@ def session_window(spark, sf):
     return J.sessions(t(spark, sf, "events"), "ts", "6 hours", ["user_id"]).select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "n")
 
 
-@query("SELECT unnest(['a', 'b', 'c']) AS k, unnest(['1', '9', '3']) AS v")
+@query("SELECT n_nationkey, unnest(['a', 'b', 'c']) AS k, unnest([n_name, '9', CAST(n_regionkey AS VARCHAR)]) AS v FROM nation")
 def config_merge(spark, sf):
-    base, patch = (F.create_map(*[F.lit(x) for x in xs]) for xs in (("a", "1", "b", "2"), ("b", "9", "c", "3")))
-    return spark.range(1).select(F.explode(S.merged_config(base, patch)).alias("k", "v"))
+    """Settings of each nation, a patch over a base."""
+    base = F.create_map(F.lit("a"), F.col("n_name"), F.lit("b"), F.lit("2"))
+    patch = F.create_map(F.lit("b"), F.lit("9"), F.lit("c"), F.col("n_regionkey").cast("string"))
+    return t(spark, sf, "nation").select("n_nationkey", F.explode(S.merged_config(base, patch)).alias("k", "v"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, ['engineer', 'developer', 'architect'][CAST(i % 3 + 1 AS INTEGER)] || ' ' || ['berlin', 'paris'][CAST(i // 3 % 2 + 1 AS INTEGER)] || CASE i % 4 WHEN 1 THEN ' posts' WHEN 2 THEN ' startup' WHEN 3 THEN ' seed' ELSE '' END AS q FROM range(60) r(i)")
+@query("SELECT i, ['engineer', 'developer', 'architect'][CAST(i % 3 + 1 AS INTEGER)] || ' ' || ['berlin', 'paris'][CAST(i // 3 % 2 + 1 AS INTEGER)] || CASE i % 4 WHEN 1 THEN ' posts' WHEN 2 THEN ' startup' WHEN 3 THEN ' seed' ELSE '' END AS q FROM (SELECT event_id AS i FROM events)")
 def query_plan(spark, sf):
-    """Mixed-radix numbers of a search plan."""
-    i = F.col("id")
+    """Mixed-radix numbers of a search plan, one for each event."""
+    i = F.col("i")
     role, place = (F.get(F.array(*[F.lit(x) for x in xs]), k.cast("int")) for xs, k in ((("engineer", "developer", "architect"), i % 3), (("berlin", "paris"), F.floor(i / 3) % 2)))
     tail = F.when(i % 4 == 1, " posts").when(i % 4 == 2, " startup").when(i % 4 == 3, " seed").otherwise("")
-    return spark.range(60).select(i.alias("i"), F.concat(role, F.lit(" "), place, tail).alias("q"))
+    return t(spark, sf, "events").select(F.col("event_id").alias("i")).select("i", F.concat(role, F.lit(" "), place, tail).alias("q"))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'scheduled' WHEN 'P' THEN 'sending' ELSE 'sent' END AS status, CAST(o_orderdate AS TIMESTAMP) AS due FROM orders),
