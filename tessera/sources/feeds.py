@@ -97,6 +97,10 @@ def sitemap(payloads: DataFrame) -> DataFrame:
     return rows.withColumn("url", F.replace("url", F.lit("&amp;"), F.lit("&"))).filter("url rlike '(?i)^https?://'")
 
 
+#: Levels of arrays and graphs that a round opens.
+LEVELS = 6
+
+
 def is_posting(item: Column) -> Column:
     kinds = F.get_json_object(item, "$['@type']")
     many = F.coalesce(F.from_json(kinds, "array<string>"), F.array(kinds))
@@ -111,16 +115,23 @@ def json_ld(payloads: DataFrame) -> DataFrame:
     """
     kept = [c for c in payloads.columns if c not in ("body", "base_url")]
     scripts = F.regexp_extract_all(F.col("body"), F.lit(r'(?is)<script\b[^>]*type\s*=\s*["\']application/ld\+json["\'][^>]*>(.*?)</script>'), F.lit(1))
-    level = stored(payloads.select(*kept, emails("body").alias("_page"), F.explode(scripts).alias("_item")), "json-ld")
-    none = F.array().cast("array<string>")
-    graph = F.get_json_object("_item", "$['@graph']")
-    inside = F.coalesce(F.from_json(graph, "array<string>"), F.when(graph.isNotNull(), F.array(graph)), none)
-    listed, jobs = F.ltrim("_item").startswith("["), None
+    none, item, jobs = F.array().cast("array<string>"), F.col("_item"), None
+    done = lambda x: ~F.ltrim(x).startswith("[") & is_posting(x)
+
+    def below(x: Column) -> Column:
+        graph = F.get_json_object(x, "$['@graph']")
+        inside = F.coalesce(F.from_json(graph, "array<string>"), F.when(graph.isNotNull(), F.array(graph)), none)
+        return F.when(F.ltrim(x).startswith("["), F.coalesce(F.from_json(x, "array<string>"), none)).when(is_posting(x), F.array(x)).otherwise(inside)
+
+    level = payloads.select(*kept, emails("body").alias("_page"), F.explode(scripts).alias("_item"))
     while True:
-        found = level.filter(~listed & is_posting(F.col("_item")))
+        opened = F.array("_item")
+        for _ in range(LEVELS):
+            opened = F.flatten(F.transform(opened, below))
+        level = stored(level.select(*kept, "_page", F.explode(opened).alias("_item")), "json-ld")
+        found = level.filter(done(item))
         jobs = found if jobs is None else jobs.unionAll(found)
-        below = F.when(listed, F.coalesce(F.from_json("_item", "array<string>"), none)).when(is_posting(F.col("_item")), none).otherwise(inside)
-        level = stored(level.select(*kept, "_page", F.explode(below).alias("_item")), "json-ld")
+        level = level.filter(~F.coalesce(done(item), F.lit(False)))
         if level.isEmpty():
             break
     pick = lambda *ps: F.coalesce(*[value_text(F.col("_item"), p) for p in ps], F.lit(None).cast("string"))
