@@ -65,9 +65,16 @@ def local_day(t, zone: str) -> Column:
     return F.to_date(F.from_utc_timestamp(col(t), zone))
 
 
-def age_group(since, now: Column) -> Column:
+def age_group(since, now: Column, zone: str | None = None) -> Column:
+    """Today, This week (seven times 24 hours), Older; null is Older. With a zone Today begins at its midnight, else 24 hours ago."""
     days = (F.unix_micros(now) - F.unix_micros(col(since))) / 86_400_000_000
-    return F.when(days < 1, "Today").when(days < 7, "This week").otherwise("Older")
+    return F.when(days < 1 if zone is None else local_day(since, zone) >= local_day(now, zone), "Today").when(days < 7, "This week").otherwise("Older")
+
+
+def greeting(t, zone: str) -> Column:
+    """How a reader is met at this time in the zone."""
+    hour = F.hour(F.from_utc_timestamp(col(t), zone))
+    return F.when(hour < 5, "Working late").when(hour < 12, "Good morning").when(hour < 18, "Good afternoon").when(hour < 24, "Good evening")
 
 
 def follow_up_due(sent_at, replied, followed, now: Column, days: int = 6) -> Column:

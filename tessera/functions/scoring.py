@@ -112,6 +112,11 @@ def preferences(docs: DataFrame, examples: DataFrame, key: str = "doc_id") -> Da
     return docs.select(key).join(sums, key, "left").crossJoin(F.broadcast(prior)).select(key, F.when(F.col("n") >= 2, 1 / (1 + F.exp(-logit))).alias("preference"))
 
 
+def whole(x) -> Column:
+    """The nearest whole number, halves to the even one."""
+    return F.rint(col(x)).cast("int")
+
+
 def cost_usd(tokens_in, tokens_out, price_in: float = 2.0, price_out: float = 8.0) -> Column:
     return col(tokens_in) / 1e6 * price_in + col(tokens_out) / 1e6 * price_out
 

@@ -368,9 +368,9 @@ def page_record(html) -> Column:
     return F.struct(F.substring(page_text(head), 1, 40_000).alias("text"), title.alias("title"), site.alias("site_name"))
 
 
-def by_age(page: DataFrame, now: Column) -> DataFrame:
+def by_age(page: DataFrame, now: Column, zone: str | None = None) -> DataFrame:
     """(group, ids) of a page of targets in the order of `position`: today's, this week's, older ones; empty groups are left out."""
-    group = age_group(F.coalesce("posted_at", "first_seen_at"), now)
+    group = age_group(F.coalesce("posted_at", "first_seen_at"), now, zone)
     rows = page.groupBy(group.alias("group")).agg(F.array_sort(F.collect_list(F.struct("position", "id"))).alias("r"))
     return rows.select("group", F.transform("r", lambda x: x["id"]).alias("ids"))
 
@@ -410,3 +410,44 @@ def apply_first(contacts) -> Column:
     """Contacts with those that take applications first, else in their order."""
     mine = lambda c: F.coalesce(c["role"] == "apply", F.lit(False))
     return F.concat(F.filter(col(contacts), mine), F.filter(col(contacts), lambda c: ~mine(c)))
+
+
+def motivation(replied, applied_week, fresh, waiting) -> Column:
+    """One sentence of the week's counts; nulls count as 0."""
+    replied, applied, fresh, waiting = (F.coalesce(col(x), F.lit(0)) for x in (replied, applied_week, fresh, waiting))
+    some = lambda n, one, more: F.concat(n.cast("string"), F.when(n == 1, f" {one}").otherwise(f" {more}"))
+    return (
+        F.when((replied > 0) & (applied > 0), F.concat(some(replied, "reply", "replies"), F.lit(" in, and "), applied.cast("string"), F.lit(" sent this week. Keep going.")))
+        .when(fresh > 0, F.concat(some(fresh, "fresh role", "fresh roles"), F.lit(" landed in the last 72 hours.")))
+        .when(applied > 0, F.concat(some(applied, "application", "applications"), F.lit(" out this week. Keep the streak.")))
+        .when(waiting > 0, F.concat(waiting.cast("string"), F.lit(" targets are waiting. Pick the best one and draft an email.")))
+        .otherwise("The scout is out looking. New roles will show up here.")
+    )
+
+
+def role_title(body, fallback) -> Column:
+    """The role that a page says is hired for, else the page's title without the site's name, 140 characters at most."""
+    role = F.trim(F.regexp_extract(text(body), V.ROLE_LINE, 1))
+    plain = F.regexp_replace(F.regexp_replace(text(fallback), V.SITE_SUFFIX, ""), V.SITE_PREFIX, "")
+    return F.when(role != "", role).otherwise(F.trim(F.substring(plain, 1, 140)))
+
+
+def hiring_company(site_name, email, url) -> Column:
+    """struct(name, domain) of who hires: the mail's domain, for a free mail service the page's host unless that is a social site.
+
+    The name is the page's site name unless that is a social site's, else the label before the last of the domain (or host);
+    80 characters at most. Null without an address that has a host.
+    """
+    from tessera.functions.urls import domain
+
+    host, at = domain(url), F.lower(F.split_part(text(email), F.lit("@"), F.lit(2)))
+    found = F.when(text(email).rlike(V.FREE_MAIL), F.when(~host.rlike(V.SOCIAL_HOST), host)).otherwise(at)
+
+    def told(d: Column) -> Column:
+        whole = F.coalesce(d["domain"], d["host"])
+        label = F.coalesce(F.get(F.reverse(F.split(whole, r"\.")), F.lit(1)), whole)
+        site = F.when((d["site"] != "") & ~d["site"].rlike(V.SOCIAL_SITE), d["site"])
+        name = F.coalesce(site, F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 2**30)))
+        return F.struct(F.substring(name, 1, 80).alias("name"), d["domain"].alias("domain"))
+
+    return F.when(host.isNotNull(), let(F.struct(host.alias("host"), found.alias("domain"), text(site_name).alias("site")), told))

@@ -157,6 +157,17 @@ SKILLS = [
 ]
 LISTING_URL = r"(?i)(-jobs-in-|jobs-in-|\/jobs\/?$|\/jobs\?|\/search|\/role\/l\/|\/q-|\/jobs\/[a-z-]+-jobs|\/careers\/?$|\/blog\/|\/employer-blog\/|cv-writing)"
 
+# Lines that name a role, what sites add to titles, free mail services, social sites.
+ROLE_LINE = (
+    r"(?:hiring|looking for|seeking|join us as|we need|open (?:role|position)s?:?|position:?|role:?)\s+(?:an?\s+|our\s+|(?:a\s+)?(?:new\s+)?)"
+    r"((?:senior |junior |lead |staff |principal |founding |mid[- ]level )?[A-Z][A-Za-z/+&.\- ]{1,50}?(?:Engineer|Developer|Architect))"
+)
+SITE_SUFFIX = r"(?i)\s*[|\-\u2013:]\s*(LinkedIn|Indeed|Glassdoor|Facebook|X|Twitter).*$"
+SITE_PREFIX = r"(?i)^.*? on LinkedIn:\s*"
+FREE_MAIL = r"(?i)@(gmail|googlemail|yahoo|outlook|hotmail|live|icloud|me|proton|protonmail|aol|gmx|zoho|yandex)\."
+SOCIAL_HOST = r"(linkedin|facebook|twitter|x|indeed|reddit)\."
+SOCIAL_SITE = r"(?i)linkedin|facebook|indeed|glassdoor"
+
 # Words of young companies.
 NEW_COMPANY = r"(?i)\b(start-?up|early[- ]stage|pre-?seed|seed[- ](stage|round|funded)|series a\b|founding (engineer|team|member)|stealth|founded in 20(2[3-6])|(yc|y combinator)\s*\(?[wsfx]2[3-6]|just raised|recently raised|first \d+ (hires|employees)|small team of)\b"
 

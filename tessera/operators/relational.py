@@ -16,6 +16,25 @@ def filtered(df: DataFrame, **equal) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, conditions)) if conditions else df
 
 
+def listed(df: DataFrame, key: str, keys: list | DataFrame, most: int = 1000) -> DataFrame:
+    """Rows whose key is among the keys. A list of at most `most` is a filter that reaches the scan; a longer one, or a table's column `key`, is a semi-join. Null keys match nothing."""
+    if isinstance(keys, list):
+        given = [k for k in keys if k is not None]
+        if len(given) <= most:
+            return df.filter(F.col(key).isin(given))
+        keys = df.sparkSession.createDataFrame([(k,) for k in given], df.select(key).schema)
+    return df.join(keys.select(key), key, "left_semi").select(df.columns)
+
+
+def artifact_emails(rows: DataFrame, artifact: str, emails: str) -> DataFrame:
+    """(artifact, emails): the sorted distinct addresses of all postings of each artifact; empty without any.
+
+    Addresses are made distinct before they are gathered, so repeats meet in the map-side aggregate and never in an array.
+    """
+    pairs = rows.select(artifact, F.explode_outer(emails).alias("_e")).distinct()
+    return pairs.groupBy(artifact).agg(F.sort_array(F.collect_list("_e")).alias("emails"))
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """A page and the total of all rows. The order must be total."""
     total = df.agg(F.count("*").alias("total"))

@@ -327,3 +327,13 @@ def circuits(ends: DataFrame) -> DataFrame:
     bad = rows.filter("NOT ok").join(last, "key").filter("_ok IS NULL OR at > _ok")
     each = bad.groupBy("key").agg(F.count("*").alias("streak"), F.max("at").alias("_at"), F.max_by("blocked", "at").alias("_blocked"))
     return each.select("key", "streak", plus_seconds(F.col("_at"), open_circuit(F.col("streak"), F.col("_blocked"))).alias("rests_until"))
+
+
+def after_action(targets: DataFrame, changes: DataFrame, fields: list[str]) -> DataFrame:
+    """Targets as a list shows them once actions (id, action, set, fields) are taken: a blacklisted one goes with all of its company, others get the named fields.
+
+    A blacklisted target without a company goes alone. An id has one action at most.
+    """
+    hit = targets.join(changes.filter("action = 'blacklist'").select("id"), "id", "left_semi")
+    left = targets.join(hit.select("company_id").distinct(), "company_id", "left_anti").join(hit.select("id"), "id", "left_anti")
+    return patched(left.select(targets.columns), changes.filter("action <> 'blacklist'"), "id", fields)

@@ -8,6 +8,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.scoring import cost_usd
 from tessera.functions.text import csv_cell
 
 
@@ -37,6 +38,22 @@ def with_digest(decisions: DataFrame, inputs: list[str]) -> DataFrame:
     return decisions.withColumn("input_digest", F.sha2(F.to_json(F.struct(*inputs)), 256))
 
 
+def usage_rows(calls: DataFrame, price_in: float = 2.0, price_out: float = 8.0) -> DataFrame:
+    """(model, purpose, request_id, tokens_in, tokens_out) -> rows of the usage log: an id of the call's own and its cost. A call that is told twice has one id."""
+    key = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("request_id", "purpose", "model")])
+    return calls.select(F.sha2(key, 256).alias("id"), "model", "purpose", "request_id", "tokens_in", "tokens_out", cost_usd("tokens_in", "tokens_out", price_in, price_out).alias("cost_usd"))
+
+
+def append_batch(rows: DataFrame, path: str, batch: int) -> None:
+    """Adds a batch to a log. Its number is in the path, so a batch that runs again replaces itself; read with logged()."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={int(batch)}")
+
+
+def logged(spark, path: str) -> DataFrame:
+    """All rows of a log with the number of their batch; a day's or a batch's rows are read alone by a filter on it."""
+    return spark.read.parquet(path)
+
+
 def write_workbook(df: DataFrame, path: str, most: int = 100_000) -> int:
     """A one-sheet workbook of a report; more than `most` rows raise, since a sheet is for people."""
     rows = df.limit(most + 1).collect()
