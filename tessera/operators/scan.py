@@ -77,10 +77,11 @@ class Ranked:
 
     def page(self, number: int, size: int) -> DataFrame:
         """A page in order with the total of all rows; empty beyond the last one."""
-        first, before, held = (number - 1) * size, 0, []
+        first, at, before, held = (number - 1) * size, 0, 0, []
         for i, n in self.counts.items():
-            if before + n <= first:
-                before += n
-            elif before + sum(self.counts[j] for j in held) < first + size:
+            if at + n <= first:
+                before = at + n
+            elif at < first + size:
                 held.append(i)
+            at += n
         return self.table.filter(F.col("_range").isin(held)).orderBy(*self.order).offset(first - before if held else 0).limit(size).select(*self.columns, F.lit(self.total).cast("long").alias("total"))

@@ -75,3 +75,16 @@ def test_pages(spark):
     assert page.first().total == 3000 and "PartitionFilters: [isnotnull(_range" in page._jdf.queryExecution().toString()
     assert len(set(r[0] for r in ranked.page(200, 10).select(F.input_file_name()).collect())) <= 2
     assert scan.Ranked(spark.createDataFrame([], "id int, v int"), order).page(1, 5).count() == 0
+
+
+def test_pages_of_uneven_ranges(spark):
+    """A small range behind the one where a page begins is not taken for one before it."""
+    order = [F.desc("v"), F.col("id")]
+    ranked = scan.Ranked(spark.range(100).select("id", (-F.col("id")).alias("v")), order)
+    ends, sizes = [10, 60, 62, 65, 100], [10, 50, 2, 3, 35]
+    uneven = F.when(F.col("id") < ends[0], 0)
+    for i, end in enumerate(ends[1:], 1):
+        uneven = uneven.when(F.col("id") < end, i)
+    ranked.table, ranked.counts = ranked.table.withColumn("_range", uneven), dict(enumerate(sizes))
+    for number, size in ((12, 5), (6, 10), (2, 50), (9, 8), (20, 5), (21, 5)):
+        assert [r.id for r in ranked.page(number, size).collect()] == list(range(100))[(number - 1) * size : number * size]
