@@ -112,8 +112,8 @@ def similar(sets: DataFrame, rows: DataFrame, words: int, least: float) -> DataF
     classes = chosenpath.classes_of(sets, F.min("fp").alias("fp"))
     name = classes.select("id", "key", "fp")
     pairs = chosenpath.links(classes, rows, words, 100 * least)
-    across = pairs.join(name.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").join(name.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b").select("x", "y")
-    within = sets.select("key", F.col("fp").alias("x")).distinct().join(name.select("key", F.col("fp").alias("y")), "key").select("x", "y")
+    across = pairs.hint("merge").join(name.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").hint("merge").join(name.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b").select("x", "y")
+    within = sets.select("key", F.col("fp").alias("x")).distinct().hint("merge").join(name.select("key", F.col("fp").alias("y")), "key").select("x", "y")
     return across.unionAll(within).filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
@@ -124,7 +124,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, least: float
     Equal fingerprints are pre-aggregated to one node, so copies cost one row in the index. Null and empty texts share
     fingerprint 0 and link like any other; other columns are ignored; an empty table gives an empty one; a repeated
     doc_id keeps a row for each input row, a null doc_id counts as a document of its own that no component is named by.
-    Very long texts are taken whole: about 40 bytes a word while their shingles are hashed.
+    Very long texts are taken whole: about 40 bytes a word while their shingles are hashed. All joins are dealt by key:
+    their tables grow with the documents, and a broadcast passes through the driver.
     """
     if least is None:
         marked = stored(with_fingerprints(docs, words), "fingerprints")
@@ -134,10 +135,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, least: float
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     linked = links(nodes.select("fp").repartition(partitions(docs.sparkSession), "fp"), bits)
     parts = components(linked if least is None else linked.unionAll(similar(marked, rows, words, least)))
-    member = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    member = nodes.hint("merge").join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least_id = member.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = member.join(least_id, "component").select("fp", "component_id")
-    return marked.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id")
+    named = member.hint("merge").join(least_id, "component").select("fp", "component_id")
+    return marked.select("doc_id", "fp").hint("merge").join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
