@@ -22,7 +22,7 @@ TOKENS = 128
 TREES, LEVELS = 5, 2
 #: A node of so many documents and shingles at most is compared exhaustively by one task.
 SMALL, SHINGLES = 4096, 1 << 22
-#: Bits of the sieves that keep most rows that are not asked for out of an exchange.
+#: Bits of the hashes by which sieves keep most rows that are not asked for out of an exchange.
 SIEVE = 18
 #: A pair's share of equal tokens may lie so many standard deviations under the similarity asked for.
 DEVIATIONS = 5
@@ -91,14 +91,10 @@ def classes_of(sets: DataFrame, *more: Column) -> DataFrame:
     return stored(classes.select(F.monotonically_increasing_id().alias("id"), "key", "first.doc_id", "first.hash", *classes.columns[2:]), "classes")
 
 
-def sieve(asked: DataFrame, column: str):
-    """A test of a column for values that may be among those asked for: a bitmap of their hashes, 2**SIEVE bits whatever their number. None is lost."""
-    bit = F.pmod(F.xxhash64(column), F.lit(1 << SIEVE))
-    words = asked.select(bit.alias("bit")).groupBy(F.shiftright("bit", 3).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (SIEVE - 3), np.uint8)
-    bitmap[words.column("byte").to_numpy()] = words.column("bits").to_numpy()
-    byte = F.conv(F.hex(F.call_function("substring", F.lit(bitmap.tobytes()), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (bit % 8).cast("int")) == 1
+def sifted(rows: DataFrame, asked: DataFrame, column: str) -> DataFrame:
+    """Rows whose column may be among the values asked for, by their hashes: 2**SIEVE of them at most are broadcast, whatever the number of values. None is lost."""
+    mark = F.pmod(F.xxhash64(column), F.lit(1 << SIEVE))
+    return rows.withColumn("_mark", mark).join(F.broadcast(asked.select(mark.alias("_mark")).distinct()), "_mark", "left_semi").select(rows.columns)
 
 
 def branched(members: DataFrame, classes: DataFrame, level: int) -> DataFrame:
@@ -125,7 +121,7 @@ def branched(members: DataFrame, classes: DataFrame, level: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), *taken, pa.array(np.concatenate(numbers), pa.int32())], ["node", "id", "n_shingles", "k"])
 
     of = classes.select("id", "n_shingles", "tokens")
-    rows = of if not level else members.select("node", "id").join(of, "id")
+    rows = of if not level else members.select("node", "id").hint("merge").join(of, "id")
     return rows.mapInArrow(lean(run), "node long, id long, n_shingles long, k int")
 
 
@@ -139,7 +135,7 @@ def likely(pairs: DataFrame, classes: DataFrame, least_equal: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     bits = classes.select("id", "bits")
-    both = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
+    both = pairs.hint("merge").join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").hint("merge").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
@@ -188,7 +184,7 @@ def active(members: DataFrame, classes: DataFrame, least_equal: int) -> DataFram
                 keep[i] |= len(among) > 0
             yield from rows.select(["node", "id", "label", "homes"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
-    rows = members.join(classes.select("id", "bits"), "id").select("node", "id", "label", "homes", "bits")
+    rows = members.hint("merge").join(classes.select("id", "bits"), "id").select("node", "id", "label", "homes", "bits")
     dealt = rows.repartition(partitions(members.sparkSession), "node").sortWithinPartitions("node")
     return dealt.mapInArrow(lean(run), "node long, id long, label long, homes array<long>")
 
@@ -255,11 +251,11 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, docs: DataFr
     none = F.array().cast("array<long>")
     runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
     star = lambda a, run, member: F.struct(F.xxhash64(a, run).alias("grp"), F.lit(True).alias("star"), F.lit(member).alias("member"), F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("label"), none.alias("homes"))
-    members = pairs.join(runs, "a").select(F.col("b").alias("id"), star(F.col("a"), F.pmod(F.xxhash64("b"), F.col("runs")).cast("int"), True).alias("place"))
+    members = pairs.hint("merge").join(runs, "a").select(F.col("b").alias("id"), star(F.col("a"), F.pmod(F.xxhash64("b"), F.col("runs")).cast("int"), True).alias("place"))
     heads = runs.select(F.col("a").alias("id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("runs") - 1), lambda i: star(F.col("a"), i, False))).alias("place"))
     inside = rows.select("id", F.struct(F.xxhash64("node", F.lit("node")).alias("grp"), F.lit(False).alias("star"), F.lit(True).alias("member"), "node", "label", "homes").alias("place"))
-    places = stored(members.unionAll(heads).unionAll(inside).join(classes.select("id", "doc_id", "hash"), "id"), "places")
-    texts = docs.filter(sieve(places, "hash")).select(F.col("doc_id").alias("of"), F.col("hash").alias("text_hash"), "text")
+    places = stored(members.unionAll(heads).unionAll(inside).hint("merge").join(classes.select("id", "doc_id", "hash"), "id"), "places")
+    texts = sifted(docs, places, "hash").select(F.col("doc_id").alias("of"), F.col("hash").alias("text_hash"), "text")
     # always dealt by key: the places grow with the documents, so a broadcast would only work while they are few
     found = places.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("text_hash"))).select("place.*", "id", "text")
     dealt = found.repartition(partitions(pairs.sparkSession), "grp").sortWithinPartitions("grp", "member", "id")
@@ -284,12 +280,12 @@ def links(classes: DataFrame, docs: DataFrame, words: int = WORDS, least: int =
     level = 0
     while True:
         heads = members.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("sum"), F.min_by("id", F.col("id") if not level else F.xxhash64("id", "node")).alias("head")).filter("n > 1")
-        met = stored(members.join(heads.select("node", "head", ((F.col("n") <= SMALL) & (F.col("sum") <= SHINGLES)).alias("small")), "node"), "met")
+        met = stored(members.hint("merge").join(heads.select("node", "head", ((F.col("n") <= SMALL) & (F.col("sum") <= SHINGLES)).alias("small")), "node"), "met")
         small, large = met.filter("small"), met.filter("not small")
         if homes is None:  # the small nodes of level 0 of each document, by the numbers of their trees
             homes = stored(small.groupBy("id").agg(F.array(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("node"))), F.lit(0)) for k in range(2 * TREES)]).alias("homes")), "homes")
-        rows = small.select("node", "id").join(homes, "id", "left").withColumn("homes", F.coalesce("homes", F.array_repeat(F.lit(0).cast("long"), 2 * TREES)))
-        rows = rows.withColumn("label", F.col("id")) if labels is None else rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        rows = small.select("node", "id").hint("merge").join(homes, "id", "left").withColumn("homes", F.coalesce("homes", F.array_repeat(F.lit(0).cast("long"), 2 * TREES)))
+        rows = rows.withColumn("label", F.col("id")) if labels is None else rows.hint("merge").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         pairs = large.filter("id <> head").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
         ready, busy = stored(likely(pairs, classes, enough), "likely"), stored(active(rows.select("node", "id", "label", "homes"), classes, enough), "active")
         new = stored(verified(ready, busy, classes, docs, words, least), "links")
@@ -297,11 +293,11 @@ def links(classes: DataFrame, docs: DataFrame, words: int = WORDS, least: int =
         if large.isEmpty():
             return found
         labels = stored(components(found).select(F.col("node").alias("id"), F.col("component").alias("label")), "labels")
-        tagged = large.select("node", "id").join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
+        tagged = large.select("node", "id").hint("merge").join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
         mixed = tagged.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("node")
         level += 1
-        left = stored(tagged.join(mixed, "node").select("node", "id"), "left")
-        classes = classes.filter(sieve(left, "id"))  # only these come to deeper levels
+        left = stored(tagged.hint("merge").join(mixed, "node").select("node", "id"), "left")
+        classes = stored(sifted(classes, left, "id"), "classes")  # only these come to deeper levels
         members = stored(branched(left, classes, level), "members")
 
 

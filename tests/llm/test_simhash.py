@@ -125,3 +125,19 @@ def test_families_whose_members_are_unlike_their_first(spark, n):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [r.component_id for r in near_duplicates(docs, words=5, bits=5, least=0.8).collect()]
     assert got == [0] * n
+
+
+def test_no_table_that_grows_passes_through_the_driver(spark):
+    """Joins are dealt by key even while their tables are small, and a sieve stands in no plan as a literal."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import chosenpath, simhash
+
+    docs = spark.createDataFrame([(i, f"word{i % 3} and some more words here") for i in range(30)], "doc_id long, text string")
+    out = simhash.near_duplicates(docs)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.component_id for r in out.collect() if r.doc_id % 3 == 1} == {1}
+    kept = chosenpath.sifted(docs, docs.filter("doc_id < 3"), "doc_id")
+    assert {0, 1, 2} <= {r.doc_id for r in kept.collect()} and kept.columns == docs.columns and kept.count() < 10
+    assert len(kept._jdf.queryExecution().toString()) < 20_000
+    assert chosenpath.sifted(docs, docs.filter(F.lit(False)), "doc_id").count() == 0
