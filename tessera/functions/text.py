@@ -43,14 +43,17 @@ def decode_entities(x) -> Column:
     """Numeric entities (invalid ones vanish), then the named ones."""
     pieces = F.split(text(x), r"(?=&#[xX]?[0-9a-fA-F]{1,8};)")
 
-    def one(p: Column) -> Column:
-        number = F.regexp_extract(p, r"^&#([xX]?[0-9a-fA-F]{1,8});", 1)
-        base16 = F.lower(number).startswith("x")
-        code = F.when(base16, F.conv(F.substring(number, 2, 8), 16, 10)).otherwise(F.when(number.rlike("^[0-9]+$"), number)).cast("long")
+    def char(code: Column) -> Column:
         # A code point as UTF-32, read as text; surrogates and what lies beyond are invalid.
         fine = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit(""))
-        return F.when(number == "", p).otherwise(F.concat(char, F.regexp_replace(p, r"^&#[xX]?[0-9a-fA-F]{1,8};", "")))
+        return F.when(code.between(1, 127), F.chr(code)).when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit(""))
+
+    def decoded(p: Column, number: Column) -> Column:
+        code = F.when(F.lower(number).startswith("x"), F.conv(F.substring(number, 2, 8), 16, 10)).otherwise(F.when(number.rlike("^[0-9]+$"), number)).cast("long")
+        return F.concat(let(code, char), F.substring(p, F.char_length(number) + 4, F.char_length(p)))
+
+    def one(p: Column) -> Column:  # the pattern runs once for each piece, whatever uses what it finds
+        return let(F.regexp_extract(p, r"^&#([xX]?[0-9a-fA-F]{1,8});", 1), lambda number: F.when(number == "", p).otherwise(decoded(p, number)))
 
     out = F.array_join(F.transform(pieces, one), "")
     for name, value in ENTITIES:

@@ -161,3 +161,46 @@ def test_literals_of_patterns():
         for _ in range(300):
             text = rng.choice([" ", "-", ""]).join(rng.choice(words) for _ in range(6))
             assert not re.search(pattern, text) or any(x in text.lower() for x in rules.literals(pattern)), (name, text)
+
+
+def test_what_a_pattern_finds_is_found_once(spark):
+    """Patterns of long texts run once, whatever uses their matches."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions import rules, text
+    from tessera.operators import evaluate
+    from tessera.operators.substring_search import trigrams
+
+    assert str(text.decode_entities(F.col("x"))).count("regexp_extract(") == 1
+    assert "lambda" not in str(trigrams(F.col("x")))
+    row = spark.createDataFrame([("&#101;&#xe9;&#128512;&#0;&#xD800;&#99999999;&#x1F600; a&#;&amp;#101;", "aé😀\nb")], "x string, y string")
+    got = row.select(text.decode_entities("x").alias("a"), F.array_sort(trigrams(F.col("y"))).alias("b"), F.array_sort(trigrams(F.lit("ab"))).alias("c")).first()
+    assert got.a == "eé😀😀 a&#;&#101;" and got.b == sorted(["aé😀", "é😀\n", "😀\nb"]) and got.c == []
+    jobs = spark.createDataFrame([("Gardener", "We use an LLM."), ("AI Engineer", "English. German C1 is required"), ("AI Engineer", "We build an LLM.")], "title string, body string")
+    found = [(r.g["pass"], r.g.reason, len(r.g.evidence)) for r in jobs.select(rules.prefilter("title", "body").alias("g")).collect()]
+    assert found == [(False, "Not an engineering title.", 0), (False, 'Requires a language other than English: "German C1 is required"', 0), (True, None, 2)]
+    assert [r.reason for r in jobs.select(evaluate.language("title", "body")["reason"].alias("reason")).collect()][1] == "German is required as a non-English working language."
+
+
+def test_a_sum_of_exactly_the_cap_fits(spark, tmp_path):
+    import random
+    from datetime import datetime
+
+    from tessera.plans.relational_queries import month_budget
+
+    def plain_sum(cents):  # one by one: sum() compensates
+        total = 0.0
+        for x in cents:
+            total += x / 100
+        return total
+
+    random.seed(3)
+    while True:
+        cents = [random.randrange(1, 20000) for _ in range(20)]
+        cents.append(150_000 - sum(cents))
+        if cents[-1] > 0 and plain_sum(cents) > 1500:
+            break
+    total = plain_sum(cents)
+    spark.createDataFrame([(i, datetime(2024, 1, 2, 0, i), 1, x / 100) for i, x in enumerate([*cents, 1])], "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: (r.spent, r.fits) for r in month_budget(spark, str(tmp_path)).collect()}
+    assert total > 1500 and got[20] == (1500.0, True) and got[21] == (1500.01, False)
