@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import let, text
+from tessera.functions.text import text
 from tessera.shared import stored
 
 #: A word is looked up by so many of its trigrams; the rest is left to the comparison with the text.
@@ -14,8 +14,9 @@ RAREST = 3
 
 def trigrams(x: Column) -> Column:
     """Distinct trigrams of a text in lower case."""
-    chars = F.split(F.lower(text(x)), "")
-    return let(chars, lambda c: F.array_distinct(F.transform(F.slice(c, 1, F.greatest(F.size(c) - 2, F.lit(0))), lambda a, i: F.concat(a, F.get(c, i + 1), F.get(c, i + 2)))))
+    low = F.lower(text(x))
+    runs = [F.regexp_extract_all(F.substring(low, k, F.char_length(low)), F.lit("(?s)..."), F.lit(0)) for k in (1, 2, 3)]  # those that begin at every third character
+    return F.array_distinct(F.concat(*runs))
 
 
 class TrigramIndex:
