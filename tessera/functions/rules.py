@@ -71,24 +71,27 @@ def required_language(body) -> Column:
 def prefilter(title, body) -> Column:
     """struct(pass, reason, language, evidence, language_evidence): the first gate that fails gives the reason."""
     name = F.trim(text(title))
-    made = F.struct(job_language(title, body).alias("language"), ai_evidence(name, body).alias("evidence"), required_language(body).alias("required"))
 
-    def reason(x: Column) -> Column:
+    def early(language: Column) -> Column:
+        asked = let(required_language(body), lambda x: F.when(x.isNotNull(), F.concat(F.lit('Requires a language other than English: "'), x, F.lit('"'))))
         return (
             F.when(name.rlike(js(V.EXCLUDED_TITLE)), F.concat(F.lit("Excluded title: "), name))
             .when(~name.rlike(js(V.ENGINEERING_TITLE)), F.lit("Not an engineering title."))
             .when(name.rlike(js(V.NON_SOFTWARE_TITLE)) & ~name.rlike(js(V.AI_TITLE)), F.concat(F.lit("Outside AI software engineering: "), name))
-            .when((x["language"] != "english") & ~text(body).rlike(js(V.ENGLISH_MARKER)), F.lit("Non-English JD does not mention English as a working language."))
+            .when((language != "english") & ~text(body).rlike(js(V.ENGLISH_MARKER)), F.lit("Non-English JD does not mention English as a working language."))
             .when(text(body).rlike(js(V.NATIONALS_ONLY)), F.lit("Saudi-only role."))
-            .when(x["required"].isNotNull(), F.concat(F.lit('Requires a language other than English: "'), x["required"], F.lit('"')))
-            .when(F.size(x["evidence"]) == 0, F.lit("No AI evidence in the title or description."))
+            .otherwise(asked)
         )
 
+    def searched(x: Column) -> Column:  # evidence is looked for only where no earlier gate fails
+        found = F.when(x["early"].isNull(), ai_evidence(name, body)).otherwise(none())
+        return let(F.struct(x["language"].alias("language"), x["early"].alias("early"), found.alias("evidence")), whole)
+
     def whole(x: Column) -> Column:
-        passed = x["r"].isNull()
-        return F.struct(passed.alias("pass"), x["r"].alias("reason"), x["x"]["language"].alias("language"), F.when(passed, x["x"]["evidence"]).otherwise(none()).alias("evidence"), F.when(passed, language_evidence(body)).otherwise(none()).alias("language_evidence"))
+        reason = F.coalesce(x["early"], F.when(F.size(x["evidence"]) == 0, F.lit("No AI evidence in the title or description.")))
+        return F.struct(reason.isNull().alias("pass"), reason.alias("reason"), x["language"].alias("language"), x["evidence"].alias("evidence"), F.when(reason.isNull(), language_evidence(body)).otherwise(none()).alias("language_evidence"))
 
-    return let(made, lambda x: let(F.struct(reason(x).alias("r"), x.alias("x")), whole))
+    return let(job_language(title, body), lambda language: let(F.struct(language.alias("language"), early(language).alias("early")), searched))
 
 
 def quote_around(x, pattern: str) -> Column:
