@@ -69,13 +69,18 @@ def language(title, body) -> Column:
 
         return test
 
+    # sentences without any of the words are left out in one pass; word boundaries are for the patterns themselves
+    some = "|".join([*(match for _, match, _, _ in V.CASE_LANGUAGES), *(p.replace("(?i)", "").replace(r"\b", "") for p in (V.CASE_ENGLISH, V.CASE_NATIONALS))])
+    told = lambda sentences_: F.filter(sentences_, lambda s: s.rlike(f"(?i){some}"))
+
     def found(parts: Column) -> Column:
         required = F.lit(None).cast("string")
         for name, match, strong, wish in reversed(V.CASE_LANGUAGES):
             required = F.when(let(first_quote(parts, rf"(?i)\b(?:{match})\b"), asks(strong, wish)), name).otherwise(required)
         return F.struct(required.alias("required"), first_quote(parts, V.CASE_ENGLISH).isNotNull().alias("named"), first_quote(parts, V.CASE_NATIONALS).isNotNull().alias("nationals"))
 
-    return let(F.struct(let(parts_of(title, body), found).alias("found"), english(title, body).alias("english")), _language)
+    mentions = F.struct(told(sentences(title, ".!?;")).alias("title"), told(sentences(body, ".!?;")).alias("body"))
+    return let(F.struct(let(mentions, found).alias("found"), english(title, body).alias("english")), _language)
 
 
 def _language(x: Column) -> Column:
