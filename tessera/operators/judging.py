@@ -9,6 +9,7 @@ from tessera.functions import rules, scoring
 from tessera.functions.text import text
 from tessera.operators.scan import running_sums
 from tessera.operators.state import EMAIL_ONLY, plus_seconds
+from tessera.shared import stored
 
 #: Reasons, the cost of a paid judgement, minutes until the next try.
 BLACKLISTED, DISLIKED = "Company is blacklisted.", "Disliked by {owner}."
@@ -68,7 +69,7 @@ def judged(jobs: DataFrame, now: Column, weights: dict, country_weights: dict, s
         .when(~F.col("_gate.pass"), F.coalesce("_gate.reason", F.lit("Prefilter rejected")))
         .when(F.lit(email_only) & F.col("apply").isNull(), EMAIL_ONLY)
     )
-    rows = rows.withColumns({"_unpaid": unpaid, "_rejected": rejected})
+    rows = stored(rows.withColumns({"_unpaid": unpaid, "_rejected": rejected}), "judged")  # once: dealing the queue in ranges samples its rows first
     rows = within_budget(rows, F.col("_unpaid").isNull(), [*(order or []), "id"], spent, cap)
     reason = F.when(F.col("_unpaid").isNotNull(), F.col("_unpaid")).when(~F.col("within_budget"), OVER_BUDGET).otherwise(F.col("_rejected"))
     rows = rows.withColumns({"seniority": F.when(F.col("_level") == "graduate", "unknown").otherwise(F.col("_level")), "skip_reason": reason})
