@@ -145,12 +145,12 @@ def daily_by_zone(spark, sf):
 
 @query("""SELECT user_id, event_id, round(sum(value) OVER w, 6) AS spent, sum(value) OVER w <= 1500 AS fits FROM events WINDOW w AS (PARTITION BY date_trunc('month', ts), user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def month_budget(spark, sf):
-    """Running cost of a month and user against a cap."""
+    """Running cost of a month and user against a cap. Sums are compared to nine digits: what is added up to exactly the cap fits, in whatever order."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(F.date_trunc("month", "ts"), "user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("value").over(w)
-    return t(spark, sf, "events").select("user_id", "event_id", F.round(total, 6).alias("spent"), (total <= 1500).alias("fits"))
+    return t(spark, sf, "events").select("user_id", "event_id", F.round(total, 6).alias("spent"), (F.round(total, 9) <= 1500).alias("fits"))
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
