@@ -141,3 +141,13 @@ def test_no_table_that_grows_passes_through_the_driver(spark):
     assert {0, 1, 2} <= {r.doc_id for r in kept.collect()} and kept.columns == docs.columns and kept.count() < 10
     assert len(kept._jdf.queryExecution().toString()) < 20_000
     assert chosenpath.sifted(docs, docs.filter(F.lit(False)), "doc_id").count() == 0
+
+
+@pytest.mark.parametrize("bits", [2, 5])
+def test_the_index_of_variants_is_never_broadcast(spark, bits):
+    """It has 64 rows a fingerprint, which Spark's estimate leaves out."""
+    from tessera.llm.common import stored
+
+    out = links(stored(spark.range(100).select(F.xxhash64("id").alias("fp"))), bits)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
