@@ -61,3 +61,12 @@ def test_edges(spark):
         assert P.drop_leaks(spark, source, SF).count() == source.count() and P.encode(spark, source, SF).count() == source.count()
         assert P.drop_repeated_lines(spark, source, SF).count() == source.count()
     assert P.drop_toxic(spark, docs, SF).filter(F.col("doc_id").isNull()).count() <= 1
+
+
+def test_ids_that_stay_are_not_broadcast(spark):
+    """They are nearly all doc_ids, so even a few of them are dealt by key."""
+    docs = spark.createDataFrame([(i, f"w{i % 20} x{i % 20} y{i % 20} z{i % 20} a{i % 20} b{i % 20}", "en", "s", 20) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.drop_near_duplicates(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "Broadcast" not in plan.split("Initial Plan")[0]
