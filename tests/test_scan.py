@@ -88,3 +88,13 @@ def test_pages_of_uneven_ranges(spark):
     ranked.table, ranked.counts = ranked.table.withColumn("_range", uneven), dict(enumerate(sizes))
     for number, size in ((12, 5), (6, 10), (2, 50), (9, 8), (20, 5), (21, 5)):
         assert [r.id for r in ranked.page(number, size).collect()] == list(range(100))[(number - 1) * size : number * size]
+
+
+def test_a_month_of_exactly_the_cap_fits(spark, tmp_path):
+    """As a sum of doubles in order, 1250 times 1.2 is over 1500."""
+    from tessera.plans.relational_queries import month_budget
+
+    rows = [(i, NOW, 1, 1.2) for i in range(1251)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: (r.spent, r.fits) for r in month_budget(spark, str(tmp_path)).collect()}
+    assert got[1249] == (1500.0, True) and got[1250] == (1501.2, False) and sum(fits for _, fits in got.values()) == 1250
